@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_store
+from . import bpe, decontaminate, kd_shards, language_model, licenses, ngram_join, preferences, quality, token_store, url_rules
 from .runtime import table
 
 
@@ -16,13 +16,47 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(token_store.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.RULES)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.flat(preferences.format_preferences(preferences.pairs_by_parity(table(spark, sf_dir, "conversations"))))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_ids": op1_token_ids,
-    "op9_bpe": op9_bpe,
+    f.__name__: f for f in (op1_token_ids, op2_decontaminate, op3_url_rules, op4_quality, op5_licenses, op6_ngram_join, op7_language_model, op8_preferences, op9_bpe, op10_kd_shards)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_rules": url_rules.ORACLE_SQL,
+    "op8_preferences": preferences.ORACLE_SQL,
+}
