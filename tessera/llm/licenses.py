@@ -8,7 +8,7 @@ aligned, and the share of the template's words that the block has, in order, mus
 words on which they differ are reported. Templates are short notices, so a block may also hold one
 within other text.
 
-One row a confirmed block, or, for templates found together in one block, a row each. Null and empty texts
+One row a licence in a block, with the place of its wording in the text (characters). Null and empty texts
 and texts without a licence give no rows, so does an empty table; equal rows give equal results; ties rank by
 the template's name. Columns other than doc_id and text are ignored.
 """
@@ -87,20 +87,27 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
                         yield at + k, piece
 
 
-def wording(template: list[str], block: list[str]) -> tuple[float, int, int, str]:
-    """Share of the template's words found in order near each other, span of the block, and the differences."""
-    best = (0.0, 0, 0, "")
-    starts = [i for i, w in enumerate(block) if w in set(template[:2])] or [0]
-    for s in starts:
+def wording(template: list[str], block: list[str]) -> tuple[float, float, int, int, str]:
+    """The best place of the template in the block: the share of its words found there in order, the same share
+    with words added in between counted against it, the place's first and last word, and the differences."""
+    best = (0.0, 0.0, 0, 0, "")
+    first = set(template[:2])
+    for s in [i for i, w in enumerate(block) if w in first] or [0]:
         window = block[s : s + len(template) + max(2, len(template) // 5)]
-        m = SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks()
+        m = [x for x in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if x.size]
+        if not m:
+            continue
         n = sum(x.size for x in m)
-        if n / len(template) > best[0]:
-            end = max(x.b + x.size for x in m if x.size)
-            lacks = [f"-{w}" for a, b in zip(m, m[1:]) for w in template[a.a + a.size : b.a]]
-            lacks = [f"-{w}" for w in template[: m[0].a]] + lacks
-            adds = [f"+{w}" for a, b in zip(m, m[1:]) for w in window[a.b + a.size : b.b] if b.size]
-            best = n / len(template), s, s + end, " ".join(lacks + adds)
+        lacks, adds, at = [], [], m[0].b
+        for x, before in zip([*m, None], [None, *m]):
+            since = before.a + before.size if before else 0
+            lacks += [f"-{w}" for w in template[since : x.a if x else len(template)]]
+            if x:
+                adds += [f"+{w}" for w in window[at : x.b]]
+                at = x.b + x.size
+        found = (n / (len(template) + len(adds)), n / len(template), s + m[0].b, s + at, " ".join(lacks + adds))
+        if found[0] > best[0]:
+            best = found
     return best
 
 
@@ -122,28 +129,33 @@ class Scanner:
         return sorted((x for x in saved if x[0] >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))
 
     def scan(self, text: str | None) -> list[tuple]:
-        out = []
+        out = set()
         for start, block in blocks(text or ""):
-            own, by_name = words(block), {}
+            places = [m.span() for m in _WORDS.finditer(block)]
+            own, by_name = [block[a:b].lower() for a, b in places], {}
             ranked = self.ranked(block)
             for place, (saved, k) in enumerate(ranked):
-                name, _, template = self.notices[k]
                 # beyond the best few, only notices that save nearly as much as the best can be meant
                 if place >= RANKED and saved < 0.5 * ranked[0][0]:
                     break
-                share, a, b, diff = wording(template, own)
-                if share >= MIN_WORDING and (name not in by_name or share > by_name[name][3]):
-                    by_name[name] = (start, len(block), name, share, saved, diff, frozenset(range(a, b)))
+                name, _, template = self.notices[k]
+                score, share, a, b, diff = wording(template, own)
+                if share >= MIN_WORDING and (name not in by_name or (score, b - a) > by_name[name][:2]):
+                    by_name[name] = (score, b - a, a, b, share, saved, diff)
             taken: set[int] = set()
-            for row in sorted(by_name.values(), key=lambda r: (-r[3], -len(r[6]), r[2])):
-                if not row[6] & taken:
-                    taken |= row[6]
-                    out.append(row[:6])
-        return sorted(out)
+            for name, (_, _, a, b, share, saved, diff) in sorted(by_name.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+                if not taken.intersection(range(a, b)):
+                    taken.update(range(a, b))
+                    out.add((start + places[a][0], places[b - 1][1] - places[a][0], name, share, saved, diff))
+        # overlapping stretches of a long line find the same place twice
+        best: dict[tuple[int, str], tuple] = {}
+        for row in sorted(out, key=lambda r: (r[0], r[2], -r[3], -r[4], r[5])):
+            best.setdefault((row[0], row[2]), row)
+        return list(best.values())
 
 
 _SCANNERS: dict[int, Scanner] = {}
-FOUND = "doc_id long, block_start long, block_chars long, license string, wording double, reduction double, differences string"
+FOUND = "doc_id long, start long, chars long, license string, wording double, reduction double, differences string"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

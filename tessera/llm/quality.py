@@ -31,11 +31,14 @@ _WORD = re.compile(WORD)
 _LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "punctuation", "symbol", "other")
+#: Stands for the number of words among the classes of characters.
+TOTAL = "words"
 #: Words of a language's histogram, and languages with a reference of their own.
 COMMON_WORDS, LANGUAGES = 100, 512
 MIN_REFERENCE = 2_000
 MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.25, 0.5
+#: Largest distances: a constant, and what chance adds to a histogram of n, as 1 / sqrt(n).
+MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = (0.17, 2.0), (0.20, 2.7)
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
 WINDOW = 8
@@ -142,8 +145,8 @@ def _counts(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (chars, words) in held.items():
-                keys = [*CLASSES, *words]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([True] * len(CLASSES) + [False] * len(words)), pa.array(keys, pa.string()), pa.array([*chars.tolist(), *words.values()], pa.int64())], ["lang", "chars", "key", "n"])
+                keys, n = [*CLASSES, TOTAL, *words], [*chars.tolist(), words.total(), *words.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k <= len(CLASSES) for k in range(len(keys))]), pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["lang", "chars", "key", "n"])
             held.clear()
 
         for batch in batches:
@@ -164,23 +167,15 @@ def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
     """At most common_words + 10 rows a language come to the driver, for at most LANGUAGES languages."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     found = _counts(docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang")))
-    total = F.sum(F.when(~F.col("chars"), F.col("n"))).over(W.partitionBy("lang"))
     best = W.partitionBy("lang", "chars").orderBy(F.desc("n"), "key")
-    sums = found.filter("not chars").groupBy("lang").agg(F.sum("n").alias("total"))
-    top = found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= max(common_words, len(CLASSES)))
-    del total
-    langs = {r["lang"]: r["total"] for r in sums.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect() if r["total"] >= MIN_REFERENCE}
-    out = References()
+    top = found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= max(common_words, len(CLASSES) + 1))
+    words_of = F.max(F.when(F.col("chars") & (F.col("key") == TOTAL), F.col("n"))).alias("total")
+    each = top.groupBy("lang").agg(words_of, F.collect_list(F.struct("chars", "key", "n")).alias("rows")).filter(F.col("total") >= MIN_REFERENCE)
+    langs, rows, out = {}, {}, References()
+    for r in each.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect():
+        langs[r["lang"]], rows[r["lang"]] = r["total"], [x for x in r["rows"] if x["key"] != TOTAL or not x["chars"]]
     if not langs:
         return out
-    rows = defaultdict(list)
-    keep = F.lit(False)
-    if named := [x for x in langs if x is not None]:
-        keep = keep | F.coalesce(F.col("lang").isin(named), F.lit(False))
-    if None in langs:
-        keep = keep | F.col("lang").isNull()
-    for r in top.filter(keep).collect():
-        rows[r["lang"]].append(r)
     everywhere, chars = Counter(), np.zeros(len(CLASSES), np.int64)
     for name, n in langs.items():
         c = np.zeros(len(CLASSES), np.int64)
@@ -196,21 +191,25 @@ def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
     return out
 
 
-def distances(text: str, ref: Reference | None) -> tuple[float | None, float | None]:
-    """Of character classes and common words; None where the guard of length or a missing reference forbids it."""
+def distances(text: str, ref: Reference | None) -> tuple[float | None, float | None, bool]:
+    """Of character classes and common words, and whether one is too large.
+
+    None where the guard of length or a missing reference forbids a judgement."""
     if ref is None:
-        return None, None
+        return None, None, False
     a = b = None
+    far = False
     if len(text) >= MIN_CHARS:
         a = js_distance(char_classes(text), ref.chars)
+        far = a > MAX_CHARS_DISTANCE[0] + MAX_CHARS_DISTANCE[1] / len(text) ** 0.5
     words = _LETTERS.findall(text.lower())
     if len(words) >= MIN_WORDS:
         get, rest = ref.words.get, len(ref.words)
         b = js_distance(np.bincount([get(w, rest) for w in words], minlength=rest + 1), ref.counts)
-    return a, b
+        far = far or b > MAX_WORDS_DISTANCE[0] + MAX_WORDS_DISTANCE[1] / len(words) ** 0.5
+    return a, b, far
 
 
-_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
 
 
@@ -219,9 +218,8 @@ def measure(text: str | None, ref: Reference | None) -> tuple:
     words = _WORD.findall(text)
     n, repeats = len(words), repeat_words(words)
     failed = n < 20 or 100 * repeats > 30 * n
-    a, b = distances(text, ref)
-    kept = not failed and (a is None or a <= MAX_CHARS_DISTANCE) and (b is None or b <= MAX_WORDS_DISTANCE)
-    return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup_lines(text), repeats, failed, kept, a, b
+    a, b, far = distances(text, ref)
+    return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup_lines(text), repeats, failed, not failed and not far, a, b
 
 
 def judge(docs: DataFrame, refs: References, carry: list[str]) -> DataFrame:

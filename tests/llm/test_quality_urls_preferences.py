@@ -1,0 +1,149 @@
+import random
+import re
+from collections import Counter
+
+from tessera.llm import licenses, preferences, quality, url_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    at = {}
+    for i in range(len(words) - 7):
+        at.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {i + k for places in at.values() if len(places) > 1 for i in places for k in range(8)}
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.4 else "".join(rng.choice(["ta", "ri", "on", "el"]) for _ in range(rng.randrange(1, 4))) for _ in range(n)) + "."
+
+
+def quality_docs(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 120), "en", "x") for k in range(60)]
+    line = prose(rng, 9)
+    rows += [
+        (100, None, "en", "x"), (101, "", None, "x"), (102, " \n\t", "en", "x"), (103, "\n".join([line] * 9) + "\n \n \n", "en", None), (104, "a " * 300, "en", "x"), (105, "é\u00a0ü\u3000" * 30 + " b", "en", "x"),
+        (106, " ".join(w + rng.choice(["%%%", "***", "$$$"]) for w in prose(rng, 150).split()), "en", "x"), (107, prose(rng, 40000), "en", "x"), (0, rows[0][1], "en", "x"), (None, prose(rng, 100), None, None), (108, prose(rng, 25), "zz", "x"),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+
+
+def test_quality_counts_and_verdicts(spark):
+    docs = quality_docs(spark)
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    got = quality.quality(docs).collect()
+    assert len(got) == sum(texts.values())
+    want = sorted([(repr(d), *brute(t)) for (d, t), n in texts.items() for _ in range(n)])
+    assert sorted((repr(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    kept = {r.doc_id: r.kept for r in got}
+    assert [k for k in range(60) if not kept[k]] == [] and kept[107] and kept[108] and kept[None]
+    assert not any(kept[k] for k in (100, 101, 102, 103, 104, 106))
+    assert all(not (r.base_failed and r.kept) for r in got)
+    left = quality.keep_good(docs)
+    assert left.columns == docs.columns and left.count() == sum(kept_ for kept_ in (r.kept for r in got))
+    assert quality.quality(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
+
+
+def test_reference_is_the_corpus(spark):
+    docs = quality_docs(spark)
+    refs = quality.learn(docs)
+    words = Counter(w for r in docs.filter("lang = 'en'").collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+    best = sorted(words.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]
+    assert list(refs.by_lang["en"].words) == [w for w, _ in best]
+    assert refs.by_lang["en"].counts.sum() == words.total()
+    assert refs.by_lang["en"].chars.sum() == sum(len(r.text or "") for r in docs.filter("lang = 'en'").collect())
+
+
+def test_distance():
+    import numpy as np
+
+    assert quality.js_distance(np.array([1, 0]), np.array([0, 1])) == 1
+    assert quality.js_distance(np.array([1, 2]), np.array([2, 4])) < 1e-7
+
+
+def url_brute(url, rules):
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    if not fit:
+        return host, path, None, "allow"
+    r = max(fit, key=lambda r: (len(r.text), len(r.host), r.verdict == "block", r.text))
+    return host, path, r.text, r.verdict
+
+
+def test_urls(spark):
+    rng = random.Random(2)
+    urls = [None, "", "no scheme", "x://", "http://EXAMPLE.org", "http://example.org/", "http://a.Example.ORG/en/1?x", "http://example.org/en/12#y", "http://notexample.org/es/", "https://example.com/fr", "https://m.example.com/fr/", "https://com/de/", "http://a..org/es/", "http://.org/", "http://org./x", "http://É.org/es", "a://b://c.com/fr/", "http://x.com?/fr/", "http://h.com/de/" + "p" * 20000, "http://u@x.org:80/"]
+    urls += ["".join(rng.choice(["http://", "a.", "example.org", "com", "/en/1", "/es/", "/fr/", "?", "#", "/"]) for _ in range(6)) for _ in range(150)] + ["http://m.example.com/fr/1"] * 40
+    rows = [(k, u, "clash", "clash") for k, u in enumerate(urls)] + [(None, urls[5], None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    for rules in (url_rules.RULES, (*url_rules.RULES, url_rules.Rule("org", "", "block"), url_rules.Rule("org", "", "allow"), url_rules.Rule("", "/x", "block")), ()):
+        got = sorted((repr(r.page_id), r.host, r.path, repr(r.rule), r.verdict) for r in url_rules.judge_urls(pages, rules).collect())
+        want = sorted((repr(k), h, p, repr(r), v) for k, u, *_ in rows for h, p, r, v in [url_brute(u, [x for x in rules if x.host])])
+        assert got == want
+    assert url_rules.judge_urls(pages.limit(0), url_rules.RULES).count() == 0
+
+
+def turns_of(spark):
+    rows = []
+    say = lambda c, *turns: rows.extend((c, k, r, t) for k, (r, t) in enumerate(turns))
+    say(0, ("user", "q"), ("assistant", "a1"), ("user", "more"), ("assistant", "good"))
+    say(1, ("user", "q"), ("assistant", "a1"), ("user", "else"), ("assistant", ""))
+    say(2, ("user", "same"), ("assistant", "both"))
+    say(3, ("user", "same"), ("assistant", "both"))
+    say(4, ("system", None), (None, "x"), ("assistant", "y" * 30000))
+    say(5, ("system", ""), (None, "x"))
+    say(6, ("user", "alone"))
+    say(9, ("assistant", "no partner"))
+    rows += [rows[0], (None, 0, "user", "no id"), (7, None, "user", "n"), (7, 0, "assistant", "z")]
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+
+
+def test_preferences(spark):
+    got = {r.pair_id: r for r in preferences.format_preferences(preferences.pairs_by_parity(turns_of(spark))).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    one = lambda role, text: f"<|turn|>{role}\n{text}<|end|>\n"
+    r = got[0]
+    assert (r.prompt_turns, r.prompt) == (2, one("user", "q") + one("assistant", "a1"))
+    assert r.chosen_completion == one("user", "more") + one("assistant", "good") and r.rejected_completion == one("user", "else") + one("assistant", "")
+    assert [r.chosen_completion[s.start : s.end] for s in r.chosen_mask] == ["good<|end|>\n"] and [r.rejected_completion[s.start : s.end] for s in r.rejected_mask] == ["<|end|>\n"]
+    assert (got[1].prompt_turns, got[1].chosen_completion, got[1].rejected_completion, got[1].chosen_mask) == (2, "", "", [])
+    assert got[2].prompt_turns == 0 and got[2].chosen_completion.startswith(one("system", "") + one("", "x"))
+    assert got[3].prompt_turns == 0 and got[3].rejected_completion == one("user", "n") + one("assistant", "z")
+    assert (got[4].chosen_id, got[4].rejected_id, got[4].chosen_completion) == (None, 9, "")
+    assert preferences.format_preferences(preferences.pairs_by_parity(turns_of(spark).limit(0))).count() == 0
+    assert preferences.conversations(turns_of(spark)).count() == 9
+
+
+def test_licenses(spark):
+    text = "Some words.\nReleased under the MIT License.\nMore words."
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    rows = [(0, text), (1, "nothing here"), (2, None), (3, ""), (4, "x " * 30000 + "\n" + apache + "\n" + "y " * 30000), (5, "This work is licensed under the GNU General Public License, version 2."), (6, "this work is LICENSED under the gnu general public license, version 3!"), (0, text), (7, "We had permission to use the license plate of the car."), (None, "Licensed under CC BY-NC 4.0."), (8, "z" * 3000 + " Licensed under the Apache License, Version 2.0. " + "z" * 3000), (9, "Licensed under CC BY 4.0. Released under the MIT License.")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
+    got = licenses.scan_licenses(docs).collect()
+    assert sorted((repr(r.doc_id), r.license) for r in got) == sorted([("0", "MIT"), ("0", "MIT"), ("4", "Apache-2.0"), ("5", "GPL-2.0"), ("6", "GPL-3.0"), ("None", "CC-BY-NC-4.0"), ("8", "Apache-2.0"), ("9", "CC-BY-4.0"), ("9", "MIT")])
+    for r in got:
+        if r.doc_id == 4:
+            assert rows[4][1][r.start : r.start + r.chars + 1] == apache and r.differences == ""
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_every_notice_names_itself():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert [r[2] for r in scanner.scan(f"Words before.\n{text}\nwords after")] == [name]
