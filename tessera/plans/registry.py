@@ -1,7 +1,446 @@
-"""The library's own queries by name, and the SQL that must give the same rows."""
+"""The library's own queries by name, over the driver's tables. SQL that must give the same rows is in oracles.py."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import answers, chunk_quality, chunking, ingest, search
+from ..sources import tables
+from ..streaming import incremental
+from .oracles import ASKS, ORACLE_SQL  # noqa: F401
+
 FLAGSHIP = "hybrid_retrieve"
+TOP = 10
+QUERY_VECTORS = 10
+#: Sizes at which the driver's short documents give several chunks.
+SMALL_CHUNKS = chunking.ChunkConfig(small_size=60, small_overlap=6, large_size=110, large_overlap=11, min_tokens=8, pattern_min_tokens=30)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _read(spark, d, "documents")
+
+
+def _sections(spark, d):
+    return ingest.sections_view(_docs(spark, d))
+
+
+def _questions(spark, d):
+    """Benchmark items as questions, with a beginning that names companies, metrics or risks."""
+    ask = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("item_id") % len(ASKS) + 1).cast("int"))
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", ask, F.col("text")).alias("query"))
+
+
+def _plain_questions(spark, d):
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _vectors(spark, d):
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_vectors(spark, d):
+    return _vectors(spark, d).filter(F.col("pos") < QUERY_VECTORS).select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+def _chunks(spark, d):
+    """Whole sections as chunks, for retrieval: position, filters and text."""
+    return _sections(spark, d).withColumnRenamed("doc_id", "pos")
+
+
+def _line_chunks(spark, d):
+    return chunking.line_chunks(_docs(spark, d))
+
+
+def _line_arrays(spark, d):
+    """Sections with their line chunks as an array, as the metrics take them."""
+    own = _sections(spark, d)
+    typed = ingest.typed(own).select("doc_id", "text", "item_number", "section_type", F.col("signals.numerical_density").alias("numerical_density"))
+    split = F.split("text", "\n")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(split) - 1) / 5).cast("int")), lambda k: F.array_join(F.slice(split, k * 5 + 1, F.lit(5)), "\n"))
+    return typed.withColumn("chunks", groups)
+
+
+# --- text and ingest ---
+
+
+def text_tokenise(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(X.tokenise(F.col("text")), " ").alias("terms"))
+
+
+def text_token_count(spark, d):
+    return _docs(spark, d).select("doc_id", X.token_count(F.col("text")).alias("tokens"), X.truncate_tokens(F.col("text"), 20).alias("head"))
+
+
+def text_numerical_density(spark, d):
+    return _docs(spark, d).select("doc_id", F.round(X.numerical_density(F.col("text")), 4).alias("density"))
+
+
+def text_sentences(spark, d):
+    own = X.sentences(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(own).alias("n"), F.coalesce(F.try_element_at(own, F.lit(1)), F.lit("")).alias("first"))
+
+
+def section_signals(spark, d):
+    return ingest.typed(_sections(spark, d)).select("doc_id", "signals.*")
+
+
+def section_classify(spark, d):
+    return ingest.typed(_sections(spark, d)).select("doc_id", "item_number", "section_type")
+
+
+def section_ids(spark, d):
+    c = X.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("item_number"), (F.col("doc_id") % 50).cast("int"))
+    return _sections(spark, d).select("doc_id", X.section_id(F.col("ticker"), F.col("fiscal_year"), F.col("item_number")).alias("section_id"), c.alias("chunk_id"))
+
+
+def section_type_counts(spark, d):
+    return ingest.type_counts(ingest.typed(_sections(spark, d)))
+
+
+def embedded_tables(spark, d):
+    own = F.concat(F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit("\n| a | "), F.col("doc_id").cast("string"), F.lit(" |\n| b | 2 |\nend\n| one |\n"))
+    found = X.embedded_tables(own)
+    return _docs(spark, d).select("doc_id", F.size(found).alias("n"), F.array_join(found, "#").alias("tables"))
+
+
+def label_clean(spark, d):
+    raw = F.concat(F.lit("us_"), F.regexp_replace(F.initcap(F.lower("p_type")), " ", ""), F.lit("_"), F.col("p_size").cast("string"))
+    return _read(spark, d, "part").select("p_partkey", X.clean_label(raw).alias("label"))
+
+
+def number_format(spark, d):
+    v = F.col("o_totalprice") * F.element_at(F.array(F.lit(1.000123), F.lit(1000.0717), F.lit(999983.0), F.lit(1e-6), F.lit(-1.7e-2)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    word = F.when(F.col("o_orderkey") % 11 == 0, "nan").when(F.col("o_orderkey") % 13 == 0, "n/a").otherwise(v.cast("string"))
+    return _read(spark, d, "orders").select("o_orderkey", X.format_number(word).alias("shown"))
+
+
+def sector_lookup(spark, d):
+    codes = [*X.SECTORS, "3571", None]
+    sic = F.element_at(F.array(*map(F.lit, codes)), (F.col("s_suppkey") % len(codes) + 1).cast("int"))
+    return _read(spark, d, "supplier").select("s_suppkey", sic.alias("sic"), X.sector(sic).alias("sector"))
+
+
+def filing_pick(spark, d):
+    """Orders as filings of their customer: the requested year's last, else the last of all."""
+    filings = _read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("period_of_report"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0").alias("accession_no"))
+    asked = filings.select("ticker", F.lit(1996).alias("fiscal_year")).distinct()
+    return ingest.pick_filing(asked, filings).select("ticker", "fiscal_year", "period_of_report", "accession_no")
+
+
+def section_unpivot(spark, d):
+    """Suppliers as filings with three items, one of them blank for some."""
+    key = F.col("s_suppkey")
+    rows = _read(spark, d, "supplier").select(F.col("s_name").alias("ticker"), F.lit(2024).alias("fiscal_year"), F.col("s_name").alias("business"), F.when(key % 3 == 0, "  ").otherwise(F.concat(F.lit("risk "), "s_name")).alias("risk_factors"), F.concat(F.lit(" mda "), key.cast("string"), F.lit(" ")).alias("management_discussion"))
+    return ingest.sections(rows).select("section_id", "item_number", "item_title", "section_type", "text")
+
+
+def statement_table(spark, d):
+    """Suppliers of a nation as a statement with two years."""
+    rows = _read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("line"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("label"), F.concat(F.lit("us_NetIncome"), "s_nationkey").alias("concept"), (F.col("s_acctbal") * 1000.0717).alias("2024 12 31"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal") * 3e6 + 0.1).alias("2023 12 31"), F.lit("x").alias("weight"))
+    return ingest.statement_markdown(rows, "nation", "line", title="Income").select("nation", "table")
+
+
+def financial_sections(spark, d):
+    """Tables of the primary path, and of the fallback for nations that have none there."""
+    nation = _read(spark, d, "nation")
+    one = nation.filter("n_nationkey % 3 > 0").select("n_nationkey", F.lit(1).alias("ord"), F.lit("Balance Sheet").alias("title"), F.concat(F.lit("| "), "n_name", F.lit(" |")).alias("table"))
+    two = one.filter("n_nationkey % 2 = 0").select("n_nationkey", F.lit(2).alias("ord"), F.lit("Cash Flow").alias("title"), F.lit("| 1 |").alias("table"))
+    rest = nation.select("n_nationkey", F.lit(1).alias("ord"), F.lit("Fallback").alias("title"), F.col("n_name").alias("table"))
+    return ingest.financial_sections(one.union(two), rest, "n_nationkey").select("n_nationkey", "text", F.size("tables").alias("n_tables"))
+
+
+def html_text(spark, d):
+    return tables.html_documents(_read(spark, d, "pages")).select("page_id", "text")
+
+
+# --- lexical, dense, routing, fusion ---
+
+
+def bm25_term_stats(spark, d):
+    return search.build_lexical(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark, d):
+    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d), TOP)
+
+
+def bm25_topk_filtered(spark, d):
+    keep = _chunks(spark, d).filter(search.filter_column({"item_number": "1A", "sector": "en", "nothing": 1})).select("pos")
+    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d), TOP, keep)
+
+
+def vec_normalise(spark, d):
+    v = search.normalise(F.transform("vector", lambda x: x.cast("double") * 3))
+    return _vectors(spark, d).select("pos", F.round(search.norm(v), 6).alias("norm"), F.round(F.element_at(v, 1), 6).alias("first"))
+
+
+def vec_cosine(spark, d):
+    first = _vectors(spark, d).filter("pos = 0").select(F.col("vector").alias("other"))
+    return _vectors(spark, d).join(F.broadcast(first)).select("pos", F.round(search.cosine(F.col("vector"), F.col("other")), 6).alias("cosine"))
+
+
+def dense_topk(spark, d):
+    return search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), TOP)
+
+
+def dense_topk_postfilter(spark, d):
+    return search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), TOP, _vectors(spark, d).filter("label = 3").select("pos"))
+
+
+def dense_topk_prefilter(spark, d):
+    return search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), TOP, _vectors(spark, d).filter("label = 3").select("pos"), strict_prefilter=True)
+
+
+def classify_query(spark, d):
+    return _questions(spark, d).select("query_id", X.classify_query(F.col("query")).alias("query_type"), X.intent(F.col("query")).alias("intent"), X.item_hint(F.col("query")).alias("hint"))
+
+
+def detect_companies(spark, d):
+    return _questions(spark, d).select("query_id", F.array_join(X.companies(F.col("query")), ",").alias("tickers"))
+
+
+def route_query(spark, d):
+    return search.routed(_questions(spark, d)).select("query_id", "job", "ticker", "item_number", "weight")
+
+
+def route_query_filtered(spark, d):
+    own = _questions(spark, d).withColumns({"ticker": F.when(F.col("query_id") % 5 == 0, "GS"), "item_number": F.when(F.col("query_id") % 3 == 0, "2")})
+    return search.routed(own).select("query_id", "job", "ticker", "item_number", "weight")
+
+
+def _lexical(spark, d):
+    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS), 30)
+
+
+def rrf_fusion(spark, d):
+    return search.fuse(_lexical(spark, d), search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), 30)).select("query_id", "pos", "bm25_rank", "dense_rank", "rrf_score")
+
+
+def _jobs(spark, d):
+    """Two jobs a query, of overlapping filters, so that a document can be found twice."""
+    asked = _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS).select("query_id", "query")
+    return asked.select("query_id", "query", F.lit(0).alias("job"), F.lit(None).cast("string").alias("ticker"), F.lit("7").alias("item_number")).union(asked.select("query_id", "query", F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+
+def multi_job_dedup(spark, d):
+    scored = search.lexical_scores(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS)).filter("score > 0")
+    return search.dedup(search.multi_job(scored, _jobs(spark, d), _chunks(spark, d), 15))
+
+
+def _hybrid(spark, d):
+    asked = _questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS).join(_query_vectors(spark, d), "query_id")
+    # the driver's tickers are names of sources, so no job of a company finds a section; the questions' own texts are asked
+    plain = asked.drop("query").join(_plain_questions(spark, d), "query_id")
+    return plain, search.hybrid(search.build_lexical(_docs(spark, d)), _vectors(spark, d), _chunks(spark, d), plain)
+
+
+def hybrid_retrieve(spark, d):
+    return _hybrid(spark, d)[1].select("query_id", "rank", "pos", "rrf_score", "bm25_rank", "dense_rank")
+
+
+def _results(spark, d):
+    asked, found = _hybrid(spark, d)
+    return found.join(asked.select("query_id", "query"), "query_id").join(_chunks(spark, d), "pos")
+
+
+def _reranked(spark, d):
+    return search.rerank(_results(spark, d))
+
+
+def rerank_topk(spark, d):
+    return _reranked(spark, d).select("query_id", "rank", "pos", "ce_score", "rrf_rank")
+
+
+def rank_movement(spark, d):
+    return search.rank_movement(search.rerank(_results(spark, d), k=20)).select("query_id", "pos", "rrf_rank", "rank", "movement")
+
+
+# --- chunking and its quality ---
+
+
+def table_blocks_islands(spark, d):
+    return chunking.table_islands(_docs(spark, d))
+
+
+def chunk_lines(spark, d):
+    return _line_chunks(spark, d)
+
+
+def chunk_materialise(spark, d):
+    chunks = _line_chunks(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))), lambda x: x["chunk"]).alias("chunks")).withColumn("strategy", F.lit("lines"))
+    return chunking.materialise(chunks, _sections(spark, d)).select("doc_id", "chunk_id", "chunk_index", "total_chunks_in_section", "token_count", "numerical_density", "is_table_chunk")
+
+
+def chunk_separator_split(spark, d):
+    marked = F.split(F.regexp_replace("text", r"(\. )", "$1\u0001"), "\u0001")
+    return _docs(spark, d).select("doc_id", F.posexplode(F.filter(marked, lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != "")).alias("i", "piece"))
+
+
+def _strategies(spark, d, names, config, pattern=None):
+    rows = _sections(spark, d).withColumn("strategies", F.array(*map(F.lit, names)))
+    return chunking.chunk_sections(rows, config=config, pattern=pattern)
+
+
+def _exploded(chunked):
+    return chunked.select("doc_id", "strategy", F.posexplode("chunks").alias("chunk_index", "chunk"))
+
+
+def chunk_recursive_600(spark, d):
+    return _exploded(_strategies(spark, d, ["recursive_600"], chunking.ChunkConfig()))
+
+
+def chunk_recursive_1100(spark, d):
+    return _exploded(_strategies(spark, d, ["recursive_1100"], chunking.ChunkConfig()))
+
+
+def chunk_table_aware(spark, d):
+    return _exploded(_strategies(spark, d, ["table_aware"], SMALL_CHUNKS))
+
+
+def chunk_regex(spark, d):
+    return _exploded(_strategies(spark, d, ["llm_regex"], SMALL_CHUNKS, pattern=r"[.!?]\n"))
+
+
+def _metric(name, make):
+    def query(spark, d):
+        return _line_arrays(spark, d).select("doc_id", make().alias(name))
+
+    query.__name__ = f"metric_{name}"
+    return query
+
+
+_CHUNKS = lambda: F.col("chunks")
+METRICS = [
+    _metric("sc", lambda: F.round(chunk_quality.size_compliance(_CHUNKS()), 4)),
+    _metric("icc", lambda: chunk_quality.cohesion(_CHUNKS())),
+    _metric("dcc", lambda: chunk_quality.coherence(_CHUNKS())),
+    _metric("bi", lambda: chunk_quality.block_integrity(F.col("text"), _CHUNKS())),
+    _metric("nds", lambda: chunk_quality.density_spread(F.col("numerical_density"), _CHUNKS())),
+    _metric("tbi", lambda: chunk_quality.table_integrity(F.col("text"), _CHUNKS())),
+    _metric("sps", lambda: chunk_quality.section_purity(F.col("item_number"), _CHUNKS())),
+]
+
+
+def metric_rc(spark, d):
+    return chunk_quality.with_reference_share(_line_arrays(spark, d)).select("doc_id", "rc")
+
+
+def weighted_total(spark, d):
+    """The totals from metrics that depend on the document's number, so that every weight counts."""
+    own = ingest.typed(_sections(spark, d)).select("doc_id", "section_type", *(((F.col("doc_id") * (k + 3) % 101) / 100).alias(m) for k, m in enumerate(chunk_quality.METRICS)))
+    return own.select("doc_id", "section_type", chunk_quality.weighted_total(F.col("section_type")).alias("total"))
+
+
+def candidate_strategies(spark, d):
+    own = ingest.typed(_sections(spark, d))
+    return own.select("doc_id", F.array_join(chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count")), ",").alias("strategies"))
+
+
+def _scored(spark, d):
+    own = ingest.typed(_sections(spark, d))
+    wanted = own.withColumn("strategies", chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count")))
+    made = chunking.chunk_sections(wanted, config=SMALL_CHUNKS, pattern=r"[.!?]\n")
+    return own, chunk_quality.score(made.join(own.select("doc_id", "text", "item_number", "section_type", F.col("signals.numerical_density").alias("numerical_density")), "doc_id"))
+
+
+def strategy_winner(spark, d):
+    own, scored = _scored(spark, d)
+    won = chunk_quality.with_fallback(chunk_quality.winners(scored), own)
+    return won.select("doc_id", "strategy", "chunking_score", F.size("chunks").alias("n_chunks"))
+
+
+def strategy_competition(spark, d):
+    return chunk_quality.competition(_scored(spark, d)[1])
+
+
+# --- answers ---
+
+
+def context_assemble(spark, d):
+    return answers.assemble_context(_reranked(spark, d)).select("query_id", "context", F.size("source_numbers").alias("n_sources"))
+
+
+def prompt_assemble(spark, d):
+    own = _questions(spark, d).withColumn("query_type", X.classify_query(F.col("query")))
+    return own.select("query_id", answers.system_prompt(F.col("query_type")).alias("system"), answers.user_message(F.col("query"), F.lit("none")).alias("user"))
+
+
+def _raw_answers(spark, d):
+    """Assistant turns with marks of sources, one of them often unknown."""
+    mark = lambda n: F.concat(F.lit(" [Source "), n.cast("string"), F.lit("]"))
+    t = _read(spark, d, "conversations").filter("role = 'assistant'")
+    raw = F.concat(F.col("text"), mark(F.col("turn") % 7 + 1), F.lit(" may  [source  "), (F.col("turn") % 3 + 1).cast("string"), F.lit("]"), mark(F.col("turn") + 4))
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return t.select(key.alias("query_id"), F.col("text").alias("query"), raw.alias("raw_answer"), F.sequence(F.lit(1), F.lit(5)).alias("source_numbers"))
+
+
+def citations_extract(spark, d):
+    return _raw_answers(spark, d).select("query_id", F.array_join(F.transform(X.cited(F.col("raw_answer")), lambda n: n.cast("string")), ",").alias("cited"), X.hedges(F.col("raw_answer")).alias("hedges"))
+
+
+def citations_validate(spark, d):
+    text = lambda c: F.array_join(F.transform(F.col(c), lambda n: n.cast("string")), ",").alias(c)
+    return answers.validate(_raw_answers(spark, d)).select("query_id", "answer", text("sources_cited"), text("invalid_citations"))
+
+
+def _answered(spark, d):
+    """Reranked results, and an answer a query that cites the second and an unknown source."""
+    results = _reranked(spark, d)
+    asked = _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS)
+    marks = F.concat(F.lit("It may be so [Source 2] [Source "), (F.col("query_id") % 6).cast("string"), F.lit("] "), F.col("query"))
+    return results, asked.select("query_id", "query", marks.alias("raw_answer"), F.sequence(F.lit(1), F.lit(5)).alias("source_numbers"))
+
+
+def source_citations(spark, d):
+    results, raw = _answered(spark, d)
+    return answers.citations(results, answers.validate(raw)).select("query_id", "source_num", "pos", "ticker", "fiscal_year", "item_number", "ce_score", "text_preview")
+
+
+def confidence_score(spark, d):
+    results, raw = _answered(spark, d)
+    return answers.confidence(results, answers.validate(raw))
+
+
+def audit_trail(spark, d):
+    results, raw = _answered(spark, d)
+    out = answers.verify(raw.select("query_id", "query"), results, raw)
+    return out.select("query_id", "query_type", "confidence", F.col("audit_trail.chunks_used").alias("chunks_used"), F.to_json("audit_trail").alias("trail"))
+
+
+def refusals(spark, d):
+    asked = _plain_questions(spark, d)
+    return answers.refuse_empty(asked, search.lexical_top_k(search.build_lexical(_docs(spark, d)), asked.filter("query_id % 2 = 0"), 3)).select("query_id", "raw_answer", "tokens_used")
+
+
+def embed_missing_antijoin(spark, d):
+    docs = _docs(spark, d).select(F.col("doc_id").alias("chunk_id"))
+    cache = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return tables.missing_embeddings(docs, cache)
+
+
+def pipeline_stats(spark, d):
+    own = ingest.typed(_sections(spark, d))
+    return own.agg(F.count("*").alias("sections"), F.sum("signals.token_count").alias("tokens"), F.countDistinct("ticker").alias("companies"), F.sum((F.col("section_type") == "financial_table").cast("int")).alias("tables"))
+
+
+def event_windows(spark, d):
+    return incremental.event_windows(_read(spark, d, "events"), "1 day").withColumn("total", F.round("total", 4))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
+        sector_lookup, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
+        dense_topk_postfilter, dense_topk_prefilter, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, rerank_topk, rank_movement,
+        table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_rc, weighted_total,
+        candidate_strategies, strategy_winner, strategy_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, refusals,
+        embed_missing_antijoin, pipeline_stats, event_windows,
+    )
+}
