@@ -225,15 +225,20 @@ def line_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return docs.select(key, F.size(groups).alias("total"), F.posexplode(groups).alias("chunk_index", "chunk"))
 
 
+def is_table_chunk(text: Column) -> Column:
+    """Two of five lines or more have a bar."""
+    own = X.lines(text)
+    bars = F.filter(own, lambda x: x.contains("|"))
+    return F.coalesce(F.try_divide(F.size(bars), F.nullif(F.size(own), F.lit(0))) >= 0.4, F.lit(False))
+
+
 def materialise(chunked: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of chunks with ids and their own signals; blank chunks are skipped but keep their index and count in the total."""
     each = chunked.select(key, "strategy", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "text")).filter(F.trim("text") != "")
     named = each.join(sections.select(key, "ticker", "fiscal_year", "item_number"), key)
-    own = X.lines(F.col("text"))
-    bars = F.filter(own, lambda x: x.contains("|"))
     return named.withColumns({
         "chunk_id": X.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("item_number"), F.col("chunk_index")),
         "token_count": X.token_count(F.col("text")),
         "numerical_density": F.round(X.numerical_density(F.col("text")), 4),
-        "is_table_chunk": F.coalesce(F.try_divide(F.size(bars), F.nullif(F.size(own), F.lit(0))) >= 0.4, F.lit(False)),
+        "is_table_chunk": is_table_chunk(F.col("text")),
     })

@@ -165,14 +165,14 @@ def _cos(a: str, b: str) -> str:
 
 _STRIP = lambda a: f"list_transform({a}, lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g')))"
 _RAW = """(text || ' [Source ' || (turn % 7 + 1)::VARCHAR || '] may  [source  ' || (turn % 3 + 1)::VARCHAR || '] [Source ' || (turn + 4)::VARCHAR || ']')"""
-RAW = f"raw AS (SELECT conv_id * 1000 + turn AS query_id, {_RAW} AS raw_answer FROM conversations WHERE role = 'assistant')"
+RAW = f"said AS (SELECT conv_id * 1000 + turn AS query_id, {_RAW} AS raw_answer FROM conversations WHERE role = 'assistant')"
 _CITED = "list_transform(regexp_extract_all(raw_answer, '(?i)\\[Source\\s+(\\d+)\\]', 1), lambda n: n::INTEGER)"
 _CLEAN = "trim(regexp_replace(list_reduce(list_transform(list_distinct(bad), lambda n: n::VARCHAR), lambda s, n: regexp_replace(s, '(?i)\\[Source\\s+' || n || '\\]', '', 'g'), raw_answer), '  +', ' ', 'g'))"
-CHECKED = f"""cit AS (SELECT *, {_CITED} AS cited FROM raw),
+CHECKED = f"""cit AS (SELECT *, {_CITED} AS cited FROM said),
 val AS (SELECT *, list_filter(cited, lambda n: n NOT BETWEEN 1 AND 5) AS bad, list_sort(list_distinct(list_filter(cited, lambda n: n BETWEEN 1 AND 5))) AS good FROM cit),
 chkd AS (SELECT *, {_CLEAN} AS answer FROM val)"""
 ANSWERED = f"""{RERANK}, res AS (SELECT * FROM rr WHERE rank <= 5),
-raw AS (SELECT item_id AS query_id, text AS query, 'It may be so [Source 2] [Source ' || (item_id % 6)::VARCHAR || '] ' || text AS raw_answer FROM benchmark WHERE item_id < 10),
+said AS (SELECT item_id AS query_id, text AS query, 'It may be so [Source 2] [Source ' || (item_id % 6)::VARCHAR || '] ' || text AS raw_answer FROM benchmark WHERE item_id < 10),
 {CHECKED}"""
 
 _fmt = lambda v: f"""CASE WHEN abs({v}) >= 1e9 THEN '$' || printf('%.2f', {v} / 1e9) || 'B' WHEN abs({v}) >= 1e6 THEN '$' || printf('%.0f', {v} / 1e6) || 'M'
@@ -180,6 +180,8 @@ _fmt = lambda v: f"""CASE WHEN abs({v}) >= 1e9 THEN '$' || printf('%.2f', {v} /
 _SIC = "[" + ", ".join(map(_q, [*X.SECTORS, "3571"])) + ", NULL]"
 _TITLED = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
 
+_TABLE = f"coalesce(len(list_filter({_lines('text')}, lambda l: contains(l, '|')))::DOUBLE / nullif(len({_lines('text')}), 0) >= 0.4, false)"
+
 ORACLE_SQL: dict[str, str] = {
     "text_tokenise": f"SELECT doc_id, array_to_string({_tokenise('text')}, ' ') AS terms FROM documents",
     "text_token_count": f"SELECT doc_id, {_count('text')}::INTEGER AS tokens, array_to_string(list_slice(regexp_extract_all(text, '\\s*\\S+'), 1, 20), '') AS head FROM documents",
@@ -276,11 +278,11 @@ SELECT doc_id, CASE WHEN len(rws) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('rw
 SELECT doc_id, section_type, {_BOUND('CASE section_type ' + ' '.join(f"WHEN '{t}' THEN " + ' + '.join(f'{m} * {w}::DOUBLE' for m, w in ws.items()) for t, ws in chunk_quality.WEIGHTS.items()) + ' END')} AS total FROM m""",
     "candidate_strategies": f"""WITH {SIG} SELECT doc_id, 'recursive_600,recursive_1100' || CASE WHEN section_type IN ('financial_table', 'mixed') OR table_density >= 0.1 THEN ',table_aware' ELSE '' END || CASE WHEN token_count >= 300 THEN ',llm_regex' ELSE '' END AS strategies FROM typed""",
     "context_assemble": f"""WITH {RERANK}, c AS (SELECT rr.*, {_ITEM.replace('doc_id', 'pos')} AS item_number FROM rr WHERE rank <= 5)
-SELECT query_id, chr(10) || chr(10) || string_agg('[SOURCE ' || rank::VARCHAR || '] ' || source || ' | 10-K FY' || (2020 + pos % 5)::VARCHAR || ' | Item ' || item_number || ' — ' || {_TITLE} || chr(10) || '[TEXT]' || chr(10) || trim(text), chr(10) || chr(10) || repeat('—', 60) || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) AS context, count(*)::INTEGER AS n_sources
+SELECT query_id, chr(10) || chr(10) || string_agg('[SOURCE ' || rank::VARCHAR || '] ' || source || ' | 10-K FY' || (2020 + pos % 5)::VARCHAR || ' | Item ' || item_number || ' — ' || {_TITLE} || chr(10) || CASE WHEN {_TABLE} THEN '[TABLE]' ELSE '[TEXT]' END || chr(10) || trim(text), chr(10) || chr(10) || repeat('—', 60) || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) AS context, count(*)::INTEGER AS n_sources
 FROM c GROUP BY query_id""",
     "prompt_assemble": f"""WITH {QUESTIONS}, t AS (SELECT query_id, query, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comparative' WHEN regexp_matches(query, {_q(X.ANALYTICAL)}) THEN 'analytical' ELSE 'factual' END AS k FROM ask0)
 SELECT query_id, {_case('k', [(k, f'{v} {answers.CITE}') for k, v in answers.PROMPTS.items()])} AS system, 'Context:' || chr(10) || 'none' || chr(10) || 'Question: ' || query AS "user" FROM t""",
-    "citations_extract": f"""WITH {RAW} SELECT query_id, array_to_string(regexp_extract_all(raw_answer, '(?i)\\[Source\\s+(\\d+)\\]', 1), ',') AS cited, len(regexp_extract_all(raw_answer, {_q(X.HEDGES)}))::INTEGER AS hedges FROM raw""",
+    "citations_extract": f"""WITH {RAW} SELECT query_id, array_to_string(regexp_extract_all(raw_answer, '(?i)\\[Source\\s+(\\d+)\\]', 1), ',') AS cited, len(regexp_extract_all(raw_answer, {_q(X.HEDGES)}))::INTEGER AS hedges FROM said""",
     "citations_validate": f"WITH {RAW}, {CHECKED} SELECT query_id, answer, array_to_string(good, ',') AS sources_cited, array_to_string(bad, ',') AS invalid_citations FROM chkd",
     "source_citations": f"""WITH {ANSWERED} SELECT res.query_id, res.rank AS source_num, res.pos, upper(source) AS ticker, (2020 + res.pos % 5)::INTEGER AS fiscal_year, {_ITEM.replace('doc_id', 'res.pos')} AS item_number, ce_score, left(res.text, 200) AS text_preview
 FROM res JOIN chkd USING (query_id) WHERE list_contains(good, res.rank::INTEGER)""",

@@ -246,7 +246,7 @@ def hybrid_retrieve(spark, d):
 
 def _results(spark, d):
     asked, found = _hybrid(spark, d)
-    return found.join(asked.select("query_id", "query"), "query_id").join(_chunks(spark, d), "pos")
+    return found.join(asked.select("query_id", "query"), "query_id").join(_chunks(spark, d), "pos").withColumn("is_table_chunk", chunking.is_table_chunk(F.col("text")))
 
 
 def _reranked(spark, d):
