@@ -24,9 +24,9 @@ CHUNK = (
 )
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects or arrays of objects; a broken record becomes nulls and its text in _corrupt_record."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files of one object or one array of objects, or of an object a line; a broken record becomes nulls and its text in _corrupt_record."""
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
@@ -35,9 +35,9 @@ def read_filings(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({"ticker": X.normal_ticker(F.col("ticker")), "cik": X.normal_cik(F.col("cik")), "accession_no": X.dashed_accession(F.col("accession_no")), "filing_date": F.to_date(F.left("filing_date", F.lit(10))), "sector": sector})
 
 
-def read_sections(spark: SparkSession, path: str) -> DataFrame:
+def read_sections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Sections with text; the filing's fields stand beside the section's."""
-    return read_json(spark, path, SECTION).filter(F.trim("text") != "").select("section_id", "item_number", "item_title", "section_type", F.trim("text").alias("text"), "tables", "source_url", "signals", "metadata.*")
+    return read_json(spark, path, SECTION, lines).filter(F.trim("text") != "").select("section_id", "item_number", "item_title", "section_type", F.trim("text").alias("text"), "tables", "source_url", "signals", "metadata.*")
 
 
 def write_sections(sections: DataFrame, path: str) -> None:
