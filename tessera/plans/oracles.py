@@ -204,7 +204,7 @@ SELECT doc_id, len(f)::INTEGER AS n, array_to_string(f, '#') AS tables FROM f"""
     "label_clean": f"""WITH r AS (SELECT p_partkey, 'us_' || replace({_TITLED('lower(p_type)')}, ' ', '') || '_' || p_size::VARCHAR AS raw FROM part),
 c AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^[a-zA-Z]+[-_]', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[-_\\s]+', ' ', 'g')) AS x FROM r)
 SELECT p_partkey, {_TITLED('x')} AS label FROM c""",
-    "number_format": f"""WITH v AS (SELECT o_orderkey, o_totalprice * [1.000123::DOUBLE, 1000.0717, 999983.0, 1e-6, -1.7e-2][o_orderkey % 5 + 1] AS v FROM orders)
+    "number_format": f"""WITH v AS (SELECT o_orderkey, o_totalprice * [1.000123::DOUBLE, 1000.0717, 999983.0, 1.0000717e-6, -1.70031e-2][o_orderkey % 5 + 1] AS v FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '—' WHEN o_orderkey % 13 = 0 THEN 'n/a' ELSE {_fmt('v')} END AS shown FROM v""",
     "sector_lookup": f"SELECT s_suppkey, {_SIC}[s_suppkey % 12 + 1] AS sic, CASE WHEN {_SIC}[s_suppkey % 12 + 1] IS NOT NULL THEN {_case(_SIC + '[s_suppkey % 12 + 1]', X.SECTORS.items(), _q('Other'))} END AS sector FROM supplier",
     "filing_pick": """WITH o AS (SELECT o_custkey::VARCHAR AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS p, lpad(o_orderkey::VARCHAR, 18, '0') AS a FROM orders),
