@@ -16,13 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import _WORD as WORD_PATTERN
-from .runtime import ascii_lower
+from .runtime import lower_words
 
 #: Bytes of text in a batch, on average.
-BATCH_TEXT = 12 << 20
+BATCH_TEXT = 4 << 20
 #: Words whose hash a worker remembers.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 KEY_BITS = 48
 
 REQUEST = "part int, batch int, lo binary, hi binary, n binary"
@@ -30,7 +29,7 @@ ANSWER = "batch int, part int, n binary, keys long, total long"
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > KNOWN_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -43,7 +42,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word of the text, A-Z lower-cased."""
-    found = WORD_PATTERN.findall(ascii_lower(text)) if text else []
+    found = lower_words(text)
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
@@ -65,6 +64,14 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    h = np.sort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def batch_count(docs: DataFrame, text_col: str = "text") -> int:
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     return max(1, -(-total // BATCH_TEXT))

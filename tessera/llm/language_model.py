@@ -52,13 +52,24 @@ def _bigrams(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return context, mixed(mixed(context) + tokens) & _48
 
 
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place among them of every key."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return own[new], at
+
+
 def _asked(table: pa.Table):
     """A batch's keys and counts: what `ask` sends and the later passes look up, in the same order."""
     tokens, at = _tokens(table["text"])
     context, pair = _bigrams(tokens, at)
     train = np.repeat(np.array(table["fold"].to_pylist()) != HELD_OUT, np.diff(at))
-    words, word_at = np.unique(np.concatenate([tokens, [BEGIN]]), return_inverse=True)
-    pairs, pair_at = np.unique(pair, return_inverse=True)
+    words, word_at = _places(np.concatenate([tokens, [BEGIN]]))
+    pairs, pair_at = _places(pair)
     return tokens, at, context, train, words, word_at[:-1], pairs, pair_at
 
 

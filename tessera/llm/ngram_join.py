@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import answered, answers, batch_count, batch_of, mixed, request_table, requests, runs, word_hashes
+from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, request_table, requests, runs, word_hashes
 from .graph import components
 from .runtime import partitions, staged
 
@@ -38,13 +38,14 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of the rows of a block.
 BLOCK_SHINGLES = 1_500_000
-_48 = np.uint64((1 << 48) - 1)
+#: Columns are counted by the first KEY_BITS of their hash; two that share them are at worst taken for more frequent.
+_SHORT = np.uint64(64 - KEY_BITS)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes."""
     h = word_hashes(text)
-    return np.unique(runs(h, min(SHINGLE, len(h)))) if len(h) else h
+    return distinct(runs(h, min(SHINGLE, len(h)))) if len(h) else h
 
 
 def needed(n: int) -> int:
@@ -71,19 +72,26 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
         sets = _sets(table, set(own["doc_id"].to_pylist())) if table.num_rows else {}
         if not sets:
             return request_table([])
-        # the hashes' columns, counted once a document
-        keys, n = np.unique(np.concatenate([np.unique(mixed(s) & _48) for s in sets.values()]), return_counts=True)
-        return request_table(requests(batch[0].as_py(), keys, n, parts))
+        keys = np.sort(np.concatenate([s >> _SHORT for s in sets.values()]))
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return request_table(requests(batch[0].as_py(), keys[at], np.diff(at, append=len(keys)), parts))
 
     def rows(batch: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if table.num_rows and told.num_rows:
             first = {d for x in told["firsts"].to_pylist() if x for d in x}
             sets = _sets(table, first)
-            keys = np.unique(np.concatenate([mixed(s) & _48 for s in sets.values()])) if sets else []
+            # every row's columns get the counts of the batch's sorted distinct columns
+            every = np.concatenate([s >> _SHORT for s in sets.values()]) if sets else np.zeros(0, np.uint64)
+            order = np.argsort(every, kind="stable")
+            new = np.zeros(len(every), np.int64)
+            new[1:] = every[order][1:] != every[order][:-1]
             df = answered(told.filter(pc.is_valid(told["part"])), 0, parts, "u1")
+            often = np.zeros(len(every), bool)
+            often[order] = df[np.cumsum(new)] > 1 if len(every) else False
+            at = 0
             for d, s in sets.items():
-                shared = df[np.searchsorted(keys, mixed(s) & _48)] > 1 if len(s) else np.zeros(0, bool)
+                shared, at = often[at : at + len(s)], at + len(s)
                 slack = len(s) - needed(len(s)) - int(len(s) - shared.sum())
                 if len(s) and slack >= 0:
                     out.append((d, len(s), s.astype("<u8").tobytes(), s[shared][: slack + 1].astype(np.int64).tolist()))

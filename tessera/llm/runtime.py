@@ -14,12 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def ascii_lower(text: str) -> str:
-    """A-Z lower-cased and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+def lower_words(text: str | None) -> list[bytes]:
+    """The words in UTF-8, A-Z lower-cased and nothing else; bytes are split at ASCII white space alone."""
+    return text.encode().translate(_LOWER).split() if text else []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
