@@ -227,3 +227,19 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
         kept = kept.filter(F.col(id_).isNotNull()).dropDuplicates([id_]).union(kept.filter(F.col(id_).isNull()))
     return kept.toDF(*own)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, text, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (SELECT doc_id, text, list_distinct(list_transform(range(greatest(len(w) - 4, least(len(w), 1))), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))) AS s FROM w),
+sh AS (SELECT doc_id, unnest(s) AS x FROM s),
+often AS (SELECT x FROM sh GROUP BY x HAVING count(*) > 1),
+few AS (SELECT sh.doc_id, sh.x FROM sh JOIN often USING (x)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM few a JOIN few b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b, s1.text AS ta, s2.text AS tb FROM pairs JOIN s s1 ON s1.doc_id = a JOIN s s2 ON s2.doc_id = b WHERE 100 * n >= 80 * (len(s1.s) + len(s2.s) - n)),
+e AS (SELECT a, b, ta, tb FROM link UNION ALL SELECT b, a, tb, ta FROM link),
+r AS (SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.c)
+SELECT s.doc_id, len(s.s) AS n_shingles, (SELECT min(c) FROM r WHERE d = s.doc_id) AS component_id, (SELECT count(DISTINCT tb) FROM e WHERE e.a = s.doc_id AND ta <> tb) AS n_links FROM s
+"""

@@ -58,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_rules": url_rules.ORACLE_SQL,
+    "op6_ngram_join": ngram_join.ORACLE_SQL,
     "op8_preferences": preferences.ORACLE_SQL,
 }
