@@ -22,8 +22,9 @@ FILTERS = ("ticker", "fiscal_year", "item_number", "section_type", "is_table_chu
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than that many rows, counted first."""
-    return F.broadcast(df) if len(df.limit(rows + 1).take(rows + 1)) <= rows else df
+    """df with a broadcast hint if it has no more than that many rows, counted first and kept for its use."""
+    df = df.persist()
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def filter_column(filters: dict) -> Column:
@@ -55,7 +56,8 @@ class LexicalIndex:
 def build_lexical(docs: DataFrame, pos: str = "doc_id", text: str = "text") -> LexicalIndex:
     terms = docs.select(F.col(pos).alias("pos"), X.tokenise(F.col(text)).alias("terms"))
     each = terms.select("pos", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    postings = each.groupBy("term", "pos").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # postings are read several times; save_lexical makes them a table for good
+    postings = each.groupBy("term", "pos").agg(F.count("*").alias("tf"), F.first("len").alias("len")).persist()
     n, mean = terms.agg(F.count("*"), F.avg(F.size("terms"))).first()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
