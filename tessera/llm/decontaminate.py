@@ -114,7 +114,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     # equal windows are fingerprinted and compared once
     once = staged(windows.groupBy("w", "w2").agg(F.first("shingles").alias("shingles")).withColumn("fingerprint", simhash(F.col("shingles"))), "fingerprints")
 
-    index = hamming_index(items.select(F.col("item").alias("item_id"), F.col("fingerprint").alias("of"), "fingerprint")).drop("fingerprint")
+    # the index is hundreds of times what its items' size suggests: it is joined by shuffle, never broadcast
+    index = hamming_index(items.select(F.col("item").alias("item_id"), F.col("fingerprint").alias("of"), "fingerprint")).drop("fingerprint").hint("merge")
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fingerprint"), k).alias("value")) for k in range(64 // BLOCK_BITS)))
     near = once.select("w", "w2", "fingerprint", F.inline(blocks)).join(index, ["block", "value"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of"))) <= RADIUS)
     pairs = near.select("w", "w2", "item_id").distinct()
