@@ -2,7 +2,9 @@
 
 References are learned from the whole corpus: for each language the share of every character class and of
 its most common words (all other words are one bin). A document is held against its language's reference
-by the Jensen-Shannon distance (base 2, so from 0 to 1) of both histograms. Short documents are judged by
+by the Jensen-Shannon distance (base 2, so from 0 to 1) of both histograms. Copies and near copies of one
+text together weigh no more in a reference than the longest of them or MAX_SHARE of the language's distinct
+text, whichever is more; they are known by SKETCHES smallest hashes of their stretches. Short documents are judged by
 the base rules alone: a histogram of few characters or words diverges by chance (MIN_CHARS, MIN_WORDS).
 Languages with fewer than MIN_REFERENCE words, null among them, use the mixture of all references; without any
 reference the base rules decide.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import WORD
+from .runtime import WORD, staged
 
 _WORD = re.compile(WORD)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,6 +41,12 @@ MIN_REFERENCE = 2_000
 MIN_CHARS, MIN_WORDS = 200, 60
 #: Largest distances: a constant, and what chance adds to a histogram of n, as 1 / sqrt(n).
 MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = (0.17, 2.0), (0.20, 2.7)
+#: What a group of copies may weigh in a reference, as a share of the language's characters with each group once.
+MAX_SHARE = 0.01
+#: Smallest hashes by which near copies are known, and the bytes (white space apart) of the stretches hashed.
+SKETCHES, STRETCH = 4, 24
+#: Bytes hashed at a time, and groups of copies up to which their weights are broadcast.
+SKETCH_BLOCK, BROADCAST_GROUPS = 1 << 16, 100_000
 #: Distinct words that a task counts before it passes them on.
 FLUSH_WORDS = 300_000
 WINDOW = 8
@@ -137,36 +145,90 @@ class References:
         return self.by_lang.get(lang, self.default)
 
 
+_ODD = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_ODD, k, 1 << 64) for k in range(SKETCH_BLOCK + STRETCH)], np.uint64)
+_INVERSE = np.array([pow(pow(_ODD, -1, 1 << 64), k, 1 << 64) for k in range(SKETCH_BLOCK)], np.uint64)
+
+
+def sketch(text: str) -> list[int]:
+    """The smallest hash of the text's stretches for each of SKETCHES hashes: near copies share most of them."""
+    data = np.frombuffer(text.lower().encode().translate(None, b" \t\n\x0b\x0c\r").ljust(STRETCH, b"\0"), np.uint8)
+    best = [(1 << 64) - 1] * SKETCHES
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data) - STRETCH + 1, SKETCH_BLOCK):
+            part = data[at : at + SKETCH_BLOCK + STRETCH - 1].astype(np.uint64) + np.uint64(1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _POWERS[: len(part)], dtype=np.uint64)])
+            h = (sums[STRETCH:] - sums[:-STRETCH]) * _INVERSE[: len(sums) - STRETCH]
+            h ^= h >> np.uint64(32)
+            for k in range(SKETCHES):
+                mixed = h * _MIX[k]
+                mixed ^= mixed >> np.uint64(29)
+                best[k] = min(best[k], int((mixed * _SPREAD).min()))
+    return best
+
+
+def _sketched(docs: DataFrame, text: bool) -> DataFrame:
+    """(text, lang, chars, keys) of documents with a text: a key for each sketch, apart by language and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py()) for t in batch.column(0)]
+            found = pa.array([np.array(x, np.uint64).view(np.int64).tolist() for x in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[0 if text else 1 :], found], [*batch.schema.names[0 if text else 1 :], "sketches"])
+
+    known = docs.filter("text <> ''").select("text", "lang", F.length("text").cast("long").alias("chars"))
+    out = known.mapInArrow(run, ("text string, " if text else "") + "lang string, chars long, sketches array<long>")
+    keys = F.array(*(F.xxhash64("lang", F.lit(k), F.col("sketches")[k]) for k in range(SKETCHES)))
+    return out.select(*(["text"] if text else []), "lang", "chars", keys.alias("keys"))
+
+
+def weighted(docs: DataFrame) -> DataFrame:
+    """(text, lang, weight) of documents with a text; weight is under 1 in a group of copies above its bound."""
+    each = _sketched(docs, False).select(F.posexplode("keys").alias("k", "key"), "lang", "chars").select(F.xxhash64("lang", "k").alias("whose"), "key", "chars")
+    groups = staged(each.groupBy("whose", "key").agg(F.sum("chars").alias("chars"), F.max("chars").alias("longest")), "op4-groups")
+    whole = groups.groupBy("whose").agg(F.sum("longest").alias("whole"))
+    bound = F.greatest("longest", F.floor(MAX_SHARE * F.col("whole")))
+    heavy = staged(groups.filter("chars > longest").join(whole, "whose").filter(F.col("chars") > bound).select("key", (bound / F.col("chars")).alias("weight")), "op4-heavy")
+    n = heavy.count()
+    if not n:
+        return docs.filter("text <> ''").select("text", "lang", F.lit(1.0).alias("weight"))
+    out = _sketched(docs, True)
+    for k in range(SKETCHES):
+        own = heavy.select(F.col("key").alias(f"key{k}"), F.col("weight").alias(f"weight{k}"))
+        out = out.withColumn(f"key{k}", F.col("keys")[k]).join(F.broadcast(own) if n <= BROADCAST_GROUPS else own, f"key{k}", "left")
+    return out.select("text", "lang", F.least(F.lit(1.0), *(f"weight{k}" for k in range(SKETCHES))).alias("weight"))
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, kind, key, n): characters by class and words, summed over all documents."""
+    """(lang, kind, key, n): characters by class and words of (text, lang, weight), summed by weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, tuple[np.ndarray, Counter]] = {}
+        held: dict[tuple[str | None, float], tuple[np.ndarray, Counter]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, (chars, words) in held.items():
-                keys, n = [*CLASSES, TOTAL, *words], [*chars.tolist(), words.total(), *words.values()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k <= len(CLASSES) for k in range(len(keys))]), pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["lang", "chars", "key", "n"])
+            for (lang, weight), (chars, words) in held.items():
+                keys, n = [*CLASSES, TOTAL, *words], [weight * x for x in (*chars.tolist(), words.total(), *words.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k <= len(CLASSES) for k in range(len(keys))]), pa.array(keys, pa.string()), pa.array(n, pa.float64())], ["lang", "chars", "key", "n"])
             held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(0)):
+            for text, whose in zip(batch.column(0), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if text := text.as_py():
-                    if lang not in held:
-                        held[lang] = np.zeros(len(CLASSES), np.int64), Counter()
-                    held[lang][0][:] += char_classes(text)
-                    held[lang][1].update(_LETTERS.findall(text.lower()))
+                    if whose not in held:
+                        held[whose] = np.zeros(len(CLASSES), np.int64), Counter()
+                    held[whose][0][:] += char_classes(text)
+                    held[whose][1].update(_LETTERS.findall(text.lower()))
             if sum(len(w) for _, w in held.values()) > FLUSH_WORDS:
                 yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(run, "lang string, chars boolean, key string, n long").groupBy("lang", "chars", "key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, chars boolean, key string, n double").groupBy("lang", "chars", "key").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
     """At most common_words + 10 rows a language come to the driver, for at most LANGUAGES languages."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = _counts(docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang")))
+    found = _counts(weighted(docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"))))
     best = W.partitionBy("lang", "chars").orderBy(F.desc("n"), "key")
     top = found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= max(common_words, len(CLASSES) + 1))
     words_of = F.max(F.when(F.col("chars") & (F.col("key") == TOTAL), F.col("n"))).alias("total")
@@ -176,9 +238,9 @@ def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
         langs[r["lang"]], rows[r["lang"]] = r["total"], [x for x in r["rows"] if x["key"] != TOTAL or not x["chars"]]
     if not langs:
         return out
-    everywhere, chars = Counter(), np.zeros(len(CLASSES), np.int64)
+    everywhere, chars = Counter(), np.zeros(len(CLASSES))
     for name, n in langs.items():
-        c = np.zeros(len(CLASSES), np.int64)
+        c = np.zeros(len(CLASSES))
         words = sorted(((r["key"], r["n"]) for r in rows[name] if not r["chars"]), key=lambda x: (-x[1], x[0]))[:common_words]
         for r in rows[name]:
             if r["chars"]:

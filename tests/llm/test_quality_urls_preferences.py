@@ -64,6 +64,22 @@ def test_reference_is_the_corpus(spark):
     assert refs.by_lang["en"].chars.sum() == sum(len(r.text or "") for r in docs.filter("lang = 'en'").collect())
 
 
+def test_copies_do_not_shift_a_reference(spark):
+    rng = random.Random(6)
+    good = [(k, prose(rng, 150), "en") for k in range(200)]
+    odd = " ".join("".join(rng.choice("bcdfghjk") for _ in range(6)) for _ in range(40))
+    one = (odd + ". ") * 6
+    near = [" ".join("near" + str(k) if j in (k % 200, 7 * k % 200) else w for j, w in enumerate(one.split())) for k in range(100)]
+    for copies in ([one] * 100, near):
+        docs = spark.createDataFrame([*good, *((1000 + k, t, "en") for k, t in enumerate(copies))], "doc_id long, text string, lang string")
+        kept = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
+        assert set(range(200)) <= kept
+        # one copy, or a hundredth of the language, is all that the third of the rows adds
+        words = quality.learn(docs).by_lang["en"].counts.sum()
+        assert words < 200 * 150 + 20 * 240
+    assert quality.sketch(one) == quality.sketch(one.upper().replace(" ", "\n")) and len(set(quality.sketch("")) & set(quality.sketch("a"))) == 0
+
+
 def test_distance():
     import numpy as np
 
