@@ -6,8 +6,8 @@ by the Jensen-Shannon distance (base 2, so from 0 to 1) of both histograms. Copi
 text together weigh no more in a reference than the longest of them or MAX_SHARE of the language's distinct
 text, whichever is more; they are known by SKETCHES smallest hashes of their stretches. Short documents are judged by
 the base rules alone: a histogram of few characters or words diverges by chance (MIN_CHARS, MIN_WORDS).
-Languages with fewer than MIN_REFERENCE words, null among them, use the mixture of all references; without any
-reference the base rules decide.
+Languages with fewer than MIN_REFERENCE words, null among them, have no reference and are judged by the base rules
+alone too. The references of the LANGUAGES largest go to the tasks as they are, those of all others by a join.
 
 Null and empty texts have no words and fail the base rules. Equal rows get equal verdicts. An empty table
 gives no rows. Columns other than doc_id, text and lang are ignored; a missing lang column counts as null.
@@ -18,12 +18,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "punctuation", "symbol", "other")
 #: Stands for the number of words among the classes of characters.
 TOTAL = "words"
-#: Words of a language's histogram, and languages with a reference of their own.
+#: Words of a language's histogram, and languages whose references come to the driver; the others' are joined.
 COMMON_WORDS, LANGUAGES = 100, 512
 MIN_REFERENCE = 2_000
 MIN_CHARS, MIN_WORDS = 200, 60
@@ -139,10 +139,8 @@ class Reference:
 @dataclass
 class References:
     by_lang: dict[str | None, Reference] = field(default_factory=dict)
-    default: Reference | None = None
-
-    def of(self, lang: str | None) -> Reference | None:
-        return self.by_lang.get(lang, self.default)
+    #: (lang, total, rows) of the languages that are not in by_lang; None if there are none.
+    others: DataFrame | None = None
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -225,31 +223,34 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, chars boolean, key string, n double").groupBy("lang", "chars", "key").agg(F.sum("n").alias("n"))
 
 
+def _reference(total: float, rows: list, common_words: int) -> Reference:
+    """Of the counts of a language, rows of (chars, key, n)."""
+    chars = np.zeros(len(CLASSES))
+    for r in rows:
+        if r["chars"] and r["key"] != TOTAL:
+            chars[CLASSES.index(r["key"])] = r["n"]
+    words = sorted(((r["key"], r["n"]) for r in rows if not r["chars"]), key=lambda x: (-x[1], x[0]))[:common_words]
+    return Reference(chars, {w: k for k, (w, _) in enumerate(words)}, np.array([*(m for _, m in words), total - sum(m for _, m in words)]))
+
+
+def _among(column: str, langs: Iterable[str | None]) -> Column:
+    """Whether the language is one of langs, null among them or not."""
+    known = F.coalesce(F.col(column).isin([x for x in langs if x is not None]), F.lit(False))
+    return known | F.col(column).isNull() if None in langs else known
+
+
 def learn(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
-    """At most common_words + 10 rows a language come to the driver, for at most LANGUAGES languages."""
+    """At most common_words + 10 rows a language come to the driver, for at most LANGUAGES languages; the rest stay a table."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     found = _counts(weighted(docs.select(F.col("text").cast("string").alias("text"), lang.alias("lang"))))
     best = W.partitionBy("lang", "chars").orderBy(F.desc("n"), "key")
     top = found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= max(common_words, len(CLASSES) + 1))
     words_of = F.max(F.when(F.col("chars") & (F.col("key") == TOTAL), F.col("n"))).alias("total")
-    each = top.groupBy("lang").agg(words_of, F.collect_list(F.struct("chars", "key", "n")).alias("rows")).filter(F.col("total") >= MIN_REFERENCE)
-    langs, rows, out = {}, {}, References()
-    for r in each.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect():
-        langs[r["lang"]], rows[r["lang"]] = r["total"], [x for x in r["rows"] if x["key"] != TOTAL or not x["chars"]]
-    if not langs:
-        return out
-    everywhere, chars = Counter(), np.zeros(len(CLASSES))
-    for name, n in langs.items():
-        c = np.zeros(len(CLASSES))
-        words = sorted(((r["key"], r["n"]) for r in rows[name] if not r["chars"]), key=lambda x: (-x[1], x[0]))[:common_words]
-        for r in rows[name]:
-            if r["chars"]:
-                c[CLASSES.index(r["key"])] = r["n"]
-        out.by_lang[name] = Reference(c, {w: k for k, (w, _) in enumerate(words)}, np.array([*(m for _, m in words), n - sum(m for _, m in words)]))
-        everywhere.update(dict(words))
-        chars += c
-    words = sorted(everywhere.items(), key=lambda x: (-x[1], x[0]))[:common_words]
-    out.default = Reference(chars, {w: k for k, (w, _) in enumerate(words)}, np.array([*(m for _, m in words), sum(langs.values()) - sum(m for _, m in words)]))
+    each = staged(top.groupBy("lang").agg(words_of, F.collect_list(F.struct("chars", "key", "n")).alias("rows")).filter(F.col("total") >= MIN_REFERENCE), "op4-references")
+    out = References({r["lang"]: _reference(r["total"], r["rows"], common_words) for r in each.orderBy(F.desc("total"), "lang").limit(LANGUAGES).collect()})
+    if len(out.by_lang) == LANGUAGES:
+        others = each.filter(~_among("lang", out.by_lang))
+        out.others = None if others.isEmpty() else others.withColumn("common", F.lit(common_words))
     return out
 
 
@@ -287,18 +288,41 @@ def measure(text: str | None, ref: Reference | None) -> tuple:
 def judge(docs: DataFrame, refs: References, carry: list[str]) -> DataFrame:
     """The columns named in carry, then those of JUDGED, one row a document."""
 
+    by_lang, kinds = refs.by_lang, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+
+    def measured(batch: pa.RecordBatch, found: list[Reference | None], at: int) -> pa.RecordBatch:
+        rows = [measure(t.as_py(), ref) for t, ref in zip(batch.column(0), found)]
+        cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([*batch.columns[at:], *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         for batch in batches:
-            rows = [measure(t.as_py(), refs.of(x)) for t, x in zip(batch.column(0), batch.column(1).to_pylist())]
-            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+            yield measured(batch, [by_lang.get(x) for x in batch.column(1).to_pylist()], 2)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, Reference | None] = {}
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            for k, lang in enumerate(langs):
+                if lang not in held:
+                    ref = batch.column(2)[k].as_py()
+                    held[lang] = _reference(ref["total"], ref["rows"], ref["common"]) if ref else None
+            yield measured(batch, [held[x] for x in langs], 3)
+            if len(held) > LANGUAGES:
+                held.clear()
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     out = [x.strip().split(" ")[0] for x in JUDGED.split(",")]
     names = [*(f"c{k}" for k in range(len(carry))), *out]
     schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)), JUDGED])
-    made = docs.select(F.col("text").cast("string"), lang, *(F.col(c) for c in carry)).mapInArrow(run, schema)
+    view = docs.select(F.col("text").cast("string").alias("of_text"), lang.alias("of_lang"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))
+    if refs.others is None:
+        made = view.mapInArrow(run, schema)
+    else:
+        own = refs.others.select(F.col("lang").alias("ref_lang"), F.struct("total", "rows", "common").alias("ref"))
+        held_here = _among("of_lang", by_lang)
+        joined = view.filter(~held_here).join(own, F.col("of_lang").eqNullSafe(F.col("ref_lang")), "left").select("of_text", "of_lang", "ref", *names[: len(carry)])
+        made = view.filter(held_here).mapInArrow(run, schema).unionAll(joined.mapInArrow(run_joined, schema))
     return made.withColumnsRenamed({f"c{k}": c for k, c in enumerate(carry) if c not in out})
 
 

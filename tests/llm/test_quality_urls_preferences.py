@@ -80,6 +80,24 @@ def test_copies_do_not_shift_a_reference(spark):
     assert quality.sketch(one) == quality.sketch(one.upper().replace(" ", "\n")) and len(set(quality.sketch("")) & set(quality.sketch("a"))) == 0
 
 
+def test_only_a_language_of_its_own_judges(spark, monkeypatch):
+    rng = random.Random(9)
+    foreign = lambda n: " ".join("".join(rng.choice(["ÞA", "ÐI", "ÆU"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(k, prose(rng, 120), "en") for k in range(60)] + [(100 + k, foreign(120), "is") for k in range(40)] + [(200 + k, foreign(120), "fo") for k in range(3)] + [(300 + k, prose(rng, 120), None) for k in range(30)]
+    rows += [(400, foreign(120), "en"), (401, prose(rng, 120), "is"), (402, foreign(120), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(quality.quality(docs).collect(), key=lambda r: r.doc_id)
+    # "fo" has under 2,000 words: the base rules alone
+    assert {r.doc_id for r in whole if not r.kept} == {400, 401, 402}
+    assert all((r.js_words is None) == (200 <= r.doc_id < 300) for r in whole)
+    for n in (1, 2):
+        monkeypatch.setattr(quality, "LANGUAGES", n)
+        refs = quality.learn(docs)
+        assert len(refs.by_lang) == n and refs.others.count() == 3 - n
+        assert sorted(quality.quality(docs).collect(), key=lambda r: r.doc_id) == whole
+        assert quality.keep_good(docs).count() == len(rows) - 3
+
+
 def test_distance():
     import numpy as np
 
