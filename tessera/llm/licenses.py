@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
 Text is cut into blocks: paragraphs, or single lines where a paragraph is long. Blocks with a word that
-licences use are candidates. Each candidate is compressed alone and again with every template as a
-zstandard raw dictionary; the templates that shrink it most, against what they shrink of unrelated text,
-are ranked, and the best few are confirmed by their exact wording: words of template and block are
-aligned, and the share of the template's words that the block has, in order, must reach MIN_WORDING. The
-words on which they differ are reported. Templates are short notices, so a block may also hold one
+licences use are candidates. Every template of which a candidate has enough words, in any order, is
+confirmed by its exact wording: words of template and block are aligned, and the share of the template's
+words that the block has, in order, must reach MIN_WORDING; so no template that reaches it is left out.
+The words on which they differ are reported, and what the template as a zstandard raw dictionary saves of
+the block, compressed with and without it. Templates are short notices, so a block may also hold one
 within other text.
 
 One row a licence in a block, with the place of its wording in the text (characters). Null and empty texts
@@ -16,6 +16,7 @@ the template's name. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -52,9 +53,6 @@ TEMPLATES = {
 TRIGGERS = ("licens", "licenc", "permission is", "permission to use", "redistribution and use", "public domain", "cc by")
 #: Longer paragraphs are scanned line by line, longer lines in overlapping stretches.
 BLOCK_CHARS, STRETCH = 2_000, 1_000
-#: Templates that are held against the wording, of those ranked by compression.
-RANKED = 4
-MIN_REDUCTION = 0.05
 #: Share of the template's words that a block must have in order, and words a short template may lack.
 MIN_WORDING = 0.9
 
@@ -117,27 +115,29 @@ class Scanner:
 
         self.zstd = zstd
         self.notices = [(name, text, words(text)) for name, texts in sorted(templates.items()) for text in texts]
+        self.bags = [Counter(template) for _, _, template in self.notices]
         plain = zstd.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = plain
         self.dicts = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(text.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, text, _ in self.notices]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Bytes saved by each notice as a dictionary, as a share of the notice's own length; best first."""
+    def saved(self, block: str, notices: list[int]) -> list[float]:
+        """Bytes saved by each of the notices as a dictionary, as a share of the notice's own length."""
         data = block.lower().encode()
-        alone = len(self.plain.compress(data))
-        saved = [((alone - len(c.compress(data))) / len(self.notices[k][1]), k) for k, c in enumerate(self.dicts)]
-        return sorted((x for x in saved if x[0] >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))
+        alone = len(self.plain.compress(data)) if notices else 0
+        return [(alone - len(self.dicts[k].compress(data))) / len(self.notices[k][1]) for k in notices]
+
+    def possible(self, block: list[str]) -> list[int]:
+        """The notices that may reach MIN_WORDING: words in order are never more than words in any order."""
+        has = Counter(block)
+        return [k for k, own in enumerate(self.bags) if sum(min(n, has[w]) for w, n in own.items()) >= MIN_WORDING * len(self.notices[k][2])]
 
     def scan(self, text: str | None) -> list[tuple]:
         out = set()
         for start, block in blocks(text or ""):
             places = [m.span() for m in _WORDS.finditer(block)]
             own, by_name = [block[a:b].lower() for a, b in places], {}
-            ranked = self.ranked(block)
-            for place, (saved, k) in enumerate(ranked):
-                # beyond the best few, only notices that save nearly as much as the best can be meant
-                if place >= RANKED and saved < 0.5 * ranked[0][0]:
-                    break
+            held = self.possible(own)
+            for saved, k in zip(self.saved(block, held), held):
                 name, _, template = self.notices[k]
                 score, share, a, b, diff = wording(template, own)
                 if share >= MIN_WORDING and (name not in by_name or (score, b - a) > by_name[name][:2]):

@@ -181,3 +181,13 @@ def test_every_notice_names_itself():
     for name, texts in licenses.TEMPLATES.items():
         for text in texts:
             assert [r[2] for r in scanner.scan(f"Words before.\n{text}\nwords after")] == [name]
+
+
+def test_every_exact_notice_of_a_block_is_found():
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    notices = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    for _ in range(400):
+        some = rng.sample(notices, rng.randrange(2, 5))
+        block = " ".join(prose(rng, rng.randrange(5, 40)) + " " + text.rstrip(".") + "." for _, text in some)
+        assert {name for name, _ in some} <= {r[2] for r in scanner.scan(block)}
