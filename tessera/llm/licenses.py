@@ -1,6 +1,6 @@
 """License scans by conditional compression.
 
-Text is cut into blocks: paragraphs, or single lines where a paragraph is long. Blocks with a word that
+Text is cut into blocks: paragraphs, or overlapping stretches where a paragraph is long. Blocks with a word that
 licences use are candidates. Every template of which a candidate has enough words, in any order, is
 confirmed by its exact wording: words of template and block are aligned, and the share of the template's
 words that the block has, in order, must reach MIN_WORDING; so no template that reaches it is left out.
@@ -8,7 +8,7 @@ The words on which they differ are reported, and what the template as a zstandar
 the block, compressed with and without it. Templates are short notices, so a block may also hold one
 within other text.
 
-One row a licence in a block, with the place of its wording in the text (characters). Null and empty texts
+One row for each place of a licence, with the place of its wording in the text (characters). Null and empty texts
 and texts without a licence give no rows, so does an empty table; equal rows give equal results; ties rank by
 the template's name. Columns other than doc_id and text are ignored.
 """
@@ -16,6 +16,7 @@ the template's name. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -49,49 +50,50 @@ TEMPLATES = {
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: A candidate block has one of these, in any case.
+#: A candidate block has one of these, in any case; between words may stand line ends and the marks of comments.
 TRIGGERS = ("licens", "licenc", "permission is", "permission to use", "redistribution and use", "public domain", "cc by")
-#: Longer paragraphs are scanned line by line, longer lines in overlapping stretches.
-BLOCK_CHARS, STRETCH = 2_000, 1_000
+#: Longer paragraphs are scanned in stretches of twice STRETCH words that overlap by half, so no notice is cut by all of
+#: them; longer templates have longer stretches.
+BLOCK_CHARS, STRETCH = 2_000, 120
 #: Share of the template's words that a block must have in order, and words a short template may lack.
 MIN_WORDING = 0.9
 
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
-_TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)))
+#: The same in Python and Java, whose \W has letters beyond ASCII too: there it may take more rows, never fewer.
+TRIGGER = "|".join(t.replace(" ", r"\W+") for t in TRIGGERS)
+_TRIGGER = re.compile(TRIGGER)
+_PARAGRAPH = re.compile(r"[^\r\n]+(?:(?:\r\n?|\n)[^\r\n]+)*")
 
 
 def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
+def blocks(text: str, stretch: int = STRETCH) -> Iterator[tuple[int, str]]:
     """Start and text of the candidate blocks; together they cover every trigger."""
-    for paragraph in re.finditer(r"[^\n]+(?:\n[^\n]+)*", text):
+    for paragraph in _PARAGRAPH.finditer(text):
         if not _TRIGGER.search(paragraph[0].lower()):
             continue
         if len(paragraph[0]) <= BLOCK_CHARS:
             yield paragraph.start(), paragraph[0]
             continue
-        for line in re.finditer(r"[^\n]+", paragraph[0]):
-            if not _TRIGGER.search(line[0].lower()):
-                continue
-            at = paragraph.start() + line.start()
-            if len(line[0]) <= BLOCK_CHARS:
-                yield at, line[0]
-            else:
-                for k in range(0, max(1, len(line[0]) - STRETCH), STRETCH):
-                    piece = line[0][k : k + 2 * STRETCH]
-                    if _TRIGGER.search(piece.lower()):
-                        yield at + k, piece
-
-
-def wording(template: list[str], block: list[str]) -> tuple[float, float, int, int, str]:
-    """The best place of the template in the block: the share of its words found there in order, the same share
-    with words added in between counted against it, the place's first and last word, and the differences."""
-    best = (0.0, 0.0, 0, 0, "")
+        starts = [m.start() for k, m in enumerate(_WORDS.finditer(paragraph[0])) if k % stretch == 0]
+        for k in range(max(1, len(starts) - 1)):
+            piece = paragraph[0][starts[k] : starts[k + 2] if k + 2 < len(starts) else None]
+            if _TRIGGER.search(piece.lower()):
+                yield paragraph.start() + starts[k], piece
+
+
+def window_size(template: list[str]) -> int:
+    return len(template) + max(2, len(template) // 5)
+
+
+def wordings(template: list[str], block: list[str]) -> Iterator[tuple[float, float, int, int, str]]:
+    """Places of the template in the block: the share of its words found there in order with words added in between
+    counted against it, the same share without, the place's first and last word, and the differences."""
     first = set(template[:2])
     for s in [i for i, w in enumerate(block) if w in first] or [0]:
-        window = block[s : s + len(template) + max(2, len(template) // 5)]
+        window = block[s : s + window_size(template)]
         m = [x for x in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if x.size]
         if not m:
             continue
@@ -103,10 +105,8 @@ def wording(template: list[str], block: list[str]) -> tuple[float, float, int, i
             if x:
                 adds += [f"+{w}" for w in window[at : x.b]]
                 at = x.b + x.size
-        found = (n / (len(template) + len(adds)), n / len(template), s + m[0].b, s + at, " ".join(lacks + adds))
-        if found[0] > best[0]:
-            best = found
-    return best
+        if n >= MIN_WORDING * len(template):
+            yield n / (len(template) + len(adds)), n / len(template), s + m[0].b, s + at, " ".join(lacks + adds)
 
 
 class Scanner:
@@ -115,6 +115,7 @@ class Scanner:
 
         self.zstd = zstd
         self.notices = [(name, text, words(text)) for name, texts in sorted(templates.items()) for text in texts]
+        self.stretch = max([STRETCH, *(window_size(template) for _, _, template in self.notices)])
         self.bags = [Counter(template) for _, _, template in self.notices]
         plain = zstd.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = plain
@@ -132,26 +133,25 @@ class Scanner:
         return [k for k, own in enumerate(self.bags) if sum(min(n, has[w]) for w, n in own.items()) >= MIN_WORDING * len(self.notices[k][2])]
 
     def scan(self, text: str | None) -> list[tuple]:
-        out = set()
-        for start, block in blocks(text or ""):
+        out: dict[tuple, None] = {}
+        for start, block in blocks(text or "", self.stretch):
             places = [m.span() for m in _WORDS.finditer(block)]
-            own, by_name = [block[a:b].lower() for a, b in places], {}
+            own = [block[a:b].lower() for a, b in places]
             held = self.possible(own)
             for saved, k in zip(self.saved(block, held), held):
                 name, _, template = self.notices[k]
-                score, share, a, b, diff = wording(template, own)
-                if share >= MIN_WORDING and (name not in by_name or (score, b - a) > by_name[name][:2]):
-                    by_name[name] = (score, b - a, a, b, share, saved, diff)
-            taken: set[int] = set()
-            for name, (_, _, a, b, share, saved, diff) in sorted(by_name.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-                if not taken.intersection(range(a, b)):
-                    taken.update(range(a, b))
-                    out.add((start + places[a][0], places[b - 1][1] - places[a][0], name, share, saved, diff))
-        # overlapping stretches of a long line find the same place twice
-        best: dict[tuple[int, str], tuple] = {}
-        for row in sorted(out, key=lambda r: (r[0], r[2], -r[3], -r[4], r[5])):
-            best.setdefault((row[0], row[2]), row)
-        return list(best.values())
+                for score, share, a, b, diff in wordings(template, own):
+                    out[(-score, a - b, name, start + places[a][0], -saved, start + places[b - 1][1], share, diff)] = None
+        # the better of two that overlap, in one block or in overlapping stretches
+        taken: list[tuple[int, int]] = []
+        rows = []
+        for _, _, name, a, saved, b, share, diff in sorted(out):
+            at = bisect(taken, (a, b))
+            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+                continue
+            taken.insert(at, (a, b))
+            rows.append((a, b - a, name, share, -saved, diff))
+        return sorted(rows)
 
 
 _SCANNERS: dict[int, Scanner] = {}
@@ -172,8 +172,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], [x.split(" ")[0] for x in FOUND.split(", ")])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    low = F.lower("text")
-    maybe = F.lit(False)
-    for t in TRIGGERS:
-        maybe = maybe | low.contains(t)
-    return own.filter(maybe).mapInArrow(run, FOUND)
+    return own.filter(F.lower("text").rlike(TRIGGER)).mapInArrow(run, FOUND)

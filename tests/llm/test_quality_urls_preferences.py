@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 from tessera.llm import licenses, preferences, quality, url_rules
@@ -191,3 +192,17 @@ def test_every_exact_notice_of_a_block_is_found():
         some = rng.sample(notices, rng.randrange(2, 5))
         block = " ".join(prose(rng, rng.randrange(5, 40)) + " " + text.rstrip(".") + "." for _, text in some)
         assert {name for name, _ in some} <= {r[2] for r in scanner.scan(block)}
+
+
+def test_wrapped_notices_of_long_paragraphs(spark):
+    mit, bsd, isc = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["BSD-3-Clause"][0], licenses.TEMPLATES["ISC"][0]
+    code = "".join(f"x{k} = call(y{k});\n" for k in range(200))
+    wrapped = {name: "".join(f" * {line}\n" for line in textwrap.wrap(text, 30)) for name, text in (("MIT", mit), ("BSD-3-Clause", bsd), ("ISC", isc))}
+    narrow = "".join(f"{' ' * 80}// {w}\n" for w in mit.split())
+    texts = [code + w + code for w in wrapped.values()] + [(code + "\n\n" + w + "\n\n" + code).replace("\n", "\r\n") for w in wrapped.values()] + [code + narrow + code, code + wrapped["MIT"] + "/\n" * 3 + wrapped["MIT"] + code, narrow]
+    want = [*wrapped, *wrapped, "MIT", "MIT", "MIT", "MIT"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(got, key=lambda r: (r.doc_id, r.start))] == want
+    for r in got:
+        found = re.findall(r"\w+", texts[r.doc_id][r.start : r.start + r.chars].lower())
+        assert r.wording == 1 and found == re.findall(r"\w+", {"MIT": mit, "BSD-3-Clause": bsd, "ISC": isc}[r.license].lower())
