@@ -10,7 +10,7 @@ within other text.
 
 One row for each place of a licence, with the place of its wording in the text (characters). Null and empty texts
 and texts without a licence give no rows, so does an empty table; equal rows give equal results; ties rank by
-the template's name. Columns other than doc_id and text are ignored.
+the template's name. Identifiers in SPDX lines are rows of their own, with no reduction. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices by SPDX name, fixed values: the sentences by which projects state their licence.
+_HEADER = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation{then} either version {n} of the License, or (at your option) any later version."
+
+
+def _header(kind: str, n: str, what: str = "program") -> str:
+    """The notice that the GNU licences ask for at the head of each file."""
+    mark, then = (":", ",") if n == "3" else (";", ";")
+    return _HEADER.format(what=what, mark=mark, kind=kind, then=then, n=n)
+
+
+#: Notices by SPDX name, fixed values: the sentences by which projects state their licence, the headers of files, and
+#: for GNU licences the heading of the full text.
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -35,13 +45,19 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License.",
     ),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _header("General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _header("General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-2.1": (_header("Lesser General Public License", "2.1", "library"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", _header("Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", _header("Affero General Public License", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -58,6 +74,13 @@ BLOCK_CHARS, STRETCH = 2_000, 120
 #: Share of the template's words that a block must have in order, and words a short template may lack.
 MIN_WORDING = 0.9
 
+#: The identifiers of an SPDX line; -only, -or-later and + do not count.
+_SPDX, _IDENTIFIER = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I), re.compile(r"[A-Za-z0-9][\w.-]*\+?")
+_SUFFIX = re.compile(r"(?:-only|-or-later|\+)$", re.I)
+#: BSD-2-Clause and BSD-3-Clause begin alike; only the latter has the clause on names before its disclaimer.
+_OPENING = re.compile(r"redistribution\W+and\W+use\W+in\W+source", re.I)
+_DISCLAIMER, _NAMES = re.compile(r"this\W+software\W+is\W+provided", re.I), re.compile(r"endorse\W+or\W+promote", re.I)
+
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 #: The same in Python and Java, whose \W has letters beyond ASCII too: there it may take more rows, never fewer.
 TRIGGER = "|".join(t.replace(" ", r"\W+") for t in TRIGGERS)
@@ -109,6 +132,22 @@ def wordings(template: list[str], block: list[str]) -> Iterator[tuple[float, flo
             yield n / (len(template) + len(adds)), n / len(template), s + m[0].b, s + at, " ".join(lacks + adds)
 
 
+def bsd(text: str, a: int, b: int) -> str:
+    """Which licence the opening sentence at text[a:b] begins; BSD-3-Clause if no disclaimer follows to tell."""
+    end, other = _DISCLAIMER.search(text, b), _OPENING.search(text, b)
+    if _OPENING.match(text, a) and end and (not other or end.start() < other.start()) and not _NAMES.search(text, b, end.start()):
+        return "BSD-2-Clause"
+    return "BSD-3-Clause"
+
+
+def identifiers(text: str, known: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and name of the known licences that SPDX lines name."""
+    for line in _SPDX.finditer(text):
+        for m in _IDENTIFIER.finditer(text, *line.span(1)):
+            if name := known.get(_SUFFIX.sub("", m[0]).lower()):
+                yield *m.span(), name
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         import zstandard as zstd
@@ -116,6 +155,7 @@ class Scanner:
         self.zstd = zstd
         self.notices = [(name, text, words(text)) for name, texts in sorted(templates.items()) for text in texts]
         self.stretch = max([STRETCH, *(window_size(template) for _, _, template in self.notices)])
+        self.known = {name.lower(): name for name in templates}
         self.bags = [Counter(template) for _, _, template in self.notices]
         plain = zstd.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = plain
@@ -143,13 +183,15 @@ class Scanner:
                 for score, share, a, b, diff in wordings(template, own):
                     out[(-score, a - b, name, start + places[a][0], -saved, start + places[b - 1][1], share, diff)] = None
         # the better of two that overlap, in one block or in overlapping stretches
-        taken: list[tuple[int, int]] = []
-        rows = []
+        named = list(identifiers(text or "", self.known))
+        taken = [(a, b) for a, b, _ in named]
+        rows: list[tuple] = [(a, b - a, name, 1.0, None, "") for a, b, name in named]
         for _, _, name, a, saved, b, share, diff in sorted(out):
             at = bisect(taken, (a, b))
             if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                 continue
             taken.insert(at, (a, b))
+            name = bsd(text, a, b) if name == "BSD-3-Clause" else name
             rows.append((a, b - a, name, share, -saved, diff))
         return sorted(rows)
 

@@ -206,3 +206,20 @@ def test_wrapped_notices_of_long_paragraphs(spark):
     for r in got:
         found = re.findall(r"\w+", texts[r.doc_id][r.start : r.start + r.chars].lower())
         assert r.wording == 1 and found == re.findall(r"\w+", {"MIT": mit, "BSD-3-Clause": bsd, "ISC": isc}[r.license].lower())
+
+
+def test_headers_identifiers_and_clauses():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = lambda text: [r[2] for r in scanner.scan(text)]
+    header = "# {} is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {} as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.\n"
+    assert names(header.format("Foo", ":", "Affero General Public License", ",", "3")) == ["AGPL-3.0"]
+    assert names(header.format("Foo", ":", "General Public License", ",", "3")) == ["GPL-3.0"]
+    assert names(header.format("This program", ";", "General Public License", ";", "2")) == ["GPL-2.0"]
+    assert names(header.format("This library", ";", "Lesser General Public License", ";", "2.1")) == ["LGPL-2.1"]
+    assert names("   GNU LESSER GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright") == ["LGPL-3.0"]
+    assert names("/* SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) AND CC0-1.0 */\nint x;") == ["GPL-2.0", "MIT", "CC0-1.0"]
+    assert names("# SPDX-License-Identifier: Unknown-1.0") == []
+    opening = licenses.TEMPLATES["BSD-3-Clause"][0] + ":\n\n1. Redistributions of source code must retain the notice.\n\n2. Redistributions in binary form must reproduce it.\n\n"
+    third, end = "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products.\n\n", "THIS SOFTWARE IS PROVIDED AS IS.\n\n"
+    assert names(opening + end) == ["BSD-2-Clause"] and names(opening + third + end) == ["BSD-3-Clause"]
+    assert names(opening + end + opening + third + end) == ["BSD-2-Clause", "BSD-3-Clause"]
