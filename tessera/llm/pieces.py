@@ -1,27 +1,48 @@
-"""Exact token ids of whole texts, piece by piece, with the tokenizers library and a bounded cache.
+"""Exact token ids of whole texts, unit by unit, with the tokenizers library and a bounded cache.
 
 A tokenizer first cuts a text into pieces and then merges within each piece alone, so ids of a text are
-the ids of its pieces in order. Prose repeats its pieces; each distinct one goes to the library once and
-is kept as packed ids. Texts of plain letters (below U+0250, where no Unicode version differs) are cut
-by a compiled pattern, all others by the library's own pre-tokenizer.
+the ids of its pieces in order. No piece goes on from other characters into white space, so a text may be
+cut before any white space (word level, which drops white space: around it) without a change. What
+lies between is a unit, mostly a word with its marks. Prose repeats its units; each distinct one
+is merged by the library's model once and kept as packed ids.
+
+The two known pipelines are recognised by the whole of their description; texts of any other, and
+at word level those with characters from U+0250 on, where a normalizer may join what stands apart, go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Code points below this are cut by our own pattern.
+#: Code points below this are cut by our own pattern; no Unicode version differs in their kinds.
 PLAIN = 0x250
-#: Pieces of more characters are not kept.
+#: Units and pieces of more characters are not kept.
 LONG_PIECE = 64
-#: Pieces kept by a worker; beyond, the cache starts anew.
-CACHE_PIECES = 400_000
+#: Units and pieces kept by each cache of a worker; beyond, it starts anew.
+CACHE_UNITS = 600_000
+#: Marks that are a piece of their own after a word.
+_MARKS = frozenset(".,;:!?)\"")
+#: White space as the library's patterns have it.
+SPACE = r"\x09-\x0d\x20\x85\xa0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x2000, 0x200B))))
+
+#: Pre-tokenizers and normalizers of the two known kinds, fixed values.
+_BYTE_PIPELINE = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+_WORD_PIPELINE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+        ],
+    },
+)
 
 
 def _char_class(test) -> str:
@@ -32,18 +53,24 @@ def _char_class(test) -> str:
         if ok and start is None:
             start = c
         elif not ok and start is not None:
-            out.append(f"\\x{start:02x}-\\x{c - 1:02x}" if c - 1 < 256 else f"\\u{start:04x}-\\u{c - 1:04x}")
+            out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
             start = None
     return "".join(out)
 
 
 _L = _char_class(lambda c: unicodedata.category(chr(c))[0] == "L")
 _N = _char_class(lambda c: unicodedata.category(chr(c))[0] == "N")
-_S = r"\x09-\x0d\x20\x85\xa0"
 _NOT_PLAIN = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
-_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_LEVEL = re.compile(rf"{_CONTRACTIONS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-WORD_LEVEL = re.compile(rf"{_CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: Python's split takes these for white space, the patterns don't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BYTE_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_UNIT = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_WORD_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{SPACE}{_L}{_N}]+")
+_WORD_UNIT = re.compile(rf"[^{SPACE}]+")
+#: A space after white space and before more of it, or at the end: a cut before it would part one piece.
+_RUN = re.compile(rf"[{SPACE}] (?=[{SPACE}]|\Z)")
+#: The same as characters.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,6 +80,39 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _bare(x):
+    """A description without what only concerns offsets."""
+    if isinstance(x, dict):
+        return {k: _bare(v) for k, v in x.items() if k != "trim_offsets"}
+    return [_bare(v) for v in x] if isinstance(x, list) else x
+
+
+def kind_of(tok) -> str | None:
+    """byte, word, or None for a tokenizer whose texts only the library may cut."""
+    made = json.loads(tok.to_str())
+    if made["post_processor"] or made["model"]["type"] != "BPE" or made["model"].get("dropout"):
+        return None
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in made["added_tokens"]):
+        return None
+    pipeline = _bare(made["normalizer"]), _bare(made["pre_tokenizer"])
+    return next((k for k, p in (("byte", _BYTE_PIPELINE), ("word", _WORD_PIPELINE)) if pipeline == p), None)
+
+
+class _Known(dict):
+    """A bounded cache that makes what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONG_PIECE:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PieceCodec:
     """ids(text) are those of Tokenizer.encode(text, add_special_tokens=False), without truncation and padding."""
 
@@ -62,54 +122,90 @@ class PieceCodec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.lower = self.tok.normalizer is not None
-        self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
-        self.cache: dict[str, bytes] = {}
+        self.kind = kind_of(self.tok)
+        self.tokenize = self.tok.model.tokenize
+        self.shown = byte_alphabet()
+        #: Packed ids of pieces, of word-level units, and of byte-level units after a space.
+        self.pieces_known = _Known(self.piece)
+        self.units_known = _Known(self._word_unit)
+        self.spaced_known = _Known(self._spaced_unit)
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def pieces(self, text: str) -> list[str]:
-        if _NOT_PLAIN.search(text):
-            if self.lower:
-                text = self.tok.normalizer.normalize_str(text)
-            return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-        return self.pattern.findall(text.lower() if self.lower else text)
-
-    def long_piece(self, piece: str) -> bytes:
-        return np.asarray(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, missing: list[str], into: dict[str, bytes]) -> None:
-        for piece, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False)):
-            into[piece] = np.asarray(e.ids, "<u4").tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        pieces, cache = self.pieces(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        own = {p: None for p in pieces if p not in cache}
-        short = [p for p in own if len(p) <= LONG_PIECE]
-        if len(cache) + len(short) > CACHE_PIECES:
-            cache.clear()
-            own = dict.fromkeys(pieces)
-            short = [p for p in own if len(p) <= LONG_PIECE]
-        self._learn(short, cache)
-        for p in own:
-            if len(p) > LONG_PIECE:
-                own[p] = self.long_piece(p)
-        return b"".join([x if (x := cache.get(p)) is not None else own[p] for p in pieces])
+    def library(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a text that is one piece: the model alone."""
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def pieces(self, unit: str) -> list[str]:
+        """A byte-level text's pieces."""
+        if not unit.isascii() and _NOT_PLAIN.search(unit):
+            return [unit[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
+        return _BYTE_PIECE.findall(unit)
+
+    def _word_unit(self, unit: str) -> bytes:
+        if unit.isalpha():
+            return self.piece(unit)
+        if unit[:-1].isalpha():
+            return self.units_known[unit[:-1]] + self.pieces_known[unit[-1]]
+        return b"".join(map(self.pieces_known.__getitem__, _WORD_PIECE.findall(unit)))
+
+    def _spaced_unit(self, unit: str) -> bytes:
+        if unit.isalpha() or not unit:
+            return self.piece(" " + unit)
+        if unit[:-1].isalpha() and unit[-1] in _MARKS:
+            return self.spaced_known[unit[:-1]] + self.pieces_known[unit[-1]]
+        return self.unit(" " + unit)
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of a byte-level unit, of its own."""
+        return b"".join(map(self.pieces_known.__getitem__, self.pieces(unit)))
+
+    def _word_level(self, text: str) -> bytes:
+        if not text.isascii() and _NOT_PLAIN.search(text):
+            return self.library(text)
+        text = text.lower()
+        units = _WORD_UNIT.findall(text) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.units_known.__getitem__, units))
+
+    def _byte_level(self, text: str) -> bytes:
+        """Units that begin with one space are kept without it; others are taken anew each time they occur."""
+        if not _RUN.search(text):
+            first, *rest = text.split(" ")
+            return self.unit(first) + b"".join(map(self.spaced_known.__getitem__, rest))
+        return b"".join([self.spaced_known[u[1:]] if u[0] == " " and len(u) > 1 and u[1] not in SPACES else self.unit(u) for u in _UNIT.findall(text)])
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        if not text:
+            return b""
+        if self.kind is None:
+            return self.library(text)
+        return self._byte_level(text) if self.kind == "byte" else self._word_level(text)
+
+    def parts(self, text: str) -> list[str]:
+        """The text around its added tokens; these stand at odd places."""
+        if self.split_added is None or not any(t in text for t in self.added):
+            return [text]
+        return self.split_added.split(text)
 
     def packed(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.split_added is None or "<|" not in text:
-            return self._plain(text)
-        return b"".join(np.uint32(self.added[x]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.split_added.split(text)) if x)
+        if self.kind is None:
+            return self.library(text)
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return self.plain(text)
+        return b"".join(array("I", [self.added[x]]).tobytes() if k % 2 else self.plain(x) for k, x in enumerate(parts))
 
     def ids(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), "<u4").tolist()
+        return array("I", self.packed(text)).tolist()
 
 
 _CODECS: dict[tuple, PieceCodec] = {}

@@ -38,9 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset a local session gets one of its own.
+
+    On a cluster there is no such folder to guess, so it is an error there."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -52,7 +56,18 @@ def staged(df: DataFrame, name: str, compression: str = "zstd", parts: list[str]
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables; for those alone that no later step reads, when what was made of them is written."""
+    for df in tables:
+        if at := df.__dict__.get("staged_at"):
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

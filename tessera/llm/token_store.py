@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,3 +167,38 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == _NO_ID), pa.array(cuts[:-1] + base[part] + before, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return segments.select("part", "part_start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+class TokenFiles:
+    """Random access to written segments, by position in the whole sequence or within a document.
+
+    The driver knows one number a part of the files. A lookup reads the one segment that row statistics lead
+    to, and of its codes one chunk, bit and rank entry a level; nothing is decoded."""
+
+    def __init__(self, segments: DataFrame):
+        self.segments, self.starts, self.total = segments, [], 0
+        for part, n in sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+            self.starts.append((self.total, part))
+            self.total += n
+
+    def token_at(self, position: int) -> int:
+        """The token at a position of the sequence of all documents."""
+        if not 0 <= position < self.total:
+            raise IndexError(position)
+        start, part = self.starts[bisect_right(self.starts, (position, 1 << 40)) - 1]
+        at = position - start
+        row = self.segments.filter((F.col("part") == part) & (F.col("part_start") <= at) & (F.col("part_start") + F.col("n_tokens") > at)).select("part_start", "blob").first()
+        return Segment(row["blob"]).token(at - row["part_start"])
+
+    def token_of(self, doc_id: int, k: int) -> int:
+        """Token k of a document; of several with its id, of the first."""
+        own = self.segments.filter((F.col("last_doc") >= doc_id) & (F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)))
+        # the ids of the segments are in order, so only the first that can hold the document and has it counts
+        for row in own.orderBy("part", "seg").select("blob").toLocalIterator():
+            s = Segment(row["blob"])
+            i = int(np.searchsorted(s.doc_ids, doc_id))
+            if i < len(s.doc_ids) and s.doc_ids[i] == doc_id:
+                if not 0 <= k < int(s.starts[i + 1] - s.starts[i]):
+                    raise IndexError(k)
+                return s.token(int(s.starts[i]) + k)
+        raise KeyError(doc_id)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -44,7 +45,41 @@ def test_tree_equals_whole():
         piece = "".join(rng.choice("etaoinshr" if k % 2 else "ab") for _ in range(rng.randrange(1, 900)))
         if k % 5 == 0:
             piece = "".join(rng.choice(["!", "?", "--", "\u00a7", "...", "=", "\U0001f600"]) for _ in range(rng.randrange(1, 400)))
-        assert c.tree("".join(map(c.shown.__getitem__, piece.encode())), leaf=rng.choice([1, 2, 7, 64])) == PLAIN[0].encode(piece, add_special_tokens=False).ids
+        assert np.frombuffer(c.tree(piece, leaf=rng.choice([1, 2, 7, 64])).ids, "<u4").tolist() == PLAIN[0].encode(piece, add_special_tokens=False).ids
+
+
+def test_long_texts_are_joined_by_many_tasks(spark, monkeypatch):
+    """Unsplit runs of 1 MB and prose alike; every row comes from a tree."""
+    rng = random.Random(4)
+    prose = "  ".join("".join(rng.choice("etaoin shrdlu.,'") for _ in range(200)) + "\n" for _ in range(1500))
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))
+    texts = [prose, run, prose + "<|endoftext|>" + run[:90000], "\u4f60\u597d" * 40000, " " * 100_000 + "x", prose, "short " * 400, None]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(table, BYTE).collect()}
+    assert len(got) == len(texts)
+    for k, t in rows:
+        ids = PLAIN[0].encode(t or "", add_special_tokens=False).ids
+        assert got[k] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), k
+    c = codec(BYTE, bpe.TreeCodec)
+    before = c.joins
+    assert c.ids(texts[6]) == PLAIN[0].encode(texts[6], add_special_tokens=False).ids and c.joins == before + 2
+    # several rounds of joins
+    monkeypatch.setattr(bpe, "FAN", 2)
+    far = spark.createDataFrame([(1, 2, 3, run)], "h1 long, h2 long, bytes long, text string")
+    assert np.frombuffer(bpe.encode_long(far, BYTE).first().ids, "<u4").tolist() == PLAIN[0].encode(run, add_special_tokens=False).ids
+
+
+def test_other_pipelines_go_to_the_library(tmp_path):
+    import json
+
+    made = json.loads(PLAIN[0].to_str())
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    c = codec(str(tmp_path / "t.json"))
+    assert c.kind is None and codec(BYTE).kind == "byte" and codec(WORD).kind == "word"
+    for text in HARD:
+        assert c.ids(text) == Tokenizer.from_file(str(tmp_path / "t.json")).encode(text or "", add_special_tokens=False).ids
 
 
 def docs(spark):
@@ -72,6 +107,17 @@ def test_token_files(spark):
         want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
+    # random access through the files: every document's first, last and some middle tokens
+    files = token_store.TokenFiles(segments)
+    every = [t for r in sorted(docs(spark).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")) for t in (*PLAIN[1].encode(r.text or "", add_special_tokens=False).ids, 2)]
+    assert files.total == len(every)
+    for p in [0, 1, 499, 500, 501, len(every) // 2, len(every) - 1]:
+        assert files.token_at(p) == every[p]
+    for d, at, n, _ in want[-4:]:
+        assert [files.token_of(d, k) for k in (0, n // 2, n - 1)] == [every[at], every[at + n // 2], every[at + n - 1]]
+    for wrong, error in ((lambda: files.token_at(len(every)), IndexError), (lambda: files.token_of(want[-1][0], want[-1][2]), IndexError), (lambda: files.token_of(10**6, 0), KeyError)):
+        with pytest.raises(error):
+            wrong()
     assert token_store.read_documents(token_store.write_tokens(docs(spark).limit(0), WORD)).count() == 0
 
 
