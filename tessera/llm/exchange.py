@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lower_words
+from .runtime import lower_words, partitions
 
 #: Bytes of text in a batch, on average.
 BATCH_TEXT = 4 << 20
+#: Bytes of text whose keys a part of the key space holds, on average.
+PART_TEXT = 32 << 20
 #: Words whose hash a worker remembers.
 KNOWN_WORDS = 400_000
 KEY_BITS = 48
@@ -72,6 +74,13 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h[new]
 
 
+def part_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Parts of the key space: as many as there are shuffle partitions, and more with more text, so that a part's
+    size doesn't grow with the data."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // PART_TEXT))
+
+
 def batch_count(docs: DataFrame, text_col: str = "text") -> int:
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     return max(1, -(-total // BATCH_TEXT))

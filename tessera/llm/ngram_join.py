@@ -9,8 +9,8 @@ transpose holds the overlaps of all pairs; bounds on size keep almost all of it
 3. The other rows are ordered by the rest of their columns; only its first columns, as many as the slack leaves,
    can be where a row first meets a partner. Rows that meet there are joined into candidate groups by
    chains, one edge a row, never all pairs.
-4. A group is cut into blocks of rows by size class (a partner is at most 1.25 times as large) and bounded
-   number of columns; each pair of blocks that sizes allow is one product: overlaps of a row with all
+4. A group is cut into blocks by size class (a partner is at most 1.25 times as large) and bounded numbers
+   of rows and columns; each pair of blocks that sizes allow is one product: overlaps of a row with all
    others are summed from the columns' row lists, pairs below the bound are dropped. A block pair gives a
    spanning forest of its links and each row's number of links, not the links.
 5. Components of the links' forests give component_id.
@@ -30,15 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, request_table, requests, runs, word_hashes
+from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, part_count, request_table, requests, runs, word_hashes
 from .graph import components
-from .runtime import partitions, staged
+from .runtime import hot_join, staged
 
 SHINGLE = 5
 #: A link: 100 * overlap >= PERCENT * union.
 PERCENT = 80
-#: Shingles of the rows of a block.
-BLOCK_SHINGLES = 1_500_000
+#: Shingles of the rows of a block, and rows.
+BLOCK_SHINGLES, BLOCK_ROWS = 1_500_000, 8_192
 #: Columns are counted by the first KEY_BITS of their hash; two that share them are at worst taken for more frequent.
 _SHORT = np.uint64(64 - KEY_BITS)
 
@@ -107,50 +107,49 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
     return texts.groupBy("batch").cogroup(told.union(own).groupBy("batch")).applyInArrow(rows, ROWS)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def product(sets: list[np.ndarray], side: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of the links between rows, and each row's number of links.
 
-    side is 0 and 1 for rows of two blocks, of which only pairs across count, or all 0 for one block."""
+    side is 0 and 1 for rows of two blocks, of which only pairs across count, or all 0 for one block. A row's overlaps
+    are summed from the row lists of its columns, later rows alone; links are joined by whole components."""
     size = np.array([len(s) for s in sets])
     _, col = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), size)
     by_col = np.argsort(col, kind="stable")
-    rows_of, start = row[by_col], np.concatenate([[0], np.cumsum(np.bincount(col))])
+    rows_of, start = row[by_col].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(col))])
+    # where each entry stands in its column's list: the rows after it are the later ones
+    place = np.empty(len(col), np.int64)
+    place[by_col] = np.arange(len(col))
+    left = start[col + 1] - place - 1
     at = np.concatenate([[0], np.cumsum(size)])
     across = bool(side.any())
-    forest, edges, links = Forest(len(sets)), [], np.zeros(len(sets), np.int64)
+    component, edges, links = np.arange(len(sets)), [], np.zeros(len(sets), np.int64)
     for i in range(len(sets)):
-        own = col[at[i] : at[i + 1]]
-        a, n = start[own], start[own + 1] - start[own]
-        if n.sum() == len(own):
+        own = slice(at[i], at[i + 1])
+        n, a = left[own], place[own] + 1
+        total = int(n.sum())
+        if not total:
             continue
-        index = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        overlap = np.bincount(rows_of[index], minlength=len(sets))
-        ok = 100 * overlap >= PERCENT * (size[i] + size - overlap)
-        ok[: i + 1] = False
+        met = rows_of[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)]
+        if 8 * total < len(sets):
+            j, overlap = np.unique(met, return_counts=True)
+        else:
+            every = np.bincount(met, minlength=len(sets))
+            j = np.flatnonzero(every)
+            overlap = every[j]
+        ok = 100 * overlap >= PERCENT * (size[i] + size[j] - overlap)
         if across:
-            ok &= side != side[i]
-        for j in np.flatnonzero(ok).tolist():
-            if forest.join(i, j):
-                edges.append((i, j))
-        links[i] += ok.sum()
-        links += ok
+            ok &= side[j] != side[i]
+        j = j[ok]
+        if not len(j):
+            continue
+        links[i] += len(j)
+        links[j] += 1
+        others, first = np.unique(component[j], return_index=True)
+        for c, k in zip(others.tolist(), j[first].tolist()):
+            if c != component[i]:
+                edges.append((i, k))
+                component[component == c] = component[i]
     return edges, links
 
 
@@ -160,17 +159,18 @@ LINKS = "u long, v long, links long"
 def link_rows(rows: DataFrame) -> DataFrame:
     """(u, v) edges of forests that span the links; rows with a null v carry a number of links of u."""
     meets = rows.filter("meets is not null").select(F.explode("meets").alias("h"), "doc_id")
-    hubs = meets.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other").select("h", "hub")
+    hubs = staged(meets.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.count("*").alias("rows_of")).filter("hub <> other").select("h", "hub", "rows_of"), "hubs")
     # the chain: each row of a column goes to the column's smallest row
-    groups = components(meets.join(hubs, "h").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
+    groups = components(hot_join(meets, hubs, ["h"]).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
     cls = F.floor(F.log("n_shingles") / F.log(F.lit(1.25))).cast("int")
     cand = rows.filter("cols is not null").join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("root", "doc_id", "n_shingles", "cols", cls.alias("cls"))
     cand = staged(cand, "rows", "lz4")
-    size = cand.groupBy("root", "cls").agg(F.sum("n_shingles").alias("all")).select("root", "cls", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("b"))
+    size = cand.groupBy("root", "cls").agg(F.sum("n_shingles").alias("all"), F.count("*").alias("rows_of"))
+    size = staged(size.select("root", "cls", "rows_of", F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("rows_of") / BLOCK_ROWS)).cast("int").alias("b")), "sizes")
     up = size.select("root", (F.col("cls") + 1).alias("cls"), F.col("b").alias("below"))
     down = size.select("root", (F.col("cls") - 1).alias("cls"), F.col("b").alias("above"))
     plan = size.join(up, ["root", "cls"], "left").join(down, ["root", "cls"], "left")
-    dealt = cand.join(plan, ["root", "cls"]).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("b")).cast("int"))
+    dealt = hot_join(cand, plan, ["root", "cls"]).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("b")).cast("int"))
     # a row stands in every product of its block: with blocks of its own class, of the class above and of the one below
     same = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.col("cls").alias("c"), F.least(F.col("blk"), j).alias("i"), F.greatest(F.col("blk"), j).alias("j"), F.lit(0).alias("kind"), (F.col("blk") > j).cast("int").alias("side")))
     over = F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.col("cls").alias("c"), F.col("blk").alias("i"), j.alias("j"), F.lit(1).alias("kind"), F.lit(0).alias("side")))
@@ -201,17 +201,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = own.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h2"), F.octet_length("text").alias("h3"))
     named = staged(named, "classes")
-    classes = staged(named.filter("h3 > 0").groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("first")).filter("first is not null"), "firsts")
+    classes = staged(named.filter("h3 > 0").groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows_of")).filter("first is not null"), "firsts")
     batches = batch_count(own)
     texts = own.filter("doc_id is not null and text <> ''").select("doc_id", "text", batch_of(F.col("doc_id"), batches).alias("batch"))
     firsts = classes.select(F.col("first").alias("doc_id"), batch_of(F.col("first"), batches).alias("batch"))
-    rows = staged(incidence_rows(texts, firsts, partitions(docs.sparkSession)), "incidence", "lz4")
+    rows = staged(incidence_rows(texts, firsts, part_count(own)), "incidence", "lz4")
     links = link_rows(rows.filter("cols is not null"))
     roots = components(links.filter("v is not null").select("u", "v"))
     counts = links.filter("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
     of_first = rows.select(F.col("doc_id").alias("first"), "n_shingles").join(roots.withColumnRenamed("node", "first"), "first", "left").join(counts.withColumnRenamed("u", "first"), "first", "left")
-    told = classes.join(of_first, "first")
-    made = named.join(told, ["h1", "h2", "h3"], "left")
+    told = staged(classes.join(of_first, "first"), "told")
+    made = hot_join(named, told, ["h1", "h2", "h3"], "left")
     n = F.coalesce("n_shingles", F.lit(0).cast("long"))
     return made.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import discard, shared_dir, staged  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,38 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where it is unset a local session gets one of its own.
-
-    On a cluster there is no such folder to guess, so it is an error there."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def staged(df: DataFrame, name: str, compression: str = "zstd", parts: list[str] | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
 
+#: A key with more rows than this share of a task's even load is hot; fewer rows than HOT_ROWS never are.
+HOT_SHARE, HOT_ROWS = 4, 500
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables; for those alone that no later step reads, when what was made of them is written."""
-    for df in tables:
-        if at := df.__dict__.get("staged_at"):
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
+def hot_join(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has each key once and in `rows_of` how many rows have it.
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Hot keys meet their rows by broadcast, so these stay where they are. A hot key has more than 1 / (HOT_SHARE *
+    tasks) of all rows, so there are at most HOT_SHARE * tasks of them: the broadcast is bounded whatever the data."""
+    own = keyed.drop("rows_of")
+    total = keyed.agg(F.sum("rows_of")).first()[0] or 0
+    hot = keyed.filter(F.col("rows_of") > max(HOT_ROWS, total // (HOT_SHARE * partitions(rows.sparkSession))))
+    if hot.isEmpty():
+        return rows.join(own, keys, how)
+    hot_keys = F.broadcast(hot.select(*keys))
+    rest = rows.join(hot_keys, keys, "left_anti").join(own.join(hot_keys, keys, "left_anti"), keys, how)
+    return rows.join(F.broadcast(hot.drop("rows_of")), keys).unionByName(rest)
