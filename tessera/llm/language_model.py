@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import answered, answers, batch_count, mixed, request_table, requests, word_hashes
-from .runtime import partitions, staged
+from .exchange import answered, answers, batch_count, mixed, part_count, request_table, requests, word_hashes
+from .runtime import staged
 
 END, BEGIN = np.uint64(0x1F0E1D0C0B0A0908), np.uint64(0x2B3C4D5E6F708192)
 FOLDS, HELD_OUT, EM_FOLD = 10, 0, 1
@@ -172,10 +172,10 @@ def score_batch(table: pa.Table, told: pa.Table, parts: int, total: int, types:
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS)).cast("int")
-    batches = batch_count(own)
+    batches, parts = batch_count(own), part_count(own)
     few = max(1, batches // FOLDS)
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.octet_length("text").cast("long"))), F.lit(1 << 30))
     # the fold for the weights has batches of its own, so that its pass reads no other text
@@ -194,7 +194,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     bins = learning.groupBy("batch").cogroup(told.filter(F.col("batch") < few).groupBy("batch")).applyInArrow(lambda a, b: held_out_bins(a, b, parts, total), "bucket long, pair long, word long, n long")
     found = [tuple(r) for r in bins.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()]
     weights = learn_weights(np.array(found, np.float64).reshape(-1, 4), 1.0 / (types + 1))
-    # what the first passes have shuffled is not needed any more
+    # the counts are written, so nothing can need the shuffled requests again; their files go when the references are cleared
     del bins, asked
     spark.sparkContext._jvm.System.gc()
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(lambda a, b: score_batch(a, b, parts, total, types, weights), SCORED)
