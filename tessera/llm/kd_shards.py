@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import staged
+from .runtime import discard, hot_join, staged
 
 DIMENSIONS = ("lang", "source", "octave")
 BINS = 4096
@@ -48,9 +48,9 @@ def points(docs: DataFrame) -> DataFrame:
         column("lang").alias("lang"), column("source").alias("source"),
     )
     # the smallest metadata of a group of equal texts stands for all of them; only groups of two or more are joined back
-    copies = base.groupBy("text_hash", "size", "text_crc32").agg(F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.max("lang").alias("x_lang"), F.max("source").alias("x_source"))
-    mixed = copies.filter("g_lang <> x_lang or g_source <> x_source").select("text_hash", "size", "text_crc32", "g_lang", "g_source")
-    one = base.join(mixed, ["text_hash", "size", "text_crc32"], "left").withColumns({"lang": F.coalesce("g_lang", "lang"), "source": F.coalesce("g_source", "source")})
+    copies = base.groupBy("text_hash", "size", "text_crc32").agg(F.min("lang").alias("g_lang"), F.min("source").alias("g_source"), F.max("lang").alias("x_lang"), F.max("source").alias("x_source"), F.count("*").alias("rows_of"))
+    mixed = staged(copies.filter("g_lang <> x_lang or g_source <> x_source").select("text_hash", "size", "text_crc32", "g_lang", "g_source", "rows_of"), "mixed")
+    one = hot_join(base, mixed, ["text_hash", "size", "text_crc32"], "left").withColumns({"lang": F.coalesce("g_lang", "lang"), "source": F.coalesce("g_source", "source")})
     # strings are placed by their last three bytes, where names with a common beginning differ
     place = lambda c: F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), -3, 3)), 6, "0"), 16, 10).cast("long")
     octave = F.floor(F.log2("size") * 64).cast("long")
@@ -91,7 +91,7 @@ def _search(rows: DataFrame, value, targets: dict[int, int], ranges: dict[int, t
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard: a leaf of the tree for every document, in shards 0 to shards - 1."""
-    rows = staged(points(docs), "points").withColumn("node", F.lit(0).cast("long"))
+    rows = staged(points(docs).withColumn("node", F.lit(0).cast("long")), "points")
     keys = [f"k_{d}" for d in DIMENSIONS]
     nodes = {0: Node(shards, 0)}
     whole: dict[str, int] = {}
@@ -134,7 +134,9 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
                     goes_left = key <= cut if below + w - targets[n] <= targets[n] - below else key < cut
                 split = F.when(F.col("node") == n, goes_left).otherwise(split)
             # written at each level, so that the next one's conditions do not stack up
+            before = rows
             rows = staged(rows.withColumn("node", F.when(split, F.col("node") * 2 + 1).when(~split, F.col("node") * 2 + 2).otherwise(F.col("node"))), "nodes")
+            discard(before)
         nodes = after
     shard = F.element_at(F.create_map(*[F.lit(x) for n, leaf in leaf_of.items() for x in (n, leaf)]), F.col("node").cast("int"))
     return rows.select("doc_id", "size", "text_crc32", shard.alias("shard"))
