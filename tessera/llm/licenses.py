@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-Text is cut into blocks: paragraphs, or overlapping stretches where a paragraph is long. Blocks with a word that
-licences use are candidates. Every template of which a candidate has enough words, in any order, is
-confirmed by its exact wording: words of template and block are aligned, and the share of the template's
-words that the block has, in order, must reach MIN_WORDING; so no template that reaches it is left out.
-The words on which they differ are reported, and what the template as a zstandard raw dictionary saves of
-the block, compressed with and without it. Templates are short notices, so a block may also hold one
-within other text.
+Text is cut into blocks: paragraphs, or overlapping stretches where a paragraph is long. A block that lacks all trigger
+words of a template cannot have enough of its words: a template's triggers are its rarest words, one more than it
+may lack. Every block that any template's triggers let through is a candidate. It is compressed alone and with each template
+of which it has enough words, in any order, as a zstandard raw dictionary; templates are ranked by the bytes that they save, and in this order
+confirmed by exact wording: words of template and block are aligned, and the share of the template's
+words that the block has, in order, must reach MIN_WORDING. The ranking decides between places that overlap, and no place in it
+is cut off, so no template that reaches the share is left out. The words on which they differ are reported.
+Templates are short notices, so a block may also hold one within other text.
 
 One row for each place of a licence, with the place of its wording in the text (characters). Null and empty texts
 and texts without a licence give no rows, so does an empty table; equal rows give equal results; ties rank by
@@ -66,8 +67,6 @@ TEMPLATES = {
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: A candidate block has one of these, in any case; between words may stand line ends and the marks of comments.
-TRIGGERS = ("licens", "licenc", "permission is", "permission to use", "redistribution and use", "public domain", "cc by")
 #: Longer paragraphs are scanned in stretches of twice STRETCH words that overlap by half, so no notice is cut by all of
 #: them; longer templates have longer stretches.
 BLOCK_CHARS, STRETCH = 2_000, 120
@@ -82,9 +81,6 @@ _OPENING = re.compile(r"redistribution\W+and\W+use\W+in\W+source", re.I)
 _DISCLAIMER, _NAMES = re.compile(r"this\W+software\W+is\W+provided", re.I), re.compile(r"endorse\W+or\W+promote", re.I)
 
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*")
-#: The same in Python and Java, whose \W has letters beyond ASCII too: there it may take more rows, never fewer.
-TRIGGER = "|".join(t.replace(" ", r"\W+") for t in TRIGGERS)
-_TRIGGER = re.compile(TRIGGER)
 _PARAGRAPH = re.compile(r"[^\r\n]+(?:(?:\r\n?|\n)[^\r\n]+)*")
 
 
@@ -92,10 +88,30 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def blocks(text: str, stretch: int = STRETCH) -> Iterator[tuple[int, str]]:
+def triggers(templates: dict[str, tuple[str, ...]]) -> list[str]:
+    """Words of which every block that a template can be confirmed in has one; those in many templates and long ones first."""
+    every = [words(text) for texts in templates.values() for text in texts]
+    shared = Counter(w for own in every for w in set(own))
+    out: dict[str, None] = {"spdx": None}
+    for own in every:
+        # the words a template may lack, and one more, in the template as often as they are
+        least = len(own) - -(-int(1000 * MIN_WORDING) * len(own) // 1000) + 1
+        for w, n in sorted(Counter(own).items(), key=lambda x: (len(x[0]) < 7, -shared[x[0]], -len(x[0]), x[0])):
+            if least <= 0:
+                break
+            out[w], least = None, least - n
+    return list(out)
+
+
+def trigger_pattern(found: list[str]) -> str:
+    """For Python and Java, on lower-cased text. A word is looked for anywhere, so this may take more, never fewer."""
+    return "|".join(re.escape(w) for w in sorted(found))
+
+
+def blocks(text: str, trigger: re.Pattern, stretch: int = STRETCH) -> Iterator[tuple[int, str]]:
     """Start and text of the candidate blocks; together they cover every trigger."""
     for paragraph in _PARAGRAPH.finditer(text):
-        if not _TRIGGER.search(paragraph[0].lower()):
+        if not trigger.search(paragraph[0].lower()):
             continue
         if len(paragraph[0]) <= BLOCK_CHARS:
             yield paragraph.start(), paragraph[0]
@@ -103,7 +119,7 @@ def blocks(text: str, stretch: int = STRETCH) -> Iterator[tuple[int, str]]:
         starts = [m.start() for k, m in enumerate(_WORDS.finditer(paragraph[0])) if k % stretch == 0]
         for k in range(max(1, len(starts) - 1)):
             piece = paragraph[0][starts[k] : starts[k + 2] if k + 2 < len(starts) else None]
-            if _TRIGGER.search(piece.lower()):
+            if trigger.search(piece.lower()):
                 yield paragraph.start() + starts[k], piece
 
 
@@ -153,32 +169,36 @@ class Scanner:
         import zstandard as zstd
 
         self.zstd = zstd
-        self.notices = [(name, text, words(text)) for name, texts in sorted(templates.items()) for text in texts]
+        self.notices = [(name, text, words(text)) for name, texts in sorted(templates.items()) for text in texts if words(text)]
         self.stretch = max([STRETCH, *(window_size(template) for _, _, template in self.notices)])
+        self.trigger = re.compile(trigger_pattern(triggers(templates)))
         self.known = {name.lower(): name for name in templates}
         self.bags = [Counter(template) for _, _, template in self.notices]
         plain = zstd.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = plain
         self.dicts = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(text.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, text, _ in self.notices]
 
-    def saved(self, block: str, notices: list[int]) -> list[float]:
-        """Bytes saved by each of the notices as a dictionary, as a share of the notice's own length."""
+    def ranked(self, block: str, own: list[str]) -> list[tuple[float, int]]:
+        """The templates that may reach MIN_WORDING by the bytes each saves of the block, as a share of its own length."""
+        held = self.possible(own)
+        if not held:
+            return []
         data = block.lower().encode()
-        alone = len(self.plain.compress(data)) if notices else 0
-        return [(alone - len(self.dicts[k].compress(data))) / len(self.notices[k][1]) for k in notices]
+        alone = len(self.plain.compress(data))
+        saved = ((alone - len(self.dicts[k].compress(data))) / len(self.notices[k][1]) for k in held)
+        return sorted(zip(saved, held), key=lambda x: (-x[0], self.notices[x[1]][0]))
 
     def possible(self, block: list[str]) -> list[int]:
-        """The notices that may reach MIN_WORDING: words in order are never more than words in any order."""
+        """The templates that may reach MIN_WORDING: words in order are never more than words in any order."""
         has = Counter(block)
         return [k for k, own in enumerate(self.bags) if sum(min(n, has[w]) for w, n in own.items()) >= MIN_WORDING * len(self.notices[k][2])]
 
     def scan(self, text: str | None) -> list[tuple]:
         out: dict[tuple, None] = {}
-        for start, block in blocks(text or "", self.stretch):
+        for start, block in blocks(text or "", self.trigger, self.stretch):
             places = [m.span() for m in _WORDS.finditer(block)]
             own = [block[a:b].lower() for a, b in places]
-            held = self.possible(own)
-            for saved, k in zip(self.saved(block, held), held):
+            for saved, k in self.ranked(block, own):
                 name, _, template = self.notices[k]
                 for score, share, a, b, diff in wordings(template, own):
                     out[(-score, a - b, name, start + places[a][0], -saved, start + places[b - 1][1], share, diff)] = None
@@ -214,4 +234,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], [x.split(" ")[0] for x in FOUND.split(", ")])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.filter(F.lower("text").rlike(TRIGGER)).mapInArrow(run, FOUND)
+    return own.filter(F.lower("text").rlike(trigger_pattern(triggers(notices)))).mapInArrow(run, FOUND)
