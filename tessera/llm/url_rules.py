@@ -1,7 +1,7 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-A URL that rules may fit is expanded into expressions: every suffix of its host at a label's start, times
-every prefix of its path of a length that some rule has. An expression is hashed (SHA-256); its first four
+A URL is expanded into expressions: the suffixes of its host at a label's start with as many labels as some
+rule has, times the prefixes of its path of a length that some rule has. An expression is hashed (SHA-256); its first four
 bytes meet the rules' in an equi-join, then the full digests must agree. Of the rules that fit, the longest
 wins: by the whole expression's length, then the host's, then block before allow, then the text.
 
@@ -64,10 +64,13 @@ def rule_table(like: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return made.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, 8))
 
 
-def expand(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """url, short, digest, rule, host_chars of every expression of each row's host and path."""
+def expand(urls: DataFrame, path_lengths: list[int], label_counts: list[int]) -> DataFrame:
+    """(url, full, short): the digest of every expression of each row's host and path that is as long as some rule's.
+
+    Suffixes have as many labels, prefixes as many characters as a rule; so a host of thousands of labels costs no more."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
+    of = F.filter(F.array(*map(F.lit, label_counts)), lambda n: n <= F.size(labels))
+    suffixes = F.transform(of, lambda n: F.concat_ws(".", F.slice(labels, F.size(labels) - n + 1, n)))
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in path_lengths)), lambda p: p.isNotNull())
     hosts = urls.filter("host <> ''").select("url", "path", F.explode(suffixes).alias("suffix")).filter("suffix <> ''")
     each = hosts.select("url", "suffix", F.explode(prefixes).alias("prefix"))
@@ -86,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], default: str = "allow",
     if len(rules) <= BROADCAST_RULES:
         table = F.broadcast(table)
     distinct = named.select("url", "host", "path").distinct()
-    hits = expand(distinct, sorted({len(r.path) for r in rules})).join(table, "short").filter("full = digest")
+    hits = expand(distinct, sorted({len(r.path) for r in rules if r.host}), sorted({r.host.count(".") + 1 for r in rules if r.host})).join(table, "short").filter("full = digest")
     rank = F.struct(F.char_length("rule"), "host_chars", F.when(F.col("rule_verdict") == "block", 1).otherwise(0), "rule", "rule_verdict")
     best = hits.groupBy("url").agg(F.max(rank).alias("best")).select(F.col("url").alias("of"), "best.rule", "best.rule_verdict")
     joined = named.join(best, F.col("url") == F.col("of"), "left")
