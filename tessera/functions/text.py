@@ -1,7 +1,8 @@
 """Scalar text functions as Column expressions: tokens, densities, lines, labels, numbers, intents.
 
 Everything is built from built-in functions, so it runs in the JVM inside the plan that uses it. Word
-classes are spelled out ([\\p{L}\\p{N}_]) since the engines' own \\w differ beyond ASCII.
+classes are spelled out ([\\p{L}\\p{N}_]) since the engines' own \\w differ beyond ASCII; so is white space, of which
+the engines' \\s and trim know only a part, while filings are full of no-break spaces.
 """
 
 from __future__ import annotations
@@ -9,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of all of Unicode, inside a class of a pattern, and as characters.
+SPACE = r"\t-\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # These patterns decide which results are right.
-TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^{SPACE}\p{{L}}\p{{N}}_]"
 NUMERIC = r"\$[\d,]+|\d+\.?\d*%|[\d,]+\s?bps|\d[\d,]*\.\d+|\b\d{4}\b|\b\d[\d,]{2,}\b"
 SUBSECTIONS = (r"(?m)^\s*\d+\.\s+[A-Z]", r"(?m)^\s*\([a-z]\)\s+[A-Z]", r"(?m)^\s*[ivxlc]+\.\s+[A-Z]")
 METRIC_TERMS = (
@@ -34,12 +39,14 @@ HEDGES = (
     r"(?i)\b(approximately|roughly|estimated|may|might|could|unclear|uncertain|not specified|not available|limited information|"
     r"insufficient data|cannot confirm|unclear from)\b"
 )
+LABEL_PREFIX = r"^[a-zA-Z]+[-_]"
+LABEL_SPLIT = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 CITATION = r"(?i)\[Source\s+(\d+)\]"
-#: Names as they may stand in a question, longest first; those of equal length in a fixed order.
-COMPANIES = (
-    ("goldman sachs", "GS"), ("exxonmobil", "XOM"), ("microsoft", "MSFT"), ("jp morgan", "JPM"), ("blackrock", "BLK"), ("alphabet", "GOOGL"), ("jpmorgan", "JPM"),
-    ("goldman", "GS"), ("chevron", "CVX"), ("walmart", "WMT"), ("google", "GOOGL"), ("amazon", "AMZN"), ("apple", "AAPL"), ("exxon", "XOM"),
-)
+#: Names as they may stand in a question.
+COMPANIES = {
+    "apple": "AAPL", "microsoft": "MSFT", "google": "GOOGL", "alphabet": "GOOGL", "jpmorgan": "JPM", "jp morgan": "JPM", "goldman": "GS", "goldman sachs": "GS",
+    "blackrock": "BLK", "exxon": "XOM", "exxonmobil": "XOM", "chevron": "CVX", "walmart": "WMT", "amazon": "AMZN",
+}
 SECTORS = {
     "7372": "Technology", "7371": "Technology", "5045": "Technology", "6022": "Finance", "6211": "Finance", "6282": "Finance",
     "2911": "Energy", "1311": "Energy", "5311": "Retail", "5961": "Retail",
@@ -50,21 +57,26 @@ def matches(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def token_count(c: Column) -> Column:
     """Words and single marks: the stand-in for a model's tokens, whose vocabulary is a plug-in."""
     return F.regexp_count(c, F.lit(TOKEN))
 
 
 def truncate_tokens(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(r"\s*\S+"), 0), 1, n), "")
+    return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(rf"[{SPACE}]*[^{SPACE}]+"), 0), 1, n), "")
 
 
 def whitespace_tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(c, rf"[{SPACE}]+"), lambda t: t != "")
 
 
 def lines(c: Column) -> Column:
-    return F.filter(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != "")
+    return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -92,7 +104,7 @@ def table_row_count(c: Column) -> Column:
 
 def avg_sentence_length(c: Column) -> Column:
     """Mean tokens of what [.!?]+ separates; decimals are cut too. 0.0 without sentences."""
-    own = F.filter(F.split(c, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
+    own = F.filter(F.split(c, r"[.!?]+"), lambda s: strip(s) != "")
     total = F.aggregate(own, F.lit(0), lambda acc, s: acc + token_count(s))
     return F.coalesce(F.round(F.try_divide(total.cast("double"), F.nullif(F.size(own), F.lit(0))), 2), F.lit(0.0))
 
@@ -102,7 +114,7 @@ def has_subsections(c: Column) -> Column:
 
 
 def paragraph_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != ""))
+    return F.size(F.filter(F.split(c, r"\n{2,}"), lambda p: strip(p) != ""))
 
 
 def signals(c: Column) -> Column:
@@ -120,7 +132,7 @@ def classify_section(default: Column, numerical: Column, table: Column) -> Colum
 
 def embedded_tables(c: Column) -> Column:
     """Runs of two or more lines that begin and end with a bar."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(\|.+\|(?:\n\|.+\|)+)"), 1), lambda t: F.trim(t))
+    return F.transform(F.regexp_extract_all(c, F.lit(r"(\|.+\|(?:\n\|.+\|)+)"), 1), strip)
 
 
 def section_id(ticker: Column, year: Column, item: Column) -> Column:
@@ -132,34 +144,37 @@ def chunk_id(ticker: Column, year: Column, item: Column, index: Column) -> Colum
 
 
 def normal_ticker(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def normal_cik(c: Column) -> Column:
     """Ten digits at least; longer ones stay as they are."""
-    t = F.trim(c)
+    t = strip(c)
     return F.when(F.length(t) < 10, F.lpad(t, 10, "0")).otherwise(t)
 
 
 def dashed_accession(c: Column) -> Column:
-    plain = F.regexp_replace(F.trim(c), "-", "")
+    plain = F.regexp_replace(strip(c), "-", "")
     return F.when(plain.rlike(r"^\d{18}$"), F.concat_ws("-", F.substring(plain, 1, 10), F.substring(plain, 11, 2), F.substring(plain, 13, 6))).otherwise(c)
 
 
+def title(c: Column) -> Column:
+    """A capital after everything that is no letter, digits and marks among it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), 0), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
 def clean_label(c: Column) -> Column:
     """us-gaap_NetIncomeLoss: one leading prefix goes, camel case is split, words get capitals."""
-    t = F.trim(c)
-    t = F.regexp_replace(t, r"^[a-zA-Z]+[-_]", "")
-    t = F.regexp_replace(t, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
-    t = F.trim(F.regexp_replace(t, r"[-_\s]+", " "))
-    return F.when(F.trim(c).isin("nan", "None", "") | c.isNull(), "").otherwise(F.initcap(t))
+    t = F.regexp_replace(F.regexp_replace(strip(c), LABEL_PREFIX, ""), LABEL_SPLIT, " ")
+    t = strip(F.regexp_replace(t, rf"[-_{SPACE}]+", " "))
+    return F.when(strip(c).isin("nan", "None", "") | c.isNull(), "").otherwise(title(t))
 
 
 def format_number(c: Column) -> Column:
     """$33.68B, $25M, $3K, percent below 2, or whole numbers with commas; words pass, missing values become a dash."""
     v = c.try_cast("double")
     a = F.abs(v)
-    text = F.trim(c)
+    text = strip(c)
     fixed = lambda x, d: F.format_string(f"%.{d}f", x)
     return (
         F.when(F.isnan(v), "—")
@@ -180,15 +195,16 @@ def sector(sic: Column) -> Column:
 
 def tokenise(c: Column) -> Column:
     """Terms of the lexical index: items joined, amounts without commas, lower case, marks but $ % . gone."""
-    t = F.regexp_replace(c, r"(?i)\b(item)\s+(\d+[a-zA-Z]?)\b", "item_$2")
-    t = F.lower(F.regexp_replace(t, r"(?<=\$[\d,]{0,64}),", ""))
+    t = F.regexp_replace(c, rf"(?i)\b(item)[{SPACE}]+(\d+[a-zA-Z]?)\b", "item_$2")
+    # a comma in an amount follows its dollar sign and digits, or the comma before it and digits
+    t = F.lower(F.regexp_replace(t, r"(\$\d*|(?!^)\G\d*),", "$1"))
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_$%.]", " ")
     return F.filter(F.split(t, " +"), lambda x: (F.length(x) > 1) | x.startswith("$"))
 
 
 def sentences(c: Column) -> Column:
     """Cut after . ! ? and white space; those of more than three tokens."""
-    return F.filter(F.split(F.trim(c), r"(?<=[.!?])\s+"), lambda s: token_count(s) > 3)
+    return F.filter(F.split(strip(c), rf"(?<=[.!?])[{SPACE}]+"), lambda s: token_count(s) > 3)
 
 
 def classify_query(c: Column) -> Column:
@@ -203,10 +219,15 @@ def item_hint(c: Column) -> Column:
     return F.when(intent(c) == "risk", "1A")
 
 
+def by_length(names: dict[str, str]) -> list[tuple[str, str]]:
+    """Longer names first; those of equal length in their order."""
+    return sorted(names.items(), key=lambda x: -len(x[0]))
+
+
 def companies(c: Column) -> Column:
     """Tickers of the names in the text, by the length of the name, each once."""
     low = F.lower(c)
-    return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(name), ticker) for name, ticker in COMPANIES))))
+    return F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(name), ticker) for name, ticker in by_length(COMPANIES)))))
 
 
 def hedges(c: Column) -> Column:

@@ -1,20 +1,24 @@
 """Eight quality metrics of a chunking, their weights, and the choice of the best strategy.
 
-A chunking is a row with its section's text and an array of chunks; every metric but one is a Column over
-that row, so scoring needs no shuffle. Choosing a winner is one aggregation a section.
+A chunking is a row with its section's text and an array of chunks; metrics are Columns over that row, or
+come from one Arrow pass where they need embeddings or places of matches. Scoring needs no shuffle; choosing a winner is one
+aggregation a section.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .search import cosine
+from .chunking import count_tokens
 
 METRICS = ("icc", "dcc", "rc", "sc", "bi", "nds", "tbi", "sps")
 # Weights of the metrics by the section's type.
@@ -38,7 +42,7 @@ def _bounded(c: Column) -> Column:
 
 
 def _spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return X.strip(F.regexp_replace(c, rf"[{X.SPACE}]+", " "))
 
 
 def _once(value: Column, use) -> Column:
@@ -46,48 +50,22 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def hash_embedding(c: Column) -> Column:
-    """The offline embedder: counts of the text's terms in DIMENSIONS bins by a digest of the term."""
-    bins = F.transform(X.tokenise(c), lambda t: F.pmod(F.conv(F.substring(F.md5(F.encode(t, "UTF-8")), 1, 2), 16, 10).cast("int"), F.lit(DIMENSIONS)))
-    return _once(bins, lambda own: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.size(F.filter(own, lambda b: b == d)).cast("double")))
-
-
 def size_compliance(chunks: Column) -> Column:
     fit = F.filter(chunks, lambda c: X.token_count(c).between(MIN_TOKENS, MAX_TOKENS))
     return _share(F.size(fit), F.size(chunks), 0.0)
 
 
-def cohesion(chunks: Column, embed=hash_embedding) -> Column:
-    """Mean over chunks of how close a chunk's sentences are to it; without an embedder 1."""
-    if embed is None:
-        return F.lit(1.0)
-
-    def one(c: Column) -> Column:
-        def mean(own: Column) -> Column:
-            total = _once(embed(c), lambda v: F.aggregate(F.transform(own, embed), F.lit(0.0), lambda acc, s: acc + cosine(s, v)))
-            return F.when(F.size(own) < 2, F.lit(1.0)).otherwise(total / F.size(own))
-
-        return _once(X.sentences(c), mean)
-
-    total = F.aggregate(F.transform(chunks, one), F.lit(0.0), lambda acc, x: acc + x)
-    return _bounded(_share(total, F.size(chunks), 0.0))
-
-
-def coherence(chunks: Column, embed=hash_embedding) -> Column:
-    """Mean closeness of neighbours; one chunk alone, or no embedder, gives 1."""
-    if embed is None:
-        return F.lit(1.0)
-    n = F.size(chunks)
-    pairs = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: cosine(F.element_at(v, i), F.try_element_at(v, i + 1)))
-    total = _once(F.transform(chunks, embed), lambda v: F.aggregate(pairs(v), F.lit(0.0), lambda acc, x: acc + x))
-    return F.when(n < 2, F.lit(1.0)).otherwise(_bounded(total / (n - 1)))
+# List items, table rows, item headers, separators of tables.
+LIST_ITEM, TABLE_ROW, ITEM_HEADER = r"(?m)^\s*[-*•]\s+\S|^\s*\d+\.\s+\S", r"(?m)^\s*\|.+\|\s*$", r"(?m)^\s*(?:Item\s+\d+[A-Z]?|ITEM\s+\d+[A-Z]?)"
+DATA_ROW, SEPARATOR_ROW = r"(?m)^[ \t]*\|.+\|[ \t]*$", r"^\|[-:| ]+\|$"
+ITEM_NUMBER = r"(?:^|\n)\s*(?:ITEM|Item)\s+(\d+[A-Za-z]?)\b"
 
 
 def structural_blocks(c: Column) -> Column:
     """Paragraphs of twenty tokens or more, beginnings of list items, table rows and item headers."""
-    strip = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    strip = lambda a: F.transform(a, X.strip)
     paragraphs = F.filter(strip(F.split(c, r"\n{2,}")), lambda p: (p != "") & (X.token_count(p) >= 20))
-    rest = F.concat(*(strip(F.regexp_extract_all(c, F.lit(p), 0)) for p in (r"(?m)^\s*[-*•]\s+\S|^\s*\d+\.\s+\S", r"(?m)^\s*\|.+\|\s*$", r"(?m)^\s*(?:Item\s+\d+[A-Z]?|ITEM\s+\d+[A-Z]?)")))
+    rest = F.concat(*(strip(F.regexp_extract_all(c, F.lit(p), 0)) for p in (LIST_ITEM, TABLE_ROW, ITEM_HEADER)))
     return F.concat(paragraphs, F.array_except(F.array_distinct(F.filter(rest, lambda x: x != "")), paragraphs))
 
 
@@ -111,16 +89,16 @@ def density_spread(target: Column, chunks: Column) -> Column:
 
 
 def table_integrity(text: Column, chunks: Column) -> Column:
-    rows = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*\|.+\|[ \t]*$"), 0), lambda r: F.trim(r)), lambda r: ~r.rlike(r"^\|[-:| ]+\|$"))
+    rows = F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATA_ROW), 0), X.strip), lambda r: ~r.rlike(SEPARATOR_ROW))
     share = _once(rows, lambda own: _share(F.size(_found(own, chunks)), F.size(own), 1.0))
     return F.when(F.size(chunks) == 0, 0.0).otherwise(_bounded(share))
 
 
 def section_purity(item: Column, chunks: Column) -> Column:
-    own = F.upper(F.trim(item))
+    own = F.upper(X.strip(item))
 
     def pure(c: Column) -> Column:
-        headers = F.regexp_extract_all(c, F.lit(r"(?:^|\n)\s*(?:ITEM|Item)\s+(\d+[A-Za-z]?)\b"), 1)
+        headers = F.regexp_extract_all(c, F.lit(ITEM_NUMBER), 1)
         return F.forall(headers, lambda h: F.upper(h) == own)
 
     return _bounded(_share(F.size(F.filter(chunks, pure)), F.size(chunks), 0.0))
@@ -137,8 +115,6 @@ def reference_share(text: str, chunks: list[str]) -> float:
     Places map to chunks by the lengths of the chunks before, one character apart."""
     if len(chunks) <= 1:
         return 1.0
-    import numpy as np
-
     mentions = np.array([(m.start(), m.end()) for m in _ENTITY.finditer(text)]).reshape(-1, 2)
     back = np.array([m.start() for m in _PRONOUN.finditer(text)])
     if not len(mentions) or not len(back):
@@ -159,23 +135,85 @@ def reference_share(text: str, chunks: list[str]) -> float:
     return round(float(1.0 - broken / total), 4) if total else 1.0
 
 
-def with_reference_share(chunked: DataFrame) -> DataFrame:
-    """Adds rc; the places of matches are the one thing here that built-in functions do not give."""
+class TermBins:
+    """The offline embedder: counts of the text's terms in DIMENSIONS bins by a digest of the term."""
+
+    def __init__(self):
+        self.bins: dict[str, int] = {}
+
+    def bin(self, term: str) -> int:
+        if (b := self.bins.get(term)) is None:
+            if len(self.bins) > 200_000:
+                self.bins.clear()
+            b = self.bins[term] = hashlib.md5(term.encode()).digest()[0] % DIMENSIONS
+        return b
+
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.bincount([self.bin(t) for t in terms(text)], minlength=DIMENSIONS).astype(float) if text else np.zeros(DIMENSIONS) for text in texts]
+
+
+_ITEM, _AMOUNT, _MARKS = re.compile(rf"(?ai)\b(item)[{re.escape(X.BLANKS)}]+(\d+[a-zA-Z]?)\b"), re.compile(r"\$[\d,]+", re.A), re.compile(r"[^\w$%.]")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+
+
+def terms(text: str) -> list[str]:
+    """What text.tokenise does, for one text."""
+    t = _AMOUNT.sub(lambda m: m[0].replace(",", ""), _ITEM.sub(r"item_\2", text)).lower()
+    return [w for w in _MARKS.sub(" ", t).split(" ") if len(w) > 1 or w.startswith("$")]
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = math.sqrt(float(a @ a)), math.sqrt(float(b @ b))
+    return float(a @ b) / (x * y) if x > 0 and y > 0 else 0.0
+
+
+def _clipped(x: float) -> float:
+    return math.floor(max(0.0, min(1.0, x)) * 10_000 + 0.5) / 10_000
+
+
+def cohesion(chunks: list[str], embedder) -> float:
+    """Mean over chunks of how close a chunk's sentences are to it; without an embedder 1."""
+    if embedder is None:
+        return 1.0
+    total = 0.0
+    for c in chunks:
+        own = [s for s in _SENTENCE.split(c.strip()) if count_tokens(s) > 3]
+        if len(own) < 2:
+            total += 1.0
+            continue
+        whole, *each = (np.asarray(v, float) for v in embedder.embed([c, *own]))
+        total += sum(_cosine(s, whole) for s in each) / len(own)
+    return _clipped(total / len(chunks)) if chunks else 0.0
+
+
+def coherence(chunks: list[str], embedder) -> float:
+    """Mean closeness of neighbours; one chunk alone, or no embedder, gives 1."""
+    if embedder is None or len(chunks) < 2:
+        return 1.0
+    v = [np.asarray(x, float) for x in embedder.embed(chunks)]
+    return _clipped(sum(map(_cosine, v, v[1:])) / (len(v) - 1))
+
+
+def with_text_metrics(chunked: DataFrame, embed: Callable[[], object] | None = TermBins) -> DataFrame:
+    """Adds rc, icc and dcc in one pass: what places of matches or vectors of texts decide. embed makes the embedder of a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder = embed() if embed else None
         for batch in batches:
             text, chunks = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("chunks"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([reference_share(t.as_py() or "", c.as_py() or []) for t, c in zip(text, chunks)], pa.float64())], [*batch.schema.names, "rc"])
+            found = [(reference_share(t.as_py() or "", own := c.as_py() or []), cohesion(own, embedder), coherence(own, embedder)) for t, c in zip(text, chunks)]
+            cols = list(zip(*found)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in cols)], [*batch.schema.names, "rc", "icc", "dcc"])
 
-    return chunked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema) + ", rc double")
+    return chunked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema) + ", rc double, icc double, dcc double")
 
 
-def score(chunked: DataFrame, embed=hash_embedding) -> DataFrame:
+def score(chunked: DataFrame, embed: Callable[[], object] | None = TermBins) -> DataFrame:
     """chunked: text, chunks, item_number, section_type, numerical_density (of the section). Adds the metrics and total."""
     text, chunks = F.col("text"), F.col("chunks")
-    scored = with_reference_share(chunked).withColumns({
-        "sc": F.round(size_compliance(chunks), 4), "icc": cohesion(chunks, embed), "dcc": coherence(chunks, embed), "bi": block_integrity(text, chunks),
-        "nds": density_spread(F.col("numerical_density"), chunks), "tbi": table_integrity(text, chunks), "sps": section_purity(F.col("item_number"), chunks),
+    scored = with_text_metrics(chunked, embed).withColumns({
+        "sc": F.round(size_compliance(chunks), 4), "bi": block_integrity(text, chunks), "nds": density_spread(F.col("numerical_density"), chunks),
+        "tbi": table_integrity(text, chunks), "sps": section_purity(F.col("item_number"), chunks),
     })
     return scored.withColumn("total", weighted_total(F.col("section_type")))
 
@@ -193,7 +231,7 @@ def winners(scored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_fallback(won: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sections without any scored strategy keep their text as one chunk, scored 0."""
-    return sections.select(key, "text").join(won, key, "left").select(key, F.coalesce("strategy", F.lit("recursive_600")).alias("strategy"), F.coalesce("chunking_score", F.lit(0.0)).alias("chunking_score"), F.coalesce("chunks", F.array(F.trim("text"))).alias("chunks"))
+    return sections.select(key, "text").join(won, key, "left").select(key, F.coalesce("strategy", F.lit("recursive_600")).alias("strategy"), F.coalesce("chunking_score", F.lit(0.0)).alias("chunking_score"), F.coalesce("chunks", F.array(X.strip(F.col("text")))).alias("chunks"))
 
 
 def competition(scored: DataFrame, key: str = "doc_id") -> DataFrame:

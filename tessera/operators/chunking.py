@@ -6,7 +6,9 @@ strategy with its chunks as an array. No shuffle, and all strategies of a sectio
 
 from __future__ import annotations
 
+import logging
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+log = logging.getLogger(__name__)
 _TOKEN = re.compile(r"\w+|[^\s\w]")
 STRATEGIES = ("recursive_600", "recursive_1100", "table_aware", "llm_regex")
 
@@ -142,14 +145,56 @@ def valid_pattern(pattern: str | None) -> bool:
 
 
 def split_by_pattern(text: str, pattern: str) -> list[str]:
-    """Pieces that end with what matched, stripped, blank ones dropped."""
-    out, at = [], 0
-    for m in re.finditer(pattern, text):
-        if m.end() > m.start():
-            out.append(text[at : m.end()].strip())
-            at = m.end()
-    out.append(text[at:].strip())
-    return [p for p in out if p] or [text.strip()]
+    """Pieces that end with what matched, stripped, blank ones dropped. Groups within the pattern count as pieces too."""
+    parts = [p or "" for p in re.split(f"({pattern})", text)]
+    joined = ("".join(parts[k : k + 2]).strip() for k in range(0, len(parts), 2))
+    return [p for p in joined if p] or [text.strip()]
+
+
+def without_fences(answer: str) -> str:
+    """A model's answer without the code fences around it."""
+    return re.sub(r"\n?```$", "", re.sub(r"^```[a-z]*\n?", "", answer.strip())).strip()
+
+
+def find_pattern(ask: Callable[[str], str], prompt: str, attempts: int = 2, pause: float = 0.5) -> str | None:
+    """The first valid pattern of the model's answers to the prompt; None if no attempt gives one."""
+    for k in range(attempts):
+        try:
+            pattern = without_fences(ask(prompt) or "")
+            if valid_pattern(pattern):
+                return pattern
+            log.warning("no pattern to split by in attempt %d: %r", k + 1, pattern[:80])
+        except Exception as e:
+            log.warning("attempt %d to get a pattern failed: %s: %s", k + 1, type(e).__name__, e)
+        if k + 1 < attempts:
+            time.sleep(pause)
+    return None
+
+
+PATTERN_TOKENS = 3000
+PATTERN_PROMPT = (
+    "Item {item} ({title}, {kind}, {tokens} tokens) of an annual report begins below. Give one regular expression that matches where "
+    "it should be cut, after numbered parts or where prose and figures change, and nothing else.\n\n{text}"
+)
+
+
+def with_patterns(sections: DataFrame, make: Callable[[], object], attempts: int = 2, pause: float = 0.5, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Adds `pattern`, asked of a provider with a method propose(prompt) for each section long enough to be worth it; null where none is valid."""
+    tokens = X.token_count(F.col("text"))
+    own = lambda c, t: F.coalesce(F.col(c).cast(t), F.lit("")) if c in sections.columns else F.lit("")
+    prompt = F.lit(PATTERN_PROMPT)
+    for name, value in (("item", own("item_number", "string")), ("title", own("item_title", "string")), ("kind", own("section_type", "string")), ("tokens", tokens.cast("string")), ("text", X.truncate_tokens(F.col("text"), PATTERN_TOKENS))):
+        prompt = F.replace(prompt, F.lit("{%s}" % name), value)
+    asked = sections.withColumn("prompt", F.when(tokens >= config.pattern_min_tokens, prompt))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for batch in batches:
+            prompts = batch.column(batch.schema.get_field_index("prompt"))
+            found = pa.array([find_pattern(provider.propose, x.as_py(), attempts, pause) if x.is_valid else None for x in prompts], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, n in enumerate(batch.schema.names) if n != "prompt"), found], [*(n for n in batch.schema.names if n != "prompt"), "pattern"])
+
+    return asked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sections.schema) + ", pattern string")
 
 
 def pattern_chunks(text: str, pattern: str | None, config: ChunkConfig) -> list[str]:
@@ -187,35 +232,53 @@ def candidates(section_type: Column, table_density: Column, tokens: Column, use_
     ))
 
 
-def chunk_sections(sections: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig(), pattern: str | None = None) -> DataFrame:
-    """sections: key, text, strategies (an array). Gives key, strategy, ord (its place), chunks (an array)."""
-    kind = sections.schema[key].dataType.simpleString()
+def chunk_sections(sections: DataFrame, key: str = "doc_id", config: ChunkConfig = ChunkConfig(), pattern: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """sections: key, text, strategies (an array). Gives key, strategy, ord (its place), chunks (an array), and the columns to carry.
+
+    A column `pattern` of the sections goes before the pattern given for all."""
+    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]
+    own = F.col("pattern") if "pattern" in sections.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, names, places, made = [], [], [], []
-            for k, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            rows, names, places, made = [], [], [], []
+            for k, (text, wanted, told) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 text = text.as_py()
                 if text and text.strip():
                     for place, name in enumerate(wanted or ()):
-                        keys.append(k)
+                        rows.append(k)
                         names.append(name)
                         places.append(place)
-                        made.append(run_strategy(name, text, config, pattern))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(made, pa.list_(pa.string()))], [key, "strategy", "ord", "chunks"])
+                        made.append(run_strategy(name, text, config, told or pattern))
+            back = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(back), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(made, pa.list_(pa.string())), *(c.take(back) for c in batch.columns[4:])], ["key", "strategy", "ord", "chunks", *(f"c{k}" for k in range(len(carry)))])
+
+    kinds = "".join(f", c{k} {sections.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = sections.select(F.col(key).alias("key"), "text", "strategies", own.alias("pattern"), *kept).mapInArrow(run, f"key {sections.schema[key].dataType.simpleString()}, strategy string, ord int, chunks array<string>{kinds}")
+    return out.withColumnsRenamed({"key": key, **{f"c{k}": c for k, c in enumerate(carry)}})
+
+
+def separator_pieces(docs: DataFrame, separator: str, size: int = 600, key: str = "doc_id") -> DataFrame:
+    """key, i, piece: each text cut once at the separator."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [cut(x.as_py() or "", separator, size) for x in batch.column(1)]
+            back = pa.array([k for k, own in enumerate(made) for _ in own], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(back), pa.array([i for own in made for i in range(len(own))], pa.int32()), pa.array([p for own in made for p in own], pa.string())], [key, "i", "piece"])
 
-    return sections.select(key, "text", "strategies").mapInArrow(run, f"`{key}` {kind}, strategy string, ord int, chunks array<string>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, i int, piece string")
 
 
 def table_islands(docs: DataFrame, key: str = "doc_id", text: str = "text", pipe_share: float = 0.5) -> DataFrame:
     """The same runs of lines as table_blocks, as rows: key, block, is_table, first_line, n_lines."""
     each = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    own = F.trim("line")
+    own = X.strip(F.col("line"))
     pipes = F.length(own) - F.length(F.replace(own, F.lit("|"), F.lit("")))
     flag = (own != "") & (own.rlike(r"^\|[-:| ]+\|$") | ((pipes > 0) & (pipes / F.length(own) >= pipe_share)))
     w = W.partitionBy(key).orderBy("i")
     runs = each.withColumn("t", flag).withColumn("new", F.coalesce((F.col("t") != F.lag("t").over(w)).cast("int"), F.lit(1))).withColumn("block", F.sum("new").over(w))
-    return runs.groupBy(key, "block").agg(F.first("t").alias("is_table"), F.min("i").alias("first_line"), F.count("*").alias("n_lines"), F.max((F.trim("line") != "").cast("int")).alias("full")).filter("full = 1").drop("full")
+    return runs.groupBy(key, "block").agg(F.first("t").alias("is_table"), F.min("i").alias("first_line"), F.count("*").alias("n_lines"), F.max((X.strip(F.col("line")) != "").cast("int")).alias("full")).filter("full = 1").drop("full")
 
 
 def line_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
@@ -234,7 +297,7 @@ def is_table_chunk(text: Column) -> Column:
 
 def materialise(chunked: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of chunks with ids and their own signals; blank chunks are skipped but keep their index and count in the total."""
-    each = chunked.select(key, "strategy", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "text")).filter(F.trim("text") != "")
+    each = chunked.select(key, "strategy", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "text")).filter(X.strip(F.col("text")) != "")
     named = each.join(sections.select(key, "ticker", "fiscal_year", "item_number"), key)
     return named.withColumns({
         "chunk_id": X.chunk_id(F.col("ticker"), F.col("fiscal_year"), F.col("item_number"), F.col("chunk_index")),

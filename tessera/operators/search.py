@@ -13,17 +13,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import spread, staged
 
 #: Rows of a query side that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Values of a matrix of query vectors.
+MATRIX = 4_000_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 FILTERS = ("ticker", "fiscal_year", "item_number", "section_type", "is_table_chunk", "sector")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than that many rows, counted first and kept for its use."""
-    df = df.persist()
+    """df with a broadcast hint if it has no more than that many rows, counted first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -54,23 +56,29 @@ class LexicalIndex:
 
 
 def build_lexical(docs: DataFrame, pos: str = "doc_id", text: str = "text") -> LexicalIndex:
-    terms = docs.select(F.col(pos).alias("pos"), X.tokenise(F.col(text)).alias("terms"))
-    each = terms.select("pos", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    # postings are read several times; save_lexical makes them a table for good
-    postings = each.groupBy("term", "pos").agg(F.count("*").alias("tf"), F.first("len").alias("len")).persist()
-    n, mean = terms.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    """Texts are cut into terms once; postings are written before they are counted."""
+    cut = spread(docs.select(F.col(pos).alias("pos"), F.col(text).alias("text"))).select("pos", X.tokenise(F.col("text")).alias("terms"))
+    # explode_outer: the optimizer adds no condition to it that would cut every text once more
+    each = cut.select("pos", F.size("terms").alias("len"), F.explode_outer("terms").alias("term"))
+    postings = each.groupBy("term", "pos").agg(F.count("*").alias("tf"), F.first("len").alias("len")).filter("term is not null")
+    return lexical_index(staged(postings, "postings", "lz4"), docs.count())
+
+
+def lexical_index(postings: DataFrame, documents: int) -> LexicalIndex:
+    """The index of a table of postings."""
+    mean = (postings.agg(F.sum("tf")).first()[0] or 0) / max(documents, 1)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = df.withColumn("raw", F.log(F.lit(float(documents)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     # terms in more than half of all documents get a share of the mean instead of a negative weight
     mean_idf = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    return LexicalIndex(postings, raw.crossJoin(F.broadcast(mean_idf)).select("term", "df", idf.alias("idf")), n, mean or 0.0)
+    return LexicalIndex(postings, raw.crossJoin(F.broadcast(mean_idf)).select("term", "df", idf.alias("idf")), documents, mean)
 
 
 def lexical_scores(index: LexicalIndex, queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, pos, score) of every document that has a term of the query; a repeated term counts again."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenise(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = small(small(asked).join(index.terms, "term"))
+    asked = small(index.terms.join(small(asked), "term"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / index.mean_length))
     return index.postings.join(asked, "term").groupBy("query_id", "pos").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -108,31 +116,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, pos, score): inner products of queries (query_id, query_vector) with vectors (pos, vector).
+def dense_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, score, rank): the k largest inner products of each query (query_id, query_vector) with vectors (pos, vector).
 
-    The stated queries go to every partition of the vectors in one matrix; a partition's vectors meet them batch
-    by batch, so no pair becomes a row before its score is known."""
+    The stated queries go to every partition of the vectors as matrices of at most MATRIX values, one pass a matrix; a partition
+    keeps its best k a query, and only these become rows. Equal scores rank by pos."""
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.filter("query_vector is not null").orderBy("query_id").limit(BROADCAST_ROWS + 1).collect()
-    if len(asked) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries at once; give them in blocks")
-    ids = [r["query_id"] for r in asked]
-    matrix = np.array([r["query_vector"] for r in asked], np.float64).reshape(len(ids), -1)
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(1)
-            if not batch.num_rows or not ids:
-                continue
-            values = np.stack([np.asarray(x, np.float64) for x in rows.to_pylist()])
-            scores = np.round(values @ matrix.T, 6)
-            pos = np.repeat(np.asarray(batch.column(0).to_pylist()), len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.array(ids), len(values)), pa.int64()), pa.array(pos, pa.int64()), pa.array(scores.ravel())], ["query_id", "pos", "score"])
-
-    return vectors.filter("vector is not null").select("pos", "vector").mapInArrow(run, "query_id long, pos long, score double")
+    def runner(ids: np.ndarray, matrix: np.ndarray):
+        def run(batches):
+            # the best so far as (query, score, pos), and the score a query's row must reach
+            held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            least = np.full(len(ids), -np.inf)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                scores = np.round(matrix @ np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]).T, 6)
+                q, j = np.nonzero(scores >= least[:, None])
+                held = np.concatenate([held[0], q]), np.concatenate([held[1], scores[q, j]]), np.concatenate([held[2], np.asarray(batch.column(0).to_pylist(), np.int64)[j]])
+                order = np.lexsort((held[2], -held[1], held[0]))
+                first = np.searchsorted(held[0][order], np.arange(len(ids)))
+                place = np.arange(len(order)) - first[held[0][order]]
+                held = tuple(x[order[place < k]] for x in held)
+                last = place[place < k] == k - 1
+                least[held[0][last]] = held[1][last]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1])], ["query_id", "pos", "score"])
+
+        return run
+
+    own, parts, block, size = vectors.filter("vector is not null").select("pos", "vector"), [], [], 0
+
+    def finish() -> None:
+        ids = np.array([r[0] for r in block], np.int64)
+        parts.append(own.mapInArrow(runner(ids, np.array([r[1] for r in block], np.float64)), "query_id long, pos long, score double"))
+
+    for r in queries.filter("query_vector is not null").select("query_id", "query_vector").toLocalIterator():
+        block.append(r)
+        size += len(r[1])
+        if size >= MATRIX:
+            finish()
+            block, size = [], 0
+    if block:
+        finish()
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "query_id long, pos long, score double, rank int")
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionAll(more)
+    return top_k(found, k, [F.desc("score"), F.asc("pos")], ["query_id"])
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None, strict_prefilter: bool = False) -> DataFrame:
@@ -140,7 +172,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: DataFrame
     strict_prefilter it is applied first."""
     if keep is not None and strict_prefilter:
         vectors, keep = vectors.join(keep.select("pos"), "pos", "left_semi"), None
-    best = top_k(dense_scores(vectors, queries), k if keep is None else 10 * k, [F.desc("score"), F.asc("pos")], ["query_id"])
+    best = dense_best(vectors, queries, k if keep is None else 10 * k)
     if keep is None:
         return best
     return top_k(best.drop("rank").join(keep.select("pos"), "pos", "left_semi"), k, [F.desc("score"), F.asc("pos")], ["query_id"])
@@ -171,20 +203,25 @@ def route(query: Column, ticker: Column | None = None, item: Column | None = Non
 
 
 def routed(queries: DataFrame) -> DataFrame:
-    """One row a job: query_id, query, job, ticker, item_number, weight."""
+    """One row a job: query_id, query, job, ticker, item_number, weight, and the query's other filters, which hold for every job."""
     has = lambda c: F.col(c) if c in queries.columns else None
-    jobs = queries.select("query_id", "query", F.posexplode(route(F.col("query"), has("ticker"), has("item_number"))).alias("job", "j"))
-    return jobs.select("query_id", "query", "job", "j.*")
+    others = [c for c in FILTERS if c in queries.columns and c not in ("ticker", "item_number")]
+    jobs = queries.select("query_id", "query", *others, F.posexplode(route(F.col("query"), has("ticker"), has("item_number"))).alias("job", "j"))
+    return jobs.select("query_id", "query", "job", "j.*", *others)
 
 
 # --- fusion ---
 
 
 def multi_job(scored: DataFrame, jobs: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The best k of every job: scored (query_id, pos, score) filtered by each job's ticker and item."""
-    meta = chunks.select("pos", F.upper("ticker").alias("c_ticker"), F.col("item_number").alias("c_item"))
-    fits = (F.col("ticker").isNull() | (F.upper("ticker") == F.col("c_ticker"))) & (F.col("item_number").isNull() | (F.col("item_number") == F.col("c_item")))
-    each = scored.join(small(jobs.drop("query")), "query_id").join(meta, "pos").filter(fits)
+    """The best k of every job: scored (query_id, pos, score) filtered by each filter that the job has and that isn't null."""
+    used = [c for c in FILTERS if c in jobs.columns]
+    meta = chunks.select("pos", *((F.upper(c) if c == "ticker" else F.col(c)).alias(f"c_{c}") for c in used))
+    fits = F.lit(True)
+    for c in used:
+        wanted = F.upper(c) if c == "ticker" else F.col(c)
+        fits = fits & (F.col(c).isNull() | (wanted == F.col(f"c_{c}")))
+    each = scored.join(small(jobs.select("query_id", "job", *used)), "query_id").join(meta, "pos").filter(fits)
     return top_k(each.select("query_id", "job", "pos", "score"), k, [F.desc("score"), F.asc("pos")], ["query_id", "job"])
 
 
@@ -204,15 +241,25 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int = RRF_K) -> DataFrame:
     return a.join(b, ["query_id", "pos"], "full").withColumn("rrf_score", F.round(part("bm25_rank") + part("dense_rank"), 6))
 
 
-def hybrid(index: LexicalIndex, vectors: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 20, fan_out: int = 3) -> DataFrame:
-    """Routed hybrid retrieval: each job's best fan_out * top of both sides, deduplicated, fused, cut to top."""
-    asked = queries.filter(F.trim("query") != "")
+def hybrid(index: LexicalIndex | None, vectors: DataFrame | None, chunks: DataFrame, queries: DataFrame, top: int = 20, fan_out: int = 3) -> DataFrame:
+    """Routed hybrid retrieval: each job's best fan_out * top of both sides, deduplicated, fused, cut to top.
+
+    Without an index, without vectors or without a column query_vector the other side alone decides."""
+    asked = queries.filter(X.strip(F.col("query")) != "")
     jobs = routed(asked)
-    lexical = dedup(multi_job(lexical_scores(index, asked).filter("score > 0"), jobs, chunks, fan_out * top))
-    # the dense side keeps the ten-fold best of the corpus and filters those
-    best = top_k(dense_scores(vectors, asked), 10 * fan_out * top, [F.desc("score"), F.asc("pos")], ["query_id"]).drop("rank")
-    dense = dedup(multi_job(best, jobs, chunks, fan_out * top))
-    return top_k(fuse(lexical, dense), top, [F.desc("rrf_score"), F.asc("pos")], ["query_id"])
+    none = lambda: queries.sparkSession.createDataFrame([], "query_id long, pos long, score double, rank int")
+    lexical = dense = None
+    if index is not None:
+        lexical = dedup(multi_job(lexical_scores(index, asked).filter("score > 0"), jobs, chunks, fan_out * top))
+    if vectors is not None and "query_vector" in queries.columns:
+        # the dense side keeps the ten-fold best of the corpus and filters those
+        dense = dedup(multi_job(dense_best(vectors, asked, 10 * fan_out * top).drop("rank"), jobs, chunks, fan_out * top))
+    return top_k(fuse(none() if lexical is None else lexical, none() if dense is None else dense), top, [F.desc("rrf_score"), F.asc("pos")], ["query_id"])
+
+
+def chunks_only(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What was retrieved as chunks alone, best first, without ranks and scores: query_id, place, then the chunk's columns."""
+    return found.select("query_id", "pos", F.col("rank").alias("place")).join(chunks, "pos").select("query_id", "place", *chunks.columns)
 
 
 # --- reranking ---
@@ -235,7 +282,7 @@ def rerank(results: DataFrame, k: int = 5, scorer=lexical_logit) -> DataFrame:
     """results: query_id, query, pos, text, rrf_score, rank. Adds ce_score and the new rank; scorer None keeps fusion's order."""
     score = F.lit(None).cast("double")
     if scorer is not None:
-        score = F.when(F.trim("query") != "", F.round(sigmoid(scorer(F.col("query"), X.truncate_tokens(F.col("text"), RERANK_TOKENS))), 4))
+        score = F.when(X.strip(F.col("query")) != "", F.round(sigmoid(scorer(F.col("query"), X.truncate_tokens(F.col("text"), RERANK_TOKENS))), 4))
     out = results.withColumnRenamed("rank", "rrf_rank").withColumn("ce_score", score)
     return top_k(out, k, [F.desc_nulls_last("ce_score"), F.desc("rrf_score"), F.asc("rrf_rank")], ["query_id"])
 

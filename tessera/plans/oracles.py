@@ -9,6 +9,9 @@ from ..operators import answers, chunk_quality, ingest, search
 ASKS = (
     "Compare Apple and Microsoft revenue", "What risk does JPMorgan face?", "Why did Exxon and Chevron grow", "goldman sachs outlook", "net income of Walmart", "pineapple", "legal trouble", "",
 )
+#: Companies of the documents in turn, the year that some questions are limited to, and the years for which filings are asked.
+TICKERS = tuple(sorted(ingest.DEFAULT_CORPUS))
+YEAR_ASKED, FIRST_YEAR, LAST_YEAR = 2022, 1992, 1998
 
 
 def _q(s: str) -> str:
@@ -21,9 +24,9 @@ def _case(c: str, pairs, other: str = "NULL") -> str:
 
 # --- pieces ---
 
-_BLANK = lambda x: f"trim(regexp_replace({x}, '\\s', ' ', 'g'))"
-_toks = lambda x: f"list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')"
-_lines = lambda x: f"list_filter(string_split({x}, chr(10)), lambda l: {_BLANK('l')} <> '')"
+_strip = lambda x: f"trim({x}, {_q(X.BLANKS)})"
+_toks = lambda x: f"list_filter(string_split_regex({x}, '[{X.SPACE}]+'), lambda t: t <> '')"
+_lines = lambda x: f"list_filter(string_split({x}, chr(10)), lambda l: {_strip('l')} <> '')"
 _count = lambda x: f"len(regexp_extract_all({x}, {_q(X.TOKEN)}))"
 _num = lambda x: f"regexp_matches({x}, {_q(X.NUMERIC)})"
 _density = lambda x: f"coalesce(len(list_filter({_toks(x)}, lambda t: {_num('t')}))::DOUBLE / nullif(len({_toks(x)}), 0), 0.0)"
@@ -32,17 +35,17 @@ _tdensity = lambda x: f"coalesce(len(list_filter({_lines(x)}, lambda l: {_row('l
 
 
 def _tokenise(x: str) -> str:
-    t = f"regexp_replace({x}, '(?i)\\b(item)\\s+(\\d+[a-zA-Z]?)\\b', 'item_\\2', 'g')"
-    for _ in range(6):
-        t = f"regexp_replace({t}, '(\\$[\\d]*),', '\\1', 'g')"
-    t = f"regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}_$%.]', ' ', 'g')"
-    return f"list_filter(string_split_regex({t}, ' +'), lambda x: length(x) > 1 OR starts_with(x, '$'))"
+    t = f"regexp_replace({x}, '(?i)\\b(item)[{X.SPACE}]+(\\d+[a-zA-Z]?)\\b', 'item_\\2', 'g')"
+    # commas go from what follows a dollar sign
+    amount = "replace(regexp_extract(s, '^[0-9,]*'), ',', '') || regexp_replace(s, '^[0-9,]*', '')"
+    t = f"list_reduce(list_transform(string_split({t}, '$'), lambda s, i: CASE WHEN i = 1 THEN s ELSE {amount} END), lambda a, s: a || '$' || s)"
+    return f"list_filter(string_split(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}_$%.]', ' ', 'g'), ' '), lambda x: length(x) > 1 OR starts_with(x, '$'))"
 
 
 _ITEM = "CASE doc_id % 4 WHEN 0 THEN '1' WHEN 1 THEN '1A' WHEN 2 THEN '7' ELSE '8' END"
 _DEFAULT = _case("item_number", [(n, k) for _, n, _, k in ingest.ITEMS] + [("8", "financial_table")])
 _TITLE = _case("item_number", [(n, t) for _, n, t, _ in ingest.ITEMS] + [("8", ingest.ITEM_8[1])])
-SEC = f"sec AS (SELECT doc_id, upper(source) AS ticker, source AS company_name, (2020 + doc_id % 5)::INTEGER AS fiscal_year, {_ITEM} AS item_number, lang AS sector, text FROM documents WHERE trim(text) <> '')"
+SEC = f"sec AS (SELECT doc_id, upper(source) AS ticker, source AS company_name, (2020 + doc_id % 5)::INTEGER AS fiscal_year, {_ITEM} AS item_number, lang AS sector, text FROM documents WHERE {_strip('text')} <> '')"
 SIG = f"""{SEC},
 sig AS (
   SELECT *, {_DEFAULT} AS default_type, {_count('text')}::INTEGER AS token_count, round({_density('text')}, 4) AS numerical_density, round({_tdensity('text')}, 4) AS table_density FROM sec
@@ -51,7 +54,7 @@ typed AS (
   SELECT *, CASE WHEN item_number = '8' OR table_density >= 0.45 THEN 'financial_table'
     WHEN (table_density >= 0.2 OR numerical_density >= 0.15) AND default_type = 'narrative' THEN 'mixed' ELSE default_type END AS section_type FROM sig
 )"""
-_SENT = f"list_filter(string_split_regex(text, '[.!?]+'), lambda s: {_BLANK('s')} <> '')"
+_SENT = f"list_filter(string_split_regex(text, '[.!?]+'), lambda s: {_strip('s')} <> '')"
 
 # --- search ---
 
@@ -64,9 +67,12 @@ raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {search.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
-def _scores(where: str = "") -> str:
+_PLAIN = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+def _scores(asked: str = _PLAIN) -> str:
     return f"""{BM25},
-ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_tokenise('text')}) AS term FROM benchmark {where}) GROUP BY query_id, term),
+ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_tokenise('query')}) AS term FROM ({asked})) GROUP BY query_id, term),
 lex AS (
   SELECT query_id, pos, round(sum(times * idf * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * len / mean))), 6) AS score
   FROM post JOIN ask USING (term) JOIN idf USING (term), corpus GROUP BY query_id, pos
@@ -77,44 +83,27 @@ def _top(source: str, k: int, within: str = "query_id", columns: str = "*") -> s
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {within} ORDER BY score DESC, pos) AS rank FROM {source}) WHERE rank <= {k}"
 
 
-DENSE = """
+def _dense(queries: str) -> str:
+    return f"""
 vec AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS v, label FROM embeddings),
-den AS (SELECT q.pos AS query_id, x.pos, round(list_dot_product(q.v, x.v), 6) AS score FROM vec q, vec x WHERE q.pos < 10)"""
+den AS (SELECT q.pos AS query_id, x.pos, round(list_dot_product(q.v, x.v), 6) AS score FROM vec q, vec x WHERE {queries})"""
+
 
-FUSED = f"""{_scores('WHERE item_id < 10')},{DENSE},
+DENSE, DENSE_ASKED = _dense("q.pos % 100 = 0"), _dense("q.pos IN (SELECT item_id FROM benchmark)")
+
+FUSED = f"""{_scores()},{DENSE_ASKED},
 a AS ({_top("(SELECT * FROM lex WHERE score > 0)", 30)}), b AS ({_top("den", 30)})"""
 
 _RRF = f"round(coalesce(1.0::DOUBLE / ({search.RRF_K} + {{a}}), 0) + coalesce(1.0::DOUBLE / ({search.RRF_K} + {{b}}), 0), 6)"
 
 _HINTED = f"CASE WHEN NOT regexp_matches(query, {_q(X.METRIC_TERMS)}) AND regexp_matches(query, {_q(X.RISK_TERMS)}) THEN '1A' END"
 
-HYBRID = f"""{_scores('WHERE item_id < 10')},{DENSE},
-sec0 AS (SELECT doc_id AS pos, {_ITEM} AS item_number FROM documents WHERE trim(text) <> ''),
-hint AS (SELECT item_id AS query_id, text AS query, {_HINTED.replace('query', 'text')} AS item FROM benchmark WHERE item_id < 10 AND item_id IN (SELECT pos FROM vec)),
-la AS ({_top("(SELECT lex.* FROM lex JOIN hint USING (query_id) JOIN sec0 USING (pos) WHERE score > 0 AND (item IS NULL OR item = item_number))", 60)}),
-best AS ({_top("den", 600, columns="query_id, pos, score")}),
-lb AS ({_top("(SELECT best.* FROM best JOIN hint USING (query_id) JOIN sec0 USING (pos) WHERE item IS NULL OR item = item_number)", 60)}),
-fused AS (
-  SELECT coalesce(la.query_id, lb.query_id) AS query_id, coalesce(la.pos, lb.pos) AS pos, la.rank AS bm25_rank, lb.rank AS dense_rank, {_RRF.format(a="la.rank", b="lb.rank")} AS rrf_score
-  FROM la FULL JOIN lb ON la.query_id = lb.query_id AND la.pos = lb.pos
-),
-hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) AS rank FROM fused) WHERE rank <= 20)"""
-
-_HEAD = f"array_to_string(list_slice(regexp_extract_all(text, '\\s*\\S+'), 1, {search.RERANK_TOKENS}), '')"
-RERANK = f"""{HYBRID},
-pair AS (
-  SELECT h.query_id, h.pos, h.rrf_score, h.rank AS rrf_rank, h.bm25_rank, h.dense_rank, query, d.text, d.source, list_distinct({_tokenise('hint.query')}) AS q, {_tokenise(_HEAD.replace('text', 'd.text'))} AS p
-  FROM hyb h JOIN hint USING (query_id) JOIN documents d ON d.doc_id = h.pos
-),
-ce AS (SELECT * EXCLUDE (q, p), round(1 / (1 + exp(-(8.0::DOUBLE * len(list_intersect(q, p)) / len(q) - 4))), 4) AS ce_score FROM pair),
-rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, rrf_score DESC, rrf_rank) AS rank FROM ce)"""
-
 # --- questions ---
 
 _ASK = _case("(item_id % 8)::VARCHAR", list(enumerate(ASKS)))
 QUESTIONS = f"ask0 AS (SELECT item_id AS query_id, concat_ws(' ', {_ASK}, text) AS query FROM benchmark)"
 # list_distinct does not keep the order: the first place of each ticker does
-_ALL = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(query), {_q(n)}) THEN {_q(t)} END" for n, t in X.COMPANIES) + "], lambda t: t IS NOT NULL)"
+_ALL = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(query), {_q(n)}) THEN {_q(t)} END" for n, t in X.by_length(X.COMPANIES)) + "], lambda t: t IS NOT NULL)"
 COMPANIES = f"""found AS (SELECT query_id, query, {_ALL} AS every FROM ask0),
 comp AS (SELECT query_id, query, list_filter(every, lambda t, i: list_position(every, t) = i) AS c FROM found)"""
 
@@ -136,6 +125,45 @@ jobs AS (
 SELECT query_id, (i - 1)::INTEGER AS job, j.ticker, j.item_number, j.weight FROM (SELECT query_id, unnest(j) AS j, generate_subscripts(j, 1) AS i FROM jobs)"""
 
 
+# --- hybrid retrieval ---
+
+_TICKER = "[" + ", ".join(map(_q, TICKERS)) + "][{} % " + str(len(TICKERS)) + " + 1]"
+
+
+def _jobs_of(source: str, name: str, k: int) -> str:
+    """The best k of every job of the source's scores, each document once, in the order of jobs and ranks."""
+    return f"""{name}0 AS (
+  SELECT s.query_id, s.pos, s.score, j.job FROM {source} s JOIN job0 j USING (query_id) JOIN sec0 USING (pos)
+  WHERE (j.ticker IS NULL OR j.ticker = sec0.ticker) AND (j.item_number IS NULL OR j.item_number = sec0.item_number) AND (query_id % 4 <> 3 OR sec0.fiscal_year = {YEAR_ASKED})
+),
+{name}1 AS ({_top(name + '0', k, 'query_id, job')}),
+{name}2 AS (SELECT query_id, pos, max(score) AS score, min(job * 1000 + rank) AS first FROM {name}1 GROUP BY query_id, pos),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM {name}2)"""
+
+
+HYBRID = f"""{_scores(f"WITH {QUESTIONS} SELECT * FROM ask0")},{DENSE_ASKED},
+sec0 AS (SELECT doc_id AS pos, {_TICKER.format('doc_id')} AS ticker, (2020 + doc_id % 5)::INTEGER AS fiscal_year, {_ITEM} AS item_number FROM documents WHERE {_strip('text')} <> ''),
+job0 AS ({_route("NULL::VARCHAR", "NULL::VARCHAR")}),
+hint AS (WITH {QUESTIONS} SELECT query_id, query FROM ask0 WHERE query_id IN (SELECT pos FROM vec)),
+pos_lex AS (SELECT lex.* FROM lex JOIN hint USING (query_id) WHERE score > 0),
+best AS ({_top("den", 600, columns="query_id, pos, score")}),
+{_jobs_of('pos_lex', 'la', 60)},
+{_jobs_of('best', 'lb', 60)},
+fused AS (
+  SELECT coalesce(la.query_id, lb.query_id) AS query_id, coalesce(la.pos, lb.pos) AS pos, la.rank AS bm25_rank, lb.rank AS dense_rank, {_RRF.format(a="la.rank", b="lb.rank")} AS rrf_score
+  FROM la FULL JOIN lb ON la.query_id = lb.query_id AND la.pos = lb.pos
+),
+hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) AS rank FROM fused) WHERE rank <= 20)"""
+
+_HEAD = f"array_to_string(list_slice(regexp_extract_all(text, '[{X.SPACE}]*[^{X.SPACE}]+'), 1, {search.RERANK_TOKENS}), '')"
+RERANK = f"""{HYBRID},
+pair AS (
+  SELECT h.query_id, h.pos, h.rrf_score, h.rank AS rrf_rank, h.bm25_rank, h.dense_rank, query, d.text, d.source, list_distinct({_tokenise('hint.query')}) AS q, {_tokenise(_HEAD.replace('text', 'd.text'))} AS p
+  FROM hyb h JOIN hint USING (query_id) JOIN documents d ON d.doc_id = h.pos
+),
+ce AS (SELECT * EXCLUDE (q, p), round(1 / (1 + exp(-(8.0::DOUBLE * len(list_intersect(q, p)) / len(q) - 4))), 4) AS ce_score FROM pair),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC, rrf_score DESC, rrf_rank) AS rank FROM ce)"""
+
 # --- chunks ---
 
 LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
@@ -172,19 +200,21 @@ CHECKED = f"""cit AS (SELECT *, {_CITED} AS cited FROM said),
 val AS (SELECT *, list_filter(cited, lambda n: n NOT BETWEEN 1 AND 5) AS bad, list_sort(list_distinct(list_filter(cited, lambda n: n BETWEEN 1 AND 5))) AS good FROM cit),
 chkd AS (SELECT *, {_CLEAN} AS answer FROM val)"""
 ANSWERED = f"""{RERANK}, res AS (SELECT * FROM rr WHERE rank <= 5),
-said AS (SELECT item_id AS query_id, text AS query, 'It may be so [Source 2] [Source ' || (item_id % 6)::VARCHAR || '] ' || text AS raw_answer FROM benchmark WHERE item_id < 10),
+said AS (SELECT query_id, query, 'It may be so [Source 2] [Source ' || (query_id % 6)::VARCHAR || '] ' || query AS raw_answer FROM hint),
 {CHECKED}"""
 
 _fmt = lambda v: f"""CASE WHEN abs({v}) >= 1e9 THEN '$' || printf('%.2f', {v} / 1e9) || 'B' WHEN abs({v}) >= 1e6 THEN '$' || printf('%.0f', {v} / 1e6) || 'M'
   WHEN abs({v}) >= 1e3 THEN '$' || printf('%.0f', {v} / 1e3) || 'K' WHEN abs({v}) > 0 AND abs({v}) < 2 THEN printf('%.2f', {v} * 100) || '%' ELSE printf('%.0f', {v}) END"""
 _SIC = "[" + ", ".join(map(_q, [*X.SECTORS, "3571"])) + ", NULL]"
-_TITLED = lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+_TITLED = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), '')"
 
 _TABLE = f"coalesce(len(list_filter({_lines('text')}, lambda l: contains(l, '|')))::DOUBLE / nullif(len({_lines('text')}), 0) >= 0.4, false)"
 
+_CONFIDENCE = f"""CASE WHEN s.n IS NULL THEN 0.0 ELSE {_BOUND(f"0.5 * CASE WHEN c = 0 THEN 0.3::DOUBLE ELSE ce END + 0.3 * len(good)::DOUBLE / s.n + 0.2 * (1 - least(1.0::DOUBLE, len(regexp_extract_all(answer, {_q(X.HEDGES)}))::DOUBLE / greatest(len({_toks('answer')}), 1) * 10))")} END"""
+
 ORACLE_SQL: dict[str, str] = {
     "text_tokenise": f"SELECT doc_id, array_to_string({_tokenise('text')}, ' ') AS terms FROM documents",
-    "text_token_count": f"SELECT doc_id, {_count('text')}::INTEGER AS tokens, array_to_string(list_slice(regexp_extract_all(text, '\\s*\\S+'), 1, 20), '') AS head FROM documents",
+    "text_token_count": f"SELECT doc_id, {_count('text')}::INTEGER AS tokens, array_to_string(list_slice(regexp_extract_all(text, '[{X.SPACE}]*[^{X.SPACE}]+'), 1, 20), '') AS head FROM documents",
     "text_numerical_density": f"SELECT doc_id, round({_density('text')}, 4) AS density FROM documents",
     "text_sentences": f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_count('s')} > 3) AS s FROM documents)
 SELECT doc_id, len(s)::INTEGER AS n, coalesce(s[1], '') AS first FROM s""",
@@ -193,23 +223,24 @@ SELECT doc_id, token_count, numerical_density, table_density,
   coalesce(round(list_sum(list_transform({_SENT}, lambda s: {_count('s')}))::DOUBLE / nullif(len({_SENT}), 0), 2), 0.0) AS avg_sentence_length,
   {' OR '.join(f"regexp_matches(text, {_q(p)})" for p in X.SUBSECTIONS)} AS has_subsections,
   len(list_filter({_lines('text')}, lambda l: {_row('l')}))::INTEGER AS table_row_count,
-  len(list_filter(string_split_regex(text, '\\n{{2,}}'), lambda p: {_BLANK('p')} <> ''))::INTEGER AS paragraph_count FROM typed""",
+  len(list_filter(string_split_regex(text, '\\n{{2,}}'), lambda p: {_strip('p')} <> ''))::INTEGER AS paragraph_count FROM typed""",
     "section_classify": f"WITH {SIG} SELECT doc_id, item_number, section_type FROM typed",
     "section_ids": f"""WITH {SEC}, i AS (SELECT doc_id, ticker || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_number) AS section_id FROM sec)
 SELECT doc_id, section_id, section_id || printf('_chunk_%04d', (doc_id % 50)::INTEGER) AS chunk_id FROM i""",
     "section_type_counts": f"WITH {SIG} SELECT section_type, count(*) AS sections, sum(token_count)::BIGINT AS tokens FROM typed GROUP BY section_type",
-    "embedded_tables": """WITH t AS (SELECT doc_id, replace(left(text, 40), chr(10), ' ') || chr(10) || '| a | ' || doc_id::VARCHAR || ' |' || chr(10) || '| b | 2 |' || chr(10) || 'end' || chr(10) || '| one |' || chr(10) AS x FROM documents),
+    "embedded_tables": """WITH t AS (SELECT doc_id, text || chr(10) || '| a | ' || doc_id::VARCHAR || ' |' || chr(10) || '| b | 2 |' || chr(10) || 'end' || chr(10) || '| one |' || chr(10) AS x FROM documents),
 f AS (SELECT doc_id, list_transform(regexp_extract_all(x, '(\\|.+\\|(?:\\n\\|.+\\|)+)', 1), lambda s: trim(s)) AS f FROM t)
 SELECT doc_id, len(f)::INTEGER AS n, array_to_string(f, '#') AS tables FROM f""",
-    "label_clean": f"""WITH r AS (SELECT p_partkey, 'us_' || replace({_TITLED('lower(p_type)')}, ' ', '') || '_' || p_size::VARCHAR AS raw FROM part),
-c AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^[a-zA-Z]+[-_]', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[-_\\s]+', ' ', 'g')) AS x FROM r)
+    "label_clean": f"""WITH r AS (SELECT p_partkey, 'us_' || replace({_TITLED('lower(p_type)')}, ' ', '') || '_Tier' || p_size::VARCHAR || 'capital' || chr(160) || 'ratio-per ' AS raw FROM part),
+c AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^[a-zA-Z]+[-_]', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[-_{X.SPACE}]+', ' ', 'g')) AS x FROM r)
 SELECT p_partkey, {_TITLED('x')} AS label FROM c""",
     "number_format": f"""WITH v AS (SELECT o_orderkey, o_totalprice * [1.000123::DOUBLE, 1000.0717, 999983.0, 1.0000717e-6, -1.70031e-2][o_orderkey % 5 + 1] AS v FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '—' WHEN o_orderkey % 13 = 0 THEN 'n/a' ELSE {_fmt('v')} END AS shown FROM v""",
     "sector_lookup": f"SELECT s_suppkey, {_SIC}[s_suppkey % 12 + 1] AS sic, CASE WHEN {_SIC}[s_suppkey % 12 + 1] IS NOT NULL THEN {_case(_SIC + '[s_suppkey % 12 + 1]', X.SECTORS.items(), _q('Other'))} END AS sector FROM supplier",
-    "filing_pick": """WITH o AS (SELECT o_custkey::VARCHAR AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS p, lpad(o_orderkey::VARCHAR, 18, '0') AS a FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY starts_with(p, '1996') DESC, p DESC, a DESC) AS k FROM o)
-SELECT ticker, 1996::INTEGER AS fiscal_year, p AS period_of_report, left(a, 10) || '-' || substr(a, 11, 2) || '-' || substr(a, 13, 6) AS accession_no FROM r WHERE k = 1""",
+    "filing_pick": f"""WITH o AS (SELECT o_custkey::VARCHAR AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS p, lpad(o_orderkey::VARCHAR, 18, '0') AS a FROM orders),
+y AS (SELECT unnest(range({FIRST_YEAR}, {LAST_YEAR + 1}))::INTEGER AS y),
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker, y ORDER BY starts_with(p, y::VARCHAR) DESC, p DESC, a DESC) AS k FROM o, y)
+SELECT ticker, y AS fiscal_year, p AS period_of_report, left(a, 10) || '-' || substr(a, 11, 2) || '-' || substr(a, 13, 6) AS accession_no FROM r WHERE k = 1""",
     "section_unpivot": """WITH u AS (
   SELECT s_name, '1' AS item_number, 'Business' AS item_title, 'narrative' AS section_type, trim(s_name) AS text FROM supplier
   UNION ALL SELECT s_name, '1A', 'Risk Factors', 'narrative', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'risk ' || s_name END FROM supplier
@@ -220,6 +251,11 @@ SELECT nation, '### Income' || chr(10) || chr(10) || '| Metric | FY2024 | FY2023
   string_agg('| ' || label || ' | ' || {_fmt('a')} || ' | ' || CASE WHEN b IS NULL THEN '—' ELSE {_fmt('b')} END || ' |', chr(10) ORDER BY line) AS "table" FROM r GROUP BY nation""",
     "financial_sections": """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '[Fallback]' || chr(10) || n_name ELSE '[Balance Sheet]' || chr(10) || '| ' || n_name || ' |' ||
   CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || '[Cash Flow]' || chr(10) || '| 1 |' ELSE '' END END AS text, (CASE WHEN n_nationkey % 3 > 0 AND n_nationkey % 2 = 0 THEN 2 ELSE 1 END)::INTEGER AS n_tables FROM nation""",
+    "html_text": """WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<noscript\\b.*?</noscript\\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\\s*/?>|</(p|div|li|tr|h[1-6]|table|section|article)\\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')) AS text FROM c)
+SELECT page_id, text FROM d WHERE text <> ''""",
     "bm25_term_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_scores()} {_top('(SELECT * FROM lex WHERE score > 0)', 10)}",
     "bm25_topk_filtered": f"WITH {_scores()}, keep AS (SELECT doc_id AS pos FROM documents WHERE {_ITEM} = '1A' AND lang = 'en' AND trim(text) <> '') {_top('(SELECT * FROM lex WHERE score > 0 AND pos IN (SELECT pos FROM keep))', 10)}",
@@ -236,12 +272,14 @@ SELECT pos, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n))))
     "route_query_filtered": _route("CASE WHEN query_id % 5 = 0 THEN 'GS' END", "CASE WHEN query_id % 3 = 0 THEN '2' END"),
     "rrf_fusion": f"""WITH {FUSED} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pos, b.pos) AS pos, a.rank AS bm25_rank, b.rank AS dense_rank, {_RRF.format(a='a.rank', b='b.rank')} AS rrf_score
 FROM a FULL JOIN b ON a.query_id = b.query_id AND a.pos = b.pos""",
-    "multi_job_dedup": f"""WITH {_scores('WHERE item_id < 10')}, sec0 AS (SELECT doc_id AS pos, {_ITEM} AS item_number FROM documents WHERE trim(text) <> ''),
+    "multi_job_dedup": f"""WITH {_scores()}, sec0 AS (SELECT doc_id AS pos, {_ITEM} AS item_number FROM documents WHERE trim(text) <> ''),
 j AS (SELECT 0 AS job, lex.* FROM lex JOIN sec0 USING (pos) WHERE score > 0 AND item_number = '7' UNION ALL SELECT 1, lex.* FROM lex JOIN sec0 USING (pos) WHERE score > 0),
 r AS ({_top('j', 15, 'query_id, job')}),
 f AS (SELECT query_id, pos, max(score) AS score, min(job * 1000 + rank) AS first FROM r GROUP BY query_id, pos)
 SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM f""",
     "hybrid_retrieve": f"WITH {HYBRID} SELECT query_id, rank, pos, rrf_score, bm25_rank, dense_rank FROM hyb",
+    "hybrid_chunks": f"WITH {HYBRID} SELECT query_id, rank AS place, hyb.pos, sec0.ticker, sec0.item_number, d.text FROM hyb JOIN sec0 USING (pos) JOIN documents d ON d.doc_id = hyb.pos",
+    "default_corpus": f"SELECT unnest([{', '.join(map(_q, TICKERS))}]) AS ticker, 2024::INTEGER AS fiscal_year",
     "rerank_topk": f"WITH {RERANK} SELECT query_id, rank, pos, ce_score, rrf_rank FROM rr WHERE rank <= 5",
     "rank_movement": f"WITH {RERANK} SELECT query_id, pos, rrf_rank, rank, rrf_rank - rank AS movement FROM rr",
     "table_blocks_islands": f"""WITH {LINES}, f AS (SELECT *, trim(line) AS own, length(trim(line)) - length(replace(trim(line), '|', '')) AS pipes FROM ln),
@@ -254,7 +292,7 @@ SELECT doc_id, block::BIGINT AS block, any_value(t) AS is_table, min(i)::INTEGER
 SELECT doc_id, ticker || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_number) || printf('_chunk_%04d', chunk_index) AS chunk_id, chunk_index, total AS total_chunks_in_section, {_count('chunk')}::INTEGER AS token_count,
   round({_density('chunk')}, 4) AS numerical_density, coalesce(len(list_filter({_lines('chunk')}, lambda l: contains(l, '|')))::DOUBLE / nullif(len({_lines('chunk')}), 0) >= 0.4, false) AS is_table_chunk
 FROM c JOIN sec USING (doc_id) WHERE trim(chunk) <> ''""",
-    "chunk_separator_split": f"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\. )', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_BLANK('p')} <> '') AS p FROM documents)
+    "chunk_separator_split": f"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\. )', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_strip('p')} <> '') AS p FROM documents)
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS i, unnest(p) AS piece FROM p""",
     "metric_sc": f"WITH {ARRAYS} SELECT doc_id, round(len(list_filter(chunks, lambda c: {_count('c')} BETWEEN 80 AND 1200))::DOUBLE / len(chunks), 4) AS sc FROM own",
     "metric_dcc": f"""WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, {_embed('chunk')} AS v FROM chk WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')),
@@ -281,16 +319,44 @@ SELECT doc_id, section_type, {_BOUND('CASE section_type ' + ' '.join(f"WHEN '{t}
 SELECT query_id, chr(10) || chr(10) || string_agg('[SOURCE ' || rank::VARCHAR || '] ' || source || ' | 10-K FY' || (2020 + pos % 5)::VARCHAR || ' | Item ' || item_number || ' — ' || {_TITLE} || chr(10) || CASE WHEN {_TABLE} THEN '[TABLE]' ELSE '[TEXT]' END || chr(10) || trim(text), chr(10) || chr(10) || repeat('—', 60) || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) AS context, count(*)::INTEGER AS n_sources
 FROM c GROUP BY query_id""",
     "prompt_assemble": f"""WITH {QUESTIONS}, t AS (SELECT query_id, query, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comparative' WHEN regexp_matches(query, {_q(X.ANALYTICAL)}) THEN 'analytical' ELSE 'factual' END AS k FROM ask0)
-SELECT query_id, {_case('k', [(k, f'{v} {answers.CITE}') for k, v in answers.PROMPTS.items()])} AS system, 'Context:' || chr(10) || 'none' || chr(10) || 'Question: ' || query AS "user" FROM t""",
+SELECT query_id, {_case('k', [(k, f'{v} {answers.CITE}') for k, v in answers.PROMPTS.items()])} AS system, 'Context:' || chr(10) || text || chr(10) || 'Question: ' || query AS "user" FROM t JOIN benchmark ON item_id = query_id""",
     "citations_extract": f"""WITH {RAW} SELECT query_id, array_to_string(regexp_extract_all(raw_answer, '(?i)\\[Source\\s+(\\d+)\\]', 1), ',') AS cited, len(regexp_extract_all(raw_answer, {_q(X.HEDGES)}))::INTEGER AS hedges FROM said""",
     "citations_validate": f"WITH {RAW}, {CHECKED} SELECT query_id, answer, array_to_string(good, ',') AS sources_cited, array_to_string(bad, ',') AS invalid_citations FROM chkd",
-    "source_citations": f"""WITH {ANSWERED} SELECT res.query_id, res.rank AS source_num, res.pos, upper(source) AS ticker, (2020 + res.pos % 5)::INTEGER AS fiscal_year, {_ITEM.replace('doc_id', 'res.pos')} AS item_number, ce_score, left(res.text, 200) AS text_preview
+    "source_citations": f"""WITH {ANSWERED} SELECT res.query_id, res.rank AS source_num, res.pos, {_TICKER.format('res.pos')} AS ticker, (2020 + res.pos % 5)::INTEGER AS fiscal_year, {_ITEM.replace('doc_id', 'res.pos')} AS item_number, ce_score, left(res.text, 200) AS text_preview
 FROM res JOIN chkd USING (query_id) WHERE list_contains(good, res.rank::INTEGER)""",
     "confidence_score": f"""WITH {ANSWERED}, s AS (SELECT res.query_id, count(*) AS n, count(CASE WHEN list_contains(good, res.rank::INTEGER) THEN 1 END) AS c, avg(CASE WHEN list_contains(good, res.rank::INTEGER) THEN ce_score END) AS ce FROM res JOIN chkd USING (query_id) GROUP BY res.query_id)
-SELECT query_id, CASE WHEN n IS NULL THEN 0.0 ELSE {_BOUND(f"0.5 * CASE WHEN c = 0 THEN 0.3::DOUBLE ELSE ce END + 0.3 * len(good)::DOUBLE / n + 0.2 * (1 - least(1.0::DOUBLE, len(regexp_extract_all(answer, {_q(X.HEDGES)}))::DOUBLE / greatest(len({_toks('answer')}), 1) * 10))")} END AS confidence
+SELECT query_id, {_CONFIDENCE} AS confidence
 FROM chkd LEFT JOIN s USING (query_id)""",
+    "audit_trail": f"""WITH {ANSWERED}, e AS (SELECT query_id, count(*) AS n, string_agg(rank::VARCHAR || ':' || pos::VARCHAR || ':' || {_TICKER.format('pos')} || '_' || (2020 + pos % 5)::VARCHAR || '_' || {_ITEM.replace('doc_id', 'pos')} || ':' || ((pos % 10)::DOUBLE / 10)::VARCHAR || ':' || coalesce(bm25_rank, 0)::VARCHAR || ':' || coalesce(dense_rank, 0)::VARCHAR, ',' ORDER BY rank) AS scores,
+  string_agg('lines_' || (pos % 2)::VARCHAR, ',' ORDER BY rank) AS strategies FROM res GROUP BY query_id),
+s AS (SELECT res.query_id, count(*) AS n, count(CASE WHEN list_contains(good, res.rank::INTEGER) THEN 1 END) AS c, avg(CASE WHEN list_contains(good, res.rank::INTEGER) THEN ce_score END) AS ce FROM res JOIN chkd USING (query_id) GROUP BY res.query_id)
+SELECT query_id, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comparative' WHEN regexp_matches(query, {_q(X.ANALYTICAL)}) THEN 'analytical' ELSE 'factual' END AS query_type, {_CONFIDENCE} AS confidence,
+  CASE WHEN e.n IS NULL THEN {_q(answers.NO_RESULTS)} ELSE '20240506T070809_' END AS id_time, '2024-05-06T07:08:09' AS timestamp_utc, 'none' AS model_used, (query_id % 9)::INTEGER AS tokens_used, coalesce(e.n, 0) AS chunks_used,
+  array_to_string(good, ',') AS sources_cited, array_to_string(bad, ',') AS invalid_citations, coalesce(scores, '') AS scores, coalesce(strategies, '') AS strategies
+FROM chkd LEFT JOIN s USING (query_id) LEFT JOIN e USING (query_id)""",
     "refusals": f"SELECT item_id AS query_id, {_q(answers.REFUSAL)} AS raw_answer, 0::INTEGER AS tokens_used FROM benchmark WHERE item_id % 2 = 1",
     "embed_missing_antijoin": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)",
     "pipeline_stats": f"WITH {SIG} SELECT count(*) AS sections, sum(token_count)::BIGINT AS tokens, count(DISTINCT ticker) AS companies, sum(CASE WHEN section_type = 'financial_table' THEN 1 ELSE 0 END)::BIGINT AS tables FROM typed",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+
+def _whole_strip(sql: str) -> str:
+    """trim(x) of one argument as trim(x, blanks): all white space, where DuckDB's own takes blanks alone."""
+    out, at = [], 0
+    while (k := sql.find("trim(", at)) >= 0:
+        depth, commas, end, quoted = 1, 0, k + 5, False
+        while depth:
+            c = sql[end]
+            if c == "'":
+                quoted = not quoted
+            elif not quoted:
+                depth += (c in "([{") - (c in ")]}")
+                commas += depth == 1 and c == ","
+            end += 1
+        out.append(sql[at : k + 5] + _whole_strip(sql[k + 5 : end - 1]) + ("" if commas else f", {_q(X.BLANKS)}") + ")")
+        at = end
+    return "".join([*out, sql[at:]])
+
+
+ORACLE_SQL = {name: _whole_strip(sql) for name, sql in ORACLE_SQL.items()}

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answers, chunk_quality, chunking, ingest, search
+from ..operators import answers, build, chunk_quality, chunking, ingest, search
 from ..sources import tables
 from ..streaming import incremental
-from .oracles import ASKS, ORACLE_SQL  # noqa: F401
+from ..sources.shared import shared_dir, spread, staged
+from .oracles import ASKS, FIRST_YEAR, LAST_YEAR, ORACLE_SQL, TICKERS, YEAR_ASKED  # noqa: F401
 
 FLAGSHIP = "hybrid_retrieve"
 TOP = 10
-QUERY_VECTORS = 10
 #: Sizes at which the driver's short documents give several chunks.
 SMALL_CHUNKS = chunking.ChunkConfig(small_size=60, small_overlap=6, large_size=110, large_overlap=11, min_tokens=8, pattern_min_tokens=30)
 
@@ -23,7 +25,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _read(spark, d, "documents")
+    return spread(_read(spark, d, "documents"))
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The lexical index of the documents: built and saved by the first query of a session that needs it, read by the others."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _SAVED:
+        path = f"{shared_dir(spark)}/tessera-lexical-{uuid.uuid4().hex}"
+        tables.save_lexical(search.build_lexical(_docs(spark, d)), path)
+        _SAVED[key] = path
+    return tables.load_lexical(spark, _SAVED[key])
 
 
 def _sections(spark, d):
@@ -45,12 +60,20 @@ def _vectors(spark, d):
 
 
 def _query_vectors(spark, d):
-    return _vectors(spark, d).filter(F.col("pos") < QUERY_VECTORS).select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector"))
+    """Every vector whose id is divisible by 100, as a query."""
+    return _vectors(spark, d).filter("pos % 100 = 0").select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+def _question_vectors(spark, d):
+    """The vector of each question that has one."""
+    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("pos"))
+    return _vectors(spark, d).join(asked, "pos", "left_semi").select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 def _chunks(spark, d):
-    """Whole sections as chunks, for retrieval: position, filters and text."""
-    return _sections(spark, d).withColumnRenamed("doc_id", "pos")
+    """Whole sections as chunks, for retrieval: position, filters and text; companies in turn."""
+    ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("doc_id") % len(TICKERS) + 1).cast("int"))
+    return _sections(spark, d).withColumn("ticker", ticker).withColumnRenamed("doc_id", "pos")
 
 
 def _line_chunks(spark, d):
@@ -104,13 +127,13 @@ def section_type_counts(spark, d):
 
 
 def embedded_tables(spark, d):
-    own = F.concat(F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit("\n| a | "), F.col("doc_id").cast("string"), F.lit(" |\n| b | 2 |\nend\n| one |\n"))
+    own = F.concat(F.col("text"), F.lit("\n| a | "), F.col("doc_id").cast("string"), F.lit(" |\n| b | 2 |\nend\n| one |\n"))
     found = X.embedded_tables(own)
     return _docs(spark, d).select("doc_id", F.size(found).alias("n"), F.array_join(found, "#").alias("tables"))
 
 
 def label_clean(spark, d):
-    raw = F.concat(F.lit("us_"), F.regexp_replace(F.initcap(F.lower("p_type")), " ", ""), F.lit("_"), F.col("p_size").cast("string"))
+    raw = F.concat(F.lit("us_"), F.regexp_replace(F.initcap(F.lower("p_type")), " ", ""), F.lit("_Tier"), F.col("p_size").cast("string"), F.lit("capital\u00a0ratio-per "))
     return _read(spark, d, "part").select("p_partkey", X.clean_label(raw).alias("label"))
 
 
@@ -127,9 +150,9 @@ def sector_lookup(spark, d):
 
 
 def filing_pick(spark, d):
-    """Orders as filings of their customer: the requested year's last, else the last of all."""
+    """Orders as filings of their customer, for every year: the year's last, else the last of all."""
     filings = _read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ticker"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("period_of_report"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0").alias("accession_no"))
-    asked = filings.select("ticker", F.lit(1996).alias("fiscal_year")).distinct()
+    asked = filings.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))).alias("fiscal_year"))
     return ingest.pick_filing(asked, filings).select("ticker", "fiscal_year", "period_of_report", "accession_no")
 
 
@@ -155,6 +178,10 @@ def financial_sections(spark, d):
     return ingest.financial_sections(one.union(two), rest, "n_nationkey").select("n_nationkey", "text", F.size("tables").alias("n_tables"))
 
 
+def default_corpus(spark, d):
+    return ingest.default_corpus(spark)
+
+
 def html_text(spark, d):
     return tables.html_documents(_read(spark, d, "pages")).select("page_id", "text")
 
@@ -167,12 +194,12 @@ def bm25_term_stats(spark, d):
 
 
 def bm25_topk(spark, d):
-    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d), TOP)
+    return search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), TOP)
 
 
 def bm25_topk_filtered(spark, d):
     keep = _chunks(spark, d).filter(search.filter_column({"item_number": "1A", "sector": "en", "nothing": 1})).select("pos")
-    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d), TOP, keep)
+    return search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), TOP, keep)
 
 
 def vec_normalise(spark, d):
@@ -214,36 +241,41 @@ def route_query_filtered(spark, d):
     return search.routed(own).select("query_id", "job", "ticker", "item_number", "weight")
 
 
-def _lexical(spark, d):
-    return search.lexical_top_k(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS), 30)
-
-
 def rrf_fusion(spark, d):
-    return search.fuse(_lexical(spark, d), search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), 30)).select("query_id", "pos", "bm25_rank", "dense_rank", "rrf_score")
+    lexical = search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), 30)
+    return search.fuse(lexical, search.dense_top_k(_vectors(spark, d), _question_vectors(spark, d), 30)).select("query_id", "pos", "bm25_rank", "dense_rank", "rrf_score")
 
 
 def _jobs(spark, d):
     """Two jobs a query, of overlapping filters, so that a document can be found twice."""
-    asked = _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS).select("query_id", "query")
+    asked = _plain_questions(spark, d).select("query_id", "query")
     return asked.select("query_id", "query", F.lit(0).alias("job"), F.lit(None).cast("string").alias("ticker"), F.lit("7").alias("item_number")).union(asked.select("query_id", "query", F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("string")))
 
 
 def multi_job_dedup(spark, d):
-    scored = search.lexical_scores(search.build_lexical(_docs(spark, d)), _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS)).filter("score > 0")
+    scored = search.lexical_scores(_index(spark, d), _plain_questions(spark, d)).filter("score > 0")
     return search.dedup(search.multi_job(scored, _jobs(spark, d), _chunks(spark, d), 15))
 
 
+def _asked(spark, d):
+    """Questions that name companies, metrics or risks, some for one year alone, with their vectors."""
+    year = F.when(F.col("query_id") % 4 == 3, YEAR_ASKED)
+    return _questions(spark, d).withColumn("fiscal_year", year).join(_question_vectors(spark, d), "query_id")
+
+
 def _hybrid(spark, d):
-    asked = _questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS).join(_query_vectors(spark, d), "query_id")
-    # the driver's tickers are names of sources, so no job of a company finds a section; the questions' own texts are asked
-    plain = asked.drop("query").join(_plain_questions(spark, d), "query_id")
-    return plain, search.hybrid(search.build_lexical(_docs(spark, d)), _vectors(spark, d), _chunks(spark, d), plain)
+    asked = _asked(spark, d)
+    return asked, search.hybrid(_index(spark, d), _vectors(spark, d), _chunks(spark, d), asked)
 
 
 def hybrid_retrieve(spark, d):
     return _hybrid(spark, d)[1].select("query_id", "rank", "pos", "rrf_score", "bm25_rank", "dense_rank")
 
 
+def hybrid_chunks(spark, d):
+    return search.chunks_only(_hybrid(spark, d)[1], _chunks(spark, d)).select("query_id", "place", "pos", "ticker", "item_number", "text")
+
+
 def _results(spark, d):
     asked, found = _hybrid(spark, d)
     return found.join(asked.select("query_id", "query"), "query_id").join(_chunks(spark, d), "pos").withColumn("is_table_chunk", chunking.is_table_chunk(F.col("text")))
@@ -278,8 +310,7 @@ def chunk_materialise(spark, d):
 
 
 def chunk_separator_split(spark, d):
-    marked = F.split(F.regexp_replace("text", r"(\. )", "$1\u0001"), "\u0001")
-    return _docs(spark, d).select("doc_id", F.posexplode(F.filter(marked, lambda p: F.trim(F.regexp_replace(p, r"\s", " ")) != "")).alias("i", "piece"))
+    return chunking.separator_pieces(_docs(spark, d), ". ")
 
 
 def _strategies(spark, d, names, config, pattern=None):
@@ -318,8 +349,6 @@ def _metric(name, make):
 _CHUNKS = lambda: F.col("chunks")
 METRICS = [
     _metric("sc", lambda: F.round(chunk_quality.size_compliance(_CHUNKS()), 4)),
-    _metric("icc", lambda: chunk_quality.cohesion(_CHUNKS())),
-    _metric("dcc", lambda: chunk_quality.coherence(_CHUNKS())),
     _metric("bi", lambda: chunk_quality.block_integrity(F.col("text"), _CHUNKS())),
     _metric("nds", lambda: chunk_quality.density_spread(F.col("numerical_density"), _CHUNKS())),
     _metric("tbi", lambda: chunk_quality.table_integrity(F.col("text"), _CHUNKS())),
@@ -327,8 +356,16 @@ METRICS = [
 ]
 
 
+def metric_icc(spark, d):
+    return chunk_quality.with_text_metrics(_line_arrays(spark, d)).select("doc_id", "icc")
+
+
+def metric_dcc(spark, d):
+    return chunk_quality.with_text_metrics(_line_arrays(spark, d)).select("doc_id", "dcc")
+
+
 def metric_rc(spark, d):
-    return chunk_quality.with_reference_share(_line_arrays(spark, d)).select("doc_id", "rc")
+    return chunk_quality.with_text_metrics(_line_arrays(spark, d), None).select("doc_id", "rc")
 
 
 def weighted_total(spark, d):
@@ -344,9 +381,10 @@ def candidate_strategies(spark, d):
 
 def _scored(spark, d):
     own = ingest.typed(_sections(spark, d))
-    wanted = own.withColumn("strategies", chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count")))
-    made = chunking.chunk_sections(wanted, config=SMALL_CHUNKS, pattern=r"[.!?]\n")
-    return own, chunk_quality.score(made.join(own.select("doc_id", "text", "item_number", "section_type", F.col("signals.numerical_density").alias("numerical_density")), "doc_id"))
+    density = F.col("signals.numerical_density").alias("numerical_density")
+    wanted = own.select("doc_id", "text", "item_number", "section_type", density, chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count")).alias("strategies"))
+    made = chunking.chunk_sections(wanted, config=SMALL_CHUNKS, pattern=r"[.!?]\n", carry=("text", "item_number", "section_type", "numerical_density"))
+    return _sections(spark, d), chunk_quality.score(made)
 
 
 def strategy_winner(spark, d):
@@ -367,8 +405,9 @@ def context_assemble(spark, d):
 
 
 def prompt_assemble(spark, d):
-    own = _questions(spark, d).withColumn("query_type", X.classify_query(F.col("query")))
-    return own.select("query_id", answers.system_prompt(F.col("query_type")).alias("system"), answers.user_message(F.col("query"), F.lit("none")).alias("user"))
+    context = _plain_questions(spark, d).withColumnRenamed("query", "context")
+    own = _questions(spark, d).withColumn("query_type", X.classify_query(F.col("query"))).join(context, "query_id")
+    return own.select("query_id", answers.system_prompt(F.col("query_type")).alias("system"), answers.user_message(F.col("query"), F.col("context")).alias("user"))
 
 
 def _raw_answers(spark, d):
@@ -391,8 +430,8 @@ def citations_validate(spark, d):
 
 def _answered(spark, d):
     """Reranked results, and an answer a query that cites the second and an unknown source."""
-    results = _reranked(spark, d)
-    asked = _plain_questions(spark, d).filter(F.col("query_id") < QUERY_VECTORS)
+    results = staged(_reranked(spark, d), "reranked")
+    asked = _asked(spark, d)
     marks = F.concat(F.lit("It may be so [Source 2] [Source "), (F.col("query_id") % 6).cast("string"), F.lit("] "), F.col("query"))
     return results, asked.select("query_id", "query", marks.alias("raw_answer"), F.sequence(F.lit(1), F.lit(5)).alias("source_numbers"))
 
@@ -409,13 +448,27 @@ def confidence_score(spark, d):
 
 def audit_trail(spark, d):
     results, raw = _answered(spark, d)
-    out = answers.verify(raw.select("query_id", "query"), results, raw)
-    return out.select("query_id", "query_type", "confidence", F.col("audit_trail.chunks_used").alias("chunks_used"), F.to_json("audit_trail").alias("trail"))
+    told = raw.withColumns({"model": F.lit("none"), "tokens_used": (F.col("query_id") % 9).cast("int")})
+    named = results.withColumns({"chunk_id": F.concat_ws("_", "ticker", "fiscal_year", "item_number"), "strategy": F.concat(F.lit("lines_"), F.col("pos") % 2), "chunking_score": F.col("pos") % 10 / 10})
+    out = answers.verify(_asked(spark, d), named, told, F.lit("2024-05-06 07:08:09").cast("timestamp")).select("query_id", "query_type", "confidence", "audit_trail")
+    scores = F.transform("audit_trail.retrieval_scores", lambda x: F.concat_ws(":", x["source_num"], x["pos"], x["chunk_id"], x["chunking_score"], F.coalesce(x["bm25_rank"], F.lit(0)), F.coalesce(x["dense_rank"], F.lit(0))))
+    numbers = lambda c: F.array_join(F.transform(f"audit_trail.{c}", lambda n: n.cast("string")), ",").alias(c)
+    return out.select(
+        "query_id", "query_type", "confidence", F.left("audit_trail.query_id", F.lit(16)).alias("id_time"), F.left("audit_trail.timestamp_utc", F.lit(19)).alias("timestamp_utc"), "audit_trail.model_used", "audit_trail.tokens_used",
+        "audit_trail.chunks_used", numbers("sources_cited"), numbers("invalid_citations"), F.array_join(scores, ",").alias("scores"), F.array_join("audit_trail.chunking_strategies", ",").alias("strategies"),
+    )
 
 
 def refusals(spark, d):
-    asked = _plain_questions(spark, d)
-    return answers.refuse_empty(asked, search.lexical_top_k(search.build_lexical(_docs(spark, d)), asked.filter("query_id % 2 = 0"), 3)).select("query_id", "raw_answer", "tokens_used")
+    """Every second question has no word, so that nothing is found for it."""
+    asked = _plain_questions(spark, d).withColumn("query", F.when(F.col("query_id") % 2 == 1, "?!").otherwise(F.col("query")))
+    return answers.refuse_empty(asked, search.lexical_top_k(_index(spark, d), asked, 3)).select("query_id", "raw_answer", "tokens_used")
+
+
+def engine_answers(spark, d):
+    """All in one: an index built from the sections, and every question answered from it."""
+    engine = build.Engine(spark, f"{shared_dir(spark)}/tessera-engine-{uuid.uuid4().hex}").build(ingest.typed(_sections(spark, d).withColumn("ticker", F.concat_ws("-", "ticker", "doc_id"))))
+    return engine.query(_questions(spark, d)).select("query_id", "query_type", "answer", "confidence", F.size("sources_cited").alias("n_cited"), "tokens_used", "audit_trail.chunks_used")
 
 
 def embed_missing_antijoin(spark, d):
@@ -437,10 +490,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
-        sector_lookup, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
-        dense_topk_postfilter, dense_topk_prefilter, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, rerank_topk, rank_movement,
-        table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_rc, weighted_total,
-        candidate_strategies, strategy_winner, strategy_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, refusals,
+        sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
+        dense_topk_postfilter, dense_topk_prefilter, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
+        table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
+        candidate_strategies, strategy_winner, strategy_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
         embed_missing_antijoin, pipeline_stats, event_windows,
     )
 }

@@ -30,14 +30,28 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False)
 
 
 def read_filings(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_json(spark, path, FILING).filter("ticker is not null")
-    sector = F.coalesce(F.nullif(F.trim("sector"), F.lit("")), X.sector(F.col("sic_code")))
+    """One row a filing; records that cannot be read are in broken_filings."""
+    raw = read_json(spark, path, FILING).filter("ticker is not null").drop("_corrupt_record")
+    sector = F.coalesce(F.nullif(X.strip(F.col("sector")), F.lit("")), X.sector(F.col("sic_code")))
     return raw.withColumns({"ticker": X.normal_ticker(F.col("ticker")), "cik": X.normal_cik(F.col("cik")), "accession_no": X.dashed_accession(F.col("accession_no")), "filing_date": F.to_date(F.left("filing_date", F.lit(10))), "sector": sector})
 
 
+def broken_filings(spark: SparkSession, path: str) -> DataFrame:
+    """(source, record, why): the files' records that gave no filing, so that a batch tells what it left out."""
+    raw = read_json(spark, path, FILING).select("ticker", F.col("_metadata.file_path").alias("source"), F.col("_corrupt_record").alias("record"))
+    return raw.filter("ticker is null").select("source", "record", F.when(F.col("record").isNotNull(), "no JSON of a filing").otherwise("no ticker").alias("why"))
+
+
+def write_filings(filings: DataFrame, path: str) -> None:
+    """The filings' own data, a folder a ticker and year, one JSON object a filing."""
+    own = [c.split(" ")[0] for c in FILING.split(", ")]
+    body = [F.col(c).cast("string").alias(c) if c == "filing_date" else F.col(c) for c in own if c in filings.columns]
+    filings.select(*body, F.concat_ws("_", "ticker", "fiscal_year").alias("of")).write.mode("overwrite").partitionBy("of").json(path)
+
+
 def read_sections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Sections with text; the filing's fields stand beside the section's."""
-    return read_json(spark, path, SECTION, lines).filter(F.trim("text") != "").select("section_id", "item_number", "item_title", "section_type", F.trim("text").alias("text"), "tables", "source_url", "signals", "metadata.*")
+    return read_json(spark, path, SECTION, lines).filter(X.strip(F.col("text")) != "").select("section_id", "item_number", "item_title", "section_type", X.strip(F.col("text")).alias("text"), "tables", "source_url", "signals", "metadata.*")
 
 
 def write_sections(sections: DataFrame, path: str) -> None:
@@ -61,6 +75,21 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
+def write_chunks_json(chunks: DataFrame, path: str) -> None:
+    """For exchange: an object a line, nulls included."""
+    chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_chunks_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Chunks of JSON lines or, without lines, of files of one array; the table's columns, those not told null."""
+    return read_json(spark, path, CHUNK, lines).drop("_corrupt_record").filter("chunk_id is not null")
+
+
+def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
+    """The chunk with that id, or no row."""
+    return chunks.filter(F.col("chunk_id") == chunk_id)
+
+
 def missing_embeddings(chunks: DataFrame, cache: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Chunks that have no embedding and none in the cache."""
     done = cache.filter("embedding is not null").select(key)
@@ -82,6 +111,14 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.filter("vector is not null").repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(path)
 
 
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, vector); an error if there is no index or it has lost its columns."""
+    out = spark.read.parquet(path)
+    if not {"pos", "vector"} <= set(out.columns):
+        raise ValueError(f"no vectors in {path}")
+    return out
+
+
 def html_documents(pages: DataFrame) -> DataFrame:
     """page_id, url, text: the visible text of raw pages, pages without any left out."""
     return pages.select("page_id", "url", X.html_text(F.col("html")).alias("text")).filter("text <> ''")
