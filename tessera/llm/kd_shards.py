@@ -11,7 +11,8 @@ falls between groups. A group that is too heavy for that (over SLACK of its node
 doc_id, so one text with a third of all rows still spreads over shards.
 
 Null metadata sort first, a null or empty text weighs 1, repeated rows are documents of their own, and
-an empty table gives no rows. Columns other than doc_id, text, lang and source are ignored.
+an empty table gives no rows. A text heavier than a shard's share makes its shard the heavier; texts themselves are only hashed and
+measured, so their length costs nothing more. Columns other than doc_id, text, lang and source are ignored.
 """
 
 from __future__ import annotations

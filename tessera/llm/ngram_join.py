@@ -19,7 +19,7 @@ Shingles are held as 64-bit hashes. Words: runs without ASCII white space, A-Z l
 words are one shingle; null, empty and blank texts have none and link with nothing, not even with
 each other. doc_id is taken to be unique to a text: of two texts with one id only one is joined, its n_shingles and
 links stand for both, and one_of_each keeps one row of them. Rows with a null doc_id come back with a null component. A repeated row is repeated in the result.
-An empty table gives no rows.
+A very long text is one row of the incidence, its columns in one array. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -35,3 +35,19 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, "unused").schema == docs.schema
         assert stage(spark, docs.limit(0), "unused").count() == 0
+
+
+def test_last_stages_on_nulls_repeats_and_clashing_names(spark, tmp_path):
+    rng = random.Random(7)
+    item, clean = prose(rng, 30), prose(rng, 90)
+    rows = [(1, clean, 1), (1, clean, 1), (1, f"{prose(rng, 20)} {item} x", 2), (2, None, 3), (None, "", 4), (None, item, 5), (3, prose(rng, 9000), 6)]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, n_tokens long, text_hash string, h1 string")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (_, leaks), (_, encode) = corpus_pipeline.STAGES[2:]
+    kept = leaks(spark, docs, str(tmp_path))
+    assert kept.schema == docs.schema and sorted(map(repr, ((r.doc_id, r.n_tokens) for r in kept.collect()))) == sorted(map(repr, [(1, 1), (1, 1), (2, 3), (None, 4), (3, 6)]))
+    assert leaks(spark, docs.limit(0), str(tmp_path)).count() == 0
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(((r.doc_id, r.n_tokens) for r in encode(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(((d, len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows), key=repr)
+    assert encode(spark, docs.limit(0), str(tmp_path)).count() == 0
