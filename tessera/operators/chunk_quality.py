@@ -208,13 +208,18 @@ def with_text_metrics(chunked: DataFrame, embed: Callable[[], object] | None = T
     return chunked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema) + ", rc double, icc double, dcc double")
 
 
-def score(chunked: DataFrame, embed: Callable[[], object] | None = TermBins) -> DataFrame:
-    """chunked: text, chunks, item_number, section_type, numerical_density (of the section). Adds the metrics and total."""
+def plain_metrics(chunked: DataFrame) -> DataFrame:
+    """Adds the metrics that are Columns over a row."""
     text, chunks = F.col("text"), F.col("chunks")
-    scored = with_text_metrics(chunked, embed).withColumns({
+    return chunked.withColumns({
         "sc": F.round(size_compliance(chunks), 4), "bi": block_integrity(text, chunks), "nds": density_spread(F.col("numerical_density"), chunks),
         "tbi": table_integrity(text, chunks), "sps": section_purity(F.col("item_number"), chunks),
     })
+
+
+def score(chunked: DataFrame, embed: Callable[[], object] | None = TermBins) -> DataFrame:
+    """chunked: text, chunks, item_number, section_type, numerical_density (of the section). Adds the metrics and total."""
+    scored = plain_metrics(with_text_metrics(chunked, embed))
     return scored.withColumn("total", weighted_total(F.col("section_type")))
 
 

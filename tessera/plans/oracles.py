@@ -11,6 +11,8 @@ ASKS = (
 )
 #: Companies of the documents in turn, the year that some questions are limited to, and the years for which filings are asked.
 TICKERS = tuple(sorted(ingest.DEFAULT_CORPUS))
+#: Lines of the chunks that compete.
+LINE_COUNTS = (3, 5, 8)
 YEAR_ASKED, FIRST_YEAR, LAST_YEAR = 2022, 1992, 1998
 
 
@@ -210,6 +212,27 @@ _TITLED = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '[\
 
 _TABLE = f"coalesce(len(list_filter({_lines('text')}, lambda l: contains(l, '|')))::DOUBLE / nullif(len({_lines('text')}), 0) >= 0.4, false)"
 
+_SC = f"round(len(list_filter(chunks, lambda c: {_count('c')} BETWEEN 80 AND 1200))::DOUBLE / len(chunks), 4)"
+_BLOCKS = f"""p AS (SELECT *, list_filter({_STRIP("string_split_regex(text, '\\n{2,}')")}, lambda p: p <> '' AND {_count('p')} >= 20) AS paras,
+  list_distinct(list_filter({_STRIP("list_concat(list_concat(regexp_extract_all(text, '(?m)^\\s*[-*•]\\s+\\S|^\\s*\\d+\\.\\s+\\S'), regexp_extract_all(text, '(?m)^\\s*\\|.+\\|\\s*$')), regexp_extract_all(text, '(?m)^\\s*(?:Item\\s+\\d+[A-Z]?|ITEM\\s+\\d+[A-Z]?)'))")}, lambda x: x <> '')) AS rest FROM own),
+b AS (SELECT *, list_concat(paras, list_filter(rest, lambda r: NOT list_contains(paras, r))) AS blocks FROM p)"""
+_BI = f"""CASE WHEN len(blocks) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('blocks')})::DOUBLE / len(blocks)")} END"""
+_OFF = f"list_transform(chunks, lambda c: abs({_density('c')} - numerical_density))"
+_NDS = f"""CASE WHEN numerical_density < 0.02 THEN 1.0 ELSE {_BOUND("list_sum(list_transform(off, lambda x: CASE WHEN x <= 0.15 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0 - (x - 0.15) / 0.15) END)) / len(off)")} END"""
+_ROWS = f"""list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*\\|.+\\|[ \\t]*$'), lambda x: trim(x)), lambda r: NOT regexp_matches(r, '^\\|[-:| ]+\\|$'))"""
+_TBI = f"""CASE WHEN len(rws) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('rws')})::DOUBLE / len(rws)")} END"""
+_SPS = f"""{_BOUND("len(list_filter(chunks, lambda c: len(list_filter(regexp_extract_all(c, '(?:^|\\n)\\s*(?:ITEM|Item)\\s+(\\d+[A-Za-z]?)\\b', 1), lambda h: upper(h) <> upper(item_number))) = 0))::DOUBLE / len(chunks)")}"""
+_TOTAL = _BOUND("CASE section_type " + " ".join(f"WHEN '{t}' THEN " + " + ".join(f"{m} * {w}::DOUBLE" for m, w in ws.items()) for t, ws in chunk_quality.WEIGHTS.items()) + " END")
+COMPETITION = f"""{SIG}, {LINES},
+cut AS (SELECT doc_id, n, (i // n)::INTEGER AS ci, string_agg(line, chr(10) ORDER BY i) AS chunk FROM ln, (SELECT unnest({list(LINE_COUNTS)}) AS n) WHERE doc_id % 7 <> 0 GROUP BY doc_id, n, i // n),
+cuts AS (SELECT doc_id, n, list(chunk ORDER BY ci) AS chunks FROM cut GROUP BY doc_id, n),
+own AS (SELECT typed.*, n, chunks, list_transform(chunks, lambda c: {_spaced('c')}) AS spaced FROM typed JOIN cuts USING (doc_id)),
+{_BLOCKS},
+parts AS (SELECT *, {_OFF} AS off, {_ROWS} AS rws FROM b),
+met AS (SELECT *, 1.0::DOUBLE AS icc, 1.0::DOUBLE AS dcc, 1.0::DOUBLE AS rc, {_SC} AS sc, {_BI} AS bi, {_NDS} AS nds, {_TBI} AS tbi, {_SPS} AS sps FROM parts),
+tot AS (SELECT doc_id, n, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
+comp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, n_chunks, n) AS k FROM tot)"""
+
 _CONFIDENCE = f"""CASE WHEN s.n IS NULL THEN 0.0 ELSE {_BOUND(f"0.5 * CASE WHEN c = 0 THEN 0.3::DOUBLE ELSE ce END + 0.3 * len(good)::DOUBLE / s.n + 0.2 * (1 - least(1.0::DOUBLE, len(regexp_extract_all(answer, {_q(X.HEDGES)}))::DOUBLE / greatest(len({_toks('answer')}), 1) * 10))")} END"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -294,7 +317,7 @@ SELECT doc_id, ticker || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_n
 FROM c JOIN sec USING (doc_id) WHERE trim(chunk) <> ''""",
     "chunk_separator_split": f"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\. )', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_strip('p')} <> '') AS p FROM documents)
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS i, unnest(p) AS piece FROM p""",
-    "metric_sc": f"WITH {ARRAYS} SELECT doc_id, round(len(list_filter(chunks, lambda c: {_count('c')} BETWEEN 80 AND 1200))::DOUBLE / len(chunks), 4) AS sc FROM own",
+    "metric_sc": f"WITH {ARRAYS} SELECT doc_id, {_SC} AS sc FROM own",
     "metric_dcc": f"""WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, {_embed('chunk')} AS v FROM chk WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')),
 p AS (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS w FROM e)
 SELECT doc_id, CASE WHEN count(*) < 2 THEN 1.0 ELSE {_BOUND(f"sum(CASE WHEN w IS NOT NULL THEN {_cos('v', 'w')} END) / (count(*) - 1)")} END AS dcc FROM p GROUP BY doc_id""",
@@ -302,18 +325,14 @@ SELECT doc_id, CASE WHEN count(*) < 2 THEN 1.0 ELSE {_BOUND(f"sum(CASE WHEN w IS
 u AS (SELECT doc_id, chunk_index, v, unnest(s) AS one FROM s), e AS (SELECT doc_id, chunk_index, v, {_embed('one')} AS w FROM u),
 m AS (SELECT doc_id, chunk_index, avg({_cos('w', 'v')}) AS m FROM e GROUP BY doc_id, chunk_index)
 SELECT s.doc_id, {_BOUND("avg(CASE WHEN len(s.s) < 2 THEN 1.0 ELSE m.m END)")} AS icc FROM s LEFT JOIN m USING (doc_id, chunk_index) GROUP BY s.doc_id""",
-    "metric_bi": f"""WITH {ARRAYS},
-p AS (SELECT *, list_filter({_STRIP("string_split_regex(text, '\\n{2,}')")}, lambda p: p <> '' AND {_count('p')} >= 20) AS paras,
-  list_distinct(list_filter({_STRIP("list_concat(list_concat(regexp_extract_all(text, '(?m)^\\s*[-*•]\\s+\\S|^\\s*\\d+\\.\\s+\\S'), regexp_extract_all(text, '(?m)^\\s*\\|.+\\|\\s*$')), regexp_extract_all(text, '(?m)^\\s*(?:Item\\s+\\d+[A-Z]?|ITEM\\s+\\d+[A-Z]?)'))")}, lambda x: x <> '')) AS rest FROM own),
-b AS (SELECT *, list_concat(paras, list_filter(rest, lambda r: NOT list_contains(paras, r))) AS blocks FROM p)
-SELECT doc_id, CASE WHEN len(blocks) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('blocks')})::DOUBLE / len(blocks)")} END AS bi FROM b""",
-    "metric_nds": f"""WITH {ARRAYS}, d AS (SELECT *, list_transform(chunks, lambda c: abs({_density('c')} - numerical_density)) AS off FROM own)
-SELECT doc_id, CASE WHEN numerical_density < 0.02 THEN 1.0 ELSE {_BOUND("list_sum(list_transform(off, lambda x: CASE WHEN x <= 0.15 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0 - (x - 0.15) / 0.15) END)) / len(off)")} END AS nds FROM d""",
-    "metric_tbi": f"""WITH {ARRAYS}, r AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*\\|.+\\|[ \\t]*$'), lambda x: trim(x)), lambda r: NOT regexp_matches(r, '^\\|[-:| ]+\\|$')) AS rws FROM own)
-SELECT doc_id, CASE WHEN len(rws) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('rws')})::DOUBLE / len(rws)")} END AS tbi FROM r""",
-    "metric_sps": f"""WITH {ARRAYS} SELECT doc_id, {_BOUND("len(list_filter(chunks, lambda c: len(list_filter(regexp_extract_all(c, '(?:^|\\n)\\s*(?:ITEM|Item)\\s+(\\d+[A-Za-z]?)\\b', 1), lambda h: upper(h) <> upper(item_number))) = 0))::DOUBLE / len(chunks)")} AS sps FROM own""",
+    "metric_bi": f"WITH {ARRAYS}, {_BLOCKS} SELECT doc_id, {_BI} AS bi FROM b",
+    "metric_nds": f"WITH {ARRAYS}, d AS (SELECT *, {_OFF} AS off FROM own) SELECT doc_id, {_NDS} AS nds FROM d",
+    "metric_tbi": f"WITH {ARRAYS}, r AS (SELECT *, {_ROWS} AS rws FROM own) SELECT doc_id, {_TBI} AS tbi FROM r",
+    "metric_sps": f"WITH {ARRAYS} SELECT doc_id, {_SPS} AS sps FROM own",
+    "lines_winner": f"WITH {COMPETITION} SELECT typed.doc_id, CASE WHEN n IS NULL THEN 'recursive_600' ELSE 'lines_' || n::VARCHAR END AS strategy, coalesce(total, 0.0) AS chunking_score, coalesce(n_chunks, 1)::INTEGER AS n_chunks FROM typed LEFT JOIN (SELECT * FROM comp WHERE k = 1) USING (doc_id)",
+    "lines_competition": f"WITH {COMPETITION} SELECT doc_id, 'lines_' || n::VARCHAR AS strategy, total, n_chunks, k = 1 AS won FROM comp",
     "weighted_total": f"""WITH {SIG}, m AS (SELECT doc_id, section_type, {', '.join(f"(doc_id * {k + 3} % 101)::DOUBLE / 100 AS {m}" for k, m in enumerate(chunk_quality.METRICS))} FROM typed)
-SELECT doc_id, section_type, {_BOUND('CASE section_type ' + ' '.join(f"WHEN '{t}' THEN " + ' + '.join(f'{m} * {w}::DOUBLE' for m, w in ws.items()) for t, ws in chunk_quality.WEIGHTS.items()) + ' END')} AS total FROM m""",
+SELECT doc_id, section_type, {_TOTAL} AS total FROM m""",
     "candidate_strategies": f"""WITH {SIG} SELECT doc_id, 'recursive_600,recursive_1100' || CASE WHEN section_type IN ('financial_table', 'mixed') OR table_density >= 0.1 THEN ',table_aware' ELSE '' END || CASE WHEN token_count >= 300 THEN ',llm_regex' ELSE '' END AS strategies FROM typed""",
     "context_assemble": f"""WITH {RERANK}, c AS (SELECT rr.*, {_ITEM.replace('doc_id', 'pos')} AS item_number FROM rr WHERE rank <= 5)
 SELECT query_id, chr(10) || chr(10) || string_agg('[SOURCE ' || rank::VARCHAR || '] ' || source || ' | 10-K FY' || (2020 + pos % 5)::VARCHAR || ' | Item ' || item_number || ' — ' || {_TITLE} || chr(10) || CASE WHEN {_TABLE} THEN '[TABLE]' ELSE '[TEXT]' END || chr(10) || trim(text), chr(10) || chr(10) || repeat('—', 60) || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) AS context, count(*)::INTEGER AS n_sources

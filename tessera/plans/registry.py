@@ -12,7 +12,7 @@ from ..operators import answers, build, chunk_quality, chunking, ingest, search
 from ..sources import tables
 from ..streaming import incremental
 from ..sources.shared import shared_dir, spread, staged
-from .oracles import ASKS, FIRST_YEAR, LAST_YEAR, ORACLE_SQL, TICKERS, YEAR_ASKED  # noqa: F401
+from .oracles import ASKS, FIRST_YEAR, LAST_YEAR, LINE_COUNTS, ORACLE_SQL, TICKERS, YEAR_ASKED  # noqa: F401
 
 FLAGSHIP = "hybrid_retrieve"
 TOP = 10
@@ -397,6 +397,27 @@ def strategy_competition(spark, d):
     return chunk_quality.competition(_scored(spark, d)[1])
 
 
+def _line_competition(spark, d):
+    """Sections cut into three, five and eight lines, scored by all metrics that need no model; every seventh has no strategy."""
+    typed = ingest.typed(_sections(spark, d)).select("doc_id", "text", "item_number", "section_type", F.col("signals.numerical_density").alias("numerical_density"))
+    sizes = F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(n).alias("n")) for k, n in enumerate(LINE_COUNTS))))
+    split = F.split("text", "\n")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(split) - 1) / F.col("n")).cast("int")), lambda k: F.array_join(F.slice(split, k * F.col("n") + 1, F.col("n")), "\n"))
+    offered = typed.filter("doc_id % 7 <> 0").select("*", sizes.alias("s")).select("*", "s.*").withColumns({"strategy": F.concat(F.lit("lines_"), "n"), "chunks": chunks})
+    metrics = chunk_quality.plain_metrics(offered).withColumns({m: F.lit(1.0) for m in ("icc", "dcc", "rc")})
+    return typed, metrics.withColumn("total", chunk_quality.weighted_total(F.col("section_type")))
+
+
+def lines_winner(spark, d):
+    own, scored = _line_competition(spark, d)
+    won = chunk_quality.with_fallback(chunk_quality.winners(scored), own)
+    return won.select("doc_id", "strategy", "chunking_score", F.size("chunks").alias("n_chunks"))
+
+
+def lines_competition(spark, d):
+    return chunk_quality.competition(_line_competition(spark, d)[1])
+
+
 # --- answers ---
 
 
@@ -493,7 +514,7 @@ QUERIES = {
         sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
         dense_topk_postfilter, dense_topk_prefilter, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
-        candidate_strategies, strategy_winner, strategy_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
+        candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
         embed_missing_antijoin, pipeline_stats, event_windows,
     )
 }
