@@ -8,7 +8,7 @@ conversation is a prefix of the other, or both are equal, its completion is empt
 The registered query pairs conversation 2k (chosen) with 2k + 1 (rejected). A missing side counts as a
 conversation without turns, so every conversation stands in exactly one row. Turns are ordered by their
 number, then role and text; null roles and texts are rendered as empty, but null and empty differ for
-the common prefix. Rows repeated in full are one turn. Rows without a conversation id have no partner and
+the common prefix. A pair is one row of the result, so its turns must fit in one. Rows repeated in full are one turn. Rows without a conversation id have no partner and
 are left out. An empty table gives no rows; columns beyond the four are ignored.
 """
 

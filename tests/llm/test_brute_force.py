@@ -219,3 +219,45 @@ def test_recall_of_pairs_just_above_the_bound(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(made) > 400 and all(d == i for d, i in found)
     assert len(found) / len(made) >= 0.99
+
+
+# --- skew ---
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_join_like_others(spark, how):
+    from tessera.llm.runtime import HOT_ROWS, hot_join
+
+    rows = spark.createDataFrame([(1, "a", k) for k in range(3 * HOT_ROWS)] + [(2, "b", k) for k in range(5)] + [(3, "c", 0), (None, "a", 1), (1, None, 2)], "x int, y string, v int")
+    keyed = spark.createDataFrame([(1, "a", 10, 3 * HOT_ROWS), (2, "b", 20, 5), (4, "d", 40, 0)], "x int, y string, w int, rows_of long")
+    plan = hot_join(rows, keyed, ["x", "y"], how)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, plan.collect())) == sorted(map(repr, rows.join(keyed.drop("rows_of"), ["x", "y"], how).collect()))
+
+
+def test_a_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
+    from tests.llm.test_leaks_joins_models_shards import join_by_brute_force
+    from tessera.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 100)
+    rng = random.Random(6)
+    base, rows = prose(rng, 40).split(), []
+    for k in range(620):
+        w = list(base)
+        for _ in range(rng.randrange(3)):
+            w[rng.choice([0, 1, 20, 38, 39])] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, rows[0][1]) for k in range(620)] + [(3000 + k, prose(rng, 30)) for k in range(20)]
+    got = sorted(map(tuple, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == join_by_brute_force(rows)
+
+
+# --- urls ---
+
+
+def test_hosts_of_thousands_of_labels(spark):
+    from tessera.llm import url_rules
+
+    rows = [(1, "http://" + "a." * 5000 + "com/de/x"), (2, "http://" + "a." * 5000 + "COM/fr/"), (3, "http://com/de/"), (4, "http://xcom/de/")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), url_rules.RULES).collect()}
+    assert got == {1: ("com/de/", "block"), 2: ("com/fr/", "allow"), 3: ("com/de/", "block"), 4: (None, "allow")}
