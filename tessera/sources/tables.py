@@ -54,11 +54,20 @@ def read_sections(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return read_json(spark, path, SECTION, lines).filter(X.strip(F.col("text")) != "").select("section_id", "item_number", "item_title", "section_type", X.strip(F.col("text")).alias("text"), "tables", "source_url", "signals", "metadata.*")
 
 
-def write_sections(sections: DataFrame, path: str) -> None:
-    """One JSON object a line, a folder a ticker."""
+def _section_columns(sections: DataFrame) -> list:
     body = [c for c in ("section_id", "item_number", "item_title", "section_type", "text", "tables", "source_url", "signals") if c in sections.columns]
     meta = [c for c in ("company_name", "ticker", "cik", "fiscal_year", "filing_date", "accession_no", "sector") if c in sections.columns]
-    sections.select(*body, F.struct(*meta).alias("metadata"), F.col("ticker").alias("of")).write.mode("overwrite").partitionBy("of").json(path)
+    return [*body, F.struct(*meta).alias("metadata")]
+
+
+def write_sections(sections: DataFrame, path: str) -> None:
+    """One JSON object a line, a folder a ticker."""
+    sections.select(*_section_columns(sections), F.col("ticker").alias("of")).write.mode("overwrite").partitionBy("of").json(path)
+
+
+def write_all_sections(sections: DataFrame, path: str) -> None:
+    """All companies' sections in one folder of JSON lines."""
+    sections.select(*_section_columns(sections)).write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

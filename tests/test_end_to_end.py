@@ -147,6 +147,9 @@ def test_filing_and_chunk_files(spark, tmp_path):
     assert own.count() == 1
     tables.write_filings(own, f"{tmp_path}/out")
     assert tables.read_json(spark, f"{tmp_path}/out/*", tables.FILING, lines=True).first().filing_date == "2024-11-01"
+    sections = ingest.sections(spark.createDataFrame([("AAPL", 2024, "one"), ("MSFT", 2024, "two")], "ticker string, fiscal_year int, business string"))
+    tables.write_all_sections(sections, f"{tmp_path}/all")
+    assert sorted((r.ticker, r.text, r.signals.token_count) for r in tables.read_sections(spark, f"{tmp_path}/all", lines=True).collect()) == [("AAPL", "one", 1), ("MSFT", "two", 1)]
     chunks = spark.createDataFrame([("c1", "text", [0.5])], "chunk_id string, text string, embedding array<float>")
     full = chunks.select(*(F.col(n) if n in chunks.columns else F.lit(None).cast(t).alias(n) for n, t in (x.split(" ") for x in tables.CHUNK.split(", "))))
     tables.write_chunks_json(full, f"{tmp_path}/chunks")
