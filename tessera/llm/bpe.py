@@ -193,6 +193,7 @@ def encode_long(texts: DataFrame, path: str) -> DataFrame:
                 made = Encoded(text, array("I", [c.added[text]]).tobytes()) if part % 2 else c.tree(text)
                 rows.append((*key, part, k, *made))
             yield pa.RecordBatch.from_arrays(_columns(rows, [*_KINDS, pa.string(), pa.binary(), pa.binary(), pa.string(), pa.binary()]), [x.split(" ")[0] for x in _ENCODED.split(", ")])
+        c.forget()
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: r[4])
@@ -222,6 +223,7 @@ def encoded(docs: DataFrame, path: str, row, schema: str, kinds: list[pa.DataTyp
         c = codec(path, TreeCodec)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([row(c, c.packed(x.as_py())) for x in batch.column(1)], kinds)], ["id", *names])
+        c.forget()
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, TreeCodec)

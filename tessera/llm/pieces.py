@@ -25,7 +25,7 @@ PLAIN = 0x250
 #: Units and pieces of more characters are not kept.
 LONG_PIECE = 64
 #: Units and pieces kept by each cache of a worker; beyond, it starts anew.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 300_000
 #: Marks that are a piece of their own after a word.
 _MARKS = frozenset(".,;:!?)\"")
 #: White space as the library's patterns have it.
@@ -132,6 +132,11 @@ class PieceCodec:
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
+    def forget(self) -> None:
+        """Empties the caches: at the end of a task, so that a worker's memory is free for what it does next."""
+        for known in (self.pieces_known, self.units_known, self.spaced_known):
+            known.clear()
+
     def library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -143,6 +143,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, segment_tokens: in
                     yield segment()
                     seg, before = seg + 1, before + held
                     docs_, lengths, packed, held = [], [], [], 0
+        c.forget()
         if docs_:
             yield segment()
 
