@@ -13,12 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import blocks
 from ..sources.shared import spread, staged
 
 #: Rows of a query side that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Values of a matrix of query vectors.
-MATRIX = 4_000_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 FILTERS = ("ticker", "fiscal_year", "item_number", "section_type", "is_table_chunk", "sector")
@@ -119,52 +118,12 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, pos, score, rank): the k largest inner products of each query (query_id, query_vector) with vectors (pos, vector).
 
-    The stated queries go to every partition of the vectors as matrices of at most MATRIX values, one pass a matrix; a partition
-    keeps its best k a query, and only these become rows. Equal scores rank by pos."""
-    import numpy as np
-    import pyarrow as pa
-
-    def runner(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches):
-            # the best so far as (query, score, pos), and the score a query's row must reach
-            held = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-            least = np.full(len(ids), -np.inf)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = np.round(matrix @ np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()]).T, 6)
-                q, j = np.nonzero(scores >= least[:, None])
-                held = np.concatenate([held[0], q]), np.concatenate([held[1], scores[q, j]]), np.concatenate([held[2], np.asarray(batch.column(0).to_pylist(), np.int64)[j]])
-                order = np.lexsort((held[2], -held[1], held[0]))
-                first = np.searchsorted(held[0][order], np.arange(len(ids)))
-                place = np.arange(len(order)) - first[held[0][order]]
-                held = tuple(x[order[place < k]] for x in held)
-                last = place[place < k] == k - 1
-                least[held[0][last]] = held[1][last]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1])], ["query_id", "pos", "score"])
-
-        return run
-
-    own, parts, block, size = vectors.filter("vector is not null").select("pos", "vector"), [], [], 0
-
-    def finish() -> None:
-        ids = np.array([r[0] for r in block], np.int64)
-        parts.append(own.mapInArrow(runner(ids, np.array([r[1] for r in block], np.float64)), "query_id long, pos long, score double"))
-
-    for r in queries.filter("query_vector is not null").select("query_id", "query_vector").toLocalIterator():
-        block.append(r)
-        size += len(r[1])
-        if size >= MATRIX:
-            finish()
-            block, size = [], 0
-    if block:
-        finish()
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, pos long, score double, rank int")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionAll(more)
-    return top_k(found, k, [F.desc("score"), F.asc("pos")], ["query_id"])
+    Both sides are dealt into blocks, and a matrix product is made for each pair of blocks; neither side is ever on the driver,
+    and there is no limit on queries. A task passes on the best k a query of what it has seen. Equal scores rank by pos; nulls and
+    vectors of another dimension than the query's have no score."""
+    own = blocks.packed(spread(vectors.select(F.col("pos").cast("long").alias("id"), "vector")))
+    asked = blocks.packed(queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector")), most=blocks.QUERY_ROWS)
+    return blocks.best_products(own, asked, k)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None, strict_prefilter: bool = False) -> DataFrame:

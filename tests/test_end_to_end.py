@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import providers
 from tessera.functions import text as X
-from tessera.operators import answers, build, chunk_quality, chunking, ingest, search
+from tessera.operators import blocks, answers, build, chunk_quality, chunking, ingest, search
 from tessera.sources import shared, tables
 
 
@@ -118,12 +118,37 @@ def test_dense_best_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "pos long, vector array<double>").repartition(5)
     asked = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v[:37])] + [(99, None)], "query_id long, query_vector array<double>")
     want = {(q, p, round(float(s), 6), k + 1) for q in range(37) for k, (s, p) in enumerate(sorted(((round(float(v[q] @ x), 6), p) for p, x in enumerate(v)), key=lambda t: (-t[0], t[1]))[:7])}
-    for size in (4_000_000, 30):
-        monkeypatch.setattr(search, "MATRIX", size)
+    # blocks of one size and another, a broadcast side and a grid of cells
+    for values, sent, cell in ((blocks.BLOCK_VALUES, blocks.BROADCAST_BYTES, blocks.CELL_BYTES), (30, 1 << 20, 1), (60, 0, 900)):
+        for name, value in (("BLOCK_VALUES", values), ("BROADCAST_BYTES", sent), ("CELL_BYTES", cell)):
+            monkeypatch.setattr(blocks, name, value)
         assert {(r.query_id, r.pos, r.score, r["rank"]) for r in search.dense_best(vectors, asked, 7).collect()} == want
+    monkeypatch.setattr(blocks, "HELD", 1)  # every pair of blocks passes its best on
+    assert search.dense_best(vectors, asked, 7).count() == len(want)
     assert search.dense_best(vectors, asked.limit(0), 7).count() == 0 and search.dense_best(vectors.limit(0), asked, 7).count() == 0
 
 
+def test_dense_best_of_more_queries_than_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(300, 5)), rng.normal(size=(3000, 5))
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(blocks, "CELL_BYTES", 40_000)
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "pos long, vector array<double>")
+    asked = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)], "query_id long, query_vector array<double>").repartition(6)
+    found = search.dense_best(vectors, asked, 2)
+    assert "BroadcastNestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "Cartesian" not in plan
+    best = np.argsort(-np.round(q @ v.T, 6), axis=1, kind="stable")[:, :2]
+    assert {(r.query_id, r["rank"]): r.pos for r in found.collect()} == {(k, j + 1): int(best[k, j]) for k in range(3000) for j in range(2)}
+
+
+def test_vectors_of_several_dimensions_and_odd_values(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (3, []), (4, None), (5, [float("nan"), 1.0]), (6, [None, 2.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "pos long, vector array<double>")
+    asked = vectors.select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector")).filter("query_id < 4")
+    got = {(r.query_id, r["rank"]): (r.pos, r.score) for r in search.dense_best(vectors, asked, 2).collect()}
+    assert got == {(0, 1): (0, 1.0), (0, 2): (1, 0.5), (1, 1): (0, 0.5), (1, 2): (1, 0.5), (2, 1): (2, 1.0), (3, 1): (3, 0.0)}
+
+
 def test_one_side_alone(spark):
     docs = spark.createDataFrame([(0, "orange pie"), (1, "banana"), (2, "cherry"), (3, "plum")], "doc_id long, text string")
     chunks = docs.select(F.col("doc_id").alias("pos"), F.lit("A").alias("ticker"), F.lit("7").alias("item_number"), "text")
