@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, kd_shards, language_model, licenses, ngram_join, preferences, quality, token_store, url_rules
+from . import bpe, decontaminate, kd_shards, language_model, licenses, negatives, ngram_join, packing, periodic, preferences, quality, token_store, url_rules
 from .runtime import table
 
 
@@ -52,9 +52,25 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_ids, op2_decontaminate, op3_url_rules, op4_quality, op5_licenses, op6_ngram_join, op7_language_model, op8_preferences, op9_bpe, op10_kd_shards)
-}
+    f.__name__: f
+    for f in (
+        op1_token_ids, op2_decontaminate, op3_url_rules, op4_quality, op5_licenses, op6_ngram_join, op7_language_model, op8_preferences, op9_bpe, op10_kd_shards, op11_periodic_runs, op12_packing,
+        op13_hard_negatives,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_rules": url_rules.ORACLE_SQL,
