@@ -50,19 +50,22 @@ class Windows:
         none = np.zeros(0, np.int64)
         self.held = [[np.arange(anchors), none, none, none, np.full(anchors, _LEAST)] for _ in low]
 
-    def qualify(self, lower: np.ndarray, upper: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """Which pairs of a whole block, anchors in rows, have an interval that could be among the best of some range.
+    def qualify(self, score: np.ndarray, down: np.ndarray, up: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Which pairs of a whole block, anchors in rows, could be among the best of some range; the interval of a pair is from
+        score + down to score + up of its anchor.
 
         For anchors without k rows so far, k intervals of the block inside the range bound its others from below."""
+        most = {4: 1 << 24, 8: 1 << 53}[score.itemsize] if score.dtype.kind == "f" else _MOST
+        bound = lambda x: np.clip(x, -most, most).astype(score.dtype)[:, None]
         out = np.zeros(allowed.shape, bool)
         for low, high, own in zip(self.low, self.high, self.held):
             least = np.maximum(low, own[4])
             new = np.flatnonzero((own[4] == _LEAST) & (low < _MOST))
             if len(new) and allowed.shape[1] >= self.k:
-                inside = allowed[new] & (lower[new] >= low[new, None]) & (upper[new] <= high[new, None])
-                kth = -np.partition(np.where(inside, -lower[new], np.inf), self.k - 1, 1)[:, self.k - 1]
+                inside = allowed[new] & (score[new] >= bound((low - down)[new])) & (score[new] <= bound((high - up)[new]))
+                kth = -np.partition(np.where(inside, -score[new], np.inf), self.k - 1, 1)[:, self.k - 1] + down[new]
                 least[new] = np.maximum(least[new], np.maximum(kth, _LEAST).astype(np.int64))
-            out |= (upper >= least[:, None]) & (lower <= high[:, None])
+            out |= (score >= bound(least - up)) & (score <= bound(high - down))
         return out & allowed
 
     def tightened(self, lower: np.ndarray, upper: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def sliced(anchors: np.ndarray, rows: np.ndarray, allowed: np.ndarray, ids: np.n
         # while every interval is wider than all scores lie apart none can end below another
         if k >= 0 and score.size and ((up - down) * rest).min() > np.ptp(score):
             continue
-        alive = wanted.qualify(score + (down * rest)[:, None], score + (up * rest)[:, None], allowed)
+        alive = wanted.qualify(score, down * rest, up * rest, allowed)
         if alive.sum() <= FEW * alive.size or k < 0:
             pairs = np.nonzero(alive)
     i, j = pairs if pairs is not None else np.nonzero(allowed)
