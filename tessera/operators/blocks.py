@@ -8,7 +8,7 @@ a cell joins about as many bytes of either, and neither side is on the driver or
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,28 +27,28 @@ BROADCAST_BYTES, CELL_BYTES = 64 << 20, 64 << 20
 #: (query, vector) pairs that a task holds before it passes its best on.
 HELD = 4_000_000
 
-SCHEMA = "block long, dim int, n int, ids binary, vectors binary, more binary"
+SCHEMA = "block long, dim int, cell int, n int, ids binary, vectors binary, more binary"
 
 
-def packed(rows: DataFrame, kind: str = "<f8", most: int = BLOCK_ROWS, shape: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """rows (id long, vector array, further long columns) as blocks in the shared folder: block, dim, n, ids, vectors, more.
+def pack(rows: DataFrame, kind: str = "<f8", most: int = BLOCK_ROWS) -> DataFrame:
+    """rows (id long, vector array, cell int if they are of cells, further long columns) as blocks: block, dim, cell, n, ids, vectors, more.
 
-    A block's vectors are of one dimension; `more` has the further columns, one after the other. Rows without a vector are left out.
-    shape, if given, turns a block's values into those that are kept."""
-    extra = [c for c in rows.columns if c not in ("id", "vector")]
+    A block's vectors are of one dimension and cell; `more` has the further columns, one after the other. Rows without a vector are
+    left out."""
+    extra = [c for c in rows.columns if c not in ("id", "vector", "cell")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held: dict[int, list[tuple]] = {}
+        held: dict[tuple[int, int], list[tuple]] = {}
         part, made = TaskContext.get().partitionId(), 0
 
-        def block(dim: int) -> pa.RecordBatch:
+        def block(of: tuple[int, int]) -> pa.RecordBatch:
             nonlocal made
-            ids, vectors, more = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            ids, vectors, more = (np.concatenate(x) for x in zip(*held.pop(of)))
             made += 1
-            row = [(part << 32) + made - 1, dim, len(ids), ids.tobytes(), (shape(vectors) if shape else vectors).astype(kind).tobytes(), more.T.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split(" ")[0] for x in SCHEMA.split(", ")])
+            row = [(part << 32) + made - 1, *of, len(ids), ids.tobytes(), vectors.astype(kind).tobytes(), more.T.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split(" ")[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
             lists = batch.column("vector")
@@ -56,37 +56,43 @@ def packed(rows: DataFrame, kind: str = "<f8", most: int = BLOCK_ROWS, shape: Ca
             dims = np.diff(ends, prepend=0)
             ids = batch.column("id").to_numpy()
             more = np.column_stack([np.zeros((len(ids), 0), np.int64), *(batch.column(c).to_numpy() for c in extra)]).astype(np.int64)
-            for dim in np.unique(dims).tolist():
-                own = np.flatnonzero(dims == dim)
+            cells = batch.column("cell").to_numpy() if "cell" in batch.schema.names else np.zeros(len(ids), np.int64)
+            for dim, cell in np.unique(np.column_stack([dims, cells]), axis=0).tolist():
+                of, own = (dim, cell), np.flatnonzero((dims == dim) & (cells == cell))
                 matrix = values[(ends[own] - dim)[:, None] + np.arange(dim)]
                 size = max(1, min(most, BLOCK_VALUES // max(dim, 1)))
                 a = 0
                 while a < len(own):
-                    free = size - sum(len(x[0]) for x in held.get(dim, ()))
-                    held.setdefault(dim, []).append((ids[own[a : a + free]], matrix[a : a + free], more[own[a : a + free]]))
+                    free = size - sum(len(x[0]) for x in held.get(of, ()))
+                    held.setdefault(of, []).append((ids[own[a : a + free]], matrix[a : a + free], more[own[a : a + free]]))
                     if len(own) - a >= free:
-                        yield block(dim)
+                        yield block(of)
                     a += free
-            # many dimensions, each with a few rows
+            # many dimensions or cells, each with a few rows
             while sum(x[1].size + len(x[0]) for own in held.values() for x in own) > 4 * BLOCK_VALUES:
                 yield block(max(held, key=lambda d: sum(x[1].size for x in held[d])))
-        for dim in sorted(held):
-            yield block(dim)
+        for of in sorted(held):
+            yield block(of)
 
-    return staged(rows.filter("vector is not null").mapInArrow(run, SCHEMA), "blocks", "lz4")
+    return rows.filter("vector is not null").mapInArrow(run, SCHEMA)
+
+
+def packed(rows: DataFrame, kind: str = "<f8", most: int = BLOCK_ROWS) -> DataFrame:
+    """The blocks of `pack` in the shared folder."""
+    return staged(pack(rows, kind, most), "blocks", "lz4")
 
 
 def paired(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each block of vectors beside each block of queries of its dimension, whose columns begin with q_."""
-    asked = queries.select(*(F.col(c).alias("dim" if c == "dim" else f"q_{c}") for c in queries.columns))
+    """Each block of vectors beside each block of queries of its dimension and cell, whose columns begin with q_."""
+    asked = queries.select(*(F.col(c).alias(c if c in ("dim", "cell") else f"q_{c}") for c in queries.columns))
     size = lambda df: df.agg(F.sum(F.length("vectors") + F.length("ids") + F.length("more"))).first()[0] or 0
     if (bytes_ := size(queries)) <= BROADCAST_BYTES:
-        return spread(vectors).join(F.broadcast(asked), "dim")
+        return spread(vectors).join(F.broadcast(asked), ["dim", "cell"])
     rows, columns = math.ceil(bytes_ / CELL_BYTES), max(1, math.ceil(size(vectors) / CELL_BYTES))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     own = vectors.select("*", place("block", columns).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row"))
     asked = asked.select("*", place("q_block", rows).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"))
-    return own.join(asked, ["dim", "row", "column"]).drop("row", "column")
+    return own.join(asked, ["dim", "cell", "row", "column"]).drop("row", "column")
 
 
 def best_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

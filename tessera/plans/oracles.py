@@ -286,6 +286,8 @@ SELECT page_id, text FROM d WHERE text <> ''""",
 SELECT pos, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, round(v[1] / n, 6) AS first FROM n""",
     "vec_cosine": f"WITH {DENSE} SELECT x.pos, round({_cos('x.v', 'q.v')}, 6) AS cosine FROM vec x, (SELECT v FROM vec WHERE pos = 0) q",
     "dense_topk": f"WITH {DENSE} {_top('den', 10)}",
+    "dense_topk_cells": f"WITH {DENSE} {_top('den', 10)}",
+    "dense_cells_recall": "SELECT sum(least(10, n))::BIGINT AS nearest, true AS enough FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "dense_topk_postfilter": f"WITH {DENSE}, best AS ({_top('den', 100, columns='query_id, pos, score')}) {_top('(SELECT best.* FROM best JOIN vec USING (pos) WHERE label = 3)', 10)}",
     "dense_topk_prefilter": f"WITH {DENSE} {_top('(SELECT den.* FROM den JOIN vec USING (pos) WHERE label = 3)', 10)}",
     "classify_query": f"""WITH {QUESTIONS} SELECT query_id, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comparative' WHEN regexp_matches(query, {_q(X.ANALYTICAL)}) THEN 'analytical' ELSE 'factual' END AS query_type,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answers, build, chunk_quality, chunking, ingest, search
+from ..operators import answers, build, chunk_quality, chunking, ingest, search, vector_index
 from ..sources import tables
 from ..streaming import incremental
 from ..sources.shared import shared_dir, spread, staged
@@ -224,6 +224,32 @@ def dense_topk_prefilter(spark, d):
     return search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), TOP, _vectors(spark, d).filter("label = 3").select("pos"), strict_prefilter=True)
 
 
+_CELLS: dict[tuple[str, str], str] = {}
+
+
+def _cells(spark, d):
+    """The clustered index of the vectors: built and saved by the first query of a session that needs it, read by the others."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _CELLS:
+        path = f"{shared_dir(spark)}/tessera-cells-{uuid.uuid4().hex}"
+        vector_index.build(_vectors(spark, d).select("pos", "vector"), path)
+        _CELLS[key] = path
+    return vector_index.load(spark, _CELLS[key])
+
+
+def dense_topk_cells(spark, d):
+    """The same rows as dense_topk, from the cells that can hold them."""
+    return vector_index.top_k(_cells(spark, d), _query_vectors(spark, d), TOP, exact=True)
+
+
+def dense_cells_recall(spark, d):
+    """Whether the probes that the index has measured find 95 of 100 of every vector's nearest."""
+    asked = _vectors(spark, d).select(F.col("pos").alias("query_id"), F.col("vector").alias("query_vector"))
+    want = search.dense_best(_vectors(spark, d), asked, TOP).select("query_id", "pos")
+    got = vector_index.top_k(_cells(spark, d), asked, TOP).select("query_id", "pos", F.lit(1).alias("hit"))
+    return want.join(got, ["query_id", "pos"], "left").agg(F.count("*").alias("nearest"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
 def classify_query(spark, d):
     return _questions(spark, d).select("query_id", X.classify_query(F.col("query")).alias("query_type"), X.intent(F.col("query")).alias("intent"), X.item_hint(F.col("query")).alias("hint"))
 
@@ -512,7 +538,7 @@ QUERIES = {
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
         sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
-        dense_topk_postfilter, dense_topk_prefilter, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
+        dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
         candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
         embed_missing_antijoin, pipeline_stats, event_windows,
