@@ -281,6 +281,9 @@ d AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t\\r]+', ' ', '
 SELECT page_id, text FROM d WHERE text <> ''""",
     "bm25_term_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {_scores()} {_top('(SELECT * FROM lex WHERE score > 0)', 10)}",
+    "bm25_topk_segments": f"WITH {_scores()} {_top('(SELECT * FROM lex WHERE score > 0)', 10)}",
+    "filter_bitmaps": f"""WITH sec0 AS (SELECT doc_id AS pos, {_TICKER.format('doc_id')} AS ticker, (2020 + doc_id % 5)::VARCHAR AS fiscal_year, {_ITEM} AS item_number, lang AS sector FROM documents WHERE {_strip('text')} <> '')
+SELECT field, value, count(*) AS n FROM (UNPIVOT sec0 ON ticker, fiscal_year, item_number, sector INTO NAME field VALUE value) GROUP BY field, value""",
     "bm25_topk_filtered": f"WITH {_scores()}, keep AS (SELECT doc_id AS pos FROM documents WHERE {_ITEM} = '1A' AND lang = 'en' AND trim(text) <> '') {_top('(SELECT * FROM lex WHERE score > 0 AND pos IN (SELECT pos FROM keep))', 10)}",
     "vec_normalise": """WITH v AS (SELECT vec_id AS pos, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v FROM embeddings), n AS (SELECT pos, v, sqrt(list_dot_product(v, v)) AS n FROM v)
 SELECT pos, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, round(v[1] / n, 6) AS first FROM n""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answers, build, chunk_quality, chunking, ingest, search, vector_index
+from ..operators import answers, bitmaps, build, chunk_quality, chunking, ingest, postings, search, vector_index
 from ..sources import tables
 from ..streaming import incremental
 from ..sources.shared import shared_dir, spread, staged
@@ -197,9 +197,33 @@ def bm25_topk(spark, d):
     return search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), TOP)
 
 
+_SEGMENTS: dict[tuple[str, str], str] = {}
+
+
+def _segmented(spark, d):
+    """The documents in segments: all with the beginning of their text alone, then with the whole in two parts, merged; once a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _SEGMENTS:
+        path = f"{shared_dir(spark)}/tessera-segments-{uuid.uuid4().hex}"
+        docs, index = _read(spark, d, "documents").withColumnRenamed("doc_id", "pos"), postings.SegmentedIndex(spark, path)
+        index.add(docs.withColumn("text", F.left("text", F.lit(40)))).add(docs.filter("pos % 2 = 0")).add(docs.filter("pos % 2 = 1")).merge()
+        _SEGMENTS[key] = path
+    return postings.SegmentedIndex(spark, _SEGMENTS[key])
+
+
+def bm25_topk_segments(spark, d):
+    """The same rows as bm25_topk, from an index of which every document was replaced once, skipping blocks."""
+    return _segmented(spark, d).top_k(_plain_questions(spark, d), TOP)
+
+
 def bm25_topk_filtered(spark, d):
-    keep = _chunks(spark, d).filter(search.filter_column({"item_number": "1A", "sector": "en", "nothing": 1})).select("pos")
-    return search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), TOP, keep)
+    matched = bitmaps.matching(bitmaps.build(_chunks(spark, d)), {"item_number": "1A", "sector": "en", "nothing": 1})
+    return _segmented(spark, d).top_k(_plain_questions(spark, d), TOP, matched)
+
+
+def filter_bitmaps(spark, d):
+    """How many chunks each filter value has, from the bitmaps."""
+    return bitmaps.build(_chunks(spark, d).select("pos", "ticker", "fiscal_year", "item_number", "sector")).groupBy("field", "value").agg(F.sum("n").alias("n"))
 
 
 def vec_normalise(spark, d):
@@ -221,7 +245,8 @@ def dense_topk_postfilter(spark, d):
 
 
 def dense_topk_prefilter(spark, d):
-    return search.dense_top_k(_vectors(spark, d), _query_vectors(spark, d), TOP, _vectors(spark, d).filter("label = 3").select("pos"), strict_prefilter=True)
+    labelled = bitmaps.build(_vectors(spark, d).select("pos", F.col("label").alias("section_type")))
+    return search.dense_top_k(bitmaps.kept(_vectors(spark, d), bitmaps.matching(labelled, {"section_type": 3})), _query_vectors(spark, d), TOP)
 
 
 _CELLS: dict[tuple[str, str], str] = {}
@@ -537,7 +562,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
-        sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_filtered, vec_normalise, vec_cosine, dense_topk,
+        sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_segments, bm25_topk_filtered, filter_bitmaps, vec_normalise, vec_cosine, dense_topk,
         dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
         candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
