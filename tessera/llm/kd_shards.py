@@ -8,7 +8,8 @@ key at which half the bytes are reached. Only these histograms come to the drive
 
 Equal texts share all coordinates if the group's smallest metadata stands for all its members, so a cut
 falls between groups. A group that is too heavy for that (over SLACK of its node) is itself cut by
-doc_id, so one text with a third of all rows still spreads over shards.
+doc_id, and rows of one doc_id, or of none, that are too heavy still by their place in the table as it was written first; so one text
+with a third of all rows still spreads over shards, whatever its ids.
 
 Null metadata sort first, a null or empty text weighs 1, repeated rows are documents of their own, and
 an empty table gives no rows. A text heavier than a shard's share makes its shard the heavier; texts themselves are only hashed and
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,9 +91,15 @@ def _search(rows: DataFrame, value, targets: dict[int, int], ranges: dict[int, t
     return done
 
 
+def _ends(rows: DataFrame, value: Column) -> dict[int, tuple[int, int]]:
+    """The least and greatest value of each node."""
+    return {r["node"]: (r["lo"], r["hi"]) for r in rows.groupBy("node").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).collect()}
+
+
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, shard: a leaf of the tree for every document, in shards 0 to shards - 1."""
-    rows = staged(points(docs).withColumn("node", F.lit(0).cast("long")), "points")
+    """doc_id, size, text_crc32, shard, row: a leaf of the tree for every document, in shards 0 to shards - 1, and the row's number."""
+    # each row has a number of its own, for rows that nothing else tells apart
+    rows = staged(points(docs).withColumns({"node": F.lit(0).cast("long"), "row": F.monotonically_increasing_id()}), "points")
     keys = [f"k_{d}" for d in DIMENSIONS]
     nodes = {0: Node(shards, 0)}
     whole: dict[str, int] = {}
@@ -121,15 +128,21 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
                 if w > SLACK * stats[n]["w"]:
                     heavy[n] = targets[n] - below
             ids: dict[int, tuple[int, int, int]] = {}
+            numbers: dict[int, tuple[int, int, int]] = {}
+            doc, number = F.coalesce("doc_id", F.lit(_LOW >> 1)), F.col("row")
             if heavy:
                 own = rows.filter(F.col("node").isin(list(heavy))).withColumn("k", value).filter(F.coalesce(*(F.when(F.col("node") == n, F.col("k") == cuts[n][0]) for n in heavy)))
-                doc = F.coalesce("doc_id", F.lit(_LOW >> 1))
-                bounds = {r["node"]: (r["lo"], r["hi"]) for r in own.groupBy("node").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).collect()}
-                ids = _search(own, doc, heavy, bounds)
+                ids = _search(own, doc, heavy, _ends(own, doc))
+                same = {n: heavy[n] - below for n, (_, below, w) in ids.items() if w > SLACK * stats[n]["w"]}
+                if same:
+                    equal = own.filter(F.coalesce(*(F.when(F.col("node") == n, doc == ids[n][0]) for n in same), F.lit(False)))
+                    numbers = _search(equal, number, same, _ends(equal, number))
             for n, (cut, below, w) in cuts.items():
                 key = F.col(along[n])
-                if n in ids:
-                    goes_left = (key < cut) | ((key == cut) & (F.coalesce("doc_id", F.lit(_LOW >> 1)) <= ids[n][0]))
+                if n in numbers:
+                    goes_left = (key < cut) | ((key == cut) & ((doc < ids[n][0]) | ((doc == ids[n][0]) & (number <= numbers[n][0]))))
+                elif n in ids:
+                    goes_left = (key < cut) | ((key == cut) & (doc <= ids[n][0]))
                 else:
                     # the group at the cut goes to the side that leaves the smaller error
                     goes_left = key <= cut if below + w - targets[n] <= targets[n] - below else key < cut
@@ -140,7 +153,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
             discard(before)
         nodes = after
     shard = F.element_at(F.create_map(*[F.lit(x) for n, leaf in leaf_of.items() for x in (n, leaf)]), F.col("node").cast("int"))
-    return rows.select("doc_id", "size", "text_crc32", shard.alias("shard"))
+    return rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), "row")
 
 
 def with_slots(assigned: DataFrame) -> DataFrame:
@@ -148,7 +161,7 @@ def with_slots(assigned: DataFrame) -> DataFrame:
 
     Rows are dealt into ranges of (shard, doc_id); a range's rows are numbered on their own and begin where
     the ranges before it end. The driver gets one count a range and shard."""
-    order = ["shard", F.col("doc_id").asc_nulls_first(), "text_crc32", "size"]
+    order = ["shard", F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "row"]
     ranged = staged(assigned.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
     counts = sorted((r["shard"], r["range"], r["n"]) for r in ranged.groupBy("shard", "range").agg(F.count("*").alias("n")).collect())
     before: dict[int, int] = {}
