@@ -3,7 +3,9 @@
 Texts are dealt into batches of bounded size by a hash. A batch sends its distinct keys, sorted and packed,
 to the parts of the key space; a part sums each key over all batches and answers each batch with the sums
 of its keys, in the order in which it asked. A key that a third of all documents have is sent once a
-batch, so no part and no task gets more than its share, and neither keys nor counts reach the driver.
+batch, so no part and no task gets more than its share, and neither keys nor counts reach the driver. What a batch sends is
+one row for each part that it has keys of: with few parts a row a part, with very many parts at most a row a key, so the rows grow
+as the text does.
 """
 
 from __future__ import annotations
@@ -91,14 +93,12 @@ def batch_of(key: Column, batches: int) -> Column:
 
 
 def requests(batch: int, keys: np.ndarray, n: np.ndarray | None, parts: int, first_part: int = 0, bits: int = KEY_BITS) -> Iterable[tuple]:
-    """Rows of REQUEST for sorted distinct keys below 2 ** bits."""
-    edges = np.searchsorted(keys >> np.uint64(bits - 32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-    edges[-1] = len(keys)
-    for p in range(parts):
-        a, b = edges[p], edges[p + 1]
-        if a < b:
-            own = keys[a:b]
-            yield first_part + p, batch, own.astype("<u4").tobytes(), (own >> np.uint64(32)).astype("<u4").tobytes(), n[a:b].astype("<u4").tobytes() if n is not None else b""
+    """Rows of REQUEST for sorted distinct keys below 2 ** bits: one for each part that has any of them, so never more than keys."""
+    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+    for a, b in zip(edges, edges[1:]):
+        own = keys[a:b]
+        yield first_part + int(part[a]), batch, own.astype("<u4").tobytes(), (own >> np.uint64(32)).astype("<u4").tobytes(), n[a:b].astype("<u4").tobytes() if n is not None else b""
 
 
 def request_table(rows: Iterable[tuple]) -> pa.Table:
