@@ -3,7 +3,7 @@
 Rows of the incidence are documents, columns five-word shingles. The product of the incidence with its
 transpose holds the overlaps of all pairs; bounds on size keep almost all of it from being made:
 
-1. Equal texts are one row: the smallest doc_id stands for them.
+1. Equal texts are one row, under a number of its own; numbers are in the order of the smallest doc_id of each text.
 2. A column with one document adds to no overlap. Columns are counted over the whole corpus (exchange.py);
    a row with more than its slack of such columns (20 of 100, from 100 * overlap >= 80 * union) has no partner.
 3. The other rows are ordered by the rest of their columns; only its first columns, as many as the slack leaves,
@@ -17,8 +17,9 @@ transpose holds the overlaps of all pairs; bounds on size keep almost all of it
 
 Shingles are held as 64-bit hashes. Words: runs without ASCII white space, A-Z lower-cased. Fewer than five
 words are one shingle; null, empty and blank texts have none and link with nothing, not even with
-each other. doc_id is taken to be unique to a text: of two texts with one id only one is joined, its n_shingles and
-links stand for both, and one_of_each keeps one row of them. Rows with a null doc_id come back with a null component. A repeated row is repeated in the result.
+each other. A doc_id may occur with several texts: each is joined for itself. Rows without a doc_id are joined like others and come
+back with a null component. A repeated row is repeated in the result; repeats beyond a few
+hundred of one id and text are one row before texts are dealt out.
 A very long text is one row of the incidence, its columns in one array. An empty table gives no rows.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, part_count, request_table, requests, runs, word_hashes
 from .graph import components
-from .runtime import hot_join, staged
+from .runtime import HOT_ROWS, hot_join, staged
 
 SHINGLE = 5
 #: A link: 100 * overlap >= PERCENT * union.
@@ -54,23 +55,27 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def _sets(table: pa.Table, first: set[int]) -> dict[int, np.ndarray]:
-    """The batch's rows, each doc_id once."""
+def _sets(table: pa.Table, keys: dict[tuple, int]) -> dict[int, np.ndarray]:
+    """The batch's rows, each text class once; keys: the numbers of classes by the id and hashes of the row that stands for them."""
     out: dict[int, np.ndarray] = {}
-    for d, text in zip(table["doc_id"].to_pylist(), table["text"]):
-        if d in first and d not in out:
-            out[d] = shingles(text.as_py())
+    for *named, text in zip(*(table[c].to_pylist() for c in NAMED), table["text"]):
+        key = keys.get(tuple(named))
+        if key is not None and key not in out:
+            out[key] = shingles(text.as_py())
     return out
 
 
-ROWS = "doc_id long, n_shingles long, cols binary, meets array<long>"
+#: What tells a row's text class from others of its id.
+NAMED = ("doc_id", "h1", "h2", "h3")
+ROWS = "key long, n_shingles long, cols binary, meets array<long>"
 
 
 def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame:
-    """ROWS for every document in firsts; cols and meets only of those that may have a partner."""
+    """ROWS for every class in firsts (key, NAMED, batch); cols and meets only of those that may have a partner."""
+    known = lambda t: dict(zip(zip(*(t[c].to_pylist() for c in NAMED)), t["key"].to_pylist()))
 
     def ask(batch: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
-        sets = _sets(table, set(own["doc_id"].to_pylist())) if table.num_rows else {}
+        sets = _sets(table, known(own)) if table.num_rows else {}
         if not sets:
             return request_table([])
         keys = np.sort(np.concatenate([s >> _SHORT for s in sets.values()]))
@@ -80,8 +85,7 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
     def rows(batch: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if table.num_rows and told.num_rows:
-            first = {d for x in told["firsts"].to_pylist() if x for d in x}
-            sets = _sets(table, first)
+            sets = _sets(table, known(told.filter(pc.is_valid(told["key"]))))
             # every row's columns get the counts of the batch's sorted distinct columns
             every = np.concatenate([s >> _SHORT for s in sets.values()]) if sets else np.zeros(0, np.uint64)
             order = np.argsort(every, kind="stable")
@@ -99,11 +103,12 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
                 else:
                     out.append((d, len(s), None, None))
         cols = list(zip(*out)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "n_shingles", "cols", "meets"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["key", "n_shingles", "cols", "meets"])
 
     asked = texts.groupBy("batch").cogroup(firsts.groupBy("batch")).applyInArrow(ask, "part int, batch int, lo binary, hi binary, n binary")
-    told = answers(asked, most=2).filter("batch >= 0").select("batch", "part", "n", F.lit(None).cast("array<long>").alias("firsts"))
-    own = firsts.groupBy("batch", F.pmod("doc_id", F.lit(8)).alias("k")).agg(F.collect_list("doc_id").alias("firsts")).select("batch", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("n"), "firsts")
+    none = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    told = answers(asked, most=2).filter("batch >= 0").select("batch", "part", "n", *none(key="long", doc_id="long", h1="long", h2="long", h3="int"))
+    own = firsts.select("batch", *none(part="int", n="binary"), "key", *NAMED)
     return texts.groupBy("batch").cogroup(told.union(own).groupBy("batch")).applyInArrow(rows, ROWS)
 
 
@@ -158,19 +163,19 @@ LINKS = "u long, v long, links long"
 
 def link_rows(rows: DataFrame) -> DataFrame:
     """(u, v) edges of forests that span the links; rows with a null v carry a number of links of u."""
-    meets = rows.filter("meets is not null").select(F.explode("meets").alias("h"), "doc_id")
-    hubs = staged(meets.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other"), F.count("*").alias("rows_of")).filter("hub <> other").select("h", "hub", "rows_of"), "hubs")
+    meets = rows.filter("meets is not null").select(F.explode("meets").alias("h"), "key")
+    hubs = staged(meets.groupBy("h").agg(F.min("key").alias("hub"), F.max("key").alias("other"), F.count("*").alias("rows_of")).filter("hub <> other").select("h", "hub", "rows_of"), "hubs")
     # the chain: each row of a column goes to the column's smallest row
-    groups = components(hot_join(meets, hubs, ["h"]).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
+    groups = components(hot_join(meets, hubs, ["h"]).select(F.col("key").alias("u"), F.col("hub").alias("v")))
     cls = F.floor(F.log("n_shingles") / F.log(F.lit(1.25))).cast("int")
-    cand = rows.filter("cols is not null").join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("root", "doc_id", "n_shingles", "cols", cls.alias("cls"))
+    cand = rows.filter("cols is not null").join(groups.withColumnRenamed("node", "key"), "key").select("root", "key", "n_shingles", "cols", cls.alias("cls"))
     cand = staged(cand, "rows", "lz4")
     size = cand.groupBy("root", "cls").agg(F.sum("n_shingles").alias("all"), F.count("*").alias("rows_of"))
     size = staged(size.select("root", "cls", "rows_of", F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("rows_of") / BLOCK_ROWS)).cast("int").alias("b")), "sizes")
     up = size.select("root", (F.col("cls") + 1).alias("cls"), F.col("b").alias("below"))
     down = size.select("root", (F.col("cls") - 1).alias("cls"), F.col("b").alias("above"))
     plan = size.join(up, ["root", "cls"], "left").join(down, ["root", "cls"], "left")
-    dealt = hot_join(cand, plan, ["root", "cls"]).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("b")).cast("int"))
+    dealt = hot_join(cand, plan, ["root", "cls"]).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("b")).cast("int"))
     # a row stands in every product of its block: with blocks of its own class, of the class above and of the one below
     same = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: F.struct(F.col("cls").alias("c"), F.least(F.col("blk"), j).alias("i"), F.greatest(F.col("blk"), j).alias("j"), F.lit(0).alias("kind"), (F.col("blk") > j).cast("int").alias("side")))
     over = F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.struct(F.col("cls").alias("c"), F.col("blk").alias("i"), j.alias("j"), F.lit(1).alias("kind"), F.lit(0).alias("side")))
@@ -178,10 +183,10 @@ def link_rows(rows: DataFrame) -> DataFrame:
     kind = "array<struct<c:int,i:int,j:int,kind:int,side:int>>"
     none = F.array().cast(kind)
     products = F.concat(same.cast(kind), F.coalesce(over.cast(kind), none), F.coalesce(under.cast(kind), none))
-    each = dealt.select("root", "doc_id", "cols", F.inline(products))
+    each = dealt.select("root", "key", "cols", F.inline(products))
 
     def multiply(table: pa.Table) -> pa.Table:
-        docs, side, kind = table["doc_id"].to_pylist(), np.array(table["side"].to_pylist()), table["kind"][0].as_py()
+        docs, side, kind = table["key"].to_pylist(), np.array(table["side"].to_pylist()), table["kind"][0].as_py()
         out: list[tuple] = []
         lone = kind == 1 or table["i"][0].as_py() != table["j"][0].as_py()
         if len(docs) > 1 and not (lone and side.min() == side.max()):
@@ -194,40 +199,60 @@ def link_rows(rows: DataFrame) -> DataFrame:
     return staged(each.groupBy("root", "c", "i", "j", "kind").applyInArrow(multiply, LINKS), "links")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
-
-    n_links: representatives of other texts that this one links with."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NAMED of every row, and of every text: h1, h2, h3, rows_of, key, first (its smallest id), n_shingles, n_links, root (the smallest key it
+    is linked with) and component_id."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = own.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h2"), F.octet_length("text").alias("h3"))
-    named = staged(named, "classes")
-    classes = staged(named.filter("h3 > 0").groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows_of")).filter("first is not null"), "firsts")
+    named = own.select("*", F.xxhash64("text").alias("h1"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h2"), F.octet_length("text").alias("h3"))
+    rows = staged(named.drop("text"), "classes")
+    counted = rows.filter("h3 > 0").groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows_of"))
+    # numbers in the order of the first ids; classes without an id come last
+    order = [F.col("first").asc_nulls_last(), "h1", "h2", "h3"]
+    classes = staged(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "firsts")
+    texts = named.filter("h3 > 0")
+    if not rows.groupBy(*NAMED).count().filter(F.col("count") > HOT_ROWS).isEmpty():
+        texts = texts.dropDuplicates(list(NAMED))
+    dealt = lambda df, d: df.withColumn("batch", batch_of(F.struct(d, "h1"), batches))
     batches = batch_count(own)
-    texts = own.filter("doc_id is not null and text <> ''").select("doc_id", "text", batch_of(F.col("doc_id"), batches).alias("batch"))
-    firsts = classes.select(F.col("first").alias("doc_id"), batch_of(F.col("first"), batches).alias("batch"))
-    rows = staged(incidence_rows(texts, firsts, part_count(own)), "incidence", "lz4")
-    links = link_rows(rows.filter("cols is not null"))
+    firsts = dealt(classes, "first").select("batch", "key", F.col("first").alias("doc_id"), "h1", "h2", "h3")
+    incidence = staged(incidence_rows(dealt(texts, "doc_id"), firsts, part_count(own)), "incidence", "lz4")
+    links = link_rows(incidence.filter("cols is not null"))
     roots = components(links.filter("v is not null").select("u", "v"))
     counts = links.filter("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
-    of_first = rows.select(F.col("doc_id").alias("first"), "n_shingles").join(roots.withColumnRenamed("node", "first"), "first", "left").join(counts.withColumnRenamed("u", "first"), "first", "left")
-    told = staged(classes.join(of_first, "first"), "told")
-    made = hot_join(named, told, ["h1", "h2", "h3"], "left")
+    of_class = incidence.select("key", "n_shingles").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts.withColumnRenamed("u", "key"), "key", "left")
+    told = staged(classes.join(of_class, "key").withColumn("root", F.coalesce("root", "key")), "told")
+    # a component is named by the first id of its smallest class
+    of_root = classes.select(F.col("key").alias("root"), F.col("first").alias("component_id")).join(told.groupBy("root").agg(F.count("*").alias("rows_of")), "root")
+    return rows, staged(hot_join(told, of_root, ["root"]), "named")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document.
+
+    n_links: representatives of other texts that this one links with."""
+    rows, classes = _classes(docs)
+    made = hot_join(rows, classes.select("h1", "h2", "h3", "rows_of", "n_shingles", "n_links", "component_id"), ["h1", "h2", "h3"], "left")
     n = F.coalesce("n_shingles", F.lit(0).cast("long"))
-    return made.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return made.select("doc_id", n.alias("n_shingles"), F.when(n == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their component, once each, with the columns they came with.
+    """One document of each component, that with the smallest id, with the columns it came with.
 
-    Documents without words and those without an id are no one's copies and all stay."""
+    Documents without words are no one's copies and all stay, as do those without an id; a row repeated with its text stays once."""
     own = docs.columns
     safe = docs.toDF(*(f"own{k}" for k in range(len(own))))
-    id_ = f"own{own.index('doc_id')}"
-    drop = jaccard_components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = safe.join(drop, F.col(id_).cast("long") == F.col("doc_id"), "left_anti")
-    if not docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
-        kept = kept.filter(F.col(id_).isNotNull()).dropDuplicates([id_]).union(kept.filter(F.col(id_).isNull()))
-    return kept.toDF(*own)
+    id_, text = (f"own{own.index(c)}" for c in ("doc_id", "text"))
+    rows, classes = _classes(docs.select("doc_id", "text"))
+    # the classes that go, and of those that stay the id that stays
+    told = classes.filter("n_shingles > 0 and first is not null and (key <> root or rows_of > 1)")
+    gone = told.select("h1", "h2", "h3", F.when(F.col("key") == F.col("root"), F.col("first")).alias("stays"), "rows_of", F.lit(True).alias("told"))
+    c = F.col(text).cast("string")
+    hashed = safe.withColumns({"h1": F.xxhash64(c), "h2": F.crc32(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), "h3": F.octet_length(c), "d": F.col(id_).cast("long")})
+    kept = hot_join(hashed, gone, ["h1", "h2", "h3"], "left").filter("told is null or d is null or d <=> stays")
+    if not rows.filter("doc_id is not null").groupBy(*NAMED).count().filter("count > 1").isEmpty():
+        kept = kept.filter("told is null or d is null").unionByName(kept.filter("told and d is not null").dropDuplicates(["h1", "h2", "h3", "d"]))
+    return kept.select(*(f"own{k}" for k in range(len(own)))).toDF(*own)
 
 
 ORACLE_SQL = """

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate, graph, kd_shards, language_model, ngram_join
+from tessera.llm import decontaminate, exchange, graph, kd_shards, language_model, ngram_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -264,3 +264,48 @@ def test_shards(spark):
         homes[r.size, r.text_crc32].add(r.shard)
     assert sum(len(h) > 1 for h in homes.values()) <= 4
     assert kd_shards.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts_are_joined_for_each(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 40, 3000) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " else"), (None, a), (None, c), (None, c + " x"), (7, c), (7, c), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, key long")
+    got = sorted(((r.doc_id or -1, r.component_id or -1, r.n_links) for r in ngram_join.jaccard_components(docs).collect()))
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (-1, -1, 1), (-1, -1, 1), (-1, -1, 1), (7, 7, 1), (7, 7, 1), (7, 7, 0), (8, 8, 0)])
+    # both texts of id 1 stay, each the first of its own component; rows without an id or words all do
+    assert sorted(r.key for r in ngram_join.one_of_each(docs).collect()) in ([0, 1, 4, 5, 6, k, 9, 10] for k in (7, 8))
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_third_of_the_rows_with_one_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 20)
+    rng = random.Random(32)
+    texts = [prose(rng, 30, 3000) for _ in range(60)]
+    rows = [(100 + k, t) for k, t in enumerate(texts)] + [(hot, texts[k % 20] + " end") for k in range(30)] + [(hot, texts[0])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.n_links) for r in ngram_join.jaccard_components(docs).collect())
+    first = lambda k: 100 + k if hot is None or k >= 20 else min(100 + k, hot)
+    want = [(100 + k, first(k), 1 if k < 20 else 0) for k in range(60)] + [(hot or -1, hot and first(k % 20) or -1, 1) for k in [*range(30), *[0] * 40]]
+    assert got == sorted(want)
+
+
+def test_requests_are_no_more_than_keys():
+    keys = np.unique(np.random.default_rng(33).integers(0, 1 << 48, 5000, dtype=np.uint64))
+    n = np.arange(len(keys))
+    for parts in (1, 7, 300, 10_000_000):
+        rows = list(exchange.requests(3, keys, n, parts, first_part=5))
+        assert len(rows) <= min(parts, len(keys)) and [r[0] for r in rows] == sorted({r[0] for r in rows}) and rows[-1][0] < parts + 5
+        lo, hi, counts = (np.concatenate([np.frombuffer(r[k], "<u4") for r in rows]).astype(np.uint64) for k in (2, 3, 4))
+        assert np.array_equal(lo | hi << np.uint64(32), keys) and np.array_equal(counts, n)
+    assert list(exchange.requests(0, keys[:0], None, 9)) == []
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 2])
+def test_shards_of_one_text_with_few_ids(spark, ids):
+    docs = spark.createDataFrame([(ids(k), "the same text") for k in range(400)], "doc_id long, text string").repartition(3)
+    got = kd_shards.shard_documents(docs).collect()
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert len(got) == 400 and max(sizes) - min(sizes) <= 2 * 14
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
