@@ -3,10 +3,12 @@
 Text is cut into blocks: paragraphs, or overlapping stretches where a paragraph is long. A block that lacks all trigger
 words of a template cannot have enough of its words: a template's triggers are its rarest words, one more than it
 may lack. Every block that any template's triggers let through is a candidate. It is compressed alone and with each template
-of which it has enough words, in any order, as a zstandard raw dictionary; templates are ranked by the bytes that they save, and in this order
-confirmed by exact wording: words of template and block are aligned, and the share of the template's
-words that the block has, in order, must reach MIN_WORDING. The ranking decides between places that overlap, and no place in it
-is cut off, so no template that reaches the share is left out. The words on which they differ are reported.
+as a zstandard raw dictionary, and templates are ranked by the bytes that they save. Those of which the block has too few words in any
+order are not tried, as they cannot be confirmed. In the order of the ranking each template is confirmed by exact wording: words of
+template and block are aligned in a window at every word that can begin the notice when a tenth of its words are missing, and the share
+of the template's words that the window has, in order, must reach MIN_WORDING. Each place so confirmed is compressed for itself:
+of a template's own places that overlap the one with the best wording counts, and of places of several templates the one of
+which its template saves the most bytes. No template or place that reaches the share is left out before. The words on which they differ are reported.
 Templates are short notices, so a block may also hold one within other text.
 
 One row for each place of a licence, with the place of its wording in the text (characters). Null and empty texts
@@ -127,25 +129,60 @@ def window_size(template: list[str]) -> int:
     return len(template) + max(2, len(template) // 5)
 
 
+def least_words(template: list[str]) -> int:
+    """Words of the template that a place must have in order."""
+    return -(-int(1000 * MIN_WORDING) * len(template) // 1000)
+
+
+def aligned(template: list[str], window: list[str]) -> list[tuple[int, int]]:
+    """Places of equal words in template and window, as many as can stand in order."""
+    n = len(window)
+    best = [[0] * (n + 1) for _ in range(len(template) + 1)]
+    for i in range(len(template) - 1, -1, -1):
+        for j in range(n - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if template[i] == window[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(template) and j < n:
+        if template[i] == window[j] and best[i][j] == best[i + 1][j + 1] + 1:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def wordings(template: list[str], block: list[str]) -> Iterator[tuple[float, float, int, int, str]]:
     """Places of the template in the block: the share of its words found there in order with words added in between
     counted against it, the same share without, the place's first and last word, and the differences."""
-    first = set(template[:2])
-    for s in [i for i, w in enumerate(block) if w in first] or [0]:
+    need, bag = least_words(template), Counter(template)
+    # the first word that a place has is one of these, as no more than the others can be missing
+    first = set(template[: len(template) - need + 1])
+    for s in [i for i, w in enumerate(block) if w in first]:
         window = block[s : s + window_size(template)]
-        m = [x for x in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if x.size]
-        if not m:
+        has = Counter(window)
+        if sum(min(n, has[w]) for w, n in bag.items()) < need:
             continue
-        n = sum(x.size for x in m)
-        lacks, adds, at = [], [], m[0].b
-        for x, before in zip([*m, None], [None, *m]):
-            since = before.a + before.size if before else 0
-            lacks += [f"-{w}" for w in template[since : x.a if x else len(template)]]
-            if x:
-                adds += [f"+{w}" for w in window[at : x.b]]
-                at = x.b + x.size
-        if n >= MIN_WORDING * len(template):
-            yield n / (len(template) + len(adds)), n / len(template), s + m[0].b, s + at, " ".join(lacks + adds)
+        m = [(x.a + k, x.b + k) for x in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() for k in range(x.size)]
+        if len(m) < need:
+            m = aligned(template, window)
+        if len(m) < need:
+            continue
+        lacks, adds = [], []
+        for (i, j), (i2, j2) in zip([(-1, m[0][1] - 1), *m], [*m, (len(template), m[-1][1] + 1)]):
+            lacks += [f"-{w}" for w in template[i + 1 : i2]]
+            adds += [f"+{w}" for w in window[j + 1 : j2]]
+        yield len(m) / (len(template) + len(adds)), len(m) / len(template), s + m[0][1], s + m[-1][1] + 1, " ".join(lacks + adds)
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Takes the stretch if it overlaps none that is taken."""
+    at = bisect(taken, (a, b))
+    if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+        return False
+    taken.insert(at, (a, b))
+    return True
 
 
 def bsd(text: str, a: int, b: int) -> str:
@@ -178,41 +215,49 @@ class Scanner:
         self.plain = plain
         self.dicts = [zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(text.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for _, text, _ in self.notices]
 
-    def ranked(self, block: str, own: list[str]) -> list[tuple[float, int]]:
-        """The templates that may reach MIN_WORDING by the bytes each saves of the block, as a share of its own length."""
+    def saving(self, text: str, k: int, alone: int | None = None) -> int:
+        """Bytes that the template as a dictionary saves of the compressed text."""
+        data = text.lower().encode()
+        return (len(self.plain.compress(data)) if alone is None else alone) - len(self.dicts[k].compress(data))
+
+    def ranked(self, block: str, own: list[str]) -> list[int]:
+        """The templates that may reach MIN_WORDING, by what each saves of the block."""
         held = self.possible(own)
         if not held:
             return []
-        data = block.lower().encode()
-        alone = len(self.plain.compress(data))
-        saved = ((alone - len(self.dicts[k].compress(data))) / len(self.notices[k][1]) for k in held)
-        return sorted(zip(saved, held), key=lambda x: (-x[0], self.notices[x[1]][0]))
+        alone = len(self.plain.compress(block.lower().encode()))
+        return sorted(held, key=lambda k: (-self.saving(block, k, alone), self.notices[k][0], k))
 
     def possible(self, block: list[str]) -> list[int]:
         """The templates that may reach MIN_WORDING: words in order are never more than words in any order."""
         has = Counter(block)
-        return [k for k, own in enumerate(self.bags) if sum(min(n, has[w]) for w, n in own.items()) >= MIN_WORDING * len(self.notices[k][2])]
+        return [k for k, own in enumerate(self.bags) if sum(min(n, has[w]) for w, n in own.items()) >= least_words(self.notices[k][2])]
 
     def scan(self, text: str | None) -> list[tuple]:
-        out: dict[tuple, None] = {}
+        found: dict[int, set[tuple]] = {}
         for start, block in blocks(text or "", self.trigger, self.stretch):
             places = [m.span() for m in _WORDS.finditer(block)]
             own = [block[a:b].lower() for a, b in places]
-            for saved, k in self.ranked(block, own):
-                name, _, template = self.notices[k]
-                for score, share, a, b, diff in wordings(template, own):
-                    out[(-score, a - b, name, start + places[a][0], -saved, start + places[b - 1][1], share, diff)] = None
-        # the better of two that overlap, in one block or in overlapping stretches
+            for k in self.ranked(block, own):
+                for score, share, first, last, diff in wordings(self.notices[k][2], own):
+                    found.setdefault(k, set()).add((-score, first - last, start + places[first][0], start + places[last - 1][1], share, diff))
+        out: list[tuple] = []
+        for k, each in found.items():
+            # a template's own places: the best wording where windows overlap
+            taken: list[tuple[int, int]] = []
+            for score, _, a, b, share, diff in sorted(each):
+                if _free(taken, a, b):
+                    saved = self.saving(text[a:b], k)
+                    out.append((-saved, score, b - a, self.notices[k][0], a, b, share, saved / len(self.notices[k][1]), diff))
+        # of two that overlap, in one block or in overlapping stretches, the one that saves more
         named = list(identifiers(text or "", self.known))
-        taken = [(a, b) for a, b, _ in named]
+        taken = sorted((a, b) for a, b, _ in named)
         rows: list[tuple] = [(a, b - a, name, 1.0, None, "") for a, b, name in named]
-        for _, _, name, a, saved, b, share, diff in sorted(out):
-            at = bisect(taken, (a, b))
-            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
+        for _, _, _, name, a, b, share, reduction, diff in sorted(out):
+            if not _free(taken, a, b):
                 continue
-            taken.insert(at, (a, b))
             name = bsd(text, a, b) if name == "BSD-3-Clause" else name
-            rows.append((a, b - a, name, share, -saved, diff))
+            rows.append((a, b - a, name, share, reduction, diff))
         return sorted(rows)
 
 

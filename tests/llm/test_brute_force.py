@@ -186,6 +186,63 @@ def test_every_template_against_every_window():
             assert found, block
 
 
+def best_places(notices, words_):
+    """Every window of every template that has enough words in order: (template, first and last word of the shortest such stretch)."""
+    out = []
+    for k, (_, _, t) in enumerate(notices):
+        need = -(-9 * len(t) // 10)
+        for s in range(len(words_)):
+            if in_order(t, words_[s : s + licenses.window_size(t)]) >= need:
+                out.append((k, s))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_tenth_of_any_notice_may_be_changed(seed):
+    """Changed words anywhere, the first and last ones too: the name and the place are those of the notice."""
+    rng = random.Random(seed)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    filler = lambda n: " ".join(f"filler{rng.randrange(50)}" for _ in range(n))
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            t = licenses.words(text)
+            spans = [m.span() for m in licenses._WORDS.finditer(text)]
+            may = len(t) - -(-9 * len(t) // 10)
+            some = rng.choice([list(range(may)), list(range(len(t) - may, len(t))), rng.sample(range(len(t)), may)]) if may else []
+            if any(t[k] in ("2", "3", "2.1", "1991", "2007", "lesser", "affero", "noncommercial", "sharealike", "attribution-noncommercial", "attribution-sharealike") for k in some):
+                some = [k for k in some if not any(c.isdigit() for c in t[k]) and t[k] not in ("lesser", "affero", "attribution-noncommercial", "attribution-sharealike")]
+            changed = text
+            for k in sorted(some, reverse=True):
+                a, b = spans[k]
+                changed = changed[:a] + "changed" + changed[b:]
+            before = filler(60)
+            block = f"{before} {changed} {filler(30)}"
+            rows = scanner.scan(block)
+            kept = [k for k in range(len(t)) if k not in some]
+            a, b = ([m.span() for m in licenses._WORDS.finditer(changed)][k] for k in (kept[0], kept[-1]))
+            assert [(r[2], r[0], r[0] + r[1]) for r in rows] == [(name, len(before) + 1 + a[0], len(before) + 1 + b[1])], (text, some, rows)
+            assert best_places([n for n in scanner.notices if n[1] == text], licenses.words(block))
+
+
+def test_what_is_saved_decides_between_licences(monkeypatch):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    header = next(x for x in licenses.TEMPLATES["GPL-3.0"] if "redistribute" in x)
+    right = scanner.scan(header)
+    assert [r[2] for r in right] == ["GPL-3.0"] and right[0][4] > 0.5
+    other = licenses.Scanner.saving
+    monkeypatch.setattr(licenses.Scanner, "saving", lambda self, text, k, alone=None: -other(self, text, k, alone))
+    assert [r[2] for r in scanner.scan(header)] != ["GPL-3.0"]
+
+
+def test_alignment_keeps_as_many_words_as_can_stand_in_order():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = licenses.aligned(a, b)
+        assert len(pairs) == in_order(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+
 def test_templates_without_any_usual_word(spark):
     own = {"House-1": ("Anyone may copy this work, change it and pass it on to friends and neighbours alike.",), "None": ("?!",)}
     assert set(licenses.triggers(own)) & set(licenses.words(own["House-1"][0]))
