@@ -24,8 +24,16 @@ _TOKEN = re.compile(r"\w+|[^\s\w]")
 STRATEGIES = ("recursive_600", "recursive_1100", "table_aware", "llm_regex")
 
 
+def count_tokens(text: str) -> int:
+    return len(_TOKEN.findall(text))
+
+
 @dataclass(frozen=True)
 class ChunkConfig:
+    """Sizes in what `length` counts: words and marks, or the tokens of a model, by a function that workers can import or unpickle.
+
+    `strategies` adds to the built-in ones, or replaces them, by name: functions of text, config and pattern that give chunks."""
+
     small_size: int = 600
     small_overlap: int = 60
     large_size: int = 1100
@@ -34,16 +42,14 @@ class ChunkConfig:
     separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")
     pipe_share: float = 0.5
     pattern_min_tokens: int = 300
+    length: Callable[[str], int] = count_tokens
+    strategies: tuple[tuple[str, Callable[[str, ChunkConfig, str | None], list[str]]], ...] = ()
 
     def __post_init__(self):
         if self.small_overlap >= self.small_size or self.large_overlap >= self.large_size:
             raise ValueError("an overlap must be smaller than its chunk")
 
 
-def count_tokens(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
 def cut(text: str, separator: str, size: int) -> list[str]:
     """Pieces that end with the separator, blank ones dropped; without a separator slices of a quarter of the size."""
     if not separator:
@@ -102,7 +108,7 @@ def glue_small(chunks: Iterator[str], least: int, length: Callable[[str], int] =
 def recursive(text: str, size: int, overlap: int, config: ChunkConfig) -> list[str]:
     if not text.strip():
         return []
-    return glue_small(pack(pieces(text.strip(), size, config.separators), size, overlap), config.min_tokens)
+    return glue_small(pack(pieces(text.strip(), size, config.separators, config.length), size, overlap, config.length), config.min_tokens, config.length)
 
 
 def is_table_row(line: str, share: float) -> bool:
@@ -128,7 +134,7 @@ def table_aware(text: str, config: ChunkConfig) -> list[str]:
     for block, is_table in table_blocks(text, config.pipe_share):
         if not is_table:
             out += recursive(block, config.large_size, config.large_overlap, config)
-        elif count_tokens(block) <= 2 * config.large_size:
+        elif config.length(block) <= 2 * config.large_size:
             out.append(block.strip())
         else:
             out += [s.strip() for s in re.split(r"\n{2,}", block) if s.strip()]
@@ -199,11 +205,11 @@ def with_patterns(sections: DataFrame, make: Callable[[], object], attempts: int
 
 def pattern_chunks(text: str, pattern: str | None, config: ChunkConfig) -> list[str]:
     """By a pattern from a provider; short sections and bad patterns fall back to the small recursive strategy."""
-    if count_tokens(text) < config.pattern_min_tokens or not valid_pattern(pattern):
+    if config.length(text) < config.pattern_min_tokens or not valid_pattern(pattern):
         return recursive(text, config.small_size, config.small_overlap, config)
     out: list[str] = []
     for piece in split_by_pattern(text, pattern):
-        n = count_tokens(piece)
+        n = config.length(piece)
         if n > 2 * config.large_size:
             out += recursive(piece, config.large_size, config.large_overlap, config)
         elif n < config.min_tokens and out:
@@ -213,14 +219,22 @@ def pattern_chunks(text: str, pattern: str | None, config: ChunkConfig) -> list[
     return [c.strip() for c in out if c.strip()] or recursive(text, config.small_size, config.small_overlap, config)
 
 
+def _small(text: str, config: ChunkConfig, pattern: str | None) -> list[str]:
+    return recursive(text, config.small_size, config.small_overlap, config)
+
+
+#: The built-in strategies; a config may have others beside them.
+BUILT_IN: dict[str, Callable[[str, ChunkConfig, str | None], list[str]]] = {
+    "recursive_600": _small,
+    "recursive_1100": lambda text, config, pattern: recursive(text, config.large_size, config.large_overlap, config),
+    "table_aware": lambda text, config, pattern: table_aware(text, config),
+    "llm_regex": lambda text, config, pattern: pattern_chunks(text, pattern, config),
+}
+
+
 def run_strategy(name: str, text: str, config: ChunkConfig, pattern: str | None = None) -> list[str]:
     """Unknown names use the small recursive strategy; a text that gives nothing is one chunk."""
-    made = {
-        "recursive_1100": lambda: recursive(text, config.large_size, config.large_overlap, config),
-        "table_aware": lambda: table_aware(text, config),
-        "llm_regex": lambda: pattern_chunks(text, pattern, config),
-    }.get(name, lambda: recursive(text, config.small_size, config.small_overlap, config))()
-    return made or [text.strip()]
+    return (BUILT_IN | dict(config.strategies)).get(name, _small)(text, config, pattern) or [text.strip()]
 
 
 def candidates(section_type: Column, table_density: Column, tokens: Column, use_pattern: bool = True, pattern_min_tokens: int = 300) -> Column:

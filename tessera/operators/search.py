@@ -6,16 +6,20 @@ broadcast only where its size has been checked (`small`); beyond it Spark shuffl
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import providers
 from ..functions import text as X
 from . import blocks
 from ..sources.shared import spread, staged
 
+log = logging.getLogger(__name__)
+
 #: Rows of a query side that may be broadcast.
 BROADCAST_ROWS = 200_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -200,19 +204,34 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int = RRF_K) -> DataFrame:
     return a.join(b, ["query_id", "pos"], "full").withColumn("rrf_score", F.round(part("bm25_rank") + part("dense_rank"), 6))
 
 
-def hybrid(index: LexicalIndex | None, vectors: DataFrame | None, chunks: DataFrame, queries: DataFrame, top: int = 20, fan_out: int = 3) -> DataFrame:
+def _side(make, what: str, tolerant: bool) -> DataFrame | None:
+    """One side's result; if it fails and that is tolerated, it is logged and the other side alone decides."""
+    if not tolerant:
+        return make()
+    try:
+        return staged(make(), what)
+    except ImportError:
+        raise
+    except Exception as e:
+        log.warning("the %s side failed: %s: %s", what, type(e).__name__, str(e).splitlines()[0] if str(e) else "")
+        return None
+
+
+def hybrid(index: LexicalIndex | None, vectors: DataFrame | None, chunks: DataFrame, queries: DataFrame, top: int = 20, fan_out: int = 3, tolerant: bool = False) -> DataFrame:
     """Routed hybrid retrieval: each job's best fan_out * top of both sides, deduplicated, fused, cut to top.
 
-    Without an index, without vectors or without a column query_vector the other side alone decides."""
+    Without an index, without vectors or without a column query_vector the other side alone decides; so it does with `tolerant` where a
+    side fails: sides are then run and written one after the other."""
     asked = queries.filter(X.strip(F.col("query")) != "")
     jobs = routed(asked)
     none = lambda: queries.sparkSession.createDataFrame([], "query_id long, pos long, score double, rank int")
+    best = lambda scored: dedup(multi_job(scored, jobs, chunks, fan_out * top))
     lexical = dense = None
     if index is not None:
-        lexical = dedup(multi_job(lexical_scores(index, asked).filter("score > 0"), jobs, chunks, fan_out * top))
+        lexical = _side(lambda: best(lexical_scores(index, asked).filter("score > 0")), "lexical", tolerant)
     if vectors is not None and "query_vector" in queries.columns:
         # the dense side keeps the ten-fold best of the corpus and filters those
-        dense = dedup(multi_job(dense_best(vectors, asked, 10 * fan_out * top).drop("rank"), jobs, chunks, fan_out * top))
+        dense = _side(lambda: best(dense_best(vectors, asked, 10 * fan_out * top).drop("rank")), "dense", tolerant)
     return top_k(fuse(none() if lexical is None else lexical, none() if dense is None else dense), top, [F.desc("rrf_score"), F.asc("pos")], ["query_id"])
 
 
@@ -237,12 +256,22 @@ def lexical_logit(query: Column, passage: Column) -> Column:
     return 8.0 * share - 4.0
 
 
-def rerank(results: DataFrame, k: int = 5, scorer=lexical_logit) -> DataFrame:
-    """results: query_id, query, pos, text, rrf_score, rank. Adds ce_score and the new rank; scorer None keeps fusion's order."""
-    score = F.lit(None).cast("double")
-    if scorer is not None:
-        score = F.when(X.strip(F.col("query")) != "", F.round(sigmoid(scorer(F.col("query"), X.truncate_tokens(F.col("text"), RERANK_TOKENS))), 4))
-    out = results.withColumnRenamed("rank", "rrf_rank").withColumn("ce_score", score)
+def rerank(results: DataFrame, k: int = 5, scorer=lexical_logit, model=None, batch: int = 32, attempts: int = 2, pause: float = 0.5) -> DataFrame:
+    """results: query_id, query, pos, text, rrf_score, rank. Adds ce_score and the new rank.
+
+    scorer: a function of two Columns that gives a logit, or None to keep fusion's order. model: instead of it, what makes a
+    model with predict(list of (question, passage)); a question any of whose pairs it fails on keeps fusion's order, with a null
+    ce_score and the reason in ce_error."""
+    out, passage = results.withColumnRenamed("rank", "rrf_rank"), X.truncate_tokens(F.col("text"), RERANK_TOKENS)
+    asked = X.strip(F.col("query")) != ""
+    if model is not None:
+        pairs = out.withColumns({"_query": F.when(asked, F.col("query")), "_passage": passage})
+        scored = providers.score_pairs(pairs, "_query", "_passage", "_logit", model, batch, attempts, pause).drop("_query", "_passage")
+        why = F.max("_logit_error").over(W.partitionBy("query_id"))
+        out = scored.withColumn("ce_error", why).withColumn("ce_score", F.when(F.col("ce_error").isNull(), F.round(sigmoid(F.col("_logit")), 4))).drop("_logit", "_logit_error")
+    else:
+        score = F.lit(None).cast("double") if scorer is None else F.when(asked, F.round(sigmoid(scorer(F.col("query"), passage)), 4))
+        out = out.withColumn("ce_score", score)
     return top_k(out, k, [F.desc_nulls_last("ce_score"), F.desc("rrf_score"), F.asc("rrf_rank")], ["query_id"])
 
 

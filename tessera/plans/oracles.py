@@ -309,6 +309,12 @@ SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY f
     "hybrid_chunks": f"WITH {HYBRID} SELECT query_id, rank AS place, hyb.pos, sec0.ticker, sec0.item_number, d.text FROM hyb JOIN sec0 USING (pos) JOIN documents d ON d.doc_id = hyb.pos",
     "default_corpus": f"SELECT unnest([{', '.join(map(_q, TICKERS))}]) AS ticker, 2024::INTEGER AS fiscal_year",
     "rerank_topk": f"WITH {RERANK} SELECT query_id, rank, pos, ce_score, rrf_rank FROM rr WHERE rank <= 5",
+    "rerank_model": f"""WITH {RERANK}, m AS (SELECT *, contains(query, 'pineapple') AS failed, CASE WHEN NOT contains(query, 'pineapple') THEN ce_score END AS told FROM ce),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY told DESC NULLS LAST, rrf_score DESC, rrf_rank) AS place FROM m)
+SELECT query_id, place AS rank, pos, told AS ce_score, rrf_rank, failed FROM r WHERE place <= 5""",
+    "hybrid_degraded": f"""WITH {HYBRID}, one AS (SELECT query_id, pos, rank AS bm25_rank, round(1.0::DOUBLE / ({search.RRF_K} + rank), 6) AS rrf_score FROM la),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) AS rank FROM one)
+SELECT query_id, rank, pos, rrf_score, bm25_rank, NULL::INTEGER AS dense_rank FROM o WHERE rank <= 20""",
     "rank_movement": f"WITH {RERANK} SELECT query_id, pos, rrf_rank, rank, rrf_rank - rank AS movement FROM rr",
     "table_blocks_islands": f"""WITH {LINES}, f AS (SELECT *, trim(line) AS own, length(trim(line)) - length(replace(trim(line), '|', '')) AS pipes FROM ln),
 t AS (SELECT *, own <> '' AND (regexp_matches(own, '^\\|[-:| ]+\\|$') OR (pipes > 0 AND pipes::DOUBLE / length(own) >= 0.5)) AS t FROM f),

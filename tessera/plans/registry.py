@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import providers
 from ..functions import text as X
 from ..operators import answers, bitmaps, build, chunk_quality, chunking, ingest, postings, search, vector_index
 from ..sources import tables
@@ -323,6 +324,13 @@ def hybrid_retrieve(spark, d):
     return _hybrid(spark, d)[1].select("query_id", "rank", "pos", "rrf_score", "bm25_rank", "dense_rank")
 
 
+def hybrid_degraded(spark, d):
+    """Retrieval with a dense side that fails: the lexical side alone decides."""
+    broken = _vectors(spark, d).withColumn("vector", F.when(F.col("pos") < 0, F.col("vector")).otherwise(F.raise_error(F.lit("the vectors cannot be read"))))
+    found = search.hybrid(_index(spark, d), broken, _chunks(spark, d), _asked(spark, d), tolerant=True)
+    return found.select("query_id", "rank", "pos", "rrf_score", "bm25_rank", F.col("dense_rank").cast("int").alias("dense_rank"))
+
+
 def hybrid_chunks(spark, d):
     return search.chunks_only(_hybrid(spark, d)[1], _chunks(spark, d)).select("query_id", "place", "pos", "ticker", "item_number", "text")
 
@@ -340,6 +348,20 @@ def rerank_topk(spark, d):
     return _reranked(spark, d).select("query_id", "rank", "pos", "ce_score", "rrf_rank")
 
 
+class _Pairs(providers.LexicalPairs):
+    """A pair model that fails on questions of one kind."""
+
+    def predict(self, pairs):
+        if any("pineapple" in query for query, _ in pairs):
+            raise RuntimeError("not this question")
+        return super().predict(pairs)
+
+
+def rerank_model(spark, d):
+    """By a model that is given pairs in batches; questions on which it fails keep fusion's order."""
+    return search.rerank(_results(spark, d), model=_Pairs, attempts=1).select("query_id", "rank", "pos", "ce_score", "rrf_rank", F.col("ce_error").isNotNull().alias("failed"))
+
+
 def rank_movement(spark, d):
     return search.rank_movement(search.rerank(_results(spark, d), k=20)).select("query_id", "pos", "rrf_rank", "rank", "movement")
 
@@ -563,7 +585,7 @@ QUERIES = {
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
         sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_segments, bm25_topk_filtered, filter_bitmaps, vec_normalise, vec_cosine, dense_topk,
-        dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_chunks, rerank_topk, rank_movement,
+        dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_degraded, hybrid_chunks, rerank_topk, rerank_model, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
         candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
         embed_missing_antijoin, pipeline_stats, event_windows,
