@@ -168,6 +168,47 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ce_score DESC
 
 # --- chunks ---
 
+
+def _cut(x: str, separator: str) -> str:
+    """Pieces with the separator at their end, blank ones dropped."""
+    parts = f"string_split({x}, {separator})"
+    return f"list_filter(list_transform({parts}, lambda h, i: CASE WHEN i < len({parts}) THEN h || {separator} ELSE h END), lambda h: {_strip('h')} <> '')"
+
+
+def _recursive(name: str, source: str, size: int, overlap: int, least: int) -> str:
+    """CTEs that end in `name` (doc_id, b, chunks): the texts of source (doc_id, b, text) split, packed and glued.
+
+    Pieces that are too long are cut at the next separator, level by level; the last level, slices of characters, always fits."""
+    levels = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"]
+    out = [f"{name}0 AS (SELECT doc_id, b, [{_strip('text')}] AS p FROM {source} WHERE {_strip('text')} <> '')"]
+    for k, separator in enumerate(levels):
+        out.append(f"{name}{k + 1} AS (SELECT doc_id, b, flatten(list_transform(p, lambda x: CASE WHEN {_count('x')} <= {size} THEN [x] ELSE {_cut('x', separator)} END)) AS p FROM {name}{k})")
+    step = size // 4
+    slices = f"list_transform(range(0, length(x), {step}), lambda i: substr(x, i::INTEGER + 1, {step}))"
+    out.append(f"{name}5 AS (SELECT doc_id, b, list_transform(flatten(list_transform(p, lambda x: CASE WHEN {_count('x')} <= {size} THEN [x] ELSE {slices} END)), lambda x: {{'p': x, 'n': {_count('x')}}}) AS p FROM {name}4)")
+    # the last whole pieces that the overlap allows begin the next chunk
+    keep = f"len(list_filter(range(1, len(s.lens) + 1), lambda j: list_sum(s.lens[len(s.lens) - j + 1 : len(s.lens)]) <= {overlap}))"
+    flush = f"""{{'out': list_append(s.out, {_strip("array_to_string(s.held, '')")}), 'held': list_append(s.held[len(s.held) - {keep} + 1 : len(s.held)], x.p), 'lens': list_append(s.lens[len(s.lens) - {keep} + 1 : len(s.lens)], x.n),
+  'total': {_count(f"(array_to_string(s.held[len(s.held) - {keep} + 1 : len(s.held)], '') || x.p)")}::BIGINT}}"""
+    more = "{'out': s.out, 'held': list_append(s.held, x.p), 'lens': list_append(s.lens, x.n), 'total': s.total + x.n}"
+    none = "{'out': []::VARCHAR[], 'held': []::VARCHAR[], 'lens': []::BIGINT[], 'total': 0::BIGINT}"
+    out.append(f"{name}6 AS (SELECT doc_id, b, list_reduce(p, lambda s, x: CASE WHEN len(s.held) > 0 AND s.total + x.n > {size} THEN {flush} ELSE {more} END, {none}) AS s FROM {name}5)")
+    out.append(f"""{name}7 AS (SELECT doc_id, b, CASE WHEN len(s.held) > 0 THEN list_append(s.out, {_strip("array_to_string(s.held, '')")}) ELSE s.out END AS c FROM {name}6)""")
+    glued = f"CASE WHEN {_strip('c')} = '' THEN s WHEN len(s) > 0 AND {_count('c')} < {least} THEN list_append(s[1 : len(s) - 1], s[len(s)] || chr(10) || c) ELSE list_append(s, c) END"
+    out.append(f"{name} AS (SELECT doc_id, b, list_transform(list_reduce(c, lambda s, c: {glued}, []::VARCHAR[]), lambda c: {_strip('c')}) AS chunks FROM {name}7)")
+    return ",\n".join(out)
+
+
+def _listed(chunks: str, strategy: str) -> str:
+    return f"SELECT doc_id, {_q(strategy)} AS strategy, unnest(chunks) AS chunk, (generate_subscripts(chunks, 1) - 1)::INTEGER AS chunk_index FROM {chunks}"
+
+
+_WHOLE = f"{SEC}, whole AS (SELECT doc_id, 0 AS b, text FROM sec)"
+# runs of lines that are table rows or not
+_ROW_LINE = f"({_strip('l')} <> '' AND (regexp_matches({_strip('l')}, '^\\|[-:| ]+\\|$') OR (contains(l, '|') AND (length({_strip('l')}) - length(replace({_strip('l')}, '|', '')))::DOUBLE / length({_strip('l')}) >= 0.5)))"
+_RUNS = """list_reduce(list_transform(string_split(text, chr(10)), lambda l: {'t': l, 'k': %s}), lambda s, x: CASE WHEN len(s) > 0 AND s[len(s)].k = x.k
+  THEN list_append(s[1 : len(s) - 1], {'t': s[len(s)].t || chr(10) || x.t, 'k': x.k}) ELSE list_append(s, x) END, []::STRUCT(t VARCHAR, k BOOLEAN)[])""" % _ROW_LINE
+
 LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 CHUNKS = f"{LINES},\nchk AS (SELECT doc_id, (i // 5)::INTEGER AS chunk_index, string_agg(line, chr(10) ORDER BY i) AS chunk FROM ln GROUP BY doc_id, i // 5)"
 
@@ -328,6 +369,20 @@ SELECT doc_id, ticker || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_n
 FROM c JOIN sec USING (doc_id) WHERE trim(chunk) <> ''""",
     "chunk_separator_split": f"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\\. )', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_strip('p')} <> '') AS p FROM documents)
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS i, unnest(p) AS piece FROM p""",
+    "chunk_recursive_600": f"WITH {_WHOLE}, {_recursive('r', 'whole', 600, 60, 80)} {_listed('r', 'recursive_600')}",
+    "chunk_recursive_1100": f"WITH {_WHOLE}, {_recursive('r', 'whole', 1100, 110, 80)} {_listed('r', 'recursive_1100')}",
+    "chunk_table_aware": f"""WITH {_WHOLE}, runs AS (SELECT doc_id, unnest(r) AS r, generate_subscripts(r, 1) AS b FROM (SELECT doc_id, {_RUNS} AS r FROM whole)),
+blk AS (SELECT doc_id, b, r.t AS text, r.k AS k FROM runs WHERE {_strip('r.t')} <> ''),
+prose AS (SELECT * FROM blk WHERE NOT k), {_recursive('r', 'prose', 110, 11, 8)},
+every AS (SELECT doc_id, b, chunks FROM r UNION ALL SELECT doc_id, b, CASE WHEN {_count('text')} <= 220 THEN [{_strip('text')}] ELSE list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') END FROM blk WHERE k),
+made AS (SELECT doc_id, flatten(list(chunks ORDER BY b)) AS chunks FROM every GROUP BY doc_id) {_listed('made', 'table_aware')}""",
+    "chunk_regex": f"""WITH {_WHOLE}, short AS (SELECT * FROM whole WHERE {_count('text')} < 30), {_recursive('r', 'short', 60, 6, 8)},
+cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM whole WHERE {_count('text')} >= 30),
+piece AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS b FROM cut),
+long AS (SELECT * FROM piece WHERE {_count('text')} > 220), {_recursive('q', 'long', 110, 11, 8)},
+each AS (SELECT p.doc_id, p.b, coalesce(q.chunks, [p.text]) AS c, q.chunks IS NULL AND {_count('p.text')} < 8 AS small FROM piece p LEFT JOIN q ON p.doc_id = q.doc_id AND p.b = q.b),
+folded AS (SELECT doc_id, list_reduce(list({{'c': c, 'small': small}} ORDER BY b), lambda s, x: CASE WHEN x.small AND len(s) > 0 THEN list_append(s[1 : len(s) - 1], s[len(s)] || chr(10) || x.c[1]) ELSE list_concat(s, x.c) END, []::VARCHAR[]) AS c FROM each GROUP BY doc_id),
+made AS (SELECT doc_id, list_filter(list_transform(c, lambda x: {_strip('x')}), lambda x: x <> '') AS chunks FROM folded UNION ALL SELECT doc_id, chunks FROM r) {_listed('made', 'llm_regex')}""",
     "metric_sc": f"WITH {ARRAYS} SELECT doc_id, {_SC} AS sc FROM own",
     "metric_dcc": f"""WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, {_embed('chunk')} AS v FROM chk WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')),
 p AS (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS w FROM e)
