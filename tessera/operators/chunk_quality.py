@@ -132,7 +132,7 @@ def reference_share(text: str, chunks: list[str]) -> float:
     for own, a, b in zip(chunk_of(mentions[:, 0]), lo, hi):
         total += b - a
         broken += int((of_back[a:b] != own).sum())
-    return round(float(1.0 - broken / total), 4) if total else 1.0
+    return _clipped(float(1.0 - broken / total)) if total else 1.0
 
 
 class TermBins:

@@ -203,6 +203,36 @@ def _listed(chunks: str, strategy: str) -> str:
     return f"SELECT doc_id, {_q(strategy)} AS strategy, unnest(chunks) AS chunk, (generate_subscripts(chunks, 1) - 1)::INTEGER AS chunk_index FROM {chunks}"
 
 
+#: Mentions, and words that refer back to them.
+_MENTION, _BACK = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*|[A-Z]{2,}|\$[\d,.]+[BMK]?|\d+\.?\d*\s*%)\b", r"(?i)\b(it|its|they|their|them|this|these|those|such|the company|the firm|the group)\b"
+
+
+def _places(name: str, pattern: str, source: str) -> str:
+    """CTEs that end in `name` (doc_id, a, e): where the pattern matches the source's text, by the lengths of what stands before.
+
+    Letters and digits beyond ASCII become a word's character, other characters a mark, so that boundaries are those of Unicode."""
+    plain = "regexp_replace(regexp_replace(regexp_replace(text, '[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', ' ', 'g'), '[^\\p{L}\\p{N}\\x00-\\x7f]', ';', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
+    return f"""{name}0 AS (SELECT doc_id, string_split(regexp_replace({plain}, {_q(pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM {source}),
+{name}1 AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM {name}0),
+{name}2 AS (SELECT doc_id, i, strpos(x, chr(2)) - 1 AS n, coalesce(sum(length(replace(x, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM {name}1),
+{name} AS (SELECT doc_id, a, a + n AS e FROM {name}2 WHERE i > 1)"""
+
+
+def _references(name: str, source: str, chunked: str) -> str:
+    """CTEs that end in `name` (k, rc): of chunked (k, doc_id, chunks) the share of references that stay in the chunk of their mention."""
+    place = lambda at: f"coalesce((SELECT max(c.i) FROM {name}c c WHERE c.k = w.k AND c.a <= {at} AND {at} < c.a + c.n), w.n - 1)"
+    return f"""{_places(name + 'm', _MENTION, source)},
+{_places(name + 'p', _BACK, source)},
+{name}pair AS MATERIALIZED (SELECT m.doc_id, m.a AS own, p.a AS back FROM {name}m m JOIN {name}p p ON p.doc_id = m.doc_id AND p.a >= m.e AND p.a <= m.e + 200),
+{name}u AS (SELECT k, unnest(chunks) AS c, generate_subscripts(chunks, 1) - 1 AS i FROM {chunked}),
+{name}c AS MATERIALIZED (SELECT k, i, length(c) AS n, coalesce(sum(length(c) + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM {name}u),
+{name}w AS (SELECT k, doc_id, len(chunks) AS n FROM {chunked}),
+{name}at AS (SELECT DISTINCT doc_id, own AS at FROM {name}pair UNION SELECT DISTINCT doc_id, back FROM {name}pair),
+{name}in AS MATERIALIZED (SELECT w.k, t.at, {place('t.at')} AS chunk FROM {name}w w JOIN {name}at t USING (doc_id)),
+{name}sum AS (SELECT w.k, count(*) AS every, count(*) FILTER (a.chunk <> b.chunk) AS broken FROM {name}w w JOIN {name}pair p USING (doc_id) JOIN {name}in a ON a.k = w.k AND a.at = p.own JOIN {name}in b ON b.k = w.k AND b.at = p.back GROUP BY w.k),
+{name} AS (SELECT w.k, CASE WHEN w.n <= 1 OR every IS NULL THEN 1.0 ELSE round(1 - broken::DOUBLE / every, 4) END AS rc FROM {name}w w LEFT JOIN {name}sum USING (k))"""
+
+
 _WHOLE = f"{SEC}, whole AS (SELECT doc_id, 0 AS b, text FROM sec)"
 # runs of lines that are table rows or not
 _ROW_LINE = f"({_strip('l')} <> '' AND (regexp_matches({_strip('l')}, '^\\|[-:| ]+\\|$') OR (contains(l, '|') AND (length({_strip('l')}) - length(replace({_strip('l')}, '|', '')))::DOUBLE / length({_strip('l')}) >= 0.5)))"
@@ -217,6 +247,26 @@ def _spaced(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
+def _table_aware(name: str, source: str) -> str:
+    """CTEs that end in `name` (doc_id, chunks): tables whole, prose between them recursively, at the small sizes."""
+    return f"""{name}runs AS (SELECT doc_id, unnest(r) AS r, generate_subscripts(r, 1) AS b FROM (SELECT doc_id, {_RUNS} AS r FROM {source})),
+{name}blk AS (SELECT doc_id, b, r.t AS text, r.k AS k FROM {name}runs WHERE {_strip('r.t')} <> ''),
+{name}prose AS (SELECT * FROM {name}blk WHERE NOT k), {_recursive(name + 'r', name + 'prose', 110, 11, 8)},
+{name}every AS (SELECT doc_id, b, chunks FROM {name}r UNION ALL SELECT doc_id, b, CASE WHEN {_count('text')} <= 220 THEN [{_strip('text')}] ELSE list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') END FROM {name}blk WHERE k),
+{name} AS (SELECT doc_id, flatten(list(chunks ORDER BY b)) AS chunks FROM {name}every GROUP BY doc_id)"""
+
+
+def _by_pattern(name: str, source: str) -> str:
+    """CTEs that end in `name` (doc_id, chunks): cut after a sentence at the end of a line, long pieces recursively, small ones glued."""
+    return f"""{name}short AS (SELECT * FROM {source} WHERE {_count('text')} < 30), {_recursive(name + 'r', name + 'short', 60, 6, 8)},
+{name}cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM {source} WHERE {_count('text')} >= 30),
+{name}piece AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS b FROM {name}cut),
+{name}long AS (SELECT * FROM {name}piece WHERE {_count('text')} > 220), {_recursive(name + 'q', name + 'long', 110, 11, 8)},
+{name}each AS (SELECT p.doc_id, p.b, coalesce(q.chunks, [p.text]) AS c, q.chunks IS NULL AND {_count('p.text')} < 8 AS small FROM {name}piece p LEFT JOIN {name}q q ON p.doc_id = q.doc_id AND p.b = q.b),
+{name}fold AS (SELECT doc_id, list_reduce(list({{'c': c, 'small': small}} ORDER BY b), lambda s, x: CASE WHEN x.small AND len(s) > 0 THEN list_append(s[1 : len(s) - 1], s[len(s)] || chr(10) || x.c[1]) ELSE list_concat(s, x.c) END, []::VARCHAR[]) AS c FROM {name}each GROUP BY doc_id),
+{name} AS (SELECT doc_id, list_filter(list_transform(c, lambda x: {_strip('x')}), lambda x: x <> '') AS chunks FROM {name}fold UNION ALL SELECT doc_id, chunks FROM {name}r)"""
+
+
 ARRAYS = f"""{SIG}, {CHUNKS},
 arr AS (SELECT doc_id, list(chunk ORDER BY chunk_index) AS chunks FROM chk GROUP BY doc_id),
 own AS (SELECT typed.*, chunks, list_transform(chunks, lambda c: {_spaced('c')}) AS spaced FROM typed JOIN arr USING (doc_id))"""
@@ -263,7 +313,9 @@ _NDS = f"""CASE WHEN numerical_density < 0.02 THEN 1.0 ELSE {_BOUND("list_sum(li
 _ROWS = f"""list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*\\|.+\\|[ \\t]*$'), lambda x: trim(x)), lambda r: NOT regexp_matches(r, '^\\|[-:| ]+\\|$'))"""
 _TBI = f"""CASE WHEN len(rws) = 0 THEN 1.0 ELSE {_BOUND(f"len({_FOUND_IN('rws')})::DOUBLE / len(rws)")} END"""
 _SPS = f"""{_BOUND("len(list_filter(chunks, lambda c: len(list_filter(regexp_extract_all(c, '(?:^|\\n)\\s*(?:ITEM|Item)\\s+(\\d+[A-Za-z]?)\\b', 1), lambda h: upper(h) <> upper(item_number))) = 0))::DOUBLE / len(chunks)")}"""
-_TOTAL = _BOUND("CASE section_type " + " ".join(f"WHEN '{t}' THEN " + " + ".join(f"{m} * {w}::DOUBLE" for m, w in ws.items()) for t, ws in chunk_quality.WEIGHTS.items()) + " END")
+# a total is a sum of tenths of thousandths, so it may lie between two shown figures: its shortest digits are rounded, as Spark does
+_DIGITS = lambda x: f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x}))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE"
+_TOTAL = _DIGITS("CASE section_type " + " ".join(f"WHEN '{t}' THEN " + " + ".join(f"{m} * {w}::DOUBLE" for m, w in ws.items()) for t, ws in chunk_quality.WEIGHTS.items()) + " END")
 COMPETITION = f"""{SIG}, {LINES},
 cut AS (SELECT doc_id, n, (i // n)::INTEGER AS ci, string_agg(line, chr(10) ORDER BY i) AS chunk FROM ln, (SELECT unnest({list(LINE_COUNTS)}) AS n) WHERE doc_id % 7 <> 0 GROUP BY doc_id, n, i // n),
 cuts AS (SELECT doc_id, n, list(chunk ORDER BY ci) AS chunks FROM cut GROUP BY doc_id, n),
@@ -274,6 +326,27 @@ met AS (SELECT *, 1.0::DOUBLE AS icc, 1.0::DOUBLE AS dcc, 1.0::DOUBLE AS rc, {_S
 tot AS (SELECT doc_id, n, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
 comp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, n_chunks, n) AS k FROM tot)"""
 
+#: All strategies of all sections at the small sizes, by all eight metrics.
+STRATEGIES = f"""{SIG}, whole AS (SELECT doc_id, 0 AS b, text FROM typed),
+tabular AS (SELECT doc_id, text FROM typed WHERE section_type IN ('financial_table', 'mixed') OR table_density >= 0.1),
+wordy AS (SELECT doc_id, 0 AS b, text FROM typed WHERE token_count >= 300),
+{_recursive('ra', 'whole', 60, 6, 8)}, {_recursive('rb', 'whole', 110, 11, 8)}, {_table_aware('ta', 'tabular')}, {_by_pattern('px', 'wordy')},
+cuts AS (SELECT doc_id, 0 AS ord, 'recursive_600' AS strategy, chunks FROM ra UNION ALL SELECT doc_id, 1, 'recursive_1100', chunks FROM rb
+  UNION ALL SELECT doc_id, 2, 'table_aware', chunks FROM ta UNION ALL SELECT doc_id, 3, 'llm_regex', chunks FROM px),
+own AS MATERIALIZED (SELECT typed.*, doc_id * 4 + ord AS k, ord, strategy, chunks, list_transform(chunks, lambda c: {_spaced('c')}) AS spaced FROM typed JOIN cuts USING (doc_id)),
+{_references('ref', 'typed', 'own')},
+chs AS (SELECT k, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS i FROM own),
+emb AS MATERIALIZED (SELECT k, i, {_embed('chunk')} AS v, list_filter(string_split(regexp_replace(trim(chunk), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_count('s')} > 3) AS s FROM chs),
+near AS (SELECT k, v, lead(v) OVER (PARTITION BY k ORDER BY i) AS w FROM emb),
+dcs AS (SELECT k, CASE WHEN count(*) < 2 THEN 1.0 ELSE {_BOUND(f"sum(CASE WHEN w IS NOT NULL THEN {_cos('v', 'w')} END) / (count(*) - 1)")} END AS dcc FROM near GROUP BY k),
+one AS (SELECT k, i, v, unnest(s) AS one FROM emb), sen AS (SELECT k, i, v, {_embed('one')} AS w FROM one), mean AS (SELECT k, i, avg({_cos('w', 'v')}) AS m FROM sen GROUP BY k, i),
+ics AS (SELECT emb.k, {_BOUND("avg(CASE WHEN len(emb.s) < 2 THEN 1.0 ELSE mean.m END)")} AS icc FROM emb LEFT JOIN mean USING (k, i) GROUP BY emb.k),
+{_BLOCKS},
+parts AS (SELECT *, {_OFF} AS off, {_ROWS} AS rws FROM b),
+met AS (SELECT parts.*, icc, dcc, rc, {_SC} AS sc, {_BI} AS bi, {_NDS} AS nds, {_TBI} AS tbi, {_SPS} AS sps FROM parts JOIN ics USING (k) JOIN dcs USING (k) JOIN ref USING (k)),
+tot AS (SELECT doc_id, ord, strategy, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
+comp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, n_chunks, ord) AS place FROM tot)"""
+
 _CONFIDENCE = f"""CASE WHEN s.n IS NULL THEN 0.0 ELSE {_BOUND(f"0.5 * CASE WHEN c = 0 THEN 0.3::DOUBLE ELSE ce END + 0.3 * len(good)::DOUBLE / s.n + 0.2 * (1 - least(1.0::DOUBLE, len(regexp_extract_all(answer, {_q(X.HEDGES)}))::DOUBLE / greatest(len({_toks('answer')}), 1) * 10))")} END"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -371,18 +444,10 @@ FROM c JOIN sec USING (doc_id) WHERE trim(chunk) <> ''""",
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS i, unnest(p) AS piece FROM p""",
     "chunk_recursive_600": f"WITH {_WHOLE}, {_recursive('r', 'whole', 600, 60, 80)} {_listed('r', 'recursive_600')}",
     "chunk_recursive_1100": f"WITH {_WHOLE}, {_recursive('r', 'whole', 1100, 110, 80)} {_listed('r', 'recursive_1100')}",
-    "chunk_table_aware": f"""WITH {_WHOLE}, runs AS (SELECT doc_id, unnest(r) AS r, generate_subscripts(r, 1) AS b FROM (SELECT doc_id, {_RUNS} AS r FROM whole)),
-blk AS (SELECT doc_id, b, r.t AS text, r.k AS k FROM runs WHERE {_strip('r.t')} <> ''),
-prose AS (SELECT * FROM blk WHERE NOT k), {_recursive('r', 'prose', 110, 11, 8)},
-every AS (SELECT doc_id, b, chunks FROM r UNION ALL SELECT doc_id, b, CASE WHEN {_count('text')} <= 220 THEN [{_strip('text')}] ELSE list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') END FROM blk WHERE k),
-made AS (SELECT doc_id, flatten(list(chunks ORDER BY b)) AS chunks FROM every GROUP BY doc_id) {_listed('made', 'table_aware')}""",
-    "chunk_regex": f"""WITH {_WHOLE}, short AS (SELECT * FROM whole WHERE {_count('text')} < 30), {_recursive('r', 'short', 60, 6, 8)},
-cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]\n)', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM whole WHERE {_count('text')} >= 30),
-piece AS (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS b FROM cut),
-long AS (SELECT * FROM piece WHERE {_count('text')} > 220), {_recursive('q', 'long', 110, 11, 8)},
-each AS (SELECT p.doc_id, p.b, coalesce(q.chunks, [p.text]) AS c, q.chunks IS NULL AND {_count('p.text')} < 8 AS small FROM piece p LEFT JOIN q ON p.doc_id = q.doc_id AND p.b = q.b),
-folded AS (SELECT doc_id, list_reduce(list({{'c': c, 'small': small}} ORDER BY b), lambda s, x: CASE WHEN x.small AND len(s) > 0 THEN list_append(s[1 : len(s) - 1], s[len(s)] || chr(10) || x.c[1]) ELSE list_concat(s, x.c) END, []::VARCHAR[]) AS c FROM each GROUP BY doc_id),
-made AS (SELECT doc_id, list_filter(list_transform(c, lambda x: {_strip('x')}), lambda x: x <> '') AS chunks FROM folded UNION ALL SELECT doc_id, chunks FROM r) {_listed('made', 'llm_regex')}""",
+    "chunk_table_aware": f"WITH {_WHOLE}, {_table_aware('t', 'whole')} {_listed('t', 'table_aware')}",
+    "chunk_regex": f"WITH {_WHOLE}, {_by_pattern('x', 'whole')} {_listed('x', 'llm_regex')}",
+    "strategy_winner": f"WITH {STRATEGIES} SELECT typed.doc_id, coalesce(strategy, 'recursive_600') AS strategy, coalesce(total, 0.0) AS chunking_score, coalesce(n_chunks, 1)::INTEGER AS n_chunks FROM typed LEFT JOIN (SELECT * FROM comp WHERE place = 1) USING (doc_id)",
+    "strategy_competition": f"WITH {STRATEGIES} SELECT doc_id, strategy, total, n_chunks, place = 1 AS won FROM comp",
     "metric_sc": f"WITH {ARRAYS} SELECT doc_id, {_SC} AS sc FROM own",
     "metric_dcc": f"""WITH {CHUNKS}, e AS (SELECT doc_id, chunk_index, {_embed('chunk')} AS v FROM chk WHERE doc_id IN (SELECT doc_id FROM documents WHERE trim(text) <> '')),
 p AS (SELECT doc_id, v, lead(v) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS w FROM e)
@@ -394,6 +459,7 @@ SELECT s.doc_id, {_BOUND("avg(CASE WHEN len(s.s) < 2 THEN 1.0 ELSE m.m END)")} A
     "metric_bi": f"WITH {ARRAYS}, {_BLOCKS} SELECT doc_id, {_BI} AS bi FROM b",
     "metric_nds": f"WITH {ARRAYS}, d AS (SELECT *, {_OFF} AS off FROM own) SELECT doc_id, {_NDS} AS nds FROM d",
     "metric_tbi": f"WITH {ARRAYS}, r AS (SELECT *, {_ROWS} AS rws FROM own) SELECT doc_id, {_TBI} AS tbi FROM r",
+    "metric_rc": f"""WITH {ARRAYS}, kept AS (SELECT doc_id AS k, doc_id, chunks FROM own), {_references('ref', 'own', 'kept')} SELECT k AS doc_id, rc FROM ref""",
     "metric_sps": f"WITH {ARRAYS} SELECT doc_id, {_SPS} AS sps FROM own",
     "lines_winner": f"WITH {COMPETITION} SELECT typed.doc_id, CASE WHEN n IS NULL THEN 'recursive_600' ELSE 'lines_' || n::VARCHAR END AS strategy, coalesce(total, 0.0) AS chunking_score, coalesce(n_chunks, 1)::INTEGER AS n_chunks FROM typed LEFT JOIN (SELECT * FROM comp WHERE k = 1) USING (doc_id)",
     "lines_competition": f"WITH {COMPETITION} SELECT doc_id, 'lines_' || n::VARCHAR AS strategy, total, n_chunks, k = 1 AS won FROM comp",
