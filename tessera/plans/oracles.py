@@ -61,11 +61,11 @@ _SENT = f"list_filter(string_split_regex(text, '[.!?]+'), lambda s: {_strip('s')
 # --- search ---
 
 BM25 = f"""
-tok AS (SELECT doc_id AS pos, {_tokenise('text')} AS terms FROM documents),
+tok AS MATERIALIZED (SELECT doc_id AS pos, {_tokenise('text')} AS terms FROM documents),
 corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS mean FROM tok),
-post AS (SELECT term, pos, count(*) AS tf, any_value(n) AS len FROM (SELECT pos, len(terms) AS n, unnest(terms) AS term FROM tok) GROUP BY term, pos),
+post AS MATERIALIZED (SELECT term, pos, count(*) AS tf, any_value(n) AS len FROM (SELECT pos, len(terms) AS n, unnest(terms) AS term FROM tok) GROUP BY term, pos),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN {search.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
