@@ -2,10 +2,11 @@
 
 A text of more than LEAF characters is halved, wherever that falls, down to leaves; the leaves are encoded
 independently of each other, then neighbours are joined level by level. At a join the units (white space and what follows
-it) that meet are encoded anew, as nothing but white space is sure to end a piece. If they are long, and a piece goes on across
+it) that meet become one, as nothing but white space is sure to end a piece, and its pieces are found. Where a piece goes on across
 the join, a window of the last tokens on its left and the first on its right is encoded anew and grows until its
 first token is the left side's and its last token the right side's: from there on every adjacent pair of
-tokens is one that BPE itself produces, so the joined ids are those of the whole.
+tokens is one that BPE itself produces, so the joined ids are those of the whole. A piece that is neither a side's nor two of theirs
+put together is encoded anew.
 
 Texts of more than SPREAD bytes are dealt to the tasks in stretches. Each stretch is a subtree; FAN
 neighbours at a time are joined in a task, round by round, so a very long text is neither encoded nor joined
@@ -78,7 +79,8 @@ class TreeCodec(PieceCodec):
         self.bytes = [bytes(map(back.__getitem__, t)) if all(c in back for c in t) else t.encode() for t in self.tokens]
         self.sizes = np.array([len(b) for b in self.bytes])
         self.decimal = [b"%d" % i for i in range(size)]
-        self.joins = 0
+        #: Joins, windows grown at them, and pieces encoded anew.
+        self.joins = self.windows = self.anew = 0
 
     def window(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ids of one piece, from those of its two sides."""
@@ -102,10 +104,10 @@ class TreeCodec(PieceCodec):
         return out
 
     def seam(self, left: str, left_ids: bytes, right: str, right_ids: bytes) -> bytes:
-        """The ids of a unit whose two sides are encoded."""
+        """The ids of a unit whose two sides are encoded: those of its pieces that lie in one side, and for the piece that goes on across
+        the join a window that grows. Where the whole's pieces are not the sides' (a mark that joins another kind of piece), the piece is
+        encoded anew."""
         unit, c = left + right, len(left)
-        if len(unit) <= LONG_PIECE:
-            return self.spaced_known[unit[1:]] if unit[0] == " " and unit[1] not in SPACES else self.unit(unit)
         known = self._pieces_of(left, left_ids, 0) | self._pieces_of(right, right_ids, c)
         out, at = [], 0
         for p in self.pieces(unit):
@@ -113,8 +115,10 @@ class TreeCodec(PieceCodec):
             if place in known:
                 out.append(known[place])
             elif place[0] < c < place[1] and (place[0], c) in known and (c, place[1]) in known:
+                self.windows += 1
                 out.append(self.window(known[place[0], c], known[c, place[1]]))
             else:
+                self.anew += 1
                 out.append(np.frombuffer(self.piece(p), "<u4"))
         return np.concatenate(out).astype("<u4").tobytes()
 

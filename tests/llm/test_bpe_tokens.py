@@ -127,3 +127,37 @@ def test_random_access(ids):
     d = token_store.Dac.from_bytes(token_store.Dac.encode(np.array(ids, np.uint32)).to_bytes())
     assert d.all().tolist() == ids
     assert [d.get(i) for i in range(len(ids))] == ids
+
+
+def test_windows_grow_at_joins():
+    """Most joins fall into a piece, whose two sides are put together by a window; few pieces are encoded anew."""
+    rng = random.Random(21)
+    words = ["alpha", "beta", "gammadelta", "internationalisation", "é", "über", "don't", "x1y2", "end.", "\n"]
+    c = bpe.TreeCodec(BYTE)
+    for _ in range(40):
+        text = " ".join(rng.choice(words) for _ in range(3000))
+        assert c.ids(text) == PLAIN[0].encode(text, add_special_tokens=False).ids
+    assert c.windows > c.joins / 3 and c.anew < c.windows
+
+
+def test_windows_grow_until_both_sides_agree(monkeypatch):
+    rng = random.Random(22)
+    c = bpe.TreeCodec(BYTE)
+    sizes = []
+    tokenize = c.tokenize
+    monkeypatch.setattr(c, "tokenize", lambda text: sizes.append(len(text)) or tokenize(text))
+    for _ in range(60):
+        piece = "".join(rng.choice("abcxyz") for _ in range(400))
+        k = rng.randrange(1, 400)
+        left, right = (np.array(PLAIN[0].encode(x, add_special_tokens=False).ids, np.uint32) for x in (piece[:k], piece[k:]))
+        sizes.clear()
+        assert c.window(left, right).tolist() == PLAIN[0].encode(piece, add_special_tokens=False).ids
+        assert sizes == sorted(sizes) and sizes[0] <= 80
+
+
+def test_few_row_groups_are_dealt_to_all_cores(spark, tmp_path):
+    from tessera.llm.runtime import dealt
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    small, large = spark.read.parquet(f"{tmp_path}/one"), spark.range(0, 100, 1, 50)
+    assert dealt(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt(large) is large
