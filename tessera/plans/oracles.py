@@ -129,7 +129,8 @@ SELECT query_id, (i - 1)::INTEGER AS job, j.ticker, j.item_number, j.weight FROM
 
 # --- hybrid retrieval ---
 
-_TICKER = "[" + ", ".join(map(_q, TICKERS)) + "][{} % " + str(len(TICKERS)) + " + 1]"
+#: Companies change every twenty documents, so that each has chunks of every year and item.
+_TICKER = "[" + ", ".join(map(_q, TICKERS)) + "][({} // 20) % " + str(len(TICKERS)) + " + 1]"
 
 
 def _jobs_of(source: str, name: str, k: int) -> str:
@@ -247,12 +248,12 @@ def _spaced(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-def _table_aware(name: str, source: str) -> str:
-    """CTEs that end in `name` (doc_id, chunks): tables whole, prose between them recursively, at the small sizes."""
+def _table_aware(name: str, source: str, size: tuple[int, int] = (110, 11), least: int = 8) -> str:
+    """CTEs that end in `name` (doc_id, chunks): tables whole up to twice the size, prose between them recursively."""
     return f"""{name}runs AS (SELECT doc_id, unnest(r) AS r, generate_subscripts(r, 1) AS b FROM (SELECT doc_id, {_RUNS} AS r FROM {source})),
 {name}blk AS (SELECT doc_id, b, r.t AS text, r.k AS k FROM {name}runs WHERE {_strip('r.t')} <> ''),
-{name}prose AS (SELECT * FROM {name}blk WHERE NOT k), {_recursive(name + 'r', name + 'prose', 110, 11, 8)},
-{name}every AS (SELECT doc_id, b, chunks FROM {name}r UNION ALL SELECT doc_id, b, CASE WHEN {_count('text')} <= 220 THEN [{_strip('text')}] ELSE list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') END FROM {name}blk WHERE k),
+{name}prose AS (SELECT * FROM {name}blk WHERE NOT k), {_recursive(name + 'r', name + 'prose', *size, least)},
+{name}every AS (SELECT doc_id, b, chunks FROM {name}r UNION ALL SELECT doc_id, b, CASE WHEN {_count('text')} <= {2 * size[0]} THEN [{_strip('text')}] ELSE list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_strip('x')}), lambda x: x <> '') END FROM {name}blk WHERE k),
 {name} AS (SELECT doc_id, flatten(list(chunks ORDER BY b)) AS chunks FROM {name}every GROUP BY doc_id)"""
 
 
@@ -326,11 +327,12 @@ met AS (SELECT *, 1.0::DOUBLE AS icc, 1.0::DOUBLE AS dcc, 1.0::DOUBLE AS rc, {_S
 tot AS (SELECT doc_id, n, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
 comp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, n_chunks, n) AS k FROM tot)"""
 
-#: All strategies of all sections at the small sizes, by all eight metrics.
-STRATEGIES = f"""{SIG}, whole AS (SELECT doc_id, 0 AS b, text FROM typed),
+def _competing(small: tuple[int, int], large: tuple[int, int], least: int, pattern: bool) -> str:
+    """All strategies of all sections at these sizes, by all eight metrics, ending in comp."""
+    return f"""{SIG}, whole AS (SELECT doc_id, 0 AS b, text FROM typed),
 tabular AS (SELECT doc_id, text FROM typed WHERE section_type IN ('financial_table', 'mixed') OR table_density >= 0.1),
-wordy AS (SELECT doc_id, 0 AS b, text FROM typed WHERE token_count >= 300),
-{_recursive('ra', 'whole', 60, 6, 8)}, {_recursive('rb', 'whole', 110, 11, 8)}, {_table_aware('ta', 'tabular')}, {_by_pattern('px', 'wordy')},
+wordy AS (SELECT doc_id, 0 AS b, text FROM typed WHERE token_count >= 300 AND {str(pattern).lower()}),
+{_recursive('ra', 'whole', *small, least)}, {_recursive('rb', 'whole', *large, least)}, {_table_aware('ta', 'tabular', large, least)}, {_by_pattern('px', 'wordy')},
 cuts AS (SELECT doc_id, 0 AS ord, 'recursive_600' AS strategy, chunks FROM ra UNION ALL SELECT doc_id, 1, 'recursive_1100', chunks FROM rb
   UNION ALL SELECT doc_id, 2, 'table_aware', chunks FROM ta UNION ALL SELECT doc_id, 3, 'llm_regex', chunks FROM px),
 own AS MATERIALIZED (SELECT typed.*, doc_id * 4 + ord AS k, ord, strategy, chunks, list_transform(chunks, lambda c: {_spaced('c')}) AS spaced FROM typed JOIN cuts USING (doc_id)),
@@ -344,9 +346,13 @@ ics AS (SELECT emb.k, {_BOUND("avg(CASE WHEN len(emb.s) < 2 THEN 1.0 ELSE mean.m
 {_BLOCKS},
 parts AS (SELECT *, {_OFF} AS off, {_ROWS} AS rws FROM b),
 met AS (SELECT parts.*, icc, dcc, rc, {_SC} AS sc, {_BI} AS bi, {_NDS} AS nds, {_TBI} AS tbi, {_SPS} AS sps FROM parts JOIN ics USING (k) JOIN dcs USING (k) JOIN ref USING (k)),
-tot AS (SELECT doc_id, ord, strategy, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
+tot AS (SELECT doc_id, ord, strategy, chunks, len(chunks)::INTEGER AS n_chunks, {_TOTAL} AS total FROM met),
 comp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, n_chunks, ord) AS place FROM tot)"""
 
+
+STRATEGIES = _competing((60, 6), (110, 11), 8, True)
+ENGINE_CHUNKS = _competing((600, 60), (1100, 110), 80, False)
+
 _CONFIDENCE = f"""CASE WHEN s.n IS NULL THEN 0.0 ELSE {_BOUND(f"0.5 * CASE WHEN c = 0 THEN 0.3::DOUBLE ELSE ce END + 0.3 * len(good)::DOUBLE / s.n + 0.2 * (1 - least(1.0::DOUBLE, len(regexp_extract_all(answer, {_q(X.HEDGES)}))::DOUBLE / greatest(len({_toks('answer')}), 1) * 10))")} END"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -394,6 +400,7 @@ c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;
 d AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')) AS text FROM c)
 SELECT page_id, text FROM d WHERE text <> ''""",
     "bm25_term_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_df_classes": f"WITH {BM25} SELECT df, count(*) AS terms, min(term) AS first, max(term) AS last, round(any_value(idf), 6) AS idf FROM idf GROUP BY df",
     "bm25_topk": f"WITH {_scores()} {_top('(SELECT * FROM lex WHERE score > 0)', 10)}",
     "bm25_topk_segments": f"WITH {_scores()} {_top('(SELECT * FROM lex WHERE score > 0)', 10)}",
     "filter_bitmaps": f"""WITH sec0 AS (SELECT doc_id AS pos, {_TICKER.format('doc_id')} AS ticker, (2020 + doc_id % 5)::VARCHAR AS fiscal_year, {_ITEM} AS item_number, lang AS sector FROM documents WHERE {_strip('text')} <> '')
@@ -446,6 +453,10 @@ SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS i, unnest(p) AS piece
     "chunk_recursive_1100": f"WITH {_WHOLE}, {_recursive('r', 'whole', 1100, 110, 80)} {_listed('r', 'recursive_1100')}",
     "chunk_table_aware": f"WITH {_WHOLE}, {_table_aware('t', 'whole')} {_listed('t', 'table_aware')}",
     "chunk_regex": f"WITH {_WHOLE}, {_by_pattern('x', 'whole')} {_listed('x', 'llm_regex')}",
+    "engine_chunks": f"""WITH {ENGINE_CHUNKS}, won AS (SELECT doc_id, strategy, total, n_chunks, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) - 1 AS i FROM comp WHERE place = 1)
+SELECT upper(source) || '-' || doc_id::VARCHAR || '_' || (2020 + doc_id % 5)::VARCHAR || '_item_' || lower({_ITEM}) || printf('_chunk_%04d', i) AS chunk_id, strategy AS chunking_strategy, total AS chunking_score, n_chunks AS total_chunks_in_section,
+  i::INTEGER AS chunk_index, {_count('chunk')}::INTEGER AS token_count, round({_density('chunk')}, 4) AS numerical_density, {_TABLE.replace("'text'", "'chunk'").replace('text', 'chunk')} AS is_table_chunk, md5(chunk) AS digest
+FROM won JOIN documents USING (doc_id)""",
     "strategy_winner": f"WITH {STRATEGIES} SELECT typed.doc_id, coalesce(strategy, 'recursive_600') AS strategy, coalesce(total, 0.0) AS chunking_score, coalesce(n_chunks, 1)::INTEGER AS n_chunks FROM typed LEFT JOIN (SELECT * FROM comp WHERE place = 1) USING (doc_id)",
     "strategy_competition": f"WITH {STRATEGIES} SELECT doc_id, strategy, total, n_chunks, place = 1 AS won FROM comp",
     "metric_sc": f"WITH {ARRAYS} SELECT doc_id, {_SC} AS sc FROM own",
@@ -486,6 +497,11 @@ SELECT query_id, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comp
   array_to_string(good, ',') AS sources_cited, array_to_string(bad, ',') AS invalid_citations, coalesce(scores, '') AS scores, coalesce(strategies, '') AS strategies
 FROM chkd LEFT JOIN s USING (query_id) LEFT JOIN e USING (query_id)""",
     "refusals": f"SELECT item_id AS query_id, {_q(answers.REFUSAL)} AS raw_answer, 0::INTEGER AS tokens_used FROM benchmark WHERE item_id % 2 = 1",
+    "embed_batch": f"SELECT doc_id, array_to_string(list_transform({_embed('text')}, lambda x: x::BIGINT), ',') AS embedding, text IS NULL OR doc_id % 97 = 4 AS missing FROM documents WHERE doc_id % 97 <> 4 UNION ALL SELECT doc_id, NULL, true FROM documents WHERE doc_id % 97 = 4",
+    "sections_json": f"WITH {SIG} SELECT upper(ticker) || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_number) || '_' || doc_id::VARCHAR AS section_id, item_number, section_type, {_strip('text')} AS text, token_count, numerical_density, ticker, fiscal_year FROM typed",
+    "chunks_json": f"WITH {CHUNKS} SELECT doc_id::VARCHAR || ':' || chunk_index::VARCHAR AS chunk_id, chunk_index, md5(chunk) AS digest FROM chk",
+    "filings_json": "SELECT upper(s_name) AS ticker, lpad(s_suppkey::VARCHAR, 10, '0') AS cik, 2020 + s_nationkey AS fiscal_year, make_date(2024, 1 + s_nationkey % 12, 1) AS filing_date, left(lpad(s_suppkey::VARCHAR, 18, '0'), 10) || '-' || substr(lpad(s_suppkey::VARCHAR, 18, '0'), 11, 2) || '-' || substr(lpad(s_suppkey::VARCHAR, 18, '0'), 13, 6) AS accession_no FROM supplier",
+    "dense_topk_saved": f"WITH {DENSE} {_top('den', 10)}",
     "embed_missing_antijoin": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)",
     "pipeline_stats": f"WITH {SIG} SELECT count(*) AS sections, sum(token_count)::BIGINT AS tokens, count(DISTINCT ticker) AS companies, sum(CASE WHEN section_type = 'financial_table' THEN 1 ELSE 0 END)::BIGINT AS tables FROM typed",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

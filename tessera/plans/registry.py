@@ -72,8 +72,8 @@ def _question_vectors(spark, d):
 
 
 def _chunks(spark, d):
-    """Whole sections as chunks, for retrieval: position, filters and text; companies in turn."""
-    ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("doc_id") % len(TICKERS) + 1).cast("int"))
+    """Whole sections as chunks, for retrieval: position, filters and text; each company has some of every year and item."""
+    ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.floor(F.col("doc_id") / 20) % len(TICKERS) + 1).cast("int"))
     return _sections(spark, d).withColumn("ticker", ticker).withColumnRenamed("doc_id", "pos")
 
 
@@ -194,6 +194,11 @@ def bm25_term_stats(spark, d):
     return search.build_lexical(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def bm25_df_classes(spark, d):
+    """The terms of the index by the number of documents that have them."""
+    return search.build_lexical(_docs(spark, d)).terms.groupBy("df").agg(F.count("*").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"), F.round(F.first("idf"), 6).alias("idf"))
+
+
 def bm25_topk(spark, d):
     return search.lexical_top_k(_index(spark, d), _plain_questions(spark, d), TOP)
 
@@ -559,6 +564,63 @@ def refusals(spark, d):
     return answers.refuse_empty(asked, search.lexical_top_k(_index(spark, d), asked, 3)).select("query_id", "raw_answer", "tokens_used")
 
 
+def engine_chunks(spark, d):
+    """The chunk table of an engine built from the sections."""
+    own = ingest.typed(_sections(spark, d).withColumn("ticker", F.concat_ws("-", "ticker", "doc_id")))
+    engine = build.Engine(spark, f"{shared_dir(spark)}/tessera-engine-{uuid.uuid4().hex}").build(own)
+    return engine.chunks().select("chunk_id", "chunking_strategy", "chunking_score", "total_chunks_in_section", "chunk_index", "token_count", "numerical_density", "is_table_chunk", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+class _Bins(chunk_quality.TermBins):
+    """The bins of terms, from a provider that fails on some texts."""
+
+    def embed(self, texts):
+        if any(t.endswith("\x00") for t in texts):
+            raise RuntimeError("cannot read this")
+        return [v.tolist() for v in super().embed(texts)]
+
+
+def embed_batch(spark, d):
+    """Every text by a provider; where it fails the vector is null and the reason stands beside it."""
+    marked = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 97 == 4, F.concat("text", F.lit("\x00"))).otherwise(F.col("text")).alias("text"))
+    made = providers.map_provider(marked, "text", "embedding", "array<double>", _Bins, "embed", batch=1, attempts=1, pause=0)
+    return made.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"), F.col("embedding").isNull().alias("missing"))
+
+
+def _away(spark, name):
+    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def sections_json(spark, d):
+    """Typed sections written as JSON and read again."""
+    own, path = ingest.typed(_sections(spark, d)), _away(spark, "sections")
+    tables.write_sections(own.withColumn("section_id", F.concat_ws("_", X.section_id(F.col("ticker"), F.col("fiscal_year"), F.col("item_number")), "doc_id")), path)
+    return tables.read_sections(spark, f"{path}/*", lines=True).select("section_id", "item_number", "section_type", "text", "signals.token_count", "signals.numerical_density", "ticker", "fiscal_year")
+
+
+def chunks_json(spark, d):
+    """Chunks written as JSON and read again."""
+    own, path = _line_chunks(spark, d).select(F.concat_ws(":", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index", F.col("chunk").alias("text")), _away(spark, "chunks")
+    tables.write_chunks_json(own, path)
+    return tables.read_chunks_json(spark, path).select("chunk_id", "chunk_index", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+def filings_json(spark, d):
+    """Suppliers as filings, written as JSON and read again with all that reading makes regular."""
+    key, path = F.col("s_suppkey"), _away(spark, "filings")
+    date = F.concat(F.lit("2024-"), F.lpad((1 + F.col("s_nationkey") % 12).cast("string"), 2, "0"), F.lit("-01T00:00:00"))
+    own = _read(spark, d, "supplier").select(F.concat(F.lit(" "), F.lower("s_name")).alias("ticker"), key.cast("string").alias("cik"), (2020 + F.col("s_nationkey")).alias("fiscal_year"), date.alias("filing_date"), F.lpad(key.cast("string"), 18, "0").alias("accession_no"))
+    tables.write_filings(own, path)
+    return tables.read_filings(spark, f"{path}/*").select("ticker", "cik", "fiscal_year", "filing_date", "accession_no")
+
+
+def dense_topk_saved(spark, d):
+    """dense_topk from vectors that were saved and loaded."""
+    path = _away(spark, "vectors")
+    tables.save_vectors(_vectors(spark, d).select("pos", "vector"), path)
+    return search.dense_top_k(tables.load_vectors(spark, path), _query_vectors(spark, d), TOP)
+
+
 def engine_answers(spark, d):
     """All in one: an index built from the sections, and every question answered from it."""
     engine = build.Engine(spark, f"{shared_dir(spark)}/tessera-engine-{uuid.uuid4().hex}").build(ingest.typed(_sections(spark, d).withColumn("ticker", F.concat_ws("-", "ticker", "doc_id"))))
@@ -584,10 +646,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
-        sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_topk, bm25_topk_segments, bm25_topk_filtered, filter_bitmaps, vec_normalise, vec_cosine, dense_topk,
+        sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_df_classes, bm25_topk, bm25_topk_segments, bm25_topk_filtered, filter_bitmaps, vec_normalise, vec_cosine, dense_topk,
         dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_degraded, hybrid_chunks, rerank_topk, rerank_model, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
-        candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_answers, refusals,
-        embed_missing_antijoin, pipeline_stats, event_windows,
+        candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_chunks, engine_answers, refusals,
+        embed_missing_antijoin, embed_batch, sections_json, chunks_json, filings_json, dense_topk_saved, pipeline_stats, event_windows,
     )
 }

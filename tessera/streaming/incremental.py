@@ -19,8 +19,9 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 def chunk_documents(docs: DataFrame, embed: bool = True) -> DataFrame:
     """Sections' best chunks with ids, and embeddings from the offline provider."""
     sections = ingest.typed(ingest.sections_view(docs))
-    wanted = sections.withColumn("strategies", chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count"), use_pattern=False))
-    scored = chunk_quality.score(chunking.chunk_sections(wanted).join(sections.select("doc_id", "text", "item_number", "section_type", F.col("signals.numerical_density").alias("numerical_density")), "doc_id"))
+    carry = ("text", "item_number", "section_type", "numerical_density")
+    wanted = sections.withColumns({"numerical_density": F.col("signals.numerical_density"), "strategies": chunking.candidates(F.col("section_type"), F.col("signals.table_density"), F.col("signals.token_count"), use_pattern=False)})
+    scored = chunk_quality.score(chunking.chunk_sections(wanted, carry=carry))
     chunks = chunking.materialise(chunk_quality.winners(scored), sections).withColumn("chunk_key", F.concat_ws(":", "doc_id", "chunk_index"))
     return map_provider(chunks, "text", "embedding", "array<float>", HashEmbedder, "embed") if embed else chunks
 
