@@ -501,6 +501,8 @@ FROM chkd LEFT JOIN s USING (query_id) LEFT JOIN e USING (query_id)""",
     "sections_json": f"WITH {SIG} SELECT upper(ticker) || '_' || fiscal_year::VARCHAR || '_item_' || lower(item_number) || '_' || doc_id::VARCHAR AS section_id, item_number, section_type, {_strip('text')} AS text, token_count, numerical_density, ticker, fiscal_year FROM typed",
     "chunks_json": f"WITH {CHUNKS} SELECT doc_id::VARCHAR || ':' || chunk_index::VARCHAR AS chunk_id, chunk_index, md5(chunk) AS digest FROM chk",
     "filings_json": "SELECT upper(s_name) AS ticker, lpad(s_suppkey::VARCHAR, 10, '0') AS cik, 2020 + s_nationkey AS fiscal_year, make_date(2024, 1 + s_nationkey % 12, 1) AS filing_date, left(lpad(s_suppkey::VARCHAR, 18, '0'), 10) || '-' || substr(lpad(s_suppkey::VARCHAR, 18, '0'), 11, 2) || '-' || substr(lpad(s_suppkey::VARCHAR, 18, '0'), 13, 6) AS accession_no FROM supplier",
+    "filings_source": """WITH y AS (SELECT unnest([2023, 2024])::INTEGER AS fiscal_year), a AS (SELECT upper(n_name) AS ticker, y.fiscal_year, lower(n_name) AS n, n_nationkey AS k, y.fiscal_year = 2023 + n_nationkey % 2 AS ok FROM nation, y)
+SELECT ticker, fiscal_year, CASE WHEN ok THEN n END AS company_name, CASE WHEN ok THEN DATE '2024-11-01' END AS filing_date, CASE WHEN ok THEN k::VARCHAR END AS accession_no, CASE WHEN NOT ok THEN 'no such filing' END AS error FROM a""",
     "dense_topk_saved": f"WITH {DENSE} {_top('den', 10)}",
     "embed_missing_antijoin": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)",
     "pipeline_stats": f"WITH {SIG} SELECT count(*) AS sections, sum(token_count)::BIGINT AS tokens, count(DISTINCT ticker) AS companies, sum(CASE WHEN section_type = 'financial_table' THEN 1 ELSE 0 END)::BIGINT AS tables FROM typed",

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import answers, bitmaps, build, chunk_quality, chunking, ingest, postings, search, vector_index
 from ..sources import tables
 from ..streaming import incremental
+from ..sources.filings import FolderFetcher, filing_source
 from ..sources.shared import shared_dir, spread, staged
 from .oracles import ASKS, FIRST_YEAR, LAST_YEAR, LINE_COUNTS, ORACLE_SQL, TICKERS, YEAR_ASKED  # noqa: F401
 
@@ -614,6 +615,17 @@ def filings_json(spark, d):
     return tables.read_filings(spark, f"{path}/*").select("ticker", "cik", "fiscal_year", "filing_date", "accession_no")
 
 
+def filings_source(spark, d):
+    """Nations as companies with a filing for one of two years, fetched by the data source: a row for each year, or why there is none."""
+    path = _away(spark, "folder")
+    nation = _read(spark, d, "nation")
+    own = nation.select(F.col("n_name").alias("ticker"), (2023 + F.col("n_nationkey") % 2).cast("int").alias("fiscal_year"), F.lower("n_name").alias("company_name"), F.lit("2024-11-01").alias("filing_date"), F.col("n_nationkey").cast("string").alias("accession_no"))
+    tables.write_filings(own, path)
+    spark.dataSource.register(filing_source(lambda: FolderFetcher(path)))
+    asked = ",".join(r["n_name"] for r in nation.select("n_name").collect())  # a few dozen companies
+    return spark.read.format("filings").option("tickers", asked).option("years", "2023,2024").load().select("ticker", "fiscal_year", "company_name", "filing_date", "accession_no", "error")
+
+
 def dense_topk_saved(spark, d):
     """dense_topk from vectors that were saved and loaded."""
     path = _away(spark, "vectors")
@@ -650,6 +662,6 @@ QUERIES = {
         dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_degraded, hybrid_chunks, rerank_topk, rerank_model, rank_movement,
         table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
         candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_chunks, engine_answers, refusals,
-        embed_missing_antijoin, embed_batch, sections_json, chunks_json, filings_json, dense_topk_saved, pipeline_stats, event_windows,
+        embed_missing_antijoin, embed_batch, sections_json, chunks_json, filings_json, filings_source, dense_topk_saved, pipeline_stats, event_windows,
     )
 }
