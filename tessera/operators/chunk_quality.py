@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .chunking import count_tokens
+from .names import found_in
 
 METRICS = ("icc", "dcc", "rc", "sc", "bi", "nds", "tbi", "sps")
 # Weights of the metrics by the section's type.
@@ -69,14 +70,29 @@ def structural_blocks(c: Column) -> Column:
     return F.concat(paragraphs, F.array_except(F.array_distinct(F.filter(rest, lambda x: x != "")), paragraphs))
 
 
-def _found(parts: Column, chunks: Column) -> Column:
-    return _once(F.transform(chunks, _spaced), lambda spaced: F.filter(parts, lambda b: _once(_spaced(b), lambda one: F.exists(spaced, lambda c: c.contains(one)))))
+def data_rows(c: Column) -> Column:
+    """Rows of tables that are no separators."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(DATA_ROW), 0), X.strip), lambda r: ~r.rlike(SEPARATOR_ROW))
 
 
-def block_integrity(text: Column, chunks: Column) -> Column:
-    blocks = structural_blocks(text)
-    share = _once(blocks, lambda own: _share(F.size(_found(own, chunks)), F.size(own), 1.0))
-    return F.when(F.size(chunks) == 0, 0.0).otherwise(_bounded(share))
+def with_integrity(chunked: DataFrame) -> DataFrame:
+    """Adds bi and tbi: the shares of structural blocks, and of rows of tables, that stand whole in some chunk; white space is evened out.
+
+    All blocks and rows of a section are looked for at once, so a chunk is read once however many there are."""
+    spaced = lambda parts: F.transform(parts, _spaced)
+    own = chunked.withColumns({"_blocks": spaced(structural_blocks(F.col("text"))), "_rows": spaced(data_rows(F.col("text"))), "_spaced": spaced(F.col("chunks"))})
+    kept = chunked.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = []
+            for blocks, rows, chunks in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_blocks", "_rows", "_spaced"))):
+                blocks, rows, chunks = blocks or [], rows or [], chunks or []
+                found = found_in([*blocks, *rows], chunks)
+                shares.append([0.0 if not chunks else _clipped(sum(p in found for p in parts) / len(parts)) if parts else 1.0 for parts in (blocks, rows)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *(pa.array([x[k] for x in shares], pa.float64()) for k in range(2))], [*kept, "bi", "tbi"])
+
+    return own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunked.schema) + ", bi double, tbi double")
 
 
 def density_spread(target: Column, chunks: Column) -> Column:
@@ -88,12 +104,6 @@ def density_spread(target: Column, chunks: Column) -> Column:
     return F.when(F.size(chunks) == 0, 0.0).when(target < FLOOR, 1.0).otherwise(_bounded(_share(total, F.size(chunks), 0.0)))
 
 
-def table_integrity(text: Column, chunks: Column) -> Column:
-    rows = F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATA_ROW), 0), X.strip), lambda r: ~r.rlike(SEPARATOR_ROW))
-    share = _once(rows, lambda own: _share(F.size(_found(own, chunks)), F.size(own), 1.0))
-    return F.when(F.size(chunks) == 0, 0.0).otherwise(_bounded(share))
-
-
 def section_purity(item: Column, chunks: Column) -> Column:
     own = F.upper(X.strip(item))
 
@@ -209,12 +219,9 @@ def with_text_metrics(chunked: DataFrame, embed: Callable[[], object] | None = T
 
 
 def plain_metrics(chunked: DataFrame) -> DataFrame:
-    """Adds the metrics that are Columns over a row."""
-    text, chunks = F.col("text"), F.col("chunks")
-    return chunked.withColumns({
-        "sc": F.round(size_compliance(chunks), 4), "bi": block_integrity(text, chunks), "nds": density_spread(F.col("numerical_density"), chunks),
-        "tbi": table_integrity(text, chunks), "sps": section_purity(F.col("item_number"), chunks),
-    })
+    """Adds the metrics that need no model."""
+    chunks = F.col("chunks")
+    return with_integrity(chunked).withColumns({"sc": F.round(size_compliance(chunks), 4), "nds": density_spread(F.col("numerical_density"), chunks), "sps": section_purity(F.col("item_number"), chunks)})
 
 
 def score(chunked: DataFrame, embed: Callable[[], object] | None = TermBins) -> DataFrame:

@@ -417,6 +417,8 @@ SELECT pos, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n))))
     "classify_query": f"""WITH {QUESTIONS} SELECT query_id, CASE WHEN regexp_matches(query, {_q(X.COMPARATIVE)}) THEN 'comparative' WHEN regexp_matches(query, {_q(X.ANALYTICAL)}) THEN 'analytical' ELSE 'factual' END AS query_type,
   CASE WHEN regexp_matches(query, {_q(X.METRIC_TERMS)}) THEN 'metric' WHEN regexp_matches(query, {_q(X.RISK_TERMS)}) THEN 'risk' WHEN regexp_matches(query, {_q(X.STRATEGY_TERMS)}) THEN 'strategy' ELSE 'none' END AS intent, {_HINTED} AS hint FROM ask0""",
     "detect_companies": f"WITH {QUESTIONS}, {COMPANIES} SELECT query_id, array_to_string(c, ',') AS tickers FROM comp",
+    "detect_names": "WITH n AS (SELECT item_id AS name_id, lower(array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')) AS name FROM benchmark) SELECT doc_id, name_id, (strpos(lower(text), name) - 1)::BIGINT AS first FROM documents JOIN n ON contains(lower(text), name)",
+    "named_companies": f"WITH {QUESTIONS}, {COMPANIES} SELECT query_id, array_to_string(c, ',') AS tickers FROM comp WHERE len(c) > 0",
     "route_query": _route("NULL::VARCHAR", "NULL::VARCHAR"),
     "route_query_filtered": _route("CASE WHEN query_id % 5 = 0 THEN 'GS' END", "CASE WHEN query_id % 3 = 0 THEN '2' END"),
     "rrf_fusion": f"""WITH {FUSED} SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.pos, b.pos) AS pos, a.rank AS bm25_rank, b.rank AS dense_rank, {_RRF.format(a='a.rank', b='b.rank')} AS rrf_score

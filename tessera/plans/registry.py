@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..functions import text as X
-from ..operators import answers, bitmaps, build, chunk_quality, chunking, ingest, postings, search, vector_index
+from ..operators import answers, bitmaps, build, chunk_quality, chunking, ingest, names, postings, search, vector_index
 from ..sources import tables
 from ..streaming import incremental
 from ..sources.filings import FolderFetcher, filing_source
@@ -290,6 +290,18 @@ def detect_companies(spark, d):
     return _questions(spark, d).select("query_id", F.array_join(X.companies(F.col("query")), ",").alias("tickers"))
 
 
+def detect_names(spark, d):
+    """Which beginnings of benchmark items stand in which documents, and where first."""
+    begin = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return names.occurrences(_docs(spark, d), _read(spark, d, "benchmark").select(F.col("item_id").alias("name_id"), begin.alias("name"))).select("doc_id", "name_id", "first")
+
+
+def named_companies(spark, d):
+    """The companies of each question, from a dictionary that is a table."""
+    known = spark.createDataFrame([(k, name, ticker) for k, (name, ticker) in enumerate(X.COMPANIES.items())], "name_id long, name string, label string")
+    return names.named(_questions(spark, d), known, "query_id", "query").select("query_id", F.array_join("labels", ",").alias("tickers"))
+
+
 def route_query(spark, d):
     return search.routed(_questions(spark, d)).select("query_id", "job", "ticker", "item_number", "weight")
 
@@ -392,8 +404,8 @@ def chunk_separator_split(spark, d):
     return chunking.separator_pieces(_docs(spark, d), ". ")
 
 
-def _strategies(spark, d, names, config, pattern=None):
-    rows = _sections(spark, d).withColumn("strategies", F.array(*map(F.lit, names)))
+def _strategies(spark, d, wanted, config, pattern=None):
+    rows = _sections(spark, d).withColumn("strategies", F.array(*map(F.lit, wanted)))
     return chunking.chunk_sections(rows, config=config, pattern=pattern)
 
 
@@ -428,13 +440,19 @@ def _metric(name, make):
 _CHUNKS = lambda: F.col("chunks")
 METRICS = [
     _metric("sc", lambda: F.round(chunk_quality.size_compliance(_CHUNKS()), 4)),
-    _metric("bi", lambda: chunk_quality.block_integrity(F.col("text"), _CHUNKS())),
     _metric("nds", lambda: chunk_quality.density_spread(F.col("numerical_density"), _CHUNKS())),
-    _metric("tbi", lambda: chunk_quality.table_integrity(F.col("text"), _CHUNKS())),
     _metric("sps", lambda: chunk_quality.section_purity(F.col("item_number"), _CHUNKS())),
 ]
 
 
+def metric_bi(spark, d):
+    return chunk_quality.with_integrity(_line_arrays(spark, d)).select("doc_id", "bi")
+
+
+def metric_tbi(spark, d):
+    return chunk_quality.with_integrity(_line_arrays(spark, d)).select("doc_id", "tbi")
+
+
 def metric_icc(spark, d):
     return chunk_quality.with_text_metrics(_line_arrays(spark, d)).select("doc_id", "icc")
 
@@ -659,8 +677,8 @@ QUERIES = {
     for f in (
         text_tokenise, text_token_count, text_numerical_density, text_sentences, section_signals, section_classify, section_ids, section_type_counts, embedded_tables, label_clean, number_format,
         sector_lookup, default_corpus, filing_pick, section_unpivot, statement_table, financial_sections, html_text, bm25_term_stats, bm25_df_classes, bm25_topk, bm25_topk_segments, bm25_topk_filtered, filter_bitmaps, vec_normalise, vec_cosine, dense_topk,
-        dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_degraded, hybrid_chunks, rerank_topk, rerank_model, rank_movement,
-        table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_icc, metric_dcc, metric_rc, weighted_total,
+        dense_topk_postfilter, dense_topk_prefilter, dense_topk_cells, dense_cells_recall, classify_query, detect_companies, detect_names, named_companies, route_query, route_query_filtered, rrf_fusion, multi_job_dedup, hybrid_retrieve, hybrid_degraded, hybrid_chunks, rerank_topk, rerank_model, rank_movement,
+        table_blocks_islands, chunk_lines, chunk_materialise, chunk_separator_split, chunk_recursive_600, chunk_recursive_1100, chunk_table_aware, chunk_regex, *METRICS, metric_bi, metric_tbi, metric_icc, metric_dcc, metric_rc, weighted_total,
         candidate_strategies, strategy_winner, strategy_competition, lines_winner, lines_competition, context_assemble, prompt_assemble, citations_extract, citations_validate, source_citations, confidence_score, audit_trail, engine_chunks, engine_answers, refusals,
         embed_missing_antijoin, embed_batch, sections_json, chunks_json, filings_json, filings_source, dense_topk_saved, pipeline_stats, event_windows,
     )
