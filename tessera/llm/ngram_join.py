@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, part_count, request_table, requests, runs, word_hashes
 from .graph import components
-from .runtime import HOT_ROWS, hot_join, staged
+from .runtime import HOT_ROWS, hot_join, released, staged
 
 SHINGLE = 5
 #: A link: 100 * overlap >= PERCENT * union.
@@ -80,7 +80,10 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
             return request_table([])
         keys = np.sort(np.concatenate([s >> _SHORT for s in sets.values()]))
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return request_table(requests(batch[0].as_py(), keys[at], np.diff(at, append=len(keys)), parts))
+        out = request_table(requests(batch[0].as_py(), keys[at], np.diff(at, append=len(keys)), parts))
+        del sets, keys, at
+        released()
+        return out
 
     def rows(batch: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -94,6 +97,7 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
             df = answered(told.filter(pc.is_valid(told["part"])), 0, parts, "u1")
             often = np.zeros(len(every), bool)
             often[order] = df[np.cumsum(new)] > 1 if len(every) else False
+            del every, order, new, df
             at = 0
             for d, s in sets.items():
                 shared, at = often[at : at + len(s)], at + len(s)
@@ -102,8 +106,12 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
                     out.append((d, len(s), s.astype("<u8").tobytes(), s[shared][: slack + 1].astype(np.int64).tolist()))
                 else:
                     out.append((d, len(s), None, None))
+            del sets, often
         cols = list(zip(*out)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["key", "n_shingles", "cols", "meets"])
+        made = pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["key", "n_shingles", "cols", "meets"])
+        del out, cols
+        released()
+        return made
 
     asked = texts.groupBy("batch").cogroup(firsts.groupBy("batch")).applyInArrow(ask, "part int, batch int, lo binary, hi binary, n binary")
     none = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
@@ -193,6 +201,8 @@ def link_rows(rows: DataFrame) -> DataFrame:
             sets = [np.frombuffer(x.as_py(), "<u8") for x in table["cols"]]
             edges, links = product(sets, side if lone else np.zeros(len(docs), int))
             out = [(docs[a], docs[b], 0) for a, b in edges] + [(docs[k], None, int(n)) for k, n in enumerate(links) if n]
+            del sets
+            released()
         cols = list(zip(*out)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["u", "v", "links"])
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released() -> None:
+    """Gives what a worker has freed back to the system: workers live on between groups and stages, and would hold the most they ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than GNU's
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """df over all cores if it was read in fewer parts than there are: small files with one row group. Larger tables stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
