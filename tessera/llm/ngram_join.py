@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, part_count, request_table, requests, runs, word_hashes
 from .graph import components
-from .runtime import HOT_ROWS, hot_join, released, staged
+from .runtime import HOT_ROWS, discard, hot_join, released, staged
 
 SHINGLE = 5
 #: A link: 100 * overlap >= PERCENT * union.
@@ -206,7 +206,9 @@ def link_rows(rows: DataFrame) -> DataFrame:
         cols = list(zip(*out)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["u", "v", "links"])
 
-    return staged(each.groupBy("root", "c", "i", "j", "kind").applyInArrow(multiply, LINKS), "links")
+    links = staged(each.groupBy("root", "c", "i", "j", "kind").applyInArrow(multiply, LINKS), "links")
+    discard(hubs, cand, size)
+    return links
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +235,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = staged(classes.join(of_class, "key").withColumn("root", F.coalesce("root", "key")), "told")
     # a component is named by the first id of its smallest class
     of_root = classes.select(F.col("key").alias("root"), F.col("first").alias("component_id")).join(told.groupBy("root").agg(F.count("*").alias("rows_of")), "root")
-    return rows, staged(hot_join(told, of_root, ["root"]), "named")
+    out = staged(hot_join(told, of_root, ["root"]), "named")
+    discard(classes, incidence, links, told)
+    return rows, out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
