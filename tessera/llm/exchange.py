@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lower_words, partitions
+from .runtime import lower_words, partitions, released
 
 #: Bytes of text in a batch, on average.
 BATCH_TEXT = 4 << 20
@@ -114,21 +114,33 @@ def answers(requested: DataFrame, most: int | None = None) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         part, batches = table["part"][0].as_py(), table["batch"].to_pylist()
         lo = [np.frombuffer(x.as_py(), "<u4") for x in table["lo"]]
-        keys = np.concatenate(lo).astype(np.uint64) | np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["hi"]]).astype(np.uint64) << np.uint64(32)
-        n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["n"]])
+        cuts = np.cumsum([0, *map(len, lo)]).tolist()
+        # a part has millions of keys: no array of them lives longer than it is needed
+        keys = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["hi"]]).astype(np.uint64)
+        keys <<= np.uint64(32)
+        for x, a, b in zip(lo, cuts, cuts[1:]):
+            keys[a:b] |= x
+        del lo
         order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        group = np.cumsum(new) - 1
-        weight = np.ones(len(keys), np.int64) if not len(n) else n.astype(np.int64)
-        sums = np.add.reduceat(weight[order], np.flatnonzero(new))
-        back = np.empty(len(keys), np.int64)
-        back[order] = sums[group]
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        del keys
+        first = np.flatnonzero(new)
+        del new
+        times = np.diff(first, append=len(order))
+        n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["n"]])
+        sums = np.add.reduceat(n[order], first, dtype=np.int64) if len(n) else times
+        del n
         kind = "<u4" if most is None else "u1"
-        back = np.minimum(back, (1 << 32) - 1 if most is None else most).astype(kind)
-        cuts = np.cumsum([0, *map(len, lo)]).tolist()
+        back = np.empty(len(order), kind)
+        back[order] = np.repeat(np.minimum(sums, (1 << 32) - 1 if most is None else most).astype(kind), times)
+        keyed, total = int((sums > 0).sum()), int(sums.sum())
+        del order, first, times, sums
         packed = [back[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.table([pa.array([*batches, -1], pa.int32()), pa.array([part] * (len(batches) + 1), pa.int32()), pa.array([*packed, b""], pa.binary()), pa.array([0] * len(batches) + [int((sums > 0).sum())], pa.int64()), pa.array([0] * len(batches) + [int(sums.sum())], pa.int64())], ["batch", "part", "n", "keys", "total"])
+        del back
+        released()
+        return pa.table([pa.array([*batches, -1], pa.int32()), pa.array([part] * (len(batches) + 1), pa.int32()), pa.array([*packed, b""], pa.binary()), pa.array([0] * len(batches) + [keyed], pa.int64()), pa.array([0] * len(batches) + [total], pa.int64())], ["batch", "part", "n", "keys", "total"])
 
     return requested.groupBy("part").applyInArrow(run, ANSWER)
 

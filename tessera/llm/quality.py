@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import WORD, staged
+from .runtime import WORD, released, staged
 
 _WORD = re.compile(WORD)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -173,6 +173,7 @@ def _sketched(docs: DataFrame, text: bool) -> DataFrame:
             made = [sketch(t.as_py()) for t in batch.column(0)]
             found = pa.array([np.array(x, np.uint64).view(np.int64).tolist() for x in made], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[0 if text else 1 :], found], [*batch.schema.names[0 if text else 1 :], "sketches"])
+        released()
 
     known = docs.filter("text <> ''").select("text", "lang", F.length("text").cast("long").alias("chars"))
     out = known.mapInArrow(run, ("text string, " if text else "") + "lang string, chars long, sketches array<long>")
@@ -219,6 +220,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             if sum(len(w) for _, w in held.values()) > FLUSH_WORDS:
                 yield from flush()
         yield from flush()
+        released()
 
     return docs.mapInArrow(run, "lang string, chars boolean, key string, n double").groupBy("lang", "chars", "key").agg(F.sum("n").alias("n"))
 
@@ -298,6 +300,7 @@ def judge(docs: DataFrame, refs: References, carry: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield measured(batch, [by_lang.get(x) for x in batch.column(1).to_pylist()], 2)
+        released()
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, Reference | None] = {}
