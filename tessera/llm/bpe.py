@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import _UNIT, LONG_PIECE, SPACES, PieceCodec, codec
-from .runtime import staged
+from .runtime import released, staged
 
 #: Characters of a leaf of the tree.
 LEAF = 1024
@@ -198,6 +198,7 @@ def encode_long(texts: DataFrame, path: str) -> DataFrame:
                 rows.append((*key, part, k, *made))
             yield pa.RecordBatch.from_arrays(_columns(rows, [*_KINDS, pa.string(), pa.binary(), pa.binary(), pa.string(), pa.binary()]), [x.split(" ")[0] for x in _ENCODED.split(", ")])
         c.forget()
+        released()
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: r[4])
@@ -228,6 +229,7 @@ def encoded(docs: DataFrame, path: str, row, schema: str, kinds: list[pa.DataTyp
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns([row(c, c.packed(x.as_py())) for x in batch.column(1)], kinds)], ["id", *names])
         c.forget()
+        released()
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, TreeCodec)

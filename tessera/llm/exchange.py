@@ -41,6 +41,11 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+def forget_words() -> None:
+    """Empties what word_hashes remembers: a worker lives on, and other steps need its memory."""
+    _HASHES.clear()
+
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, part_count, request_table, requests, runs, word_hashes
+from .exchange import KEY_BITS, answered, answers, batch_count, batch_of, distinct, forget_words, part_count, request_table, requests, runs, word_hashes
 from .graph import components
 from .runtime import HOT_ROWS, discard, hot_join, released, staged
 
@@ -82,6 +82,7 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         out = request_table(requests(batch[0].as_py(), keys[at], np.diff(at, append=len(keys)), parts))
         del sets, keys, at
+        forget_words()
         released()
         return out
 
@@ -110,6 +111,7 @@ def incidence_rows(texts: DataFrame, firsts: DataFrame, parts: int) -> DataFrame
         cols = list(zip(*out)) or [[]] * 4
         made = pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["key", "n_shingles", "cols", "meets"])
         del out, cols
+        forget_words()
         released()
         return made
 
