@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tessera.operators import chunk_quality, chunking
+from tessera.operators import chunk_quality, chunking, search
 from tessera.plans import registry
 
 
@@ -58,3 +58,17 @@ def test_lengths_of_long_texts_are_those_of_the_pattern():
         text = "".join(random.Random(k).choices(chars, k=600))
         for own in (text, text.replace("𝒳", "x")):
             assert chunking.count_tokens(own) == len(chunking._TOKEN.findall(own))
+
+
+def test_no_row_is_made_for_each_pair_of_query_and_document(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 11}" for j in range(1, 9))) for k in range(60)], "doc_id long, text string")
+    chunks = docs.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("t"), F.col("doc_id") % 3)).alias("ticker"), (F.lit(2020) + F.col("doc_id") % 2).cast("int").alias("fiscal_year"))
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} w3", None if q % 2 else "T1", 2021 if q % 3 else None) for q in range(6)], "query_id long, query string, ticker string, fiscal_year int")
+    jobs = asked.select("query_id", F.lit(0).alias("job"), "ticker", "fiscal_year").union(asked.select("query_id", F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("int")))
+    index = search.build_lexical(docs)
+    want = search.multi_job(search.lexical_scores(index, asked).filter("score > 0"), jobs, chunks, 4)
+    made = search.lexical_jobs(index, asked, jobs, chunks, 4)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "job", "pos", "score", "rank").collect()))
+    assert rows(made) == rows(want)
+    for df in (made, search.lexical_top_k(index, asked, 3)):
+        assert "MapInArrow" in plan(df) and "Aggregate [query_id" not in plan(df)
