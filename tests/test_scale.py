@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import chunk_quality, chunking, search
 from tessera.plans import registry
 
@@ -72,3 +74,18 @@ def test_no_row_is_made_for_each_pair_of_query_and_document(spark):
     assert rows(made) == rows(want)
     for df in (made, search.lexical_top_k(index, asked, 3)):
         assert "MapInArrow" in plan(df) and "Aggregate [query_id" not in plan(df)
+
+
+def test_numbers_are_rounded_as_printf_does(spark):
+    """Ties of the shortest decimal are none of the binary value, and true ties go to the even figure."""
+    values = [0.125, 0.375, 1.005, 2.675, 0.145, 99.995, 199.995, 0.001, 0.005, 0.015, 33.685, 1e-9, 0.0, -1.005, -0.001, 123456.785, 999.995, 0.999999, 4503599627370495.5, *(random.Random(7).randrange(200_000) / 1000 for _ in range(2000))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed_two(F.col("v")).alias("shown")).collect()
+    assert [(r.v, r.shown) for r in got if r.shown != "%.2f" % r.v] == []
+    words = [r[0] for r in spark.createDataFrame([("2.5",), ("1002500",), ("2500",), ("2500000",)], "w string").select(X.format_number(F.col("w"))).collect()]
+    assert words == ["2", "$1M", "$2K", "$2M"]
+
+
+def test_numbers_are_shown_as_the_sql_has_them(spark, tmp_path):
+    """-999.7 is rounded to a thousand, which the SQL shows without a comma."""
+    spark.createDataFrame([(4, 58795.5), (9, 58797.27)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.shown for r in registry.number_format(spark, str(tmp_path)).orderBy("o_orderkey").collect()] == ["-1000", "-1000"]
