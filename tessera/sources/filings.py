@@ -12,6 +12,7 @@ same companies and years in their order, some at a time, each once; a restarted
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
@@ -26,6 +27,9 @@ FIELDS = (
     ("raw_html_url", StringType()), ("html", StringType()), ("error", StringType()),
 )
 
+#: Folders over which written filings are dealt by the crc32 of `{ticker}_{year}`.
+FOLDERS = 64
+
 
 class Fetcher(Protocol):
     def fetch(self, ticker: str, year: int) -> dict | None: ...
@@ -125,23 +129,26 @@ def filing_source(make: Callable[[], Fetcher], name: str = "filings") -> type[Da
 
 
 class FolderFetcher:
-    """Filings from a folder of JSON lines, a folder `of={ticker}_{year}` each, as tables.write_filings leaves them, in any store that Arrow
-    reads; the year's last filing."""
+    """Filings from JSON lines in folders `of={number}`, as tables.write_filings leaves them, or in a folder `of={ticker}_{year}` each, in any
+    store that Arrow reads; the year's last filing."""
 
     def __init__(self, folder: str):
         from pyarrow import fs
 
         self.store, self.path = fs.FileSystem.from_uri(folder)
 
-    def fetch(self, ticker: str, year: int) -> dict | None:
+    def _rows(self, of: str | int) -> Iterator[dict]:
         import json
 
         from pyarrow import fs
 
-        files = self.store.get_file_info(fs.FileSelector(f"{self.path}/of={ticker}_{year}", allow_not_found=True))
-        rows = []
-        for f in files:
+        for f in self.store.get_file_info(fs.FileSelector(f"{self.path}/of={of}", allow_not_found=True)):
             if f.base_name.endswith(".json"):
                 with self.store.open_input_stream(f.path) as stream:
-                    rows += [json.loads(line) for line in stream.read().decode().splitlines() if line.strip()]
+                    yield from (json.loads(line) for line in stream.read().split(b"\n") if line.strip())
+
+    def fetch(self, ticker: str, year: int) -> dict | None:
+        key = f"{ticker}_{year}"
+        rows = [r for r in self._rows(zlib.crc32(key.encode()) % FOLDERS) if (r.get("ticker"), str(r.get("fiscal_year"))) == (ticker, str(year))]
+        rows += self._rows(key)
         return max(rows, key=lambda r: (r.get("filing_date") or "", r.get("accession_no") or "")) if rows else None
