@@ -89,3 +89,36 @@ def test_numbers_are_shown_as_the_sql_has_them(spark, tmp_path):
     """-999.7 is rounded to a thousand, which the SQL shows without a comma."""
     spark.createDataFrame([(4, 58795.5), (9, 58797.27)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r.shown for r in registry.number_format(spark, str(tmp_path)).orderBy("o_orderkey").collect()] == ["-1000", "-1000"]
+
+
+def test_chunks_of_a_section_are_read_in_one_pass():
+    """Vectors and closeness are those of embedding each chunk and sentence by itself."""
+
+    class Each(chunk_quality.TermBins):
+        def embed(self, texts):
+            return super().embed(texts)
+
+    parts = ["Item 7 costs $1,200.50 a b. ", "item  1A says so?  ", "No. 5 of ΑΣ. ΣΑ x! ", "\n\n| a | b |\n", "It fell by 3.5 %. The rest held its place well. ", "", " . ", "one two three four"]
+    for k in range(60):
+        chunks = ["".join(random.Random(k * 9 + j).choices(parts, k=j)) for j in range(7)]
+        one, joint = chunk_quality.Remembered(Each()), chunk_quality.Remembered(chunk_quality.TermBins())
+        assert not one.joint and joint.joint and one.closeness(chunks) == joint.closeness(chunks)
+        assert chunk_quality.coherence(chunks, one) == chunk_quality.coherence(chunks, joint)
+        whole, each, of = chunk_quality.TermBins().sentences(chunks)
+        assert whole.tolist() == [v.tolist() for v in Each().embed(chunks)] and len(each) == len(of)
+    assert chunk_quality.TermBins().sentences(["a \x01 b"]) is None and chunk_quality.TermBins().sentences(["𝒳 y"]) is None
+
+
+def test_an_automaton_serves_all_chunkings_of_a_section(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr("tessera.operators.names.automaton", lambda own, f=chunk_quality.Patterns.__init__.__globals__["automaton"]: made.append(1) or f(own))
+    among = chunk_quality.Patterns([f"row {k}" for k in range(30)] + [""])
+    assert [among.found_in(f"a row {k} b") for k in (3, 4, 29, 99)] == [{"", "row 3"}, {"", "row 4"}, {"", "row 2", "row 29"}, {"", "row 9"}] and len(made) == 1
+
+
+def test_a_section_is_judged_by_shares_that_are_found_once(spark, folder):
+    """A share that several columns read stands in the plan once, besides where it is shown."""
+    from tessera.operators import ingest
+
+    own = ingest.typed(ingest.sections_view(spark.read.parquet(f"{folder}/documents.parquet"))).select("doc_id", "section_type", "signals.numerical_density", "signals.table_density")
+    assert plan(own).count(r"bps") == 2
