@@ -122,3 +122,14 @@ def test_a_section_is_judged_by_shares_that_are_found_once(spark, folder):
 
     own = ingest.typed(ingest.sections_view(spark.read.parquet(f"{folder}/documents.parquet"))).select("doc_id", "section_type", "signals.numerical_density", "signals.table_density")
     assert plan(own).count(r"bps") == 2
+
+
+def test_a_filter_leaves_all_vectors_that_meet_it(spark):
+    """The best vectors of the corpus are of another company than the one asked for."""
+    n = 60
+    chunks = spark.createDataFrame([(k, "T1" if k >= n - 3 else "T2", "1", f"w{k}") for k in range(n)], "pos long, ticker string, item_number string, text string")
+    vectors = spark.createDataFrame([(k, [float(n - k), 1.0]) for k in range(n)], "pos long, vector array<double>")
+    asked = spark.createDataFrame([(1, "where", "t1", [1.0, 0.0]), (2, "where", None, [1.0, 0.0])], "query_id long, query string, ticker string, query_vector array<double>")
+    found = lambda **o: [(r.query_id, r.pos, r.dense_rank) for r in search.hybrid(None, vectors, chunks, asked, top=2, fan_out=1, **o).orderBy("query_id", "rank").collect()]
+    assert found() == [(1, n - 3, 1), (1, n - 2, 2), (2, 0, 1), (2, 1, 2)]
+    assert found(over_fetch=10) == [(2, 0, 1), (2, 1, 2)]
